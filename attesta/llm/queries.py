@@ -5,12 +5,38 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from attesta.llm.byte_bpe import decode_documents, encode_documents
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = decode_documents(encode_documents(docs, *vocabulary), *vocabulary)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.quality_rules import POLICIES, apply_policy, mask_of, measure, with_ledger
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = apply_policy(with_ledger(measure(docs)), "full-1")
+    base = F.col("failed_rules").bitwiseAND(F.lit(mask_of(POLICIES["base-1"])).cast("long")) != 0
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_rules")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.near_duplicates import near_duplicates
 
@@ -18,6 +44,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_byte_bpe": op6_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
@@ -27,7 +55,7 @@ WITH RECURSIVE w AS (
   FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[])
-    ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), i -> array_to_string(ws[i:i + 4], ' '))) END AS sh
+    ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
   FROM w),
 e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 links AS (
@@ -42,6 +70,35 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_
 FROM s JOIN c ON s.doc_id = c.doc_id
 """
 
+_OP8 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+grams AS (
+  SELECT r, u.i AS i, ws[u.i] AS a, ws[u.i + 1] AS b, ws[u.i + 2] AS c
+  FROM w, unnest(range(1, len(ws) - 1)) AS u(i) WHERE len(ws) >= 3),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2]) AS u(k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+worded AS (SELECT r, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
+dup AS (SELECT r, sum(n) AS n_lines, sum(n - 1) AS n_dup FROM worded GROUP BY r),
+m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_capitals
+  FROM w LEFT JOIN covered c ON w.r = c.r LEFT JOIN dup ON w.r = dup.r),
+f AS (
+  SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (5 * n_symbols > n_words)::INT
+    + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars > 25 * n_words)::INT + 32 * (word_chars < 2 * n_words)::INT
+    + 64 * (2 * n_capitals > word_chars)::INT AS BIGINT) AS failed_rules
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_rules & 3) <> 0 AS base_failed,
+  failed_rules = 0 AS kept, failed_rules
+FROM f
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": _OP8,
     "op10_minhash_near_dedup": _OP10,
 }
