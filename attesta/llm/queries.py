@@ -12,6 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from attesta.llm import scratch, token_files
+
+    folder = scratch.new_path(spark, "tokens")
+    docs = _table(spark, sf_dir, "documents")
+    indexed = token_files.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    columns = ["doc_id", "file", "offset", "length", "n_tokens", "id_bytes", "start"]
+    sequences = token_files.read(token_files.starts(indexed).select(*columns), folder)
+    return token_files.with_crc32(sequences.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), "ids"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +57,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_files": op4_token_files,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
