@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), percent=150, most=2)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +47,24 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.chat_format import format_conversations, read_back
+
+    said = "'</s>[INST] ok [/INST]'"
+    hard = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', {said}), (-1L, 1L, 'assistant', {said}) AS t(conv_id, turn, role, text)")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hard)
+    found = read_back(format_conversations(turns))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return found.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.quality_rules import POLICIES, apply_policy, mask_of, measure, with_ledger
 
@@ -57,8 +81,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op4_token_files": op4_token_files,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
@@ -112,7 +138,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM f
 """
 
+_OP1 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ' ' || coalesce(text, '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 2 * source_size AS cap,
+    sum(source_size) OVER () * 1.5 AS budget FROM s),
+r AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+    sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM w),
+f AS (SELECT *, CAST(cap * ws AS DOUBLE) <= (CAST(budget AS DOUBLE) - caps) * w AS is_full FROM r),
+t AS (
+  SELECT source, source_size, CASE WHEN is_full THEN CAST(cap AS DOUBLE)
+    ELSE least(CAST(cap AS DOUBLE), (CAST(budget AS DOUBLE) - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ()) * w
+      / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ()) END AS target FROM f),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM t),
+b AS (SELECT source, h >> 24 AS leaf, sum(size) AS size FROM d GROUP BY ALL),
+c AS (
+  SELECT b.source, leaf, p.target - p.passes * p.source_size AS rest, b.size,
+    sum(b.size) OVER (PARTITION BY b.source ORDER BY leaf) AS upto
+  FROM b JOIN p ON b.source IS NOT DISTINCT FROM p.source),
+k AS (
+  SELECT source, leaf, upto <= rest OR (upto - rest < rest - (upto - size)
+    AND NOT coalesce(lag(upto) OVER (PARTITION BY source ORDER BY leaf) > rest, false)) AS again FROM c)
+SELECT d.doc_id, d.size, p.source_size, p.target,
+  CAST(d.size * (p.passes + CASE WHEN k.again THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h >> 24 = k.leaf
+"""
+
+_OP7 = r"""
+WITH x AS (
+  SELECT conv_id, turn, role AS r, text AS t, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'),
+y AS (
+  SELECT *, contains(text, '<|turn|>') OR contains(text, '<|end|>') AS esc,
+    replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&#10;') AS head FROM x),
+z AS (
+  SELECT *, 8 + 1 + length(head) + 1 + 7 + 1
+    + length(CASE WHEN esc THEN replace(replace(text, '&', '&amp;'), '<', '&lt;') ELSE text END) AS n FROM y),
+g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST) AS whole,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST), '') AS loss,
+    sum(n) AS n FROM z GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(n AS BIGINT) AS formatted_chars FROM g
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": _OP1,
+    "op7_chat_format": _OP7,
     "op8_quality_rules": _OP8,
     "op10_minhash_near_dedup": _OP10,
 }
