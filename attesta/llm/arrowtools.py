@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def fixed_binary(rows: np.ndarray) -> pa.Array:
@@ -46,7 +47,7 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
             c = table.column(k).combine_chunks()
             c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
             if n > 1:
-                changed[1:] |= pa.compute.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                changed[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         first = tuple(table.column(k)[0].as_py() for k in keys)
         cuts = np.flatnonzero(changed).tolist()
         if held and first != last:

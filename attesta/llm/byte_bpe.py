@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -218,7 +219,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 size = lengths[flat]
                 ends = np.cumsum(size)
                 source = np.repeat(starts[flat] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
-                rows = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pa.compute.list_value_length(ids).fill_null(0).to_numpy())])]
+                rows = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(ids).fill_null(0).to_numpy())])]
                 raw = pool[source]
                 decoded = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(rows.astype(np.int64)), pa.py_buffer(raw)])
                 yield from part.append_column("decoded", decoded.cast(pa.binary())).to_batches()

@@ -18,6 +18,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), percent=150, most=2)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.warc import archive_and_read
+
+    found = archive_and_read(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,6 +89,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op3_warc": op3_warc,
     "op4_token_files": op4_token_files,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_format": op7_chat_format,
