@@ -39,13 +39,12 @@ from pyspark.sql import functions as F
 
 from attesta.llm import scratch
 from attesta.llm.arrowtools import fixed_binary, matrix, runs
+from attesta.llm.bloom import bloom_filter, may_hold
 from attesta.llm.components import components
 from attesta.llm.wordhash import Block, blocks, distinct_per_row, mix, span_hashes, windows, words
 
 POSITIONS = 64
 _FACTORS = np.random.Generator(np.random.PCG64(5)).integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BLOOM_HASHES = 3
-_BLOOM_MAX_BITS = 1 << 27
 
 
 def plan_for(percent: int, miss: float = 2e-6) -> tuple[int, int]:
@@ -236,39 +235,13 @@ def _verify(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _bloom_places(ids: np.ndarray, bits: int) -> np.ndarray:
-    h = mix(ids.view(np.uint64) + np.uint64(77))
-    step = mix(h) | np.uint64(1)
-    return np.stack([(h + np.uint64(k) * step) % np.uint64(bits) for k in range(_BLOOM_HASHES)])
-
-
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column doc_id, of 16 bits a value but at most 16 MB."""
-    n = ids.count()
-    bits = max(1 << 10, min(_BLOOM_MAX_BITS, 1 << (16 * n).bit_length()))
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = _bloom_places(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), bits).ravel()
-            word, mask = (p >> np.uint64(6)).astype(np.int64), np.uint64(1) << (p & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
-
-    found = ids.select("doc_id").mapInArrow(places, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
-    return out
-
-
 def _full_sets(docs: DataFrame, bloom: np.ndarray, width: int) -> DataFrame:
     """(cls, shingles) of the documents whose doc_id the filter may hold."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            p = _bloom_places(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False), 64 * len(bits))
-            hit = ((bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1)).all(0)
-            for b in blocks(batch.column(1).filter(pa.array(hit))):
+            for b in blocks(batch.column(1).filter(may_hold(shared.value, batch.column(0)))):
                 values, bounds = sets_of(b, width)
                 sets = [values[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([fixed_binary(digests(values, bounds)), pa.array(sets, pa.binary())], names=["cls", "shingles"])
@@ -305,7 +278,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: i
     members = scratch.save(partnered.distinct(), "members")
 
     wanted = scratch.save(members.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls"), "wanted")
-    sets = _full_sets(docs, _bloom(wanted), width).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    sets = _full_sets(docs, bloom_filter(wanted), width).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     compared = _dealt(members, block).join(sets, "cls").select("g", "i", "j", "cls", "shingles")
     links = scratch.save(_in_groups(compared).mapInArrow(_verify(percent), "a binary, b binary"), "links")
     scratch.drop(starred, members, wanted)
