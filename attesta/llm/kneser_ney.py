@@ -102,7 +102,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = batch.filter(pa.array(~held))
         for lang in rest.column(1).unique().to_pylist():
             own = rest.filter(pc.equal(rest.column(1), lang))
-            for b in blocks(own.column(2), 1 << 23):
+            for b in blocks(own.column(2), 1 << 20):
                 u, n = np.unique(grams(b), return_counts=True)
                 if lang in counts:
                     have, had = counts[lang]
@@ -253,7 +253,7 @@ def score(docs: DataFrame, path: str, shards: int, lang_key: Column) -> DataFram
         model = _model(path, shards)
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for b in blocks(table.column("text")):
+            for b in blocks(table.column("text"), 1 << 20):
                 part = table.slice(b.first, b.n_rows)
                 langs = np.array(part.column("_lang").to_pylist(), object)
                 sizes = np.diff(b.bounds)

@@ -88,6 +88,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed_rules")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.toxicity import toxicity
+
+    # The labels have one toxicity category; what makes text junk comes before it in the chain.
+    labels = _table(spark, sf_dir, "labels").withColumn("junk", 1 - F.col("quality"))
+    return toxicity(_table(spark, sf_dir, "documents"), labels, ["junk", "toxic"])
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.near_duplicates import near_duplicates
 
@@ -102,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_format": op7_chat_format,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 

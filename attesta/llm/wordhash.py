@@ -9,7 +9,7 @@ empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,9 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are not part of a run of letters, ASCII ones or any beyond.
+NO_LETTER = np.ones(256, dtype=bool)
+NO_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64)
@@ -101,10 +104,11 @@ class Words:
         return np.diff(self.bounds)
 
 
-def words(block: Block) -> Words:
+def words(block: Block, outside: np.ndarray = _SPACE) -> Words:
+    """The maximal runs of bytes that ``outside`` doesn't mark, within rows."""
     n = len(block.data)
     inside = np.zeros(n + 2, bool)
-    np.logical_not(_SPACE[block.data], out=inside[1 : n + 1])
+    np.logical_not(outside[block.data], out=inside[1 : n + 1])
     starts = inside[1:] & ~inside[:-1]
     ends = inside[:-1] & ~inside[1:]
     cuts = block.bounds[1:-1]
@@ -118,16 +122,18 @@ def words(block: Block) -> Words:
     return Words(start, end, row, bounds)
 
 
-def span_hashes(block: Block, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
+def hasher(block: Block, lower: bool = False) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from bounds of byte spans to their 64-bit hashes, equal for equal bytes wherever they stand."""
     n = len(block.data)
-    if not len(start):
-        return np.zeros(0, np.uint64)
     up, down = _POWERS.upto(n + 1)
     table = _BYTE[_LOWER] if lower else _BYTE
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(table[block.data] * up[:n], out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+    return lambda start, end: mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+
+
+def span_hashes(block: Block, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+    return hasher(block, lower)(start, end)
 
 
 def windows(hashes: np.ndarray, bounds: np.ndarray, size: int, short: bool) -> tuple[np.ndarray, np.ndarray]:
