@@ -17,7 +17,7 @@ part; further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.llm import scratch
@@ -25,12 +25,16 @@ from attesta.llm import scratch
 _HASH_BITS, _LEVEL_BITS, _LEVELS = 60, 12, 3
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h) of each document; the text is read here only."""
+def _size_and_hash() -> tuple[Column, Column]:
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))
     h = F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), h.alias("h"))
+    return size.alias("size"), h.alias("h")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, h) of each document; the text is read here only."""
+    return docs.select("doc_id", "source", *_size_and_hash())
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
@@ -93,10 +97,26 @@ def thresholds(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "passes", F.shiftleft("path", _HASH_BITS - _LEVELS * _LEVEL_BITS).alias("threshold"))
 
 
+def _limits(documents: DataFrame, weights: tuple[int, ...], percent: int, most: int) -> DataFrame:
+    sizes = documents.groupBy("source").agg(F.sum("size").alias("source_size"))
+    return thresholds(documents, targets(sizes, weights, percent, most))
+
+
+def _times() -> Column:
+    return F.col("passes") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's), taken (words, repeats counted)."""
     documents = scratch.save(sized(docs), "sized")
-    sizes = documents.groupBy("source").agg(F.sum("size").alias("source_size"))
-    limits = thresholds(documents, targets(sizes, weights, percent, most))
-    times = F.col("passes") + F.when(F.col("h") < F.col("threshold"), 1).otherwise(0)
-    return _same_source(documents, limits).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    limits = _limits(documents, weights, percent, most)
+    return _same_source(documents, limits).select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), percent: int = 150, most: int = 2) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken.  No text is shuffled."""
+    stored = scratch.save(sized(docs), "sized")
+    limits = _limits(stored, weights, percent, most).select("source", "passes", "threshold")
+    _, h = _size_and_hash()
+    rows = _same_source(docs.select("*", h), limits).withColumn("times", _times().cast("int")).where("times > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)

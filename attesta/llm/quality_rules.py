@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm.arrowtools import small_batches
 from attesta.llm.wordhash import Block, blocks, span_hashes, windows, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
@@ -116,9 +117,10 @@ def measure_block(block: Block) -> dict[str, np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without the text, with the columns of ``MEASURES``."""
-    keep = [c for c in docs.columns if c not in (text, *MEASURES)]
+def measure(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs`` with the columns of ``MEASURES``, and without the text unless it is to be kept."""
+    small_batches(docs.sparkSession)
+    keep = [c for c in docs.columns if c not in MEASURES and (keep_text or c != text)]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{m} long" for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
                     part = part.append_column(m, pa.array(found[m], pa.int64()))
                 yield from part.combine_chunks().to_batches()
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
 def with_ledger(measured: DataFrame) -> DataFrame:

@@ -18,6 +18,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), percent=150, most=2)
 
 
+def op2_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from attesta.llm.vamana import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from attesta.llm.warc import archive_and_read
 
@@ -104,6 +110,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_vamana": op2_vamana,
     "op3_warc": op3_warc,
     "op4_token_files": op4_token_files,
     "op5_quality_classifier": op5_quality_classifier,
