@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.llm import scratch
-from attesta.llm.arrowtools import runs
+from attesta.llm.arrowtools import runs, small_batches
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "record_id string, record_type string, url string, page_id long, refers_to long, payload_digest string, segment int, total_length long, block binary"
@@ -105,6 +105,7 @@ def write(
 ) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) to files under ``folder``; returns (file, records)."""
     spark = pages.sparkSession
+    small_batches(spark)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("place")).withColumn("digest", F.sha1("payload"))
     # Of equal payloads, the least page_id is the response; among repeated rows, the first of them.
