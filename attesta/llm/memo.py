@@ -3,7 +3,8 @@
 The vocabularies' pattern never joins a character that is white space with a
 following one that isn't, but for one space before a word.  So a text cut by
 ``CHUNK`` (white space as Unicode defines it) gives the same ids chunk by chunk
-as in whole, and a chunk that has been met before needs no new work.
+as in whole, and a chunk that has been met before needs no new work.  A text
+whose white space is single spaces and line feeds is cut by splitting alone.
 """
 
 from __future__ import annotations
@@ -11,34 +12,59 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-_WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_UNUSUAL = [*(c for c in _WHITE if c not in " \n"), "  ", "\n\n", " \n", "\n "]
+_UNUSUAL_ASCII = [x for x in _UNUSUAL if x.isascii()]
+
+
+def is_plain(text: str) -> bool:
+    """Whether the white space of a text is spaces and line feeds, no two together."""
+    return not any(x in text for x in (_UNUSUAL_ASCII if text.isascii() else _UNUSUAL))
 
 
 class Memo:
     """Ids of texts, packed as little-endian 32-bit integers, by way of ``encode`` for chunks not at hand.
 
-    The memo is emptied at ``entries`` entries and takes no chunk over
-    ``longest`` characters, so its memory is bounded; results don't depend on it.
+    The memo is emptied when it has ``entries`` entries (some 200 bytes each)
+    and keeps no chunk over ``longest`` characters, so its memory is bounded;
+    results don't depend on it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 400_000, longest: int = 48) -> None:
-        self.encode, self.entries, self.longest, self.known = encode, entries, longest, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = 700_000, longest: int = 48) -> None:
+        self.encode, self.entries, self.longest = encode, entries, longest
+        self.whole: dict[str, bytes] = {}  # by chunk
+        self.after_space: dict[str, bytes] = {}  # by what follows a chunk's leading space, or a line feed with its word
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        cut = [CHUNK.findall(t) for t in texts]
-        new = list({c for cs in cut for c in cs if c not in known})
-        made = dict(zip(new, self.encode(new))) if new else {}
-        if len(known) + len(new) > self.entries:
-            known.clear()
-            have = dict(zip(new, made.values()))
-            again = list({c for cs in cut for c in cs if c not in have})
-            made |= zip(again, self.encode(again))
-        lookup = known
-        long = {c: x for c, x in made.items() if len(c) > self.longest}
-        known.update((c, x) for c, x in made.items() if len(c) <= self.longest)
-        if long:
-            lookup = known | long
-        get = lookup.__getitem__
-        return [b"".join(map(get, cs)) for cs in cut]
+        whole, spaced = self.whole, self.after_space
+        if len(whole) + len(spaced) > self.entries:
+            whole.clear()
+            spaced.clear()
+        cut = []  # of each text: its parts, what is known of each, where it is looked up
+        new_whole, new_spaced = set(), set()
+        for t in texts:
+            if is_plain(t):
+                first, *parts = t.replace("\n", " \n").split(" ")
+                if first not in whole:
+                    new_whole.add(first)
+                known, of, new = list(map(spaced.get, parts)), spaced, new_spaced
+            else:
+                first, parts = "", CHUNK.findall(t)
+                new_whole.add(first)
+                known, of, new = list(map(whole.get, parts)), whole, new_whole
+            if None in known:
+                new.update([p for p, k in zip(parts, known) if k is None])
+            cut.append((first, parts, known, of))
+        made = self.encode([*new_whole, *(w if w[:1] == "\n" else " " + w for w in new_spaced)])
+        whole.update(zip(new_whole, made))
+        spaced.update(zip(new_spaced, made[len(new_whole) :]))
+        out = []
+        for first, parts, known, of in cut:
+            if None in known:
+                known = [of[p] if k is None else k for p, k in zip(parts, known)]
+            out.append(b"".join([whole[first], *known]))
+        for of, new in ((whole, new_whole), (spaced, new_spaced)):
+            for chunk in [c for c in new if len(c) > self.longest]:
+                del of[chunk]
+        return out

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import scratch
-from attesta.llm.arrowtools import fixed_binary, matrix, runs
+from attesta.llm.arrowtools import fixed_binary, matrix, runs, small_batches
 from attesta.llm.bloom import bloom_filter, may_hold
 from attesta.llm.components import components
 from attesta.llm.wordhash import Block, blocks, distinct_per_row, mix, span_hashes, windows, words
@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: i
     Documents are linked when 100 * |A ∩ B| >= percent * |A ∪ B|.  See the
     module's text for the method and for nulls, ties and repeated rows.
     """
+    small_batches(docs.sparkSession)
     limit, n_chunks = plan_for(percent)
     docs = docs.select("doc_id", "text")
     described = scratch.save(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, cls binary, sig binary"), "described")
