@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from attesta.plans import span_plans, text_plans
+
+_PLANS = (text_plans, span_plans)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for p in _PLANS for name, f in p.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for p in _PLANS for name, sql in p.ORACLE_SQL.items()}
