@@ -123,7 +123,8 @@ def compared_answers(claims: DataFrame) -> DataFrame:
     """Each distinct content (kind, normalised text) against each answer (answer_id): equal where the answer has it, partial where it has a claim on overlapping lines of the same path, else absent; contents most shared come first."""
     content = F.sha2(F.concat_ws("\n", "kind", F.lower(T.collapse(F.col("text")))), 256)
     c = claims.withColumn("content", content)
-    contents = c.groupBy("content").agg(F.count_distinct("answer_id").alias("shared"), F.min_by("path", "answer_id").alias("path"), F.min_by("start_line", "answer_id").alias("s"), F.min_by("end_line", "answer_id").alias("e"))
+    contents = c.groupBy("content").agg(F.count_distinct("answer_id").alias("shared"), F.min(F.struct("answer_id", "path", "start_line", "end_line")).alias("_first"))
+    contents = contents.select("content", "shared", F.col("_first.path").alias("path"), F.col("_first.start_line").alias("s"), F.col("_first.end_line").alias("e"))
     equal = c.select("content", "answer_id", F.lit(2).alias("level"))
     near = contents.select("content", "path", "s", "e").join(c.select("answer_id", F.col("path").alias("_p"), "start_line", "end_line"), (F.col("path") == F.col("_p")) & (F.col("start_line") <= F.col("e")) & (F.col("s") <= F.col("end_line")))
     found = equal.unionByName(near.select("content", "answer_id", F.lit(1).alias("level"))).groupBy("content", "answer_id").agg(F.max("level").alias("level"))
