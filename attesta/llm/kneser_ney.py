@@ -103,7 +103,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = batch.filter(pa.array(~held))
         for lang in rest.column(1).unique().to_pylist():
             own = rest.filter(pc.equal(rest.column(1), lang))
-            for b in blocks(own.column(2), 1 << 20):
+            for b in blocks(own.column(2), 1 << 18):
                 u, n = np.unique(grams(b), return_counts=True)
                 if lang in counts:
                     have, had = counts[lang]
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[str, int, DataFrame]:
 class Model:
     """A worker's view of the shards: the most recent of them, and a memo of probabilities."""
 
-    MOST_ROWS, SLOTS = 6_000_000, 1 << 20
+    MOST_ROWS, SLOTS = 6_000_000, 1 << 18
 
     def __init__(self, path: str, shards: int) -> None:
         self.path, self.shards = path, shards
@@ -223,14 +223,14 @@ class Model:
                 self.memo.clear()
             self.memo[lang] = np.full(self.SLOTS, np.iinfo(np.uint64).max, np.uint64), np.zeros(self.SLOTS)
         known, values = self.memo[lang]
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
         out = values[slot]
         new = np.flatnonzero(known[slot] != keys)
         if len(new):
             distinct, inverse = np.unique(keys[new], return_inverse=True)
             found = self.log_p(lang, distinct)
             out[new] = found[inverse]
-            at = ((distinct * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+            at = ((distinct * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
             known[at], values[at] = distinct, found
         return out
 
@@ -247,16 +247,16 @@ def _model(path: str, shards: int) -> Model:
 
 def score(docs: DataFrame, path: str, shards: int, lang_key: Column) -> DataFrame:
     """``docs`` with ``perplexity`` (null without text or without a model of the language)."""
-    keep = [c for c in docs.columns if c not in ("perplexity", "_lang")]
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "_lang string", "perplexity double"])
+    keep = [c for c in docs.columns if c not in ("perplexity", "_model_lang")]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "_model_lang string", "perplexity double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path, shards)
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for b in blocks(table.column("text"), 1 << 20):
+            for b in blocks(table.column("text"), 1 << 18):
                 part = table.slice(b.first, b.n_rows)
-                langs = np.array(part.column("_lang").to_pylist(), object)
+                langs = np.array(part.column("_model_lang").to_pylist(), object)
                 sizes = np.diff(b.bounds)
                 result = np.full(b.n_rows, np.nan)
                 keys, of = grams(b), np.repeat(np.arange(b.n_rows), sizes)
@@ -272,7 +272,7 @@ def score(docs: DataFrame, path: str, shards: int, lang_key: Column) -> DataFram
                 column = pa.array(result, mask=np.isnan(result))
                 yield from part.append_column("perplexity", column).combine_chunks().to_batches()
 
-    return docs.select(*keep, lang_key.alias("_lang")).mapInArrow(run, schema)
+    return docs.select(*keep, lang_key.alias("_model_lang")).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:
@@ -280,10 +280,10 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> Dat
     small_batches(docs.sparkSession)
     path, shards, held = train(docs, labels)
     measured = score(held, path, shards, F.col("lang")).where("perplexity is not null")
-    limits = measured.groupBy(F.col("_lang").alias("l")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
+    limits = measured.groupBy(F.col("_model_lang").alias("_limit_lang")).agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
     limits = scratch.save(limits, "limits")
-    clean = docs.drop("perplexity", "threshold", "kept", "_lang")
+    clean = docs.drop("perplexity", "threshold", "kept", "_model_lang")
     scored = score(clean, path, shards, _language())
-    judged = scored.join(limits, scored["_lang"] == limits["l"], "left").drop("l", "_lang")
+    judged = scored.join(limits, scored["_model_lang"] == limits["_limit_lang"], "left").drop("_limit_lang", "_model_lang")
     has_text = F.length(F.coalesce("text", F.lit(""))) > 0
     return judged.withColumn("kept", has_text & (F.col("threshold").isNull() | F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))))

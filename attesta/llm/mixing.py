@@ -118,5 +118,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), perce
     stored = scratch.save(sized(docs), "sized")
     limits = _limits(stored, weights, percent, most).select("source", "passes", "threshold")
     _, h = _size_and_hash()
-    rows = _same_source(docs.select("*", h), limits).withColumn("times", _times().cast("int")).where("times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    rows = _same_source(docs.select(F.struct(*docs.columns).alias("row"), "source", h), limits).withColumn("times", _times().cast("int"))
+    taken = rows.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return taken.select("row.*")

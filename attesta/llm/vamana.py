@@ -134,6 +134,8 @@ def build(data: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float
             graph[points] = chosen
             source, target = np.repeat(points, degree), chosen.ravel()
             source, target = source[target >= 0], target[target >= 0]
+            if not len(target):
+                continue
             by = np.argsort(target, kind="stable")
             source, target = source[by], target[by]
             nodes, first, count = np.unique(target, return_index=True, return_counts=True)
