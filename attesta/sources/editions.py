@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text as T
 from attesta.operators import records
 from attesta.plans.registry import profile
+from attesta.session import let_workers_import
 
 _SYMBOL = "id string, source_id string, name string, qualified_name string, kind string, is_test boolean, top_level boolean, start bigint, `end` bigint, start_line bigint, end_line bigint, sha256 string"
 _OCCURRENCE = "id string, source_id string, kind string, start bigint, `end` bigint, candidate string, rule string, label string"
@@ -87,6 +88,7 @@ _SCHEMA = pa.schema([("source_id", pa.string()), *((n, pa.list_(_fields(d))) for
 
 def extracted(sources: DataFrame) -> DataFrame:
     """One row per parsed source with the arrays symbols, occurrences, bindings and diagnostics; ``auxiliary`` files are not parsed."""
+    let_workers_import(sources.sparkSession)
     return sources.where("language <> 'auxiliary'").select("id", "language", "content").mapInArrow(_extract, _EXTRACTED)
 
 
