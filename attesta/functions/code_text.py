@@ -7,9 +7,12 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from attesta.session import let_workers_import
+
 #: Lines of context around an edit, and the cells beyond which a diff is not computed line by line.
 CONTEXT, CELLS = 3, 4_000_000
 _PAIRS = {")": "(", "]": "[", "}": "{", ">": "<"}
@@ -206,4 +209,5 @@ LEAVES = "array<struct<path:string,kind:string,value:string>>"
 
 def parsed(udf, column: str, schema: str):  # noqa: ANN001, ANN201
     """A UDF's JSON as a typed column."""
+    let_workers_import(SparkSession.getActiveSession())
     return F.from_json(udf(F.col(column)), schema)

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The line's mark, and the thresholds of the gate in percent.
-MARK = "librarian-measure"
+#: The line's mark where none is given.
+MARK = "attesta-measure"
+#: The thresholds of the gate in percent.
 CALLS_CHANGE, MOVED = 5.0, 10.0
 
 
-def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Valid measure lines ``MARK name=value [unit] [at=path:line]`` with name, value, unit, at, series; other lines go.
+def parse_lines(lines: DataFrame, line: str = "line", mark: str = MARK) -> DataFrame:
+    """Valid measure lines ``mark name=value [unit] [at=path:line]`` with name, value, unit, at, series; other lines go.
 
     A value must be a finite number, a name letters, digits, ``_`` and ``.``, and
     there may be one origin: a relative path without ``..`` or colon, and a line from 1.
     """
-    words = F.split(F.trim(F.regexp_extract(F.trim(line), rf"^{MARK}\s+(.*)$", 1)), r"\s+")
-    rows = lines.where(F.trim(line).rlike(rf"^{MARK}\s")).withColumn("_w", words)
+    words = F.split(F.trim(F.regexp_extract(F.trim(line), rf"^{mark}\s+(.*)$", 1)), r"\s+")
+    rows = lines.where(F.trim(line).rlike(rf"^{mark}\s")).withColumn("_w", words)
     rest = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 1, F.lit(0)))
     ats = F.filter(rest, lambda w: w.startswith("at="))
     units = F.filter(rest, lambda w: ~w.startswith("at="))

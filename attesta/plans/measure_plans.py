@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.operators import measures
 from attesta.plans.tables import HALF_RUNS, half_runs, table
 
-BETTER = F.when(F.col("series") == "purchase", "higher").when(F.col("series") == "view", "lower")
+
+def _better() -> Column:
+    return F.when(F.col("series") == "purchase", "higher").when(F.col("series") == "view", "lower")
 
 
 def _summaries(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -27,14 +29,14 @@ def measure_lines(spark: SparkSession, d: str) -> DataFrame:
     k = F.pmod("event_id", F.lit(8))
     value = F.format_string("%.4f", F.abs("value"))
     line = (
-        F.when(k == 0, F.concat(F.lit("librarian-measure a.b="), value))
-        .when(k == 1, F.concat(F.lit("  librarian-measure n_1="), value, F.lit(" ms")))
-        .when(k == 2, F.concat(F.lit("librarian-measure n="), value, F.lit(" at=src/x.py:12")))
-        .when(k == 3, F.concat(F.lit("librarian-measure n="), value, F.lit(" at=../x.py:1")))
-        .when(k == 4, F.lit("librarian-measure n=NaN"))
-        .when(k == 5, F.concat(F.lit("librarian-measure n-x="), value))
-        .when(k == 6, F.concat(F.lit("librarian-measure n="), value, F.lit(" at=a:1 at=b:2")))
-        .otherwise(F.concat(F.lit("hello librarian-measure n="), value))
+        F.when(k == 0, F.concat(F.lit("attesta-measure a.b="), value))
+        .when(k == 1, F.concat(F.lit("  attesta-measure n_1="), value, F.lit(" ms")))
+        .when(k == 2, F.concat(F.lit("attesta-measure n="), value, F.lit(" at=src/x.py:12")))
+        .when(k == 3, F.concat(F.lit("attesta-measure n="), value, F.lit(" at=../x.py:1")))
+        .when(k == 4, F.lit("attesta-measure n=NaN"))
+        .when(k == 5, F.concat(F.lit("attesta-measure n-x="), value))
+        .when(k == 6, F.concat(F.lit("attesta-measure n="), value, F.lit(" at=a:1 at=b:2")))
+        .otherwise(F.concat(F.lit("hello attesta-measure n="), value))
     )
     return measures.parse_lines(e.select("event_id", line.alias("line"))).select("event_id", "name", "value", "unit", "at", "series")
 
@@ -61,12 +63,12 @@ def output_stability(spark: SparkSession, d: str) -> DataFrame:
 
 
 def project_numbers(spark: SparkSession, d: str) -> DataFrame:
-    n = measures.project_numbers(_comparison(spark, d), BETTER)
+    n = measures.project_numbers(_comparison(spark, d), _better())
     return n.select("change", "series", "improved", measures.moved().alias("moved"))
 
 
 def worse_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return measures.worse(measures.project_numbers(_comparison(spark, d), BETTER)).select("change", "series", "improved")
+    return measures.worse(measures.project_numbers(_comparison(spark, d), _better())).select("change", "series", "improved")
 
 
 def _executions(spark: SparkSession, d: str) -> DataFrame:
@@ -77,12 +79,12 @@ def _executions(spark: SparkSession, d: str) -> DataFrame:
 def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
     c = _comparison(spark, d)
     outputs = c.select("change", F.when(F.col("series").endswith("_ms") & (F.col("change") == 5), "different").otherwise("same").alias("state"))
-    return measures.verdict(_executions(spark, d), c, outputs, measures.project_numbers(c, BETTER), ["change"])
+    return measures.verdict(_executions(spark, d), c, outputs, measures.project_numbers(c, _better()), ["change"])
 
 
 def gate_gain(spark: SparkSession, d: str) -> DataFrame:
     c = _comparison(spark, d)
-    return measures.gain(c, measures.project_numbers(c, BETTER), ["change"])
+    return measures.gain(c, measures.project_numbers(c, _better()), ["change"])
 
 
 def best_change(spark: SparkSession, d: str) -> DataFrame:

@@ -89,8 +89,8 @@ def test_search_coverage_and_tests(spark):
 
 
 def test_measure_lines(spark):
-    lines = ["librarian-measure a=1", " librarian-measure a.b=2e3 ms at=src/x.rs:4", "librarian-measure a=inf", "librarian-measure a=1 at=/x:1", "librarian-measure a=1 at=x:0", "librarian-measure a=1 at=..:3",
-             "librarian-measure =1", "librarian-measure a", "librarian-measurea=1", "librarian-measure a=1 at=x:1 at=y:1", "librarian-measure a=-.5 s extra", "", None]
+    lines = ["attesta-measure a=1", " attesta-measure a.b=2e3 ms at=src/x.rs:4", "attesta-measure a=inf", "attesta-measure a=1 at=/x:1", "attesta-measure a=1 at=x:0", "attesta-measure a=1 at=..:3",
+             "attesta-measure =1", "attesta-measure a", "attesta-measurea=1", "attesta-measure a=1 at=x:1 at=y:1", "attesta-measure a=-.5 s extra", "", None]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
     got = {r.i: (r.name, r.value, r.unit, r["at"], r.series) for r in measures.parse_lines(df).collect()}
     assert got == {0: ("a", 1.0, None, None, "a"), 1: ("a.b", 2000.0, "ms", "src/x.rs:4", "a.b@src/x.rs:4"), 10: ("a", -0.5, "s", None, "a")}
