@@ -62,7 +62,7 @@ def code_inventory(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (code_symbols, code_diagnostics, code_edges, code_calls, code_inventory)}
 ORACLE_SQL = {
     "code_diagnostics": "SELECT 'lib/broken.py' AS path, 'python_parse_error' AS code",
-    "code_symbols": """SELECT * FROM (VALUES ('run','function',false,5,13),('CACHE','variable',false,1,1),('Box','class',false,4,9),('Box.put','method',false,5,6),('Box.fit','method',false,8,9),('save','function',false,12,15),('helper','function',false,18,19),
+    "code_symbols": """SELECT * REPLACE (CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line) FROM (VALUES ('run','function',false,5,13),('CACHE','variable',false,1,1),('Box','class',false,4,9),('Box.put','method',false,5,6),('Box.fit','method',false,8,9),('save','function',false,12,15),('helper','function',false,18,19),
 ('View','struct',false,1,1),('View::lock','field',false,1,1),('impl View','impl',false,2,5),('impl View::draw','method',false,3,3),('impl View::all','method',false,4,4),('paint','function',false,6,6),('it_paints','function',true,7,8))
 AS t(qualified_name, kind, is_test, start_line, end_line)""",
 }
