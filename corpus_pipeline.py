@@ -41,7 +41,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = encode_documents(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    coded = encode_documents(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, keep_memo=False)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
