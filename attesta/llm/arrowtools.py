@@ -2,21 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
+from attesta.session import let_workers_import
+
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
     """From now on, Arrow batches of this session hold no more than ``rows`` rows and about ``size`` bytes, so that long texts don't pile up in memory."""
+    let_workers_import(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def release() -> None:
+    """Give freed memory back to the system; a Python worker outlives its task and may wait, full, beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def frees(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, followed by ``release``."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def fixed_binary(rows: np.ndarray) -> pa.Array:
     """Each row of a C-contiguous 2-d array as one binary value."""
     data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)

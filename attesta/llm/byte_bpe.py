@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from attesta.llm.arrowtools import small_batches
+from attesta.llm.arrowtools import frees, small_batches
 from attesta.llm.memo import Memo
 
 
@@ -164,7 +164,7 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(Vocabulary.read(path), pattern)
 
 
-def _parts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
+def _parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Runs of rows of about ``most`` characters, or of one row."""
     held, size, first = [], 0, 0
     for i in range(len(column)):
@@ -178,8 +178,11 @@ def _parts(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[st
         yield first, held
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with an array column ``ids`` in place of the column ``text``."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_memo: bool = True) -> DataFrame:
+    """``docs`` with an array column ``ids`` in place of the column ``text``.
+
+    With ``keep_memo``, a worker keeps its memo of chunks for its next task.
+    """
     small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text, "ids")]
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "ids array<int>"])
@@ -195,8 +198,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
                 part = table.slice(first, len(texts)).select(keep).combine_chunks()
                 yield from part.append_column("ids", ids).to_batches()
+        if not keep_memo:
+            e.memo.forget()
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, text).mapInArrow(frees(run), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import scratch
-from attesta.llm.arrowtools import small_batches
+from attesta.llm.arrowtools import frees, small_batches
 from attesta.llm.bloom import bloom_filter, may_hold
 from attesta.llm.wordhash import Block, blocks, mix
 
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[str, int, DataFrame]:
     """Model folder, number of shards, and (lang, text) of the held-out trusted documents."""
     spark = docs.sparkSession
     ids = scratch.save(_trusted_ids(labels), "trusted")
-    read = scratch.save(_trusted(docs, ids).mapInArrow(_counted, "lang string, gram long, n long, text string"), "counted")
+    read = scratch.save(_trusted(docs, ids).mapInArrow(frees(_counted), "lang string, gram long, n long, text string"), "counted")
     scratch.drop(ids)
     counts = {ORDER: scratch.save(read.where("gram is not null").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")}
     for order in range(ORDER - 1, 0, -1):
@@ -272,7 +272,7 @@ def score(docs: DataFrame, path: str, shards: int, lang_key: Column) -> DataFram
                 column = pa.array(result, mask=np.isnan(result))
                 yield from part.append_column("perplexity", column).combine_chunks().to_batches()
 
-    return docs.select(*keep, lang_key.alias("_model_lang")).mapInArrow(run, schema)
+    return docs.select(*keep, lang_key.alias("_model_lang")).mapInArrow(frees(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:

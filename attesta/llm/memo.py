@@ -23,6 +23,15 @@ def is_plain(text: str) -> bool:
     return not any(x in text for x in (_UNUSUAL_ASCII if text.isascii() else _UNUSUAL))
 
 
+def _places_of_none(values: list) -> list[int]:
+    """Where a list with few of them has None."""
+    out, at = [], -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        out.append(at)
+    return out
+
+
 class Memo:
     """Ids of texts, packed as little-endian 32-bit integers, by way of ``encode`` for chunks not at hand.
 
@@ -36,12 +45,15 @@ class Memo:
         self.whole: dict[str, bytes] = {}  # by chunk
         self.after_space: dict[str, bytes] = {}  # by what follows a chunk's leading space, or a line feed with its word
 
+    def forget(self) -> None:
+        self.whole.clear()
+        self.after_space.clear()
+
     def texts(self, texts: list[str]) -> list[bytes]:
         whole, spaced = self.whole, self.after_space
         if len(whole) + len(spaced) > self.entries:
-            whole.clear()
-            spaced.clear()
-        cut = []  # of each text: its parts, what is known of each, where it is looked up
+            self.forget()
+        cut = []  # of each text: its parts, what is known of each, the places of the others, where they are looked up
         new_whole, new_spaced = set(), set()
         for t in texts:
             if is_plain(t):
@@ -53,16 +65,16 @@ class Memo:
                 first, parts = "", CHUNK.findall(t)
                 new_whole.add(first)
                 known, of, new = list(map(whole.get, parts)), whole, new_whole
-            if None in known:
-                new.update([p for p, k in zip(parts, known) if k is None])
-            cut.append((first, parts, known, of))
+            open_ = _places_of_none(known)
+            new.update([parts[i] for i in open_])
+            cut.append((first, parts, known, open_, of))
         made = self.encode([*new_whole, *(w if w[:1] == "\n" else " " + w for w in new_spaced)])
         whole.update(zip(new_whole, made))
         spaced.update(zip(new_spaced, made[len(new_whole) :]))
         out = []
-        for first, parts, known, of in cut:
-            if None in known:
-                known = [of[p] if k is None else k for p, k in zip(parts, known)]
+        for first, parts, known, open_, of in cut:
+            for i in open_:
+                known[i] = of[parts[i]]
             out.append(b"".join([whole[first], *known]))
         for of, new in ((whole, new_whole), (spaced, new_spaced)):
             for chunk in [c for c in new if len(c) > self.longest]:

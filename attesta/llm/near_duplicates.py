@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import scratch
-from attesta.llm.arrowtools import fixed_binary, matrix, runs, small_batches
+from attesta.llm.arrowtools import fixed_binary, frees, matrix, runs, small_batches
 from attesta.llm.bloom import bloom_filter, may_hold
 from attesta.llm.components import components
 from attesta.llm.wordhash import Block, blocks, distinct_per_row, mix, span_hashes, windows, words
@@ -246,7 +246,7 @@ def _full_sets(docs: DataFrame, bloom: np.ndarray, width: int) -> DataFrame:
                 sets = [values[lo:hi].tobytes() for lo, hi in zip(bounds, bounds[1:])]
                 yield pa.RecordBatch.from_arrays([fixed_binary(digests(values, bounds)), pa.array(sets, pa.binary())], names=["cls", "shingles"])
 
-    return docs.mapInArrow(run, "cls binary, shingles binary")
+    return docs.mapInArrow(frees(run), "cls binary, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 4096) -> DataFrame:
@@ -258,11 +258,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: i
     small_batches(docs.sparkSession)
     limit, n_chunks = plan_for(percent)
     docs = docs.select("doc_id", "text")
-    described = scratch.save(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, cls binary, sig binary"), "described")
+    described = scratch.save(docs.mapInArrow(frees(_describe(width)), "doc_id long, n_shingles long, cls binary, sig binary"), "described")
     some = described.where("n_shingles > 0")
     classes = scratch.save(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
 
-    keyed = classes.select("cls", "sig").mapInArrow(_keys(n_chunks), "key long, cls binary")
+    keyed = classes.select("cls", "sig").mapInArrow(frees(_keys(n_chunks)), "key long, cls binary")
     shared = keyed.groupBy("key").agg(F.min("cls").alias("g"), F.count("*").alias("n")).where("n > 1").select("key", "g")
     pairs = keyed.join(shared, "key").select("g", "cls").distinct()
     sig = classes.select("cls", "sig")
@@ -275,13 +275,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: i
     for _ in range(2):
         grouped = grouped.join(toward, "g", "left").select(F.coalesce("to", "g").alias("g"), "cls", "sig")
     grouped = grouped.dropDuplicates(["g", "cls"])
-    partnered = _in_groups(_dealt(grouped, block).select("g", "i", "j", "cls", "sig")).mapInArrow(_with_partner(limit), "g binary, cls binary")
+    partnered = _in_groups(_dealt(grouped, block).select("g", "i", "j", "cls", "sig")).mapInArrow(frees(_with_partner(limit)), "g binary, cls binary")
     members = scratch.save(partnered.distinct(), "members")
 
     wanted = scratch.save(members.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls"), "wanted")
     sets = _full_sets(docs, bloom_filter(wanted), width).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     compared = _dealt(members, block).join(sets, "cls").select("g", "i", "j", "cls", "shingles")
-    links = scratch.save(_in_groups(compared).mapInArrow(_verify(percent), "a binary, b binary"), "links")
+    links = scratch.save(_in_groups(compared).mapInArrow(frees(_verify(percent)), "a binary, b binary"), "links")
     scratch.drop(starred, members, wanted)
 
     joined = components(links)

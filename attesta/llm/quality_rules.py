@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.arrowtools import small_batches
+from attesta.llm.arrowtools import frees, small_batches
 from attesta.llm.wordhash import Block, blocks, span_hashes, windows, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
@@ -133,7 +133,7 @@ def measure(docs: DataFrame, text: str = "text", keep_text: bool = False) -> Dat
                     part = part.append_column(m, pa.array(found[m], pa.int64()))
                 yield from part.combine_chunks().to_batches()
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(frees(run), schema)
 
 
 def with_ledger(measured: DataFrame) -> DataFrame:

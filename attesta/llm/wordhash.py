@@ -68,7 +68,7 @@ class Block:
         return len(self.bounds) - 1
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 21) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = 1 << 19) -> Iterator[Block]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
