@@ -179,3 +179,33 @@ def language_of(path: Column) -> Column:
     """By extension; what is not listed is ``auxiliary``: kept and hashed, never parsed."""
     extension = F.regexp_extract(path, r"\.([^./]+)$", 1)
     return F.when(extension == "py", "python").when(extension == "rs", "rust").otherwise("auxiliary")
+
+
+def identifier_column(line: Column, name: Column) -> Column:
+    """The character (from 1) where an identifier stands in a line as a whole word, 0 if it doesn't."""
+    return F.regexp_instr(line, F.concat(F.lit(r"(?<!\w)\Q"), name, F.lit(r"\E(?!\w)")))
+
+
+def is_annotation(line: Column) -> Column:
+    """A line of a decorator, an attribute, a comment or white space: what may stand above a declaration."""
+    return line.rlike(r"^\s*($|@|#|//|/\*|\*)")
+
+
+def modelfile_parameter(c: Column, name: str) -> Column:
+    """A parameter's value in a model file's text; null if it isn't set."""
+    return F.nullif(F.regexp_extract(c, rf"(?mi)^PARAMETER[ \t]+{name}[ \t]+(.+?)[ \t]*$", 1), F.lit(""))
+
+
+def modelfile_system(c: Column) -> Column:
+    """The system text of a model file, with or without triple quotes; null if there is none."""
+    quoted = F.regexp_extract(c, r'(?si)(?:^|\n)SYSTEM[ \t]+"""(.*?)"""', 1)
+    plain = F.regexp_extract(c, r"(?mi)^SYSTEM[ \t]+(.+?)[ \t]*$", 1)
+    return F.coalesce(F.nullif(quoted, F.lit("")), F.when(~c.rlike(r'(?mi)^SYSTEM[ \t]+"""'), F.nullif(plain, F.lit(""))))
+
+
+def with_system(c: Column, system: Column) -> Column:
+    """A model file's text with another system text, which is added where there is none."""
+    new = F.concat(F.lit('SYSTEM """'), system, F.lit('"""'))
+    around = F.split(c, r'(?si)(?<![^\n])SYSTEM[ \t]+(?:""".*?"""|[^\n]*)', 2)
+    added = F.concat(F.regexp_replace(c, r"\n*$", "\n"), new, F.lit("\n"))
+    return F.when(F.size(around) == 2, F.concat(around[0], new, F.get(around, F.lit(1)))).otherwise(added)

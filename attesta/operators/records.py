@@ -90,6 +90,16 @@ def promotion_gates(claims: DataFrame, checks: DataFrame, links: DataFrame, note
     return j.select("id", "kind", mechanical.alias("mechanical"), link.alias("link"), note.alias("note"), (mechanical & link & note).alias("promoted"))
 
 
+def measure_states(commands: DataFrame, approved: DataFrame, runs: DataFrame) -> DataFrame:
+    """(name, state) of commands (name, sha256): not_approved, not_run, stale (only runs of another hash), failed, available."""
+    a = approved.select("name", "sha256", F.lit(True).alias("_a")).distinct()
+    r = runs.groupBy("name").agg(F.max("succeeded").alias("_any"))
+    same = runs.groupBy("name", "sha256").agg(F.max("succeeded").alias("_ok"))
+    j = commands.join(a, ["name", "sha256"], "left").join(r, "name", "left").join(same, ["name", "sha256"], "left")
+    state = F.when(F.col("_a").isNull(), "not_approved").when(F.col("_any").isNull(), "not_run").when(F.col("_ok").isNull(), "stale").when(F.col("_ok") == 0, "failed").otherwise("available")
+    return j.select("name", state.alias("state"))
+
+
 # -- comparison of record sets ---------------------------------------------------------------
 
 

@@ -158,3 +158,17 @@ def test_partition_and_diff(spark):
     assert {(r.id, r.issue) for r in issues.collect()} == {(2, "several"), (4, "absent")}
     p = lambda *r: spark.createDataFrame(list(r), "path string, sha string")
     assert {r.path: r.state for r in records.changed(p(("a", "1"), ("b", "2"), ("c", "3")), p(("a", "1"), ("b", "9"), ("d", "4")), "path", "sha").collect()} == {"a": "same", "b": "changed", "c": "unavailable", "d": "added"}
+
+
+def test_measure_states_and_lacunas(spark):
+    t = lambda cols, *rows: spark.createDataFrame(list(rows), cols)
+    commands = t("name string, sha256 string", ("a", "1"), ("b", "1"), ("c", "1"), ("d", "1"), ("e", "1"))
+    approved = t("name string, sha256 string", ("a", "1"), ("b", "1"), ("c", "1"), ("d", "1"), ("e", "0"))
+    runs = t("name string, sha256 string, succeeded int", ("a", "1", 2), ("b", "0", 2), ("d", "1", 0))
+    got = {r.name: r.state for r in records.measure_states(commands, approved, runs).collect()}
+    assert got == {"a": "available", "b": "stale", "c": "not_run", "d": "failed", "e": "not_approved"}
+    symbols = t("id string, name string, qualified_name string, kind string", ("1", "Box", "Box", "class"), ("2", "put", "Box::put", "method"), ("3", "put", "Bag::put", "trait_method"), ("4", "f", "f", "function"))
+    names = t("ordinal int, name string", (1, "Box"), (2, "Box::put"), (3, "put"), (4, "zzz"))
+    found = [(r.ordinal, r.symbol_id, r.how) for r in search.lacuna_targets(names, symbols, 10).orderBy("ordinal").collect()]
+    assert sorted(found) == [(1, "1", "type"), (2, "2", "exact"), (3, "2", "method"), (3, "3", "method")]
+    assert search.lacuna_targets(names, symbols, 2).count() == 2

@@ -92,3 +92,13 @@ def test_paths(spark):
     assert [r[1] for r in rows] == [True, False, False, False, False, False, False, False, True, True]
     assert [rows[i][2] for i in (0, 8, 9)] == ["python", "rust", "auxiliary"]
     assert re.fullmatch("over_context|truncated", one(spark, T.input_suspicion(F.lit(4000), F.lit(100), F.lit(1000))))
+
+
+def test_identifiers_and_model_files(spark):
+    got = [one(spark, T.identifier_column(F.lit("fn fab(fa: A) {}"), F.lit(n))) for n in ("fa", "fab", "fn", "z")]
+    assert got == [8, 4, 1, 0]
+    file = 'FROM x\nPARAMETER num_ctx 8192\nSYSTEM """a\n$1 b"""\n'
+    assert one(spark, T.modelfile_parameter(F.lit(file), "num_ctx")) == "8192" and one(spark, T.modelfile_parameter(F.lit(file), "seed")) is None
+    assert one(spark, T.modelfile_system(F.lit(file))) == "a\n$1 b" and one(spark, T.modelfile_system(F.lit("SYSTEM hi\n"))) == "hi"
+    assert one(spark, T.with_system(F.lit(file), F.lit("new $2 \\ c"))) == 'FROM x\nPARAMETER num_ctx 8192\nSYSTEM """new $2 \\ c"""\n'
+    assert one(spark, T.with_system(F.lit("FROM x"), F.lit("s"))) == 'FROM x\nSYSTEM """s"""\n'
