@@ -137,10 +137,11 @@ def _near(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 def _dealt(members: DataFrame, block: int) -> DataFrame:
     """Adds the tasks (i, j) that a member of group g takes part in: one for a group of up to ``block``, else each pair of blocks with its own."""
-    sizes = members.groupBy("g").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / block).cast("int")
+    # Few groups are that large, so this join's other side is small and no group meets in one task for it.
+    sizes = members.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    with_own = members.join(sizes, "g").withColumn("parts", parts).withColumn("own", own)
+    with_own = members.join(sizes, "g", "left").withColumn("parts", parts).withColumn("own", own)
     each = with_own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "parts", "own", "other")
 
