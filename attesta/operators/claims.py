@@ -120,14 +120,36 @@ def unique_run(quotes: DataFrame, evidence_lines: DataFrame) -> DataFrame:
 
 
 def compared_answers(claims: DataFrame) -> DataFrame:
-    """Each distinct content (kind, normalised text) against each answer (answer_id): equal where the answer has it, partial where it has a claim on overlapping lines of the same path, else absent; contents most shared come first."""
-    content = F.sha2(F.concat_ws("\n", "kind", F.lower(T.collapse(F.col("text")))), 256)
-    c = claims.withColumn("content", content)
-    contents = c.groupBy("content").agg(F.count_distinct("answer_id").alias("shared"), F.min(F.struct("answer_id", "path", "start_line", "end_line")).alias("_first"))
-    contents = contents.select("content", "shared", F.col("_first.path").alias("path"), F.col("_first.start_line").alias("s"), F.col("_first.end_line").alias("e"))
-    equal = c.select("content", "answer_id", F.lit(2).alias("level"))
-    near = contents.select("content", "path", "s", "e").join(c.select("answer_id", F.col("path").alias("_p"), "start_line", "end_line"), (F.col("path") == F.col("_p")) & (F.col("start_line") <= F.col("e")) & (F.col("s") <= F.col("end_line")))
-    found = equal.unionByName(near.select("content", "answer_id", F.lit(1).alias("level"))).groupBy("content", "answer_id").agg(F.max("level").alias("level"))
+    """Each distinct content against each answer: content, answer_id, shared (the number of answers that have it) and state.
+
+    ``claims`` has a row for each cited range (answer_id, kind, path, start_line,
+    end_line; all null for a claim that cites nothing).  Rows of one answer and
+    ``claim_id`` are one claim; without that column each row is a claim.  Content
+    is the kind, the ``symbol`` (where there is such a column) and the sorted
+    distinct ranges, not the wording.  The state is equal where the answer has
+    the content, partial where it has a claim on the same symbol of which some
+    range overlaps one of the content's, or with the same ranges and another
+    kind, else absent.
+    """
+    symbol = F.col("symbol").cast("string") if "symbol" in claims.columns else F.lit(None).cast("string")
+    one = F.struct("path", "start_line", "end_line")
+    ranges = F.sort_array(F.collect_set(F.when(F.col("path").isNotNull(), one)))
+    rows = claims.withColumn("symbol", symbol)
+    if "claim_id" in claims.columns:
+        c = rows.groupBy("answer_id", "claim_id", "kind", "symbol").agg(ranges.alias("ranges"))
+    else:
+        c = rows.select("answer_id", "kind", "symbol", F.array_compact(F.array(F.when(F.col("path").isNotNull(), one))).alias("ranges"))
+    c = c.withColumn("content", F.sha2(F.to_json(F.struct("kind", "symbol", "ranges")), 256))
+    contents = c.groupBy("content").agg(F.count_distinct("answer_id").alias("shared"), F.first("kind").alias("kind"), F.first("symbol").alias("symbol"), F.first("ranges").alias("ranges"))
+    has = c.select("answer_id", "content").distinct()
+    equal = has.select("content", "answer_id", F.lit(2).alias("level"))
+    each = contents.select("content", "symbol", F.explode("ranges").alias("r")).select("content", "symbol", "r.*")
+    other = each.join(has, "content").select("answer_id", F.col("symbol").alias("_y"), F.col("path").alias("_p"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e")).distinct()
+    near = each.join(other, F.col("symbol").eqNullSafe(F.col("_y")) & (F.col("path") == F.col("_p")) & (F.col("start_line") <= F.col("_e")) & (F.col("_s") <= F.col("end_line")))
+    kinds = contents.join(has, "content").select("answer_id", F.col("kind").alias("_k"), F.col("symbol").alias("_y"), F.col("ranges").alias("_r"))
+    turned = contents.select("content", "kind", "symbol", "ranges").join(kinds, F.col("symbol").eqNullSafe(F.col("_y")) & (F.col("ranges") == F.col("_r")) & ~F.col("kind").eqNullSafe(F.col("_k")))
+    partial = near.select("content", "answer_id").unionByName(turned.select("content", "answer_id")).withColumn("level", F.lit(1))
+    found = equal.unionByName(partial).groupBy("content", "answer_id").agg(F.max("level").alias("level"))
     answers = c.select("answer_id").distinct().agg(F.collect_set("answer_id").alias("all"))  # the answers of one question are few
     grid = contents.select("content", "shared").join(answers).select("content", "shared", F.explode("all").alias("answer_id"))
     state = F.when(F.col("level") == 2, "equal").when(F.col("level") == 1, "partial").otherwise("absent")

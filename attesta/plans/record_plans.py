@@ -205,8 +205,11 @@ def unique_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answer_compare(spark: SparkSession, d: str) -> DataFrame:
+    """Every turn as a claim of its role that cites each line of its whole text, at its place."""
     c = table(spark, d, "conversations")
-    rows = c.where("turn < 4").select((F.col("conv_id") % 6).alias("answer_id"), F.col("role").alias("kind"), F.substring("text", 1, 3).alias("text"), F.concat(F.lit("p"), F.col("turn")).alias("path"), (F.col("conv_id") % 50).alias("start_line"), (F.col("conv_id") % 50 + 3).alias("end_line"))
+    lines = c.select("conv_id", "turn", "role", F.posexplode_outer(T.split_lines(F.col("text"))).alias("n", "line"))
+    at = F.when(F.col("line").isNotNull(), F.col("n") + 1).cast("long")
+    rows = lines.select((F.col("conv_id") % 6).alias("answer_id"), F.concat_ws("-", "conv_id", "turn").alias("claim_id"), F.col("role").alias("kind"), T.sha256_hex(F.col("line")).alias("path"), at.alias("start_line"), at.alias("end_line"))
     return claims.compared_answers(rows).groupBy("state", "shared").agg(F.count("*").alias("n"), F.count_distinct("content").alias("contents"))
 
 
