@@ -67,3 +67,10 @@ def test_answer_compare_of_all_turns_and_texts(spark):
             want[state, len(has)] = n + 1, ids | {c}
     got = {(r.state, r.shared): (r.n, r.contents) for r in queries.QUERIES["answer_compare"](spark, HERE).collect()}
     assert got == {k: (n, len(ids)) for k, (n, ids) in want.items()}
+
+
+@tables
+def test_resolve_cascade_resolves_every_line(spark):
+    got = compare(spark, "resolve_cascade", (" WHERE l_orderkey % 5 = 0", ""))
+    lines = pd.read_parquet(f"{HERE}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_partkey"]).drop_duplicates()
+    assert got.occ_id.nunique() == len(lines)
