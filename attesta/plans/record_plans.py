@@ -102,7 +102,7 @@ def copy_check(spark: SparkSession, d: str) -> DataFrame:
 def partition_issues(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     parts = {"included": c.where("id % 4 = 0"), "removed": c.where("id % 4 = 1"), "left_out": c.where("id % 8 = 0"), "not_joined": c.where("id % 4 = 2")}
-    return records.partition_issues(parts, "id", c.where("id < 500"))
+    return records.partition_issues(parts, "id", c)
 
 
 def repeated_ids(spark: SparkSession, d: str) -> DataFrame:

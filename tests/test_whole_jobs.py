@@ -74,3 +74,14 @@ def test_resolve_cascade_resolves_every_line(spark):
     got = compare(spark, "resolve_cascade", (" WHERE l_orderkey % 5 = 0", ""))
     lines = pd.read_parquet(f"{HERE}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_partkey"]).drop_duplicates()
     assert got.occ_id.nunique() == len(lines)
+
+
+@tables
+def test_call_reach_starts_at_every_part(spark):
+    compare(spark, "call_reach", (" WHERE p_partkey <= 211", ""), ("WHERE a % 20 = 0 ", ""))
+
+
+def test_partition_issues_expects_every_customer(spark, tmp_path):
+    spark.range(1, 1001).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r.id, r.issue) for r in queries.QUERIES["partition_issues"](spark, str(tmp_path)).collect()}
+    assert got == {(i, "several") for i in range(8, 1001, 8)} | {(i, "absent") for i in range(3, 1001, 4)}
