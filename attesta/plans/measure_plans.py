@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.functions import text as T
 from attesta.operators import measures
 from attesta.plans.tables import HALF_RUNS, half_runs, table
 
@@ -101,7 +102,7 @@ def vanished_counters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tampering(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), F.array(F.substring("text", 1, 40)).alias("added"), F.array(F.substring("text", 20, 40)).alias("removed"))
+    c = table(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id").alias("path"), T.split_lines(F.col("text")).alias("added"), T.split_lines(F.col("text")).alias("removed"))
     return measures.tampering(c, spark.sql("SELECT 'src1' AS prefix"), "anst")
 
 

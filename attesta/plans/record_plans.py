@@ -180,7 +180,7 @@ def citation_issues(spark: SparkSession, d: str) -> DataFrame:
 def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, d, "documents")
     kind = F.element_at(F.array(*map(F.lit, [*claims.KINDS, "OTHER"])), (F.col("doc_id") % 5 + 1).cast("int"))
-    c = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 9).alias("answer_id"), kind.alias("kind"), F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.substring("text", 1, 20)).alias("text"),
+    c = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 9).alias("answer_id"), kind.alias("kind"), F.when(F.col("doc_id") % 13 == 0, " ").otherwise(F.col("text")).alias("text"),
                     F.when(F.col("doc_id") % 3 == 0, F.array(F.col("doc_id") - 1)).otherwise(F.array().cast("array<bigint>")).alias("premises"), F.when(F.col("doc_id") % 4 == 2, "run it").alias("verification_plan"))
     cites = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("claim_id"), F.lit("e").alias("evidence_id"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"))
     return c.withColumn("premises", F.col("premises").cast("array<string>")).withColumn("id", F.col("id").cast("string")), cites.withColumn("claim_id", F.col("claim_id").cast("string"))

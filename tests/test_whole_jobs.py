@@ -85,3 +85,16 @@ def test_partition_issues_expects_every_customer(spark, tmp_path):
     spark.range(1, 1001).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     got = {(r.id, r.issue) for r in queries.QUERIES["partition_issues"](spark, str(tmp_path)).collect()}
     assert got == {(i, "several") for i in range(8, 1001, 8)} | {(i, "absent") for i in range(3, 1001, 4)}
+
+
+@tables
+def test_tampering_reads_whole_texts(spark):
+    compare(spark, "tampering", ("substr(text, 1, 40)", "text"), ("substr(text, 20, 40)", "text"))
+
+
+def test_claims_have_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, " " * 20 + "said late"), (2, " " * 30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.claim_id for r in queries.QUERIES["claim_issues"](spark, str(tmp_path)).where("code = 'empty_text'").collect()}
+    assert got == {"2"}
+    codes = {r.answer_id: r.codes.split(",") for r in queries.QUERIES["answer_outcome"](spark, str(tmp_path)).collect()}
+    assert "empty_text" not in codes[1] and "empty_text" in codes[2]
