@@ -21,7 +21,7 @@ def innermost_container(spark: SparkSession, d: str) -> DataFrame:
 
 def container_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = order_spans(spark, d)
-    return intervals.containers(s.where("end - start <= 5"), _wide(s), "key").groupBy("id").agg(F.count("*").alias("n"))
+    return intervals.containers(s, _wide(s), "key").groupBy("id").agg(F.count("*").alias("n"))
 
 
 def outside_tests(spark: SparkSession, d: str) -> DataFrame:
@@ -34,11 +34,11 @@ def loop_membership(spark: SparkSession, d: str) -> DataFrame:
     """Spans inside a wide one but not inside its first five days."""
     s = order_spans(spark, d)
     loops = _wide(s).withColumn("iter_start", F.col("start")).withColumn("iter_end", F.col("start") + 5)
-    return intervals.loop_members(s.where("end - start <= 3"), loops, "key").select("id", "outer_id")
+    return intervals.loop_members(s, loops, "key").select("id", "outer_id")
 
 
 def span_nesting(spark: SparkSession, d: str) -> DataFrame:
-    s = order_spans(spark, d).where("end - start >= 30")
+    s = order_spans(spark, d)
     return intervals.nesting(s, "key", "id").select("id", "depth", "inner")
 
 

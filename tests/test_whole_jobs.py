@@ -98,3 +98,10 @@ def test_claims_have_whole_texts(spark, tmp_path):
     assert got == {"2"}
     codes = {r.answer_id: r.codes.split(",") for r in queries.QUERIES["answer_outcome"](spark, str(tmp_path)).collect()}
     assert "empty_text" not in codes[1] and "empty_text" in codes[2]
+
+
+@tables
+def test_spans_of_every_length(spark):
+    compare(spark, "container_pairs", (' WHERE i."end" - i.start <= 5', ""))
+    compare(spark, "loop_membership", ('i."end" - i.start <= 3 AND ', ""))
+    compare(spark, "span_nesting", (' WHERE "end" - start >= 30', ""))
