@@ -28,9 +28,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of least doc_id."""
-    left_out = near_duplicates(docs, percent=80, width=5).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: the one of least doc_id (nulls last), then of least text digest.
+
+    Rows are told apart by a number of their own, as doc_ids may repeat or be null.
+    """
+    rows = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80, width=5)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2("text", 256).alias("digest"), "_row")
+    each = rows.select("_row", place.alias("place")).join(found.select(F.col("doc_id").alias("_row"), "component_id"), "_row")
+    first = each.groupBy("component_id").agg(F.min("place").alias("place")).select("place._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

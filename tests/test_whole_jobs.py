@@ -105,3 +105,15 @@ def test_spans_of_every_length(spark):
     compare(spark, "container_pairs", (' WHERE i."end" - i.start <= 5', ""))
     compare(spark, "loop_membership", ('i."end" - i.start <= 3 AND ', ""))
     compare(spark, "span_nesting", (' WHERE "end" - start >= 30', ""))
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    from corpus_pipeline import near_duplicate_removal
+
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two", "three"))
+    rows = [(1, a), (1, a), (None, a), (7, b), (7, c), (2, b), (None, c), (None, "alone " + c[::-1]), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_duplicate_removal(spark, docs, "").collect() if r.doc_id is not None)
+    kept = near_duplicate_removal(spark, docs, "").collect()
+    assert got == sorted([(1, a), (2, b), (7, c), (9, "")])
+    assert [r.text for r in kept if r.doc_id is None] == ["alone " + c[::-1]]
