@@ -151,7 +151,7 @@ def compared_answers(claims: DataFrame) -> DataFrame:
     partial = near.select("content", "answer_id").unionByName(turned.select("content", "answer_id")).withColumn("level", F.lit(1))
     found = equal.unionByName(partial).groupBy("content", "answer_id").agg(F.max("level").alias("level"))
     answers = c.select("answer_id").distinct().agg(F.collect_set("answer_id").alias("all"))  # the answers of one question are few
-    grid = contents.select("content", "shared").join(answers).select("content", "shared", F.explode("all").alias("answer_id"))
+    grid = contents.select("content", "shared").withColumn("all", answers.scalar()).select("content", "shared", F.explode("all").alias("answer_id"))
     state = F.when(F.col("level") == 2, "equal").when(F.col("level") == 1, "partial").otherwise("absent")
     return grid.join(found, ["content", "answer_id"], "left").select("content", "answer_id", "shared", state.alias("state"))
 

@@ -2,8 +2,8 @@
 
 A walk is a loop over layers (their number is bounded by an argument); each
 layer is one join of the frontier with the edges and an anti-join with what has
-been seen.  ``checkpoint()`` cuts the plan after each layer where a checkpoint
-folder is set.  Limits on nodes are applied in a total order that is stated.
+been seen.  The edges and each layer are stored in the shared folder, so none is
+computed twice.  Limits on nodes are applied in a total order that is stated.
 """
 
 from __future__ import annotations
@@ -11,16 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.storage import drop, save
+
 #: Limits of the walks.
 NEIGHBORHOOD_DEPTH, NEIGHBORHOOD_NODES, NEIGHBORHOOD_EDGES, LABEL_BYTES = 3, 128, 256, 256
 WALK_DEPTH, WALK_NODES, CHAIN_CALLS, CANDIDATE_CAP, REEXPORT_HOPS = 6, 300, 6, 8, 3
 SETTLED = ("unique", "import", "receiver", "type", "trait_default")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def edge_id(*fields: str) -> Column:
     """The identity of an edge: a hash of every other field."""
     return F.concat(F.lit("edge:"), F.sha2(F.to_json(F.struct(*fields)), 256))
@@ -80,18 +78,9 @@ def neighborhood(edges: DataFrame, nodes: DataFrame, seed: DataFrame, depth: int
 
     Over ``max_nodes``, nodes of smaller layer and then of smaller id stay.
     """
-    both = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).union(edges.select("to", "from")).distinct()
-    leaves = nodes.where("kind = 'source'").select("id")
-    found = seed.select("id", F.lit(0).alias("layer"))
-    frontier = found
-    for layer in range(1, depth + 1):
-        walked = frontier.join(leaves, "id", "left_anti")
-        step = walked.join(both, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        frontier = _cut(step.join(found, "id", "left_anti").withColumn("layer", F.lit(layer)))
-        found = found.unionByName(frontier)
-    if max_nodes is not None:
-        found = found.orderBy("layer", "id").limit(max_nodes)
-    return found
+    both = edges.select(F.col("from").alias("a"), F.col("to").alias("b")).union(edges.select("to", "from"))
+    leaves = nodes.where("kind = 'source'").select(F.col("id").alias("a"))
+    return _layers(both.join(leaves, "a", "left_anti"), seed, depth, max_nodes)
 
 
 def used_by(edges: DataFrame, seed: DataFrame, depth: int = 2, max_nodes: int | None = WALK_NODES) -> DataFrame:
@@ -120,23 +109,26 @@ def calls_from(resolved: DataFrame, seed: DataFrame, depth: int = 2, max_nodes:
 
 
 def _layers(steps: DataFrame, seed: DataFrame, depth: int, max_nodes: int | None) -> DataFrame:
-    found = seed.select("id", F.lit(0).alias("layer"))
-    frontier = found
+    stored = save(steps.select("a", "b").distinct(), "steps")
+    found = frontier = save(seed.select("id", F.lit(0).alias("layer")).distinct(), "layer")
     for layer in range(1, depth + 1):
-        step = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
-        frontier = _cut(step.join(found, "id", "left_anti").withColumn("layer", F.lit(layer)))
+        step = frontier.join(stored, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
+        frontier = save(step.join(found, "id", "left_anti").withColumn("layer", F.lit(layer)), "layer")
         found = found.unionByName(frontier)
+    drop(stored)
     return found if max_nodes is None else found.orderBy("layer", "id").limit(max_nodes)
 
 
 def reach(entries: DataFrame, steps: DataFrame, calls: int = CHAIN_CALLS) -> DataFrame:
     """Chains of up to ``calls`` steps from each entry (entry, a, b), none through a node twice: entry, node, length, path."""
     chains = entries.select("entry", F.col("b").alias("node"), F.lit(1).alias("length"), F.array("a", "b").alias("path"))
-    every = chains
+    chains = every = save(chains, "chains")
+    stored = save(steps.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct(), "steps")
     for _ in range(1, calls):
-        more = chains.join(steps.select(F.col("a").alias("node"), F.col("b").alias("next")).distinct(), "node").where(~F.array_contains("path", F.col("next")))
-        chains = _cut(more.select("entry", F.col("next").alias("node"), (F.col("length") + 1).alias("length"), F.array_append("path", F.col("next")).alias("path")))
+        more = chains.join(stored, "node").where(~F.array_contains("path", F.col("next")))
+        chains = save(more.select("entry", F.col("next").alias("node"), (F.col("length") + 1).alias("length"), F.array_append("path", F.col("next")).alias("path")), "chains")
         every = every.unionByName(chains)
+    drop(stored)
     return every
 
 

@@ -1,9 +1,9 @@
 """Joins and algebra of half-open spans [start, end) within a key.
 
-Range predicates always come with an equality on the key, so they run as hash
-or sort-merge joins with a residual.  For keys with very many spans,
-``containers`` also joins on buckets of the outer span's size class and place,
-which keeps the work near the number of true pairs.
+Pairs come from a join on the key and on buckets of the outer span's size class
+and place (``containers``), which keeps the work near the number of true pairs.
+Questions that one outer span per inner one answers (is it in any, which of
+disjoint ones holds it) take one sort of both and a running maximum.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ def containers(inner: DataFrame, outer: DataFrame, key: str, start: str = "start
     """Pairs of an inner span and an outer one of the same key that contains it; the outer's columns are prefixed ``outer_``.
 
     An inner span looks in one bucket for each power-of-two size that an outer
-    span has (64 at most, read first), so a file of n nested spans costs n times
-    the number of sizes, not n squared.
+    span has (64 at most, a subquery of the plan), so a file of n nested spans
+    costs n times the number of sizes, not n squared.
     """
     o = _with_levels(outer, start, end)
-    sizes = sorted(r[0] for r in o.select("_level").where("_level is not null").distinct().collect())
-    i = inner.withColumn("_level", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")))
+    sizes = o.select("_level").where("_level is not null").distinct().agg(F.collect_list("_level"))
+    i = inner.withColumn("_levels", sizes.scalar()).withColumn("_level", F.explode("_levels")).drop("_levels")
     i = i.withColumn("_first", F.col(start).cast("long")).withColumn("_bucket", F.expr("shiftright(_first, _level)")).drop("_first")
     renamed = o.select(*(F.col(c).alias(f"outer_{c}") for c in outer.columns), F.col("_level").alias("_l"), F.col("_bucket").alias("_b"))
     on = (F.col(key) == F.col(f"outer_{key}")) & (F.col("_level") == F.col("_l")) & (F.col("_bucket") == F.col("_b"))
@@ -38,6 +38,17 @@ def containers(inner: DataFrame, outer: DataFrame, key: str, start: str = "start
     return i.join(renamed, on).where(inside).drop("_level", "_bucket", "_l", "_b")
 
 
+def _last_begun(rows: DataFrame, spans: DataFrame, key: str, at: str, start: str, value: Column) -> DataFrame:
+    """``rows`` with ``_last``: the greatest ``value`` of the spans of their key that begin at or before ``at``; one sort, no join."""
+    null = F.lit(None).cast(spans.select(value.alias("v")).schema["v"].dataType)
+    own = rows.select(F.col(key).alias("_k"), F.col(at).cast("long").alias("_at"), F.lit(1).alias("_late"), null.alias("_v"), F.struct(*rows.columns).alias("_row"))
+    nothing = F.lit(None).cast(own.schema["_row"].dataType)
+    begun = spans.select(F.col(key).alias("_k"), F.col(start).cast("long").alias("_at"), F.lit(0).alias("_late"), value.alias("_v"), nothing.alias("_row"))
+    upto = Window.partitionBy("_k").orderBy("_at", "_late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = own.unionByName(begun).withColumn("_last", F.max("_v").over(upto)).where("_late = 1")
+    return marked.select("_row.*", "_last")
+
+
 def innermost(inner: DataFrame, outer: DataFrame, key: str, inner_id: str, outer_id: str, start: str = "start", end: str = "end") -> DataFrame:
     """Each inner span with the smallest outer span that contains it and isn't itself; ties go to the lesser outer id.  Spans in none are left out."""
     pairs = containers(inner, outer, key, start, end).where(~F.col(inner_id).eqNullSafe(F.col(f"outer_{outer_id}")))
@@ -47,9 +58,10 @@ def innermost(inner: DataFrame, outer: DataFrame, key: str, inner_id: str, outer
 
 
 def outside_all(inner: DataFrame, outer: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Inner spans that no outer span of their key contains."""
-    o = outer.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    return inner.join(o, (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col(start)) & (F.col(end) <= F.col("_e")), "left_anti")
+    """Inner spans that no outer span of their key contains: none that begins no later ends no earlier.  A null key or bound is in no span."""
+    known = outer.where(F.col(key).isNotNull() & F.col(start).isNotNull())
+    marked = _last_begun(inner, known, key, start, start, F.col(end))
+    return marked.where(F.coalesce(F.col("_last") < F.col(end), F.lit(True))).drop("_last")
 
 
 def loop_members(occurrences: DataFrame, loops: DataFrame, key: str) -> DataFrame:
@@ -86,10 +98,8 @@ def context_ranges(facts: DataFrame, sources: DataFrame, radius: int, key: str =
 
 def covers(parts: DataFrame, windows: DataFrame, key: str) -> DataFrame:
     """``windows`` with covered: whether the union of ``parts`` (inclusive lines) holds the whole window."""
-    union = merged(parts, key, touch=1)
-    u = union.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    found = windows.join(u, (F.col(key) == F.col("_k")) & (F.col("_s") <= F.col("start")) & (F.col("end") <= F.col("_e")), "left")
-    return found.withColumn("covered", F.col("_k").isNotNull()).drop("_k", "_s", "_e")
+    found = _last_begun(windows, merged(parts, key, touch=1), key, "start", "start", F.col("end"))
+    return found.withColumn("covered", F.coalesce(F.col("_last") >= F.col("end"), F.lit(False))).drop("_last")
 
 
 def overlapping(edits: DataFrame, key: str) -> DataFrame:
@@ -100,17 +110,19 @@ def overlapping(edits: DataFrame, key: str) -> DataFrame:
 
 def holder(points: DataFrame, symbols: DataFrame, path: str, line: str, symbol_id: str) -> DataFrame:
     """Each (path, line) with the innermost symbol whose lines hold it."""
-    s = symbols.select(F.col(path).alias("_p"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), F.col(symbol_id).alias("holder"))
-    pairs = points.join(s, (F.col(path) == F.col("_p")) & F.col(line).between(F.col("_s"), F.col("_e")))
-    best = Window.partitionBy(*points.columns).orderBy(F.col("_e") - F.col("_s"), "holder")
-    return pairs.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank", "_p", "_s", "_e")
+    s = symbols.select(F.col(path), F.col("start_line").alias("_s"), (F.col("end_line") + 1).alias("_e"), F.col(symbol_id).alias("holder"))
+    p = points.withColumn("_s", F.col(line)).withColumn("_e", F.col(line) + 1)
+    pairs = containers(p, s, path, "_s", "_e")
+    best = Window.partitionBy(*points.columns).orderBy(F.col("outer__e") - F.col("outer__s"), "outer_holder")
+    first = pairs.withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
+    return first.select(*points.columns, F.col("outer_holder").alias("holder"))
 
 
 def shared_blocks(selections: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
     """Selections with the number of the merged range that holds their first line: one block for all that share it."""
     r = ranges.withColumn("block", F.row_number().over(Window.partitionBy(key).orderBy("start")))
-    r = r.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), "block")
-    return selections.join(r, (F.col(key) == F.col("_k")) & F.col("line").between(F.col("_s"), F.col("_e")), "left").drop("_k", "_s", "_e")
+    found = _last_begun(selections, r, key, "line", "start", F.struct("start", "end", "block"))
+    return found.withColumn("block", F.when(F.col("line") <= F.col("_last.end"), F.col("_last.block"))).drop("_last")
 
 
 def by_bytes(content: Column, start: Column, end: Column) -> Column:

@@ -134,8 +134,10 @@ def vanished_counters(before: DataFrame, after: DataFrame, kept_functions: DataF
 
 def tampering(changed: DataFrame, protected: DataFrame, statement: str) -> DataFrame:
     """Issues of changed lines (path, added, removed arrays): protected_path, statement_removed, statement_added."""
-    p = protected.select("prefix")
-    hit = changed.join(p, F.col("path").startswith(F.col("prefix")), "left_semi").select("path", F.lit("protected_path").alias("issue"))
+    p = protected.select("prefix").where("prefix is not null").distinct()
+    sizes = p.select(F.length("prefix").alias("n")).distinct().agg(F.collect_list("n"))  # the lengths of prefixes are few
+    starts = changed.select("path").withColumn("_n", sizes.scalar()).select("path", F.explode("_n").alias("_n")).select("path", F.substring(F.col("path"), F.lit(1), F.col("_n")).alias("prefix"))
+    hit = starts.join(p, "prefix", "left_semi").select("path").distinct().select("path", F.lit("protected_path").alias("issue"))
     has = lambda c: F.exists(c, lambda x: x.contains(statement))
     removed = changed.where(has("removed")).select("path", F.lit("statement_removed").alias("issue"))
     added = changed.where(has("added")).select("path", F.lit("statement_added").alias("issue"))

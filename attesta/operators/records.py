@@ -106,9 +106,10 @@ def measure_states(commands: DataFrame, approved: DataFrame, runs: DataFrame) ->
 def same_rows(a: DataFrame, b: DataFrame, ignoring: list[str] | None = None) -> DataFrame:
     """One row: missing (in a, not b), extra (in b, not a) and equal, counting repeated rows."""
     a, b = a.drop(*(ignoring or [])), b.drop(*(ignoring or []))
-    missing = a.exceptAll(b.select(*a.columns)).agg(F.count("*").alias("missing"))
-    extra = b.select(*a.columns).exceptAll(a).agg(F.count("*").alias("extra"))
-    both = missing.join(extra)
+    signed = a.withColumn("_s", F.lit(1)).unionByName(b.select(*a.columns).withColumn("_s", F.lit(-1)))
+    balance = signed.groupBy(*a.columns).agg(F.sum("_s").alias("_s"))
+    part = lambda sign: F.coalesce(F.sum(F.greatest(F.col("_s") * sign, F.lit(0))), F.lit(0)).cast("long")
+    both = balance.agg(part(1).alias("missing"), part(-1).alias("extra"))
     return both.withColumn("equal", (F.col("missing") == 0) & (F.col("extra") == 0))
 
 

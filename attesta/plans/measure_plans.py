@@ -202,7 +202,7 @@ SELECT c.o_custkey, CASE WHEN c.n > 1 OR b.n IS NULL OR b.n > 1 THEN 'unstable'
 SELECT g, change, gain, CASE WHEN NOT passed THEN 'refused' WHEN row_number() OVER (PARTITION BY g, passed ORDER BY gain DESC, change) = 1 THEN 'best' ELSE 'passed_smaller' END AS label FROM j""",
     "vanished_counters": """SELECT s_suppkey AS series, s_nationkey AS function, CASE WHEN n_regionkey = 2 THEN 'with_function' WHEN s_suppkey % 2 = 0 THEN 'deleted' ELSE 'stopped' END AS fate
 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 3 = 0""",
-    "tampering": """WITH c AS (SELECT source || '/' || doc_id AS path, substr(text, 1, 40) AS a, substr(text, 20, 40) AS r FROM documents)
+    "tampering": """WITH c AS (SELECT source || '/' || doc_id AS path, text AS a, text AS r FROM documents)
 SELECT path, 'protected_path' AS issue FROM c WHERE path LIKE 'src1%' UNION ALL SELECT path, 'statement_removed' FROM c WHERE contains(r, 'anst') UNION ALL SELECT path, 'statement_added' FROM c WHERE contains(a, 'anst')""",
     "function_counts": "SELECT l_partkey AS symbol, max(l_quantity) AS calls FROM lineitem GROUP BY 1",
     "coverage_states": f"WITH {_COV} SELECT state, zero, reason, count(*) AS n FROM cov GROUP BY ALL",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import graph, intervals, resolve
 from attesta.plans.tables import ORDER_SPANS, SUPPLY_EDGES, order_spans, supply_edges, table
+from attesta.storage import save
 
 
 def _wide(spans: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def name_candidates_capped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_identity(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.distinct_edges(supply_edges(spark, d).where("kind = 'places'"))
+    e = graph.distinct_edges(supply_edges(spark, d))
     return e.select("from", "to", graph.edge_id("from", "to", "kind").alias("id"))
 
 
@@ -139,10 +140,10 @@ def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem")
     calls = l.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("occ_id"), F.col("l_orderkey").alias("caller"), "l_partkey").distinct()
     offers = table(spark, d, "lineitem").select("l_partkey", F.col("l_suppkey").alias("sym_id")).distinct()
-    candidates = calls.join(offers, "l_partkey").select("occ_id", "sym_id")
+    candidates = save(calls.join(offers, "l_partkey").select("occ_id", "caller", "sym_id"), "candidates")
     supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sym_id"), "s_nationkey")
     home = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("caller"), "c_nationkey")
-    same = candidates.join(calls, "occ_id").join(home, "caller").join(supplier, "sym_id").where("c_nationkey = s_nationkey")
+    same = candidates.join(home, "caller").join(supplier, "sym_id").where("c_nationkey = s_nationkey")
     one = same.withColumn("n", F.count("*").over(Window.partitionBy("occ_id"))).where("n = 1").select("occ_id", F.col("sym_id").alias("target"))
     rules = {"unique": resolve.unique_links(candidates), "type": one, "homonym": candidates.where("sym_id % 2 = 0").select("occ_id", F.col("sym_id").alias("target"))}
     return resolve.cascade(calls, rules, above=candidates.where("sym_id % 3 = 0").select("occ_id")).select("occ_id", "how", "target")
@@ -173,10 +174,10 @@ f AS (SELECT id, CAST(min(layer) AS BIGINT) AS layer FROM w GROUP BY id)"""
 ORACLE_SQL = {
     "innermost_container": f"""WITH {ORDER_SPANS}, p AS (SELECT i.id, o.id AS outer_id, row_number() OVER (PARTITION BY i.id ORDER BY o."end" - o.start, o.id) AS r
   FROM spans i JOIN spans o ON {_IN} AND o."end" - o.start >= 40 AND i.id <> o.id) SELECT id, outer_id FROM p WHERE r = 1""",
-    "container_pairs": f"""WITH {ORDER_SPANS} SELECT i.id, count(*) AS n FROM spans i JOIN spans o ON {_IN} AND o."end" - o.start >= 40 WHERE i."end" - i.start <= 5 GROUP BY 1""",
+    "container_pairs": f"""WITH {ORDER_SPANS} SELECT i.id, count(*) AS n FROM spans i JOIN spans o ON {_IN} AND o."end" - o.start >= 40 GROUP BY 1""",
     "outside_tests": f"""WITH {ORDER_SPANS} SELECT key, count(*) AS n FROM spans i WHERE NOT EXISTS (SELECT 1 FROM spans o WHERE {_IN} AND o.part % 10 = 0) GROUP BY 1""",
-    "loop_membership": f"""WITH {ORDER_SPANS} SELECT i.id, o.id AS outer_id FROM spans i JOIN spans o ON {_IN} AND o."end" - o.start >= 40 WHERE i."end" - i.start <= 3 AND NOT (o.start <= i.start AND i."end" <= o.start + 5)""",
-    "span_nesting": f"""WITH {ORDER_SPANS}, s AS (SELECT * FROM spans WHERE "end" - start >= 30), p AS (SELECT i.id AS i, o.id AS o FROM s i JOIN s o ON {_IN} AND i.id <> o.id)
+    "loop_membership": f"""WITH {ORDER_SPANS} SELECT i.id, o.id AS outer_id FROM spans i JOIN spans o ON {_IN} AND o."end" - o.start >= 40 WHERE NOT (o.start <= i.start AND i."end" <= o.start + 5)""",
+    "span_nesting": f"""WITH {ORDER_SPANS}, s AS (SELECT * FROM spans), p AS (SELECT i.id AS i, o.id AS o FROM s i JOIN s o ON {_IN} AND i.id <> o.id)
 SELECT id, coalesce((SELECT count(*) FROM p WHERE p.i = s.id), 0) AS depth, coalesce((SELECT count(*) FROM p WHERE p.o = s.id), 0) AS inner FROM s""",
     "merge_ranges": f"WITH {ORDER_SPANS}, {_ISLANDS.format('spans', 0)} SELECT * FROM u",
     "context_windows": f"""WITH f AS (SELECT conv_id AS key, turn * 5 + 1 AS line, max(turn * 5 + 1) OVER (PARTITION BY conv_id) + 2 AS n FROM conversations),
@@ -193,20 +194,20 @@ j AS (SELECT o.occ_id, s.id, s.top AND s.src = o.src AS loc FROM o JOIN s ON o.c
 k AS (SELECT occ_id, id FROM j WHERE loc OR NOT EXISTS (SELECT 1 FROM j x WHERE x.occ_id = j.occ_id AND x.loc)),
 n AS (SELECT occ_id, count(*) AS n, min(id) AS least FROM k GROUP BY 1)
 SELECT occ_id, CASE WHEN n <= 8 THEN n END AS n_candidates, CASE WHEN n <= 8 THEN least END AS least, CASE WHEN n > 8 THEN n END AS ambiguous FROM n""",
-    "edge_identity": """SELECT DISTINCT 'c' || o_custkey AS "from", 'o' || o_orderkey AS "to", 'edge:' || sha256('{"from":"c' || o_custkey || '","to":"o' || o_orderkey || '","kind":"places"}') AS id FROM orders""",
+    "edge_identity": f"""WITH {SUPPLY_EDGES} SELECT a AS "from", b AS "to", 'edge:' || sha256('{{"from":"' || a || '","to":"' || b || '","kind":"' || kind || '"}}') AS id FROM edges""",
     "neighborhood_bfs": f"WITH RECURSIVE {SUPPLY_EDGES}, {_BFS} SELECT id, layer FROM f",
     "neighborhood_capped": f"WITH RECURSIVE {SUPPLY_EDGES}, {_BFS} SELECT id, layer FROM f ORDER BY layer, id LIMIT 128",
     "used_by_layers": """WITH RECURSIVE uses AS (SELECT DISTINCT 'p' || l_partkey AS used, 'p' || (l_partkey - l_suppkey) AS usr FROM lineitem),
 w AS (SELECT 'p77' AS id, 0 AS layer UNION SELECT usr, layer + 1 FROM w JOIN uses ON used = id WHERE layer < 2) SELECT id, CAST(min(layer) AS BIGINT) AS layer FROM w GROUP BY 1""",
-    "call_reach": """WITH RECURSIVE s AS (SELECT p_partkey AS a, p_partkey * 2 % 211 + p_size % 3 AS b FROM part WHERE p_partkey <= 211),
-c AS (SELECT a AS entry, b AS node, 1 AS n, [a, b] AS path FROM s WHERE a % 20 = 0 UNION ALL SELECT entry, s.b, n + 1, list_append(path, s.b) FROM c JOIN s ON s.a = c.node WHERE n < 4 AND NOT list_contains(path, s.b))
+    "call_reach": """WITH RECURSIVE s AS (SELECT p_partkey AS a, p_partkey * 2 % 211 + p_size % 3 AS b FROM part),
+c AS (SELECT a AS entry, b AS node, 1 AS n, [a, b] AS path FROM s UNION ALL SELECT entry, s.b, n + 1, list_append(path, s.b) FROM c JOIN s ON s.a = c.node WHERE n < 4 AND NOT list_contains(path, s.b))
 SELECT entry, node, CAST(min(n) AS BIGINT) AS length FROM c GROUP BY 1, 2""",
     "reexport_follow": """WITH RECURSIVE e1 AS (SELECT n_regionkey AS m, n_name AS n, (n_regionkey + 1) % 5 AS tm, n_name AS tn FROM nation WHERE n_nationkey % 2 = 0),
 e AS (SELECT * FROM e1 UNION ALL SELECT (m + 1) % 5, n, (m + 2) % 5, n || '_' FROM e1),
 w AS (SELECT n_regionkey AS module, n_name AS name, n_regionkey AS at_module, n_name AS at_name, 0 AS hops FROM nation
   UNION ALL SELECT module, name, tm, tn, hops + 1 FROM w JOIN e ON e.m = at_module AND e.n = at_name WHERE hops < 3)
 SELECT module, name, arg_max(at_module, hops) AS at_module, arg_max(at_name, hops) AS at_name, CAST(max(hops) AS BIGINT) AS hops FROM w GROUP BY 1, 2""",
-    "resolve_cascade": """WITH calls AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS occ_id, l_orderkey AS caller, l_partkey FROM lineitem WHERE l_orderkey % 5 = 0),
+    "resolve_cascade": """WITH calls AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS occ_id, l_orderkey AS caller, l_partkey FROM lineitem),
 cand AS (SELECT DISTINCT occ_id, caller, o.s FROM calls JOIN (SELECT DISTINCT l_partkey, l_suppkey AS s FROM lineitem) o USING (l_partkey)),
 r AS (SELECT occ_id, s AS target, 1 AS rank FROM (SELECT *, count(*) OVER (PARTITION BY occ_id) AS n FROM cand) WHERE n = 1
   UNION ALL SELECT occ_id, s, 4 FROM (SELECT c.occ_id, c.s, count(*) OVER (PARTITION BY c.occ_id) AS n FROM cand c JOIN orders ON o_orderkey = caller JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = s WHERE c_nationkey = s_nationkey) WHERE n = 1

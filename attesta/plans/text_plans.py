@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text as T
 from attesta.operators import records, search
 from attesta.plans.tables import STOPS, duck_tokens, table
+from attesta.storage import save
 
 QUESTION = "Where is the entry of anst and thtion with onen"
 LEXICON = [("g1", "anst"), ("g1", "enst"), ("g2", "thtion"), ("g2", "ention")]
@@ -47,14 +48,16 @@ def _lexicon(spark: SparkSession) -> DataFrame:
 
 def lexical_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    index = search.postings(docs, "doc_id", {"scope": "source", "code": "text"})
-    return search.scored(index, search.query_groups(_question(spark), _lexicon(spark))).select("doc_id", "matched", "score")
+    groups = search.query_groups(_question(spark), _lexicon(spark))
+    index = search.postings(docs, "doc_id", {"scope": "source", "code": "text"}, groups)
+    return search.scored(index, groups).select("doc_id", "matched", "score")
 
 
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    index = search.postings(docs, "doc_id", {"scope": "source", "code": "text"})
-    scores = search.scored(index, search.query_groups(_question(spark), _lexicon(spark)))
+    groups = search.query_groups(_question(spark), _lexicon(spark))
+    index = search.postings(docs, "doc_id", {"scope": "source", "code": "text"}, groups)
+    scores = search.scored(index, groups)
     sizes = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
     return search.ranked(scores, sizes, 10).select(F.col("rank").cast("long").alias("rank"), "doc_id", "matched", "score")
 
@@ -62,9 +65,10 @@ def lexical_search(spark: SparkSession, d: str) -> DataFrame:
 def search_status(spark: SparkSession, d: str) -> DataFrame:
     """Every first turn as a question against the texts of all documents."""
     c = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("question_id"), F.col("text").alias("question"))
-    index = search.postings(table(spark, d, "documents"), "doc_id", {"name": "text"})
     none = spark.sql("SELECT 'x' AS `group`, 'y' AS token WHERE 1 = 0")
-    hits = search.scored(index, search.query_groups(c, none))
+    groups = save(search.query_groups(c, none), "groups")
+    index = search.postings(table(spark, d, "documents"), "doc_id", {"name": "text"}, groups)
+    hits = search.scored(index, groups)
     return search.status(c, hits, 10, 3)
 
 
@@ -119,7 +123,7 @@ def project_digest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def url_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Path safety and language of each page's path, and a question's intent by conversation."""
+    """Path safety, language and last segment of each page's path."""
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]*/", ""), r"\?.*$", "")
     return table(spark, d, "pages").select("page_id", T.path_is_safe(path).alias("safe"), T.language_of(path).alias("language"), T.last_segment(path).alias("last"))
 
@@ -164,7 +168,7 @@ SELECT rank, doc_id, matched, score FROM r WHERE rank <= 10""",
 g AS (SELECT DISTINCT question_id, unnest({duck_tokens("question")}) AS token FROM q),
 gg AS (SELECT * FROM g WHERE token NOT IN {STOPS}),
 n AS (SELECT question_id, count(*) AS n FROM gg GROUP BY 1),
-idx AS (SELECT DISTINCT doc_id, unnest({duck_tokens("text")}) AS token FROM documents WHERE doc_id % 10 = 3),
+idx AS (SELECT DISTINCT doc_id, unnest({duck_tokens("text")}) AS token FROM documents),
 hit AS (SELECT gg.question_id, doc_id, count(*) AS m FROM gg JOIN idx USING (token) GROUP BY 1, 2),
 ok AS (SELECT DISTINCT hit.question_id FROM hit JOIN n USING (question_id) WHERE m * 5 >= n.n * 3)
 SELECT q.question_id, CASE WHEN trim(question) = '' OR octet_length(encode(question)) > 8192 THEN 'rejected' WHEN ok.question_id IS NOT NULL THEN 'candidates' ELSE 'no_lexical_evidence' END AS status

