@@ -41,6 +41,18 @@ def frees(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return wrapped
 
 
+def text_runs(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of about ``most`` bytes of text, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    ends = np.cumsum(sizes, dtype=np.int64)
+    first = 0
+    while first < len(sizes):
+        before = ends[first] - sizes[first]
+        last = max(int(np.searchsorted(ends, before + most, "right")), first + 1)
+        yield first, last - first
+        first = last
+
+
 def fixed_binary(rows: np.ndarray) -> pa.Array:
     """Each row of a C-contiguous 2-d array as one binary value."""
     data = np.ascontiguousarray(rows).view(np.uint8).reshape(len(rows), -1)

@@ -27,8 +27,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from attesta.llm.arrowtools import frees, small_batches
-from attesta.llm.memo import Memo
+from attesta.llm.arrowtools import frees, small_batches, text_runs
+from attesta.llm.memo import ONE_WORD, PATTERN, Memo
 
 
 class Vocabulary:
@@ -128,7 +128,8 @@ class PrefixTable:
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str) -> None:
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        self.memo = Memo(self._chunks)
+        #: Chunks are independent under the vocabularies' own pattern; for another one, texts are encoded in whole.
+        self.memo = Memo(self._new) if pattern == PATTERN else None
 
     def _pieces(self, pieces: list[bytes]) -> dict[bytes, list[int]]:
         """Ids of each piece; in sorted order, each starts from the table of the prefix that it shares with the one before."""
@@ -149,13 +150,25 @@ class Encoder:
             out[piece] = table.ids()
         return out
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = [[p.encode() for p in self.pattern.findall(c)] for c in chunks]
+    def _chunks(self, chunks: pa.Array, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, end to end, and their numbers; ``words`` says which are one piece."""
+        cut = [[c.encode()] if w else [p.encode() for p in self.pattern.findall(c)] for c, w in zip(chunks.to_pylist(), words.tolist())]
         ids = self._pieces({p for c in cut for p in c})
-        return [array("I", [i for p in c for i in ids[p]]).tobytes() for c in cut]
+        flat = array("I", [i for c in cut for p in c for i in ids[p]])
+        return np.frombuffer(flat, np.uint32), np.fromiter((sum(len(ids[p]) for p in c) for c in cut), np.int64, len(cut))
+
+    def _new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._chunks(chunks, pc.match_substring_regex(chunks, ONE_WORD).to_numpy(zero_copy_only=False))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and the number of ids before each text and after the last."""
+        if self.memo is not None:
+            return self.memo.texts(texts)
+        ids, n = self._chunks(pc.fill_null(texts, ""), np.zeros(len(texts), bool))
+        return ids, np.cumsum([0, *n])
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.memo.texts([text])[0], "<u4").tolist()
+        return self.texts(pa.array([text], pa.string()))[0].tolist()
 
 
 @lru_cache(4)
@@ -164,20 +177,6 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(Vocabulary.read(path), pattern)
 
 
-def _parts(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of rows of about ``most`` characters, or of one row."""
-    held, size, first = [], 0, 0
-    for i in range(len(column)):
-        text = column[i].as_py() or ""
-        if held and size + len(text) > most:
-            yield first, held
-            held, size, first = [], 0, i
-        held.append(text)
-        size += len(text)
-    if held:
-        yield first, held
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_memo: bool = True) -> DataFrame:
     """``docs`` with an array column ``ids`` in place of the column ``text``.
 
@@ -191,14 +190,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         e = encoder(path, pattern)
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for first, texts in _parts(table.column(text)):
-                packed = e.memo.texts(texts)
-                offsets = np.zeros(len(packed) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in packed], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
-                part = table.slice(first, len(texts)).select(keep).combine_chunks()
+            for first, n in text_runs(table.column(text)):
+                flat, bounds = e.texts(table.column(text).slice(first, n))
+                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int32)))
+                part = table.slice(first, n).select(keep).combine_chunks()
                 yield from part.append_column("ids", ids).to_batches()
-        if not keep_memo:
+        if not keep_memo and e.memo is not None:
             e.memo.forget()
 
     return docs.select(*keep, text).mapInArrow(frees(run), schema)

@@ -40,8 +40,8 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     indexed = token_files.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     columns = ["doc_id", "file", "offset", "length", "n_tokens", "id_bytes", "start"]
-    sequences = token_files.read(token_files.starts(indexed).select(*columns), folder)
-    return token_files.with_crc32(sequences.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), "ids"))
+    sequences = token_files.read(token_files.starts(indexed).select(*columns), folder, packed=True)
+    return sequences.select("doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
