@@ -22,9 +22,6 @@ NO_LETTER = np.ones(256, dtype=bool)
 NO_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-_BYTE = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -37,24 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = _Powers()
-
-
 @dataclass
 class Block:
     """Whole rows ``first`` to ``first + n_rows`` of a column: their bytes and each row's bounds."""
@@ -123,13 +102,30 @@ def words(block: Block, outside: np.ndarray = _SPACE) -> Words:
 
 
 def hasher(block: Block, lower: bool = False) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function from bounds of byte spans to their 64-bit hashes, equal for equal bytes wherever they stand."""
+    """A function from bounds of byte spans to their 64-bit hashes, equal for equal bytes wherever they stand.
+
+    Eight bytes at a time are scrambled together with their place in the span;
+    the sum of these, with the length, is scrambled again.
+    """
     n = len(block.data)
-    up, down = _POWERS.upto(n + 1)
-    table = _BYTE[_LOWER] if lower else _BYTE
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(table[block.data] * up[:n], out=prefix[1:])
-    return lambda start, end: mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[block.data] if lower else block.data
+    eights = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+
+    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        count = (size + 7) >> 3
+        upto = np.cumsum(count)
+        place = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - count, count)
+        part = eights[np.repeat(start, count) + 8 * place]
+        left = np.repeat(size, count) - 8 * place
+        last = np.flatnonzero(left < 8)
+        part[last] &= (np.uint64(1) << (8 * left[last]).astype(np.uint64)) - np.uint64(1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(mix(part ^ mix((place.astype(np.uint64) + np.uint64(1)) * _STEP)), out=total[1:])
+        return mix(total[upto] - total[upto - count] + size.astype(np.uint64) * _STEP)
+
+    return of
 
 
 def span_hashes(block: Block, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
