@@ -93,7 +93,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds ``turns``, parsed from ``formatted``, and ``loss_text``: what the loss covers, unescaped, joined."""
+    """Adds ``turns``, parsed from ``formatted``, and ``loss_text``: what ``loss_spans`` cut out of ``formatted`` for the loss, unescaped, joined."""
     parsed = formatted.withColumn("turns", parse(F.col("formatted")))
-    trained = F.zip_with("turns", "loss_spans", lambda t, s: F.when(s["trained"], t["text"]).otherwise(F.lit("")))
-    return parsed.withColumn("loss_text", F.array_join(trained, ""))
+    cut = lambda s: F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+    own = F.transform(F.filter("loss_spans", lambda s: s["trained"]), lambda s: F.when(s["escaped"], _unescape(cut(s))).otherwise(cut(s)))
+    return parsed.withColumn("loss_text", F.array_join(own, ""))
