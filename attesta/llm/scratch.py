@@ -1,51 +1,7 @@
-"""Intermediate tables in the folder that all executors share.
-
-The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-(tests, notebooks) a local one is made.  A table cuts lineage like a
-checkpoint, is computed once and is stored compressed, and a lost executor
-costs no more than the tasks it was running.
-"""
+"""Intermediate tables in the folder that all executors share; see ``attesta.storage``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: list[str] = []
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder, without a trailing slash."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="attesta-shared-"))
-        base = _OWN[0]
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{folder(spark)}/attesta/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to a fresh table and return the table."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    saved = spark.read.schema(df.schema).parquet(path)
-    saved._attesta_path = path
-    return saved
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables made by ``save`` that nothing lazy reads any more."""
-    for t in tables:
-        delete(t.sparkSession, t._attesta_path)
-
+from attesta.storage import delete, drop, folder, new_path, save
 
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["delete", "drop", "folder", "new_path", "save"]

@@ -10,12 +10,15 @@ will be worth on new text.  An L1 penalty sets the weights of words that don't
 matter to zero, so long texts gather no noise.
 
 The models are fitted in one task on a bounded sample of the labelled rows:
-``sample_rows`` of least hash of doc_id.  Scoring reads every whole text.  A
+``sample_rows`` of least hash of doc_id, of which those that come first as long
+as they have no more than ``sample_places`` distinct places together (4 bytes
+each, so the task's memory is bounded too).  Scoring reads every whole text.  A
 category's threshold is the one of best F1 out of fold.
 
 Defined results: a null or empty text has no words and the probabilities of the
 intercepts; labels that are null don't take part, of several labels of a
-document the largest counts; a category without both classes in the sample has
+document the largest counts, of several texts with one doc_id the one of least
+hash is trained on; a category without both classes in the sample has
 probability 0 and is never assigned; repeated rows are scored alike; further
 columns are ignored; an empty table gives an empty result.
 """
@@ -27,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.llm import scratch
 from attesta.llm.arrowtools import small_batches
 from attesta.llm.bloom import bloom_filter, may_hold
 from attesta.llm.wordhash import NO_LETTER, Block, blocks, distinct_per_row, hasher, mix, words
@@ -183,7 +187,7 @@ def _places(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return (np.column_stack(kinds) % np.uint64(PLACES)).astype(np.int64).ravel(), w.bounds * len(kinds)
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows: int = 6_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows: int = 6_000, sample_places: int = 30_000_000) -> dict:
     """Fit the chain on a sample of ``labels`` (doc_id and a 0/1 column a category)."""
     each = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(F.col(c).cast("double")).alias(c) for c in categories))
     sample = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -196,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows
                 place, bounds = _places(b)
                 flat, bounds = distinct_per_row(place, bounds)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([own.column(0).slice(b.first, b.n_rows), lists], names=["doc_id", "places"])
+                text = hasher(b)(b.bounds[:-1], b.bounds[1:]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([own.column(0).slice(b.first, b.n_rows), pa.array(text), lists], names=["doc_id", "h", "places"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -210,9 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows
             chain = fit_chain(places.flatten().to_numpy().astype(np.int64), (offsets - offsets[0]).astype(np.int64), y, fold)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
 
-    read = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(features, "doc_id long, places array<int>")
-    rows = read.join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "places", *categories)
-    found = rows.repartition(1).mapInArrow(fit, "chain binary").collect()
+    read = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(features, "doc_id long, h long, places array<int>")
+    first = read.groupBy("doc_id").agg(F.min_by("places", "h").alias("places"))
+    rows = scratch.save(first.join(sample, "doc_id").select("doc_id", "places", *categories), "sample")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # of sample_rows rows at most
+    upto = rows.select("doc_id", F.sum(F.size("places").cast("long")).over(order).alias("upto"))
+    used = rows.join(upto.where(F.col("upto") <= sample_places), "doc_id", "left_semi")
+    found = used.repartition(1).mapInArrow(fit, "chain binary").collect()
+    scratch.drop(rows)
     return pickle.loads(found[0].chain) if found else {"models": [None] * len(categories)}
 
 
