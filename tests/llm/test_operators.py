@@ -187,22 +187,45 @@ def test_token_files(spark):
     from attesta.llm import scratch, token_files
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    texts = ODD + ["<|endoftext|> x", "a  b\n\nc \n d", "it's 12 'quoted'\ttabs\xa0x"]
-    docs = table(spark, texts).repartition(3)
-    folder = scratch.new_path(spark, "t")
-    index = token_files.starts(token_files.write(docs, folder, path, 2, partitions=4))
-    got = token_files.with_crc32(token_files.read(index, folder).select("doc_id", "start", "n_tokens", "ids")).orderBy("doc_id").collect()
-    at = 0
-    for r, t in zip(got, texts):
-        ids = library.encode(t or "", add_special_tokens=False).ids + [2]
-        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
+    texts = ODD + ["<|endoftext|> x", "a  <|endoftext|>b c", "a  b\n\nc \n d", "it's 12 'quoted'\ttabs\xa0x"]
+    docs = table(spark, texts).withColumn("file", F.lit(1)).withColumn("part", F.lit("p")).repartition(3)
+    for plain in (False, True):
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = plain
+        folder = scratch.new_path(spark, "t")
+        index = token_files.starts(token_files.write(docs, folder, path, 2, partitions=4, plain_specials=plain))
+        whole = token_files.read(index, folder).select("doc_id", "ids").orderBy("doc_id").collect()
+        packed = token_files.read(index, folder, packed=True)
+        got = packed.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")).orderBy("doc_id").collect()
+        at = 0
+        for r, w, t in zip(got, whole, texts):
+            ids = library.encode(t or "", add_special_tokens=False).ids + [2]
+            assert w.ids == ids
+            assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
     empty = scratch.new_path(spark, "t")
     assert token_files.write(docs.limit(0), empty, path, 2).count() == 0
 
 
+def test_token_files_repeated_rows_and_wide_ids(spark):
+    from attesta.llm import scratch, token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = odd(spark).unionByName(table(spark, ["another text", "a third one"], 7).withColumn("doc_id", F.lit(7).cast("long")))
+    folder = scratch.new_path(spark, "t")
+    index = token_files.starts(token_files.write(docs.repartition(5), folder, path, 70000, partitions=3))
+    rows = token_files.read(index, folder).orderBy("start").collect()
+    assert len(rows) == docs.count() and {r.id_bytes for r in rows} == {4} and all(r.ids[-1] == 70000 for r in rows)
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
+    at = 0
+    for r in rows:
+        assert r.start == at and r.n_tokens == len(r.ids)
+        at += len(r.ids)
+    with pytest.raises(ValueError, match="fit"):
+        token_files.write(docs, folder + "-2", path, 70000, id_bytes=2)
+
+
 def test_frames_detect_damage(tmp_path):
     from attesta.llm.token_files import frame, unframe
 
@@ -305,13 +328,27 @@ def test_byte_bpe_equals_tiktoken(spark):
     assert decode_documents(encode_documents(docs.limit(0), *args), *args).count() == 0
 
 
-def test_memo_forgets(spark):
+def test_memo_forgets():
     from attesta.llm.memo import Memo
 
-    m = Memo(lambda chunks: [c.encode() for c in chunks], entries=5, longest=3)
-    for t in ["a b c d e f g h", "longword b", "", " ", "\n", "a\nb", "x  y", "é ü"] * 3:
-        assert b"".join(m.texts([t])).decode() == t
-    assert all(len(k) <= 3 for k in [*m.whole, *m.after_space])
+    def as_bytes(chunks):
+        data = [c.encode() for c in chunks.to_pylist()]
+        return np.frombuffer(b"".join(data), np.uint8).astype(np.uint32), np.array([len(d) for d in data], np.int64)
+
+    texts = ["a b c d e f g h", "longword b", "", " ", "\n", "a\nb", "x  y", "é ü", None, "end. of, it!", "\n.", "a\n"]
+    m = Memo(as_bytes, entries=5, longest=3)
+    for some in [texts[i : i + n] for n in (1, 3, 12) for i in range(len(texts))] * 2:
+        ids, bounds = m.texts(pa.array(some, pa.string()))
+        assert [bytes(ids[a:b].astype(np.uint8)).decode() for a, b in zip(bounds, bounds[1:])] == [t or "" for t in some]
+        assert len(m.keys) <= 5 and all(len(k) <= 3 for k in m.keys.to_pylist())
+
+
+def test_memo_is_for_one_pattern():
+    from attesta.llm.byte_bpe import encoder
+
+    e = encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"[^a]+|a")
+    assert e.memo is None
+    assert b"".join(e.vocabulary.bytes_of[i] for i in e.encode("the \tcat, a b")) == b"the \tcat, a b"
 
 
 # -- op7 -------------------------------------------------------------------------------------
@@ -335,6 +372,10 @@ def test_chat_round_trip(spark):
             assert (piece.replace("&lt;", "<").replace("&amp;", "&") if s.escaped else piece) == (x[3] or "")
             assert s.trained == (x[2] == "assistant")
     assert format_conversations(df.limit(0)).count() == 0
+    # The loss text is what the spans say, not what was parsed.
+    off = format_conversations(df.where("conv_id = 1")).withColumn("loss_spans", F.transform("loss_spans", lambda s: s.withField("end", s["start"] + 1)))
+    only = read_back(off).collect()[0]
+    assert only.loss_text == "".join(only.formatted[s.start] for s in only.loss_spans if s.trained)
 
 
 # -- op8 -------------------------------------------------------------------------------------
@@ -354,6 +395,19 @@ def brute_measures(t):
     return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), dup, len(covered)
 
 
+def test_word_hashes_tell_apart_what_polynomials_do_not():
+    from attesta.llm.wordhash import Block, hasher
+
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    words = [thue[:1024], thue[:1024].translate(str.maketrans("ab", "ba")), "a", "b", "ab", "abcdefgh", "abcdefgh" * 2, "abcdefghi", "", "x" * 5000, "x" * 5001]
+    data = np.frombuffer("".join(words).encode() * 2, np.uint8)
+    ends = np.cumsum([len(w) for w in words] * 2)
+    h = hasher(Block(0, data, np.array([0, len(data)])))(ends - [len(w) for w in words] * 2, ends)
+    assert (h[: len(words)] == h[len(words) :]).all() and len(set(h.tolist())) == len(words)
+
+
 def test_quality_rules_measures(spark):
     from attesta.llm.quality_rules import ablations, apply_policy, measure, with_ledger
 
@@ -402,6 +456,57 @@ def test_toxicity_held_out(spark):
     assert toxicity(odd(spark), labels.limit(0), ["toxic"]).count() == odd(spark).count()
 
 
+def test_toxicity_against_brute_force(spark):
+    """The chain's probabilities from a plain loop over words, and its out-of-fold inputs."""
+    from attesta.llm import toxicity as tx
+    from attesta.llm.wordhash import Block, hasher
+
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice("abcdEfg") for _ in range(rng.randint(2, 9))) for _ in range(120)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(5, 40))) for _ in range(400)]
+    labels = [(i, int("a" in t.split()[0].lower()), int(len(t) % 3 == 0 or vocabulary[0] in t.split())) for i, t in enumerate(texts)]
+    docs = table(spark, texts + [None, "", "a-b 12 é"])
+    docs = docs.unionByName(docs.where("doc_id = 1").withColumn("text", F.lit("quite another text")))
+    marks = spark.createDataFrame(labels, "doc_id long, one int, two int")
+    chain = tx.train(docs, marks, ["one", "two"])
+    assert str(tx.train(docs.repartition(7), marks, ["one", "two"])) == str(chain)
+
+    def place(word, k):
+        data = np.frombuffer(word, np.uint8)
+        return int((hasher(Block(0, data, np.array([0, len(data)])), lower=True)(np.array([0]), np.array([len(data)]))[0] + np.uint64(k)) % np.uint64(tx.PLACES))
+
+    for r in tx.score(docs, chain, ["one", "two"]).collect():
+        if r.doc_id == 1:
+            continue
+        text = (texts + [None, "", "a-b 12 é"])[r.doc_id] or ""
+        places = set()
+        for w in re.findall(rb"[A-Za-z\x80-\xff]+", text.encode()):
+            places |= {place(w, 0), *(place(w[:k], k) for k in tx.PREFIXES)}
+        got = []
+        for m in chain["models"]:
+            weights = dict(zip(m["places"].tolist(), m["weights"].tolist()))
+            z = sum(weights.get(p, 0.0) for p in places) + m["dense"][0] + sum(a * b for a, b in zip(got, m["dense"][1:]))
+            got.append(1 / (1 + np.exp(-z)))
+        assert (r.p_one, r.p_two) == pytest.approx(tuple(got)) and r.is_two == (got[1] > chain["models"][1]["threshold"])
+
+
+def test_toxicity_weights_minimise_the_penalised_loss():
+    """Against plain subgradient conditions on a small dense problem."""
+    from attesta.llm import toxicity as tx
+
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 12)) < 0.4
+    y = (x[:, 0] & ~x[:, 3]).astype(float)
+    flat, bounds = np.flatnonzero(x.ravel()) % 12, np.concatenate([[0], np.cumsum(x.sum(1))])
+    rows = tx.Rows(flat, bounds, least=1)
+    dense = np.ones((300, 1))
+    w, b = tx._descend(rows, dense, y, np.ones(300, bool), 0.02, 4000)
+    scaled = x[:, rows.places] * rows.scale
+    gradient = scaled.T @ (tx._sigmoid(scaled @ w + b[0]) - y) / 300
+    assert np.abs(gradient[w == 0]).max(initial=0) <= 0.02 + 1e-4
+    assert np.allclose(gradient[w != 0], -0.02 * np.sign(w[w != 0]), atol=1e-4)
+
+
 # -- op10 ------------------------------------------------------------------------------------
 
 
@@ -493,3 +598,15 @@ def test_pipeline_stages(spark, tmp_path):
     last = cp.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert len(last) == now.count() and all(r.n_tokens == len(r.ids) > 0 for r in last)
     assert sorted((r.doc_id, r.n_tokens) for r in cp.run(spark, str(tmp_path)).collect()) == sorted((r.doc_id, r.n_tokens) for r in last)
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    from corpus_pipeline import near_duplicate_removal
+
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two", "three"))
+    rows = [(1, a), (1, a), (None, a), (7, b), (7, c), (2, b), (None, c), (None, "alone " + c[::-1]), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_duplicate_removal(spark, docs, "").collect() if r.doc_id is not None)
+    kept = near_duplicate_removal(spark, docs, "").collect()
+    assert got == sorted([(1, a), (2, b), (7, c), (9, "")])
+    assert [r.text for r in kept if r.doc_id is None] == ["alone " + c[::-1]]
