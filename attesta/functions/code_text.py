@@ -6,10 +6,9 @@ import json
 import re
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from attesta.session import let_workers_import
 
@@ -189,25 +188,59 @@ def json_groups(text: str | None) -> list[list[str]]:
         return [json.loads(m) for m in re.findall(r'\[\s*"(?:[^"\\]|\\.)*"(?:\s*,\s*"(?:[^"\\]|\\.)*")*\s*\]', text or "")]
 
 
-def _udf(f: Callable):  # noqa: ANN202
-    def batch(s: pd.Series) -> pd.Series:
-        return s.map(f, na_action=None)
-
-    batch.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(batch, StringType())
-
-
-call_parts_udf = _udf(lambda t: json.dumps(p) if (p := call_parts(t)) else None)
-arguments_udf = _udf(lambda t: json.dumps(arguments(t)))
-parse_patch_udf = _udf(lambda t: json.dumps(parse_patch(t)))
-json_leaves_udf = _udf(lambda t: json.dumps(json_leaves(t), ensure_ascii=False))
 PARTS = "struct<receiver:string,name:string>"
 ARGUMENTS = "array<struct<name:string,value:string>>"
 HUNKS = "array<struct<path:string,old_start:int,old_lines:array<string>,new_start:int,new_lines:array<string>,ok:boolean>>"
+CHANGES = "array<struct<path:string,removed:array<int>,added:array<string>>>"
 LEAVES = "array<struct<path:string,kind:string,value:string>>"
 
 
-def parsed(udf, column: str, schema: str):  # noqa: ANN001, ANN201
-    """A UDF's JSON as a typed column."""
+def _applied(f: Callable, column: Column | str, schema: str, kind: pa.DataType) -> Column:
+    """``f`` of each value of a column as an Arrow UDF: values come and go as Arrow arrays, nested ones too."""
+    let_workers_import(SparkSession.getActiveSession())
+
+    def batch(s: pa.Array) -> pa.Array:
+        return pa.array([f(t) for t in s.to_pylist()], kind)
+
+    return F.arrow_udf(batch, schema)(F.col(column) if isinstance(column, str) else column)
+
+
+_TEXT, _PART = pa.string(), pa.struct([("receiver", pa.string()), ("name", pa.string())])
+_ARGUMENT = pa.list_(pa.struct([("name", _TEXT), ("value", _TEXT)]))
+_HUNK = pa.list_(pa.struct([("path", _TEXT), ("old_start", pa.int32()), ("old_lines", pa.list_(_TEXT)), ("new_start", pa.int32()), ("new_lines", pa.list_(_TEXT)), ("ok", pa.bool_())]))
+_CHANGE = pa.list_(pa.struct([("path", _TEXT), ("removed", pa.list_(pa.int32())), ("added", pa.list_(_TEXT))]))
+_LEAF = pa.list_(pa.struct([("path", _TEXT), ("kind", _TEXT), ("value", _TEXT)]))
+
+
+def call_parts_of(column: Column | str) -> Column:
+    return _applied(call_parts, column, PARTS, _PART)
+
+
+def arguments_of(column: Column | str) -> Column:
+    return _applied(arguments, column, ARGUMENTS, _ARGUMENT)
+
+
+def hunks_of(column: Column | str) -> Column:
+    return _applied(parse_patch, column, HUNKS, _HUNK)
+
+
+def changes_of(column: Column | str) -> Column:
+    return _applied(file_changes, column, CHANGES, _CHANGE)
+
+
+def leaves_of(column: Column | str) -> Column:
+    return _applied(json_leaves, column, LEAVES, _LEAF)
+
+
+def groups_of(column: Column | str) -> Column:
+    return _applied(json_groups, column, "array<array<string>>", pa.list_(pa.list_(_TEXT)))
+
+
+def diff_of(old: Column, new: Column) -> Column:
+    """``line_diff`` of two texts, joined by line feeds."""
     let_workers_import(SparkSession.getActiveSession())
-    return F.from_json(udf(F.col(column)), schema)
+
+    def batch(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(["\n".join(line_diff((x or "").split("\n"), (y or "").split("\n"))) for x, y in zip(a.to_pylist(), b.to_pylist())], _TEXT)
+
+    return F.arrow_udf(batch, "string")(old, new)

@@ -128,3 +128,18 @@ def shared_blocks(selections: DataFrame, ranges: DataFrame, key: str) -> DataFra
 def by_bytes(content: Column, start: Column, end: Column) -> Column:
     """The bytes [start, end) of a binary column."""
     return F.substring(content, start.cast("int") + 1, (end - start).cast("int"))
+
+
+def line_of_byte(content: Column, offset: Column) -> Column:
+    """The line (from 1) on which a byte offset of a binary column lies: one more than the line feeds before it."""
+    before = F.decode(F.substring(content, F.lit(1), offset.cast("int")), "ISO-8859-1")
+    return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).cast("long")
+
+
+def evidence_of(spans: DataFrame, sources: DataFrame) -> DataFrame:
+    """Spans (source_id, start, end) with the path, the source's and the excerpt's hash, and the first and last line; sources have id, path, content."""
+    s = sources.select(F.col("id").alias("source_id"), "path", "content", F.sha2("content", 256).alias("source_sha256"))
+    j = spans.join(s, "source_id")
+    excerpt = by_bytes(F.col("content"), F.col("start"), F.col("end"))
+    last = line_of_byte(F.col("content"), F.greatest(F.col("end") - 1, F.col("start")))
+    return j.select(*spans.columns, "path", "source_sha256", F.sha2(excerpt, 256).alias("excerpt_sha256"), line_of_byte(F.col("content"), F.col("start")).alias("start_line"), last.alias("end_line"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import code_text
 from attesta.operators import intervals
 
 RULE = "id string, operation string, language string, matcher string, names array<string>, receivers array<string>"
@@ -107,3 +108,42 @@ def summary_text(found: DataFrame) -> DataFrame:
     """One line per operation, the most frequent first: ``operation: n``."""
     n = found.groupBy("operation").agg(F.count("*").alias("n"))
     return n.orderBy(F.desc("n"), "operation").select(F.format_string("%s: %d", "operation", "n").alias("line"))
+
+
+def declaration_places(found: DataFrame, occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(source_id, qualified_name, start_line) of the declarations that hold an operation."""
+    owners = occurrences.join(found.select(F.col("occ_id").alias("id")), "id", "left_semi").select(F.col("owner").alias("id"))
+    return symbols.join(owners, "id", "left_semi").select("source_id", "qualified_name", "start_line")
+
+
+def hot_operations(inside: DataFrame, occurrences: DataFrame, counts: DataFrame) -> DataFrame:
+    """(symbol, operation, occ_id) of operations in loops (``direct``), other than arithmetic, of functions (symbol, calls) that ran."""
+    rows = inside.where("operation <> 'math'").select("occ_id", "operation").distinct().join(occurrences.select(F.col("id").alias("occ_id"), F.col("owner").alias("symbol")), "occ_id")
+    return rows.join(counts.where("calls > 0").select("symbol").distinct(), "symbol", "left_semi").select("symbol", "operation", "occ_id")
+
+
+def whole_each_turn(occurrences: DataFrame, loops: DataFrame, links: DataFrame) -> DataFrame:
+    """(loop, occ_id, callee, parameter, argument): calls in a loop to a function that walks one of its parameters in a loop, and that pass for it
+    something which uses no name bound inside the caller's loop: the same collection is walked on every turn.
+
+    ``links`` are resolved calls (occ_id, how, target).  A call on a receiver fills ``self`` or ``cls`` without an argument.
+    """
+    calls = occurrences.where(F.col("kind").isin("call_observed", "method_call_observed"))
+    inside = intervals.loop_members(calls, loops, "source_id").select(F.col("outer_id").alias("loop"), F.col("id").alias("occ_id"), "label", "receiver")
+    settled = links.where(F.col("target").isNotNull() & ~F.col("how").isin("homonym")).select("occ_id", F.col("target").alias("callee")).distinct()
+    walked = occurrences.where("kind = 'loop_iterable' and owner is not null").select(F.col("owner").alias("callee"), F.trim("label").alias("parameter")).distinct()
+    place = F.row_number().over(Window.partitionBy("owner").orderBy("start")) - 1
+    given = occurrences.where(F.col("kind").isin("parameter", "keyword_parameter") & F.col("owner").isNotNull()).withColumn("_at", place)
+    first = given.where("_at = 0").select(F.col("owner").alias("callee"), F.col("label").isin("self", "cls").alias("_own"))
+    named = given.select(F.col("owner").alias("callee"), F.trim("label").alias("parameter"), "_at", (F.col("kind") == "parameter").alias("_positional"))
+    j = inside.join(settled, "occ_id").join(walked, "callee").join(named, ["callee", "parameter"]).join(first, "callee", "left")
+    j = j.withColumn("_args", code_text.arguments_of("label"))
+    skip = F.when(F.col("receiver").isNotNull() & F.coalesce("_own", F.lit(False)), 1).otherwise(0)
+    by_name = F.get(F.filter("_args", lambda a: a["name"] == F.col("parameter")), F.lit(0))["value"]
+    by_place = F.when(F.col("_positional") & (F.col("_at") >= skip), F.get(F.filter("_args", lambda a: a["name"].isNull()), F.col("_at") - skip)["value"])
+    found = j.withColumn("argument", F.coalesce(by_name, by_place)).where("argument is not null").select("loop", "occ_id", "callee", "parameter", "argument")
+    bound = occurrences.where(F.col("kind").isin("local_binding", "name_write", "list_binding"))
+    changing = intervals.loop_members(bound, loops, "source_id").groupBy(F.col("outer_id").alias("loop")).agg(F.collect_set("label").alias("_changing"))
+    names = F.regexp_extract_all("argument", F.lit(r"[^\W\d]\w*"), F.lit(0))
+    fixed = found.join(changing, "loop", "left").where(~F.coalesce(F.arrays_overlap(names, F.col("_changing")), F.lit(False)))
+    return fixed.drop("_changing").distinct()

@@ -27,7 +27,7 @@ def unit_issues(recorded: DataFrame, derived: DataFrame) -> DataFrame:
 
 def classified_leaves(documents: DataFrame, classes: DataFrame) -> DataFrame:
     """(doc_id, path, issue): leaves of a JSON column ``value`` without a class (path, class), with several, and classes that match no leaf."""
-    leaves = documents.select("doc_id", F.explode(code_text.parsed(code_text.json_leaves_udf, "value", code_text.LEAVES)).alias("l")).select("doc_id", F.col("l.path").alias("path")).distinct()
+    leaves = documents.select("doc_id", F.explode(code_text.leaves_of("value")).alias("l")).select("doc_id", F.col("l.path").alias("path")).distinct()
     n = classes.groupBy("path").agg(F.count_distinct("class").alias("n"))
     j = leaves.join(n, "path", "left")
     bad = j.where("n is null or n > 1").select("doc_id", "path", F.when(F.col("n").isNull(), "unclassified").otherwise("several").alias("issue"))

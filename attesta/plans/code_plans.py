@@ -1,68 +1,425 @@
-"""Queries on a small project given in place: extraction, graph, resolution and inventory."""
+"""Queries on a project made of the tables: extraction, graph, resolution and inventory of a file per part and supplier."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.operators import code, graph, inventory
-from attesta.plans.registry import RULES
+from attesta.functions import text as T
+from attesta.operators import code, envelope, graph, intervals, inventory, resolve
+from attesta.plans.registry import RULES, candidate_kinds
+from attesta.plans.tables import table
 from attesta.sources import editions
+from attesta.storage import save
 
-PROJECT = {
-    "app/main.py": "import re\nfrom app import store\n\n\ndef run(items):\n    out = []\n    for i in items:\n        re.compile(i)\n        store.save(i)\n        store.save(i)\n    if run in out:\n        pass\n    return sorted(items)\n",
-    "app/store.py": "CACHE = {}\n\n\nclass Box:\n    def put(self, x):\n        return self.fit(x)\n\n    def fit(self, x):\n        return abs(x)\n\n\ndef save(x):\n    b = Box()\n    b.put(x)\n    return helper(x)\n\n\ndef helper(x):\n    return x\n",
-    "lib/view.rs": "struct View { lock: Mutex<u8> }\nimpl View {\n    fn draw(&self) { for x in self.all() { x.clone(); paint(x); } }\n    fn all(&self) -> Vec<u8> { vec![] }\n}\nfn paint(x: u8) {}\n#[test]\nfn it_paints() { paint(1); }\n",
-    "lib/broken.py": "def (\n",
+#: A Python file; ``#`` stands for the part's key, ``@`` for a third of it and ``$`` for its size.  Every seventh part's file is broken, every fifth's run is a test.
+PYTHON = """import re
+import p$.m# as own
+LIMIT = $
+
+
+class Box#:
+    def __init__(self):
+        self.n# = 0
+
+    def put#(self, x):
+        return self.fit@(x)
+
+    def fit@(self, x):
+        return abs(x)
+
+
+def run#(items):
+    for i in items:
+        helper#(i)
+        helper#(i)
+    return sorted(items)
+
+
+def helper#(x):
+    return re.compile(x)
+
+
+def ask#(x):
+    return own.helper#(x)
+
+
+def make#(x):
+    b = Box#()
+    return b.fit@(x)
+
+
+def each#(rows):
+    for r in rows:
+        run#(rows)
+"""
+BROKEN = "def (\n"
+#: A Rust file; ``#`` stands for the supplier's key.
+RUST = """struct View# { lock: Mutex<u8> }
+impl View# {
+    fn draw#(&self) { for x in self.all#() { x.clone(); paint#(x); } }
+    fn all#(&self) -> Vec<u8> { vec![] }
 }
+fn paint#(x: u8) {}
+impl Paint for View# { fn show#(&self) {} }
+"""
+
 
+def project(spark: SparkSession, d: str) -> DataFrame:
+    """(path, content) of the project."""
+    p, s = table(spark, d, "part"), table(spark, d, "supplier")
+    key = F.col("p_partkey").cast("string")
+    text = F.replace(F.replace(F.lit(PYTHON), F.lit("#"), key), F.lit("$"), F.col("p_size").cast("string"))
+    text = F.replace(text, F.lit("@"), F.expr("p_partkey div 3").cast("string"))
+    text = F.when(F.col("p_partkey") % 5 == 0, F.replace(text, F.lit("def run"), F.lit("def test_run"))).otherwise(text)
+    python = p.select(F.concat(F.lit("p"), "p_size", F.lit("/m"), key, F.lit(".py")).alias("path"), F.when(F.col("p_partkey") % 7 == 0, BROKEN).otherwise(text).alias("text"))
+    view = F.replace(F.lit(RUST), F.lit("#"), F.col("s_suppkey").cast("string"))
+    rust = s.select(F.concat(F.lit("s"), "s_nationkey", F.lit("/v"), "s_suppkey", F.lit(".rs")).alias("path"), view.alias("text"))
+    return python.unionByName(rust).select("path", F.encode("text", "UTF-8").alias("content"))
 
-def _tables(spark: SparkSession) -> dict[str, DataFrame]:
-    rows = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in PROJECT.items()], "path string, content binary")
-    sources = editions.sources_of(rows)
-    return editions.tables_of(sources, editions.extracted(sources))
+
+def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The record tables, each extracted once."""
+    sources = editions.sources_of(project(spark, d))
+    found = editions.tables_of(sources, save(editions.extracted(sources), "extracted"))
+    return {name: save(t, name) for name, t in found.items()}
 
 
 def code_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return _tables(spark)["symbols"].select("qualified_name", "kind", "is_test", "start_line", "end_line")
+    return _tables(spark, d)["symbols"].select("qualified_name", "kind", "is_test", "start_line", "end_line")
+
+
+def _with_paths(t: dict[str, DataFrame], rows: DataFrame, key: str = "source_id") -> DataFrame:
+    return rows.join(t["sources"].select(F.col("id").alias(key), "path"), key)
+
+
+def _lines(spark: SparkSession, d: str, rows: DataFrame, at: str) -> DataFrame:
+    """``rows`` (path and a byte offset ``at``) with the line that the offset is on."""
+    text = project(spark, d).select(F.col("path").alias("_p"), "content")
+    return rows.join(text, F.col("path") == F.col("_p")).withColumn("line", intervals.line_of_byte(F.col("content"), F.col(at))).drop("_p", "content")
+
+
+def code_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Every occurrence with its line and the name that it may stand for."""
+    t = _tables(spark, d)
+    rows = _lines(spark, d, _with_paths(t, t["occurrences"]), "start")
+    return rows.groupBy("path", "kind", "line", "candidate").agg(F.count("*").alias("n"))
+
+
+def code_bindings(spark: SparkSession, d: str) -> DataFrame:
+    """Names that a scope binds: imports of the file, and locals and parameters of its functions."""
+    t = _tables(spark, d)
+    rows = _lines(spark, d, _with_paths(t, t["bindings"], "scope_source"), "scope_start")
+    return rows.select("path", "line", "head", "dotted", "is_local")
 
 
 def code_diagnostics(spark: SparkSession, d: str) -> DataFrame:
-    t = _tables(spark)
-    return t["diagnostics"].join(t["sources"].select(F.col("id").alias("source_id"), "path"), "source_id").select("path", "code")
+    t = _tables(spark, d)
+    return _with_paths(t, t["diagnostics"]).select("path", "code")
 
 
-def code_edges(spark: SparkSession, d: str) -> DataFrame:
-    t = _tables(spark)
+def _edges(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
     occ = code.with_owners(t["occurrences"], t["symbols"])
-    from attesta.plans.registry import candidate_kinds
-
     pairs, _ = graph.name_candidates(occ, t["symbols"], candidate_kinds(spark))
-    return code.edges(t["symbols"], occ, pairs).groupBy("kind").agg(F.count("*").alias("n"))
+    return code.edges(t["symbols"], occ, pairs)
+
+
+def code_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between declarations by name; of those from or to occurrences the number per file."""
+    t = _tables(spark, d)
+    e = _edges(spark, t)
+    names = t["symbols"].select("id", "qualified_name", "source_id")
+    of = lambda side: names.select(F.col("id").alias(side), F.col("qualified_name").alias(f"{side}_name"), F.col("source_id").alias(f"{side}_source"))
+    sources = e.where("kind = 'declares'").join(of("to"), "to").groupBy("kind", F.col("to_name").alias("name")).agg(F.count("*").alias("n"))
+    within = e.where("kind = 'contains'").join(of("from"), "from").join(of("to"), "to").groupBy("kind", F.concat_ws(" > ", "from_name", "to_name").alias("name")).agg(F.count("*").alias("n"))
+    observed = e.where("kind = 'observes'").join(of("from"), "from").groupBy("kind", F.col("from_name").alias("name")).agg(F.count("*").alias("n"))
+    named = e.where("kind = 'name_candidate'").join(of("to"), "to").groupBy("kind", F.col("to_name").alias("name")).agg(F.count("*").alias("n"))
+    return sources.unionByName(within).unionByName(observed).unionByName(named)
+
+
+def code_projection(spark: SparkSession, d: str) -> DataFrame:
+    """The neutral graph: what each node is by the records that hold it, and edges into occurrences as ``observes``, one for one."""
+    t = _tables(spark, d)
+    e = save(_edges(spark, t), "edges")
+    ids = e.select(F.col("from").alias("id")).union(e.select("to")).distinct()
+    nodes = graph.categories(ids, t["symbols"], t["sources"])
+    kinds = graph.neutral(e, nodes).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), F.col("kind").alias("value"), "n")
+    return kinds.unionByName(nodes.groupBy("category").agg(F.count("*").alias("n")).select(F.lit("node").alias("what"), F.col("category").alias("value"), "n"))
+
+
+def _calls(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
+    return save(code.resolved_calls(spark, t), "calls")
 
 
 def code_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Calls of the Python files: how each is resolved and to what."""
-    t = _tables(spark)
-    r = code.resolved_calls(spark, t)
+    """Every call of both languages: how it is resolved and to what."""
+    t = _tables(spark, d)
     names = t["symbols"].select(F.col("id").alias("target"), F.col("qualified_name").alias("to"))
     labels = t["occurrences"].select(F.col("id").alias("occ_id"), F.col("label").alias("text"))
-    return r.join(labels, "occ_id").join(names, "target", "left").select("text", "how", "to")
+    return _calls(spark, t).join(labels, "occ_id").join(names, "target", "left").select("text", "how", "to")
+
+
+def code_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of classes go on in their own ``__init__``."""
+    t = _tables(spark, d)
+    links = _calls(spark, t).where("target is not null").select("occ_id", "target")
+    names = t["symbols"].select(F.col("id").alias("target"), F.col("qualified_name").alias("to"))
+    return resolve.instance_entries(links, code.with_containers(t["symbols"])).join(names, "target").groupBy("to").agg(F.count("*").alias("n"))
+
+
+def code_walks(spark: SparkSession, d: str) -> DataFrame:
+    """From every ``ask``, settled calls two deep, and the calls on the way that are not followed, by reason."""
+    t = _tables(spark, d)
+    s = t["symbols"]
+    seed = s.where("name like 'ask%'").select("id")
+    found, open_ = graph.calls_from(_calls(spark, t), seed, 2, None)
+    reached = found.join(s.select("id", "qualified_name"), "id").select(F.col("qualified_name").alias("name"), F.col("layer").cast("string").alias("what"))
+    left = open_.join(s.select(F.col("id").alias("caller"), "qualified_name"), "caller").select(F.col("qualified_name").alias("name"), F.col("reason").alias("what"))
+    return reached.unionByName(left)
+
+
+def _operations(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame, DataFrame, DataFrame]:
+    t = _tables(spark, d)
+    occ = save(code.with_owners(t["occurrences"], t["symbols"]), "occurrences")
+    rules = inventory.rule_table(spark, RULES)
+    return t, occ, save(inventory.operations(occ, t["symbols"], rules), "operations"), rules
 
 
 def code_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """Operations inside loops."""
-    t = _tables(spark)
-    occ = code.with_owners(t["occurrences"], t["symbols"])
-    found = inventory.operations(occ, t["symbols"], inventory.rule_table(spark, RULES))
+    """Operations by the rules, with whether they stand inside a loop and outside what it iterates."""
+    _, occ, found, _ = _operations(spark, d)
+    inside = inventory.direct(occ, inventory.loops_of(occ), found).select("occ_id", F.lit(True).alias("in_loop")).distinct()
+    rows = found.join(occ.select(F.col("id").alias("occ_id"), F.col("label").alias("text")), "occ_id").join(inside, "occ_id", "left")
+    return rows.select("rule", "operation", "text", F.coalesce("in_loop", F.lit(False)).alias("in_loop"))
+
+
+def code_rule_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of each rule, and calls that no rule meets."""
+    _, occ, found, rules = _operations(spark, d)
+    return inventory.rule_hits(found, rules).unionByName(inventory.calls_unmatched(occ, found).select(F.lit("no rule").alias("id"), F.col("calls_unmatched").alias("hits")))
+
+
+def code_repeated_calls(spark: SparkSession, d: str) -> DataFrame:
+    _, occ, _, _ = _operations(spark, d)
+    loops = inventory.loops_of(occ)
+    names = loops.join(occ.select("id", "owner"), "id").select(F.col("id").alias("loop"), "owner")
+    return inventory.repeated_calls(occ, loops).join(names, "loop").select("name", F.size("places").cast("long").alias("n"))
+
+
+def code_symbol_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Declarations with operations, and those among them that they call and are called by."""
+    t, occ, found, _ = _operations(spark, d)
+    own = inventory.symbol_operations(found, occ.select(F.col("id").alias("occ_id"), "owner"), _calls(spark, t).where("target is not null"))
+    names = t["symbols"].select(F.col("id").alias("symbol"), "qualified_name")
+    count = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>"))).cast("long").alias(f"n_{c}")
+    return own.join(names, "symbol").select("qualified_name", F.array_join("operations", ",").alias("operations"), count("calls"), count("called_by"))
+
+
+def code_through_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Operations that calls from inside loops lead to, by the shortest chain."""
+    t, occ, found, _ = _operations(spark, d)
+    calls = _calls(spark, t).where("target is not null").select("occ_id", F.col("caller").alias("a"), F.col("target").alias("b"))
+    loops = inventory.loops_of(occ)
+    inside = intervals.loop_members(occ, loops, "source_id").select(F.col("outer_id").alias("loop"), F.col("id").alias("occ_id"))
+    entries = calls.join(inside, "occ_id").select(F.col("occ_id").alias("entry"), "a", "b")
+    chains = graph.reach(entries, calls.select("a", "b"), 6)
+    through = inventory.through_calls(chains, found, occ.select(F.col("id").alias("occ_id"), "owner"))
+    names = t["symbols"].select(F.col("id").alias("node"), "qualified_name")
+    return through.join(names, "node").select("operation", "qualified_name", F.col("length").cast("long").alias("length")).groupBy("operation", "qualified_name", "length").agg(F.count("*").alias("n"))
+
+
+def code_whole_each_turn(spark: SparkSession, d: str) -> DataFrame:
+    """Calls in loops that pass a loop of the callee the same collection on every turn."""
+    t, occ, _, _ = _operations(spark, d)
+    found = inventory.whole_each_turn(occ, inventory.loops_of(occ), _calls(spark, t))
+    names = t["symbols"].select(F.col("id").alias("callee"), "qualified_name")
+    return found.join(names, "callee").select("qualified_name", "parameter", "argument").groupBy("qualified_name", "parameter", "argument").agg(F.count("*").alias("n"))
+
+
+def code_summary(spark: SparkSession, d: str) -> DataFrame:
+    return inventory.summary_text(_operations(spark, d)[2])
+
+
+def code_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where declarations with operations stand."""
+    t, occ, found, _ = _operations(spark, d)
+    return _with_paths(t, inventory.declaration_places(found, occ, t["symbols"])).select("path", "qualified_name", "start_line")
+
+
+def code_hot_operations(spark: SparkSession, d: str) -> DataFrame:
+    """Operations in loops, other than arithmetic, of functions that ran: every odd supplier's did."""
+    t, occ, found, _ = _operations(spark, d)
     inside = inventory.direct(occ, inventory.loops_of(occ), found)
-    return inside.join(occ.select(F.col("id").alias("occ_id"), F.col("label").alias("text")), "occ_id").select("operation", "text")
+    ran = t["symbols"].where("name like 'draw%'").select(F.col("id").alias("symbol"), F.regexp_extract("name", r"(\d+)$", 1).cast("long").alias("calls")).withColumn("calls", F.col("calls") % 2)
+    hot = inventory.hot_operations(inside, occ, ran)
+    return hot.join(t["symbols"].select(F.col("id").alias("symbol"), "qualified_name"), "symbol").select("qualified_name", "operation")
+
+
+def code_owner_methods(spark: SparkSession, d: str) -> DataFrame:
+    t = _tables(spark, d)
+    of = lambda side: t["symbols"].select(F.col("id").alias(side), F.col("qualified_name").alias(f"{side}_name"))
+    return envelope.owner_methods(t["symbols"]).join(of("type"), "type").join(of("id"), "id").select("type_name", F.col("id_name").alias("method"))
+
+
+def code_trait_impls(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that implement a trait for a project's struct."""
+    t = _tables(spark, d)
+    parts = T.impl_parts(F.col("name"))
+    impls = t["symbols"].where("kind = 'impl'").select("id", "qualified_name", parts["type"].alias("type"), parts["trait"].alias("trait"))
+    owners = t["symbols"].where("kind = 'struct'").select(F.col("name").alias("type"))
+    return envelope.trait_impls(owners, impls).join(impls.select("id", "qualified_name"), "id").select("type", "qualified_name")
+
+
+def code_field_writers(spark: SparkSession, d: str) -> DataFrame:
+    """Who writes a field of which class, and fields that are written where no class is known."""
+    t = _tables(spark, d)
+    occ = code.with_owners(t["occurrences"], t["symbols"]).where("kind = 'attribute_access'")
+    typed = t["occurrences"].where("kind = 'receiver_type'").select(F.col("source_id").alias("_s"), F.col("start").alias("_a"), F.col("candidate").alias("owner_type"))
+    known = occ.join(typed, (F.col("source_id") == F.col("_s")) & (F.col("start") == F.col("_a")), "left")
+    odd = F.regexp_extract("candidate", r"(\d+)$", 1).cast("long") % 2 == 1
+    writes = known.select(F.col("id").alias("occ_id"), F.col("candidate").alias("field"), F.when(odd, F.col("owner_type")).alias("owner_type"), F.col("owner").alias("writer"))
+    fields = t["symbols"].where("kind = 'field' and language = 'python'").select(F.regexp_extract("qualified_name", r"^(\w+)", 1).alias("owner_type"), F.col("name").alias("field"))
+    hit, lost = envelope.field_writers(writes, fields)
+    names = t["symbols"].select("id", "qualified_name")
+    told = hit.join(names, "id").select("field", F.col("qualified_name").alias("writer"), F.lit(0).cast("long").alias("not_followed"))
+    return told.unionByName(lost.select("field", F.lit(None).cast("string").alias("writer"), F.col("n").alias("not_followed")))
+
+
+def code_headers(spark: SparkSession, d: str) -> DataFrame:
+    """The last line of each file above its first declaration that isn't blank."""
+    t = _tables(spark, d)
+    lines = project(spark, d).select("path", F.posexplode(T.split_lines(F.decode("content", "UTF-8"))).alias("n", "line")).select("path", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    ids = t["sources"].select(F.col("id").alias("source_id"), "path")
+    return _with_paths(t, envelope.header(t["symbols"], lines.join(ids, "path"))).select("path", "end_line")
+
+
+def code_first_returns(spark: SparkSession, d: str) -> DataFrame:
+    t = _tables(spark, d)
+    first = resolve.first_return(code.with_owners(t["occurrences"], t["symbols"]))
+    return first.join(t["symbols"].select(F.col("id").alias("symbol"), "qualified_name"), "symbol").select("qualified_name", "type")
+
+
+def code_around(spark: SparkSession, d: str) -> DataFrame:
+    """What stands around every ``put``: its owner, what it calls, whose that is, who calls it; with the reasons."""
+    t = _tables(spark, d)
+    symbols = code.with_containers(t["symbols"])
+    chosen = symbols.where("name like 'put%'").select("id")
+    parts = envelope.around(chosen, _calls(spark, t), symbols)
+    rows = envelope.candidates(chosen, parts)
+    of = lambda side: symbols.select(F.col("id").alias(side), F.col("qualified_name").alias(f"{side}_name"))
+    return rows.join(of("id"), "id").join(of("for_target"), "for_target").select("for_target_name", "reason", F.col("id_name").alias("name"))
+
+
+def code_behavior(spark: SparkSession, d: str) -> DataFrame:
+    """What the graph sees functions do: loops, operations, writes, tests."""
+    t, occ, found, _ = _operations(spark, d)
+    tests = _calls(spark, t).join(t["symbols"].where("is_test").select(F.col("id").alias("caller")), "caller", "left_semi").where("target is not null").select(F.col("target").alias("id"))
+    chosen = t["symbols"].where("kind in ('function', 'method')").select("id")
+    rows = envelope.behavior(chosen, occ, found, tests)
+    return rows.join(t["symbols"].select("id", "qualified_name"), "id").select("qualified_name", "fact", "n")
+
+
+QUERIES = {f.__name__: f for f in (
+    code_symbols, code_occurrences, code_bindings, code_diagnostics, code_edges, code_projection, code_calls, code_entries, code_walks, code_inventory, code_rule_hits, code_repeated_calls,
+    code_symbol_operations, code_through_calls, code_whole_each_turn, code_summary, code_places, code_hot_operations, code_owner_methods, code_trait_impls, code_field_writers, code_headers,
+    code_first_returns, code_around, code_behavior,
+)}
+
+#: The files that are whole, and the number of those that share a method's name.
+_FILES = """py AS (
+  SELECT p_partkey AS k, p_partkey % 5 = 0 AS test, 'p' || p_size || '/m' || p_partkey || '.py' AS path, 'p' || p_size || '.m' || p_partkey AS dotted, p_partkey // 3 AS f, 'Box' || p_partkey AS box,
+    CASE WHEN p_partkey % 5 = 0 THEN 'test_run' ELSE 'run' END || p_partkey AS run, count(*) OVER (PARTITION BY p_partkey // 3) AS alike FROM part WHERE p_partkey % 7 <> 0),
+rs AS (SELECT s_suppkey AS k, 's' || s_nationkey || '/v' || s_suppkey || '.rs' AS path FROM supplier)"""
+
+
+def _rows(of: str, columns: str, rows: list[str]) -> str:
+    """A statement's rows for each whole file: ``of`` is py or rs, and each row names its columns' values."""
+    return " UNION ALL ".join(f"SELECT {', '.join(f'{v} AS {c}' for v, c in zip(r.split(' | '), columns.split()))} FROM {of}" for r in rows)
+
 
+_SYMBOLS = _rows("py", "qualified_name kind is_test start_line end_line", [
+    "'LIMIT' | 'variable' | false | 3 | 3", "box | 'class' | false | 6 | 14", "box || '.__init__' | 'method' | false | 7 | 8", "box || '.__init__.n' || k | 'field' | false | 8 | 8",
+    "box || '.put' || k | 'method' | false | 10 | 11", "box || '.fit' || f | 'method' | false | 13 | 14", "run | 'function' | test | 17 | 21", "'helper' || k | 'function' | false | 24 | 25",
+    "'ask' || k | 'function' | false | 28 | 29", "'make' || k | 'function' | false | 32 | 34", "'each' || k | 'function' | false | 37 | 39",
+]) + " UNION ALL " + _rows("rs", "qualified_name kind is_test start_line end_line", [
+    "'View' || k | 'struct' | false | 1 | 1", "'View' || k || '::lock' | 'field' | false | 1 | 1", "'impl View' || k | 'impl' | false | 2 | 5", "'impl View' || k || '::draw' || k | 'method' | false | 3 | 3",
+    "'impl View' || k || '::all' || k | 'method' | false | 4 | 4", "'paint' || k | 'function' | false | 6 | 6", "'impl Paint for View' || k | 'impl' | false | 7 | 7",
+    "'impl Paint for View' || k || '::show' || k | 'method' | false | 7 | 7",
+])
+_OCCURRENCES = _rows("py", "path owner kind line candidate n", [
+    "path | NULL | 'name_write' | 3 | 'LIMIT' | 1",
+    *(f"path | box || '.__init__' | {r}" for r in ("'parameter' | 7 | 'self' | 1", "'receiver_type' | 8 | box | 1", "'attribute_access' | 8 | 'n' || k | 1", "'name_reference' | 8 | 'self' | 1")),
+    *(f"path | box || '.put' || k | {r}" for r in ("'parameter' | 10 | 'self' | 1", "'parameter' | 10 | 'x' | 1", "'receiver_type' | 11 | box | 1", "'method_call_observed' | 11 | 'fit' || f | 1", "'name_reference' | 11 | 'self' | 1", "'name_reference' | 11 | 'x' | 1")),
+    *(f"path | box || '.fit' || f | {r}" for r in ("'parameter' | 13 | 'self' | 1", "'parameter' | 13 | 'x' | 1", "'call_observed' | 14 | 'abs' | 1", "'name_reference' | 14 | 'x' | 1")),
+    *(f"path | run | {r}" for r in ("'parameter' | 17 | 'items' | 1", "'loop' | 18 | NULL | 1", "'name_write' | 18 | 'i' | 1", "'loop_iterable' | 18 | 'items' | 1", "'name_reference' | 18 | 'items' | 1", "'call_observed' | 19 | 'helper' || k | 1",
+      "'name_reference' | 19 | 'i' | 1", "'call_observed' | 20 | 'helper' || k | 1", "'name_reference' | 20 | 'i' | 1", "'call_observed' | 21 | 'sorted' | 1", "'name_reference' | 21 | 'items' | 1")),
+    *(f"path | 'helper' || k | {r}" for r in ("'parameter' | 24 | 'x' | 1", "'method_call_observed' | 25 | 'compile' | 1", "'name_reference' | 25 | 're' | 1", "'name_reference' | 25 | 'x' | 1")),
+    *(f"path | 'ask' || k | {r}" for r in ("'parameter' | 28 | 'x' | 1", "'method_call_observed' | 29 | 'helper' || k | 1", "'name_reference' | 29 | 'own' | 1", "'name_reference' | 29 | 'x' | 1")),
+    *(f"path | 'make' || k | {r}" for r in ("'parameter' | 32 | 'x' | 1", "'local_binding' | 33 | 'b' | 1", "'name_write' | 33 | 'b' | 1", "'call_observed' | 33 | box | 1", "'receiver_type' | 34 | box | 1", "'name_reference' | 34 | 'b' | 1",
+      "'method_call_observed' | 34 | 'fit' || f | 1", "'name_reference' | 34 | 'x' | 1")),
+    *(f"path | 'each' || k | {r}" for r in ("'parameter' | 37 | 'rows' | 1", "'loop' | 38 | NULL | 1", "'name_write' | 38 | 'r' | 1", "'loop_iterable' | 38 | 'rows' | 1", "'name_reference' | 38 | 'rows' | 1", "'call_observed' | 39 | 'run' || k | 1",
+      "'name_reference' | 39 | 'rows' | 1")),
+]) + " UNION ALL " + _rows("rs", "path owner kind line candidate n", [
+    "path | NULL | 'type_reference' | 1 | 'Mutex' | 1", "path | 'impl View' || k | 'type_reference' | 2 | 'View' || k | 1",
+    *(f"path | 'impl View' || k || '::draw' || k | {r}" for r in ("'loop' | 3 | NULL | 1", "'loop_iterable' | 3 | NULL | 1", "'name_reference' | 3 | 'x' | 3", "'name_reference' | 3 | 'self' | 1", "'method_call_observed' | 3 | 'all' || k | 1",
+      "'method_call_observed' | 3 | 'clone' | 1", "'call_observed' | 3 | 'paint' || k | 1")),
+    "path | 'impl View' || k || '::all' || k | 'declared_return' | 4 | 'Vec' | 1", "path | 'impl Paint for View' || k | 'type_reference' | 7 | 'Paint' | 1", "path | 'impl Paint for View' || k | 'type_reference' | 7 | 'View' || k | 1",
+])
+_CALLS = _rows("py", "k caller text how target", [
+    "k | box || '.put' || k | 'self.fit' || f || '(x)' | CASE WHEN alike = 1 THEN 'unique' ELSE 'receiver' END | box || '.fit' || f", "k | box || '.fit' || f | 'abs(x)' | 'no_candidate' | NULL",
+    "k | run | 'helper' || k || '(i)' | 'unique' | 'helper' || k", "k | run | 'helper' || k || '(i)' | 'unique' | 'helper' || k", "k | run | 'sorted(items)' | 'no_candidate' | NULL",
+    "k | 'helper' || k | 're.compile(x)' | 'no_candidate' | NULL", "k | 'ask' || k | 'own.helper' || k || '(x)' | 'import' | 'helper' || k", "k | 'make' || k | box || '()' | 'unique' | box",
+    "k | 'make' || k | 'b.fit' || f || '(x)' | CASE WHEN alike = 1 THEN 'unique' ELSE 'type' END | box || '.fit' || f",
+    "k | 'each' || k | 'run' || k || '(rows)' | CASE WHEN test THEN 'no_candidate' ELSE 'unique' END | CASE WHEN NOT test THEN run END",
+]) + " UNION ALL " + _rows("rs", "k caller text how target", [
+    f"k | 'impl View' || k || '::draw' || k | {r}" for r in ("'self.all' || k || '()' | 'unique' | 'impl View' || k || '::all' || k", "'x.clone()' | 'no_candidate' | NULL", "'paint' || k || '(x)' | 'unique' | 'paint' || k")
+])
+_FOUND = _rows("py", "rule operation text in_loop owner path line", [
+    "'math' | 'math' | 'abs(x)' | false | box || '.fit' || f | path | 13", "'sort' | 'sort' | 'sorted(items)' | false | run | path | 17", "'regex' | 'regex' | 're.compile(x)' | false | 'helper' || k | path | 24",
+]) + " UNION ALL " + _rows("rs", "rule operation text in_loop owner path line", ["'collect' | 'allocation' | 'x.clone()' | true | 'impl View' || k || '::draw' || k | path | 3"])
+_WITH = f"WITH {_FILES}, sym AS ({_SYMBOLS}), occ AS ({_OCCURRENCES}), cal AS ({_CALLS}), fnd AS ({_FOUND})"
 
-QUERIES = {f.__name__: f for f in (code_symbols, code_diagnostics, code_edges, code_calls, code_inventory)}
 ORACLE_SQL = {
-    "code_diagnostics": "SELECT 'lib/broken.py' AS path, 'python_parse_error' AS code",
-    "code_symbols": """SELECT * REPLACE (CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line) FROM (VALUES ('run','function',false,5,13),('CACHE','variable',false,1,1),('Box','class',false,4,9),('Box.put','method',false,5,6),('Box.fit','method',false,8,9),('save','function',false,12,15),('helper','function',false,18,19),
-('View','struct',false,1,1),('View::lock','field',false,1,1),('impl View','impl',false,2,5),('impl View::draw','method',false,3,3),('impl View::all','method',false,4,4),('paint','function',false,6,6),('it_paints','function',true,7,8))
-AS t(qualified_name, kind, is_test, start_line, end_line)""",
+    "code_symbols": f"{_WITH} SELECT qualified_name, kind, is_test, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM sym",
+    "code_occurrences": f"{_WITH} SELECT path, kind, CAST(line AS BIGINT) AS line, candidate, CAST(n AS BIGINT) AS n FROM occ",
+    "code_bindings": f"""WITH {_FILES} SELECT path, CAST(line AS BIGINT) AS line, head, dotted, is_local FROM ({_rows("py", "path line head dotted is_local", [
+        "path | 1 | 're' | 're' | false", "path | 1 | 'own' | dotted | false", *(f"path | {n} | '{h}' | NULL | true" for n, h in ((7, "self"), (10, "self"), (10, "x"), (13, "self"), (13, "x"), (17, "items"), (17, "i"), (24, "x"), (28, "x"), (32, "x"), (32, "b"), (37, "rows"), (37, "r")))])})""",
+    "code_diagnostics": "SELECT 'p' || p_size || '/m' || p_partkey || '.py' AS path, 'python_parse_error' AS code FROM part WHERE p_partkey % 7 = 0",
+    "code_edges": f"""{_WITH}, named AS (
+  SELECT o.path, CASE WHEN o.kind IN ('receiver_type', 'call_observed') AND candidate LIKE 'Box%' THEN candidate WHEN candidate LIKE 'helper%' AND o.kind LIKE '%call%' THEN candidate
+    WHEN o.kind = 'attribute_access' THEN 'Box' || substr(candidate, 2) || '.__init__.' || candidate WHEN o.kind = 'type_reference' AND candidate LIKE 'View%' THEN candidate
+    WHEN o.kind = 'call_observed' AND candidate LIKE 'run%' AND CAST(substr(candidate, 4) AS BIGINT) % 5 <> 0 THEN candidate WHEN candidate LIKE 'all%' THEN 'impl View' || substr(candidate, 4) || '::' || candidate WHEN candidate LIKE 'paint%' THEN candidate END AS name, n FROM occ o),
+fits AS (SELECT b.box || '.fit' || b.f AS name, 2 * count(*) AS n FROM py a JOIN py b ON a.f = b.f GROUP BY 1)
+SELECT 'declares' AS kind, qualified_name AS name, count(*) AS n FROM sym GROUP BY 2
+UNION ALL SELECT 'contains', box || ' > ' || box || '.' || m, 1 FROM py, unnest(['__init__', 'put' || k, 'fit' || f]) AS u(m) UNION ALL SELECT 'contains', box || '.__init__ > ' || box || '.__init__.n' || k, 1 FROM py
+UNION ALL SELECT 'contains', a, 1 FROM rs, unnest(['View' || k || ' > View' || k || '::lock', 'impl View' || k || ' > impl View' || k || '::draw' || k, 'impl View' || k || ' > impl View' || k || '::all' || k, 'impl Paint for View' || k || ' > impl Paint for View' || k || '::show' || k]) AS u(a)
+UNION ALL SELECT 'observes', owner, CAST(sum(n) AS BIGINT) FROM occ WHERE owner IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'name_candidate', name, CAST(sum(n) AS BIGINT) FROM named WHERE name IS NOT NULL GROUP BY 2 UNION ALL SELECT 'name_candidate', name, n FROM fits""",
+    "code_projection": f"""{_WITH}, fits AS (SELECT count(*) AS n FROM py a JOIN py b ON a.f = b.f),
+c AS (SELECT (SELECT count(*) FROM py) AS np, (SELECT count(*) FROM rs) AS nr, (SELECT count(*) FROM part) AS files, (SELECT CAST(sum(n) AS BIGINT) FROM occ WHERE owner IS NOT NULL) AS seen, (SELECT 2 * n FROM fits) + (SELECT count(*) FROM py WHERE NOT test) AS fit)
+SELECT 'edge' AS what, u.value, u.n FROM c, unnest([{{'value': 'declares', 'n': 11 * np + 8 * nr}}, {{'value': 'contains', 'n': 4 * np + 4 * nr}}, {{'value': 'observes', 'n': seen}}, {{'value': 'name_candidate', 'n': 8 * np + 4 * nr + fit}}]) AS t(u)
+UNION ALL SELECT 'node', u.value, u.n FROM c, unnest([{{'value': 'source', 'n': np + nr}}, {{'value': 'symbol', 'n': 11 * np + 8 * nr}}, {{'value': 'occurrence', 'n': seen}}]) AS t(u)""",
+    "code_calls": f'{_WITH} SELECT text, how, target AS "to" FROM cal',
+    "code_entries": f"""{_WITH} SELECT CASE WHEN target LIKE 'Box%' AND NOT contains(target, '.') THEN target || '.__init__' ELSE target END AS "to", count(*) AS n FROM cal WHERE target IS NOT NULL GROUP BY 1""",
+    "code_walks": f"""WITH {_FILES} SELECT 'ask' || k AS name, '0' AS what FROM py UNION ALL SELECT 'helper' || k, '1' FROM py UNION ALL SELECT 'helper' || k, 'no_candidate_in_project' FROM py""",
+    "code_inventory": f"""{_WITH} SELECT rule, operation, text, in_loop FROM fnd""",
+    "code_rule_hits": f"""{_WITH}, ids AS (SELECT unnest({[r[0] for r in RULES]!r}) AS id) SELECT id, (SELECT count(*) FROM fnd WHERE rule = id) AS hits FROM ids
+UNION ALL SELECT 'no rule', (SELECT count(*) FROM cal) - (SELECT count(*) FROM fnd)""",
+    "code_repeated_calls": f"WITH {_FILES} SELECT 'helper' || k AS name, CAST(2 AS BIGINT) AS n FROM py",
+    "code_symbol_operations": f"""{_WITH} SELECT owner AS qualified_name, operation AS operations, CAST(operation = 'sort' AS BIGINT) AS n_calls, CAST(operation = 'regex' AS BIGINT) AS n_called_by FROM fnd""",
+    "code_through_calls": f"""WITH {_FILES} SELECT 'regex' AS operation, 'helper' || k AS qualified_name, CAST(1 AS BIGINT) AS length, CAST(2 AS BIGINT) AS n FROM py
+UNION ALL SELECT 'sort', run, 1, 1 FROM py WHERE NOT test UNION ALL SELECT 'regex', 'helper' || k, 2, 1 FROM py WHERE NOT test""",
+    "code_whole_each_turn": f"WITH {_FILES} SELECT run AS qualified_name, 'items' AS parameter, 'rows' AS argument, CAST(1 AS BIGINT) AS n FROM py WHERE NOT test",
+    "code_summary": f"""{_WITH} SELECT operation || ': ' || count(*) AS line FROM fnd GROUP BY operation""",
+    "code_places": f"""{_WITH} SELECT path, owner AS qualified_name, CAST(line AS BIGINT) AS start_line FROM fnd""",
+    "code_hot_operations": rf"""{_WITH} SELECT owner AS qualified_name, operation FROM fnd WHERE operation = 'allocation' AND CAST(regexp_extract(owner, '(\d+)$', 1) AS BIGINT) % 2 = 1""",
+    "code_owner_methods": f"""WITH {_FILES} SELECT box AS type_name, box || '.' || m AS method FROM py, unnest(['__init__', 'put' || k, 'fit' || f]) AS u(m)
+UNION ALL SELECT 'impl View' || k, 'impl View' || k || '::' || m FROM rs, unnest(['draw' || k, 'all' || k]) AS u(m) UNION ALL SELECT 'impl Paint for View' || k, 'impl Paint for View' || k || '::show' || k FROM rs""",
+    "code_trait_impls": f"WITH {_FILES} SELECT 'View' || k AS type, 'impl Paint for View' || k AS qualified_name FROM rs",
+    "code_field_writers": f"""WITH {_FILES} SELECT 'n' || k AS field, CASE WHEN k % 2 = 1 THEN box || '.__init__' END AS writer, CAST(k % 2 = 0 AS BIGINT) AS not_followed FROM py""",
+    "code_headers": f"WITH {_FILES} SELECT path, CAST(2 AS BIGINT) AS end_line FROM py",
+    "code_first_returns": f"WITH {_FILES} SELECT 'impl View' || k || '::all' || k AS qualified_name, 'Vec' AS type FROM rs",
+    "code_around": f"""WITH {_FILES} SELECT box || '.put' || k AS for_target_name, u.reason, u.name FROM py, unnest([{{'reason': 'chosen', 'name': box || '.put' || k}}, {{'reason': 'owner_type', 'name': box}}, {{'reason': 'called', 'name': box || '.fit' || f}}, {{'reason': 'called_owner', 'name': box}}]) AS t(u)""",
+    "code_behavior": f"""{_WITH} SELECT owner AS qualified_name, 'operation:' || operation AS fact, CAST(1 AS BIGINT) AS n FROM fnd UNION ALL SELECT owner, 'loops', 1 FROM occ WHERE kind = 'loop'
+UNION ALL SELECT owner, 'writes', 1 FROM occ WHERE kind = 'name_write' AND owner IS NOT NULL UNION ALL SELECT 'helper' || k, 'tests', 2 FROM py WHERE test""",
 }

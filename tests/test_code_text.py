@@ -32,7 +32,7 @@ def test_json():
 
 def test_udfs(spark):
     df = spark.createDataFrame([("a.f(x=1)",), (None,)], "t string")
-    got = df.select(C.parsed(C.call_parts_udf, "t", C.PARTS).alias("p"), C.parsed(C.arguments_udf, "t", C.ARGUMENTS).alias("a")).collect()
+    got = df.select(C.call_parts_of("t").alias("p"), C.arguments_of("t").alias("a")).collect()
     assert got[0].p.receiver == "a" and got[0].a[0].name == "x" and got[1].p is None and got[1].a == []
 
 
