@@ -29,10 +29,27 @@ def release() -> None:
         trim(0)
 
 
-def frees(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, followed by ``release``."""
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str | None, clear: Callable[[], None] | None = None) -> None:
+    """What this worker keeps from task to task belongs to ``owner`` from now on: what others kept is cleared."""
+    others = [o for o in _HELD if o != owner]
+    for other in others:
+        _HELD.pop(other)()
+    if others:
+        release()
+    if owner is not None and clear is not None:
+        _HELD[owner] = clear
+
+
+def frees(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str | None = None, clear: Callable[[], None] | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, followed by ``release``; only what ``owner`` keeps stays in the worker meanwhile."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(owner, clear)
         try:
             yield from run(batches)
         finally:

@@ -190,7 +190,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         e = encoder(path, pattern)
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for first, n in text_runs(table.column(text)):
+            for first, n in text_runs(table.column(text), 2 << 20):
                 flat, bounds = e.texts(table.column(text).slice(first, n))
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int32)))
                 part = table.slice(first, n).select(keep).combine_chunks()
@@ -198,7 +198,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         if not keep_memo and e.memo is not None:
             e.memo.forget()
 
-    return docs.select(*keep, text).mapInArrow(frees(run), schema)
+    return docs.select(*keep, text).mapInArrow(frees(run, "byte_bpe", lambda: encoder.cache_clear()), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -272,7 +272,7 @@ def score(docs: DataFrame, path: str, shards: int, lang_key: Column) -> DataFram
                 column = pa.array(result, mask=np.isnan(result))
                 yield from part.append_column("perplexity", column).combine_chunks().to_batches()
 
-    return docs.select(*keep, lang_key.alias("_model_lang")).mapInArrow(frees(run), schema)
+    return docs.select(*keep, lang_key.alias("_model_lang")).mapInArrow(frees(run, "kneser_ney", lambda: _MODELS.clear()), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.995) -> DataFrame:

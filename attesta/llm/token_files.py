@@ -188,7 +188,7 @@ def write(
                         names=["doc_id", "file", "ordinal", "offset", "length", "n_tokens", "tokens_before", "id_bytes", "part"],
                     )
 
-    ordered.mapInArrow(frees(run), _INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
+    ordered.mapInArrow(frees(run, "token_files", lambda: tokenizer.cache_clear()), _INDEX).write.option("compression", "zstd").parquet(f"{folder}/index")
     return index(spark, folder)
 
 
