@@ -76,17 +76,20 @@ def arguments(text: str | None) -> list[dict]:
     return out
 
 
-def parse_patch(patch: str | None) -> list[dict]:
-    """Hunks of a unified diff: path, old_start, old_lines, new_start, new_lines, ok (counts as announced)."""
+def marked_hunks(patch: str | None) -> list[dict]:
+    """Hunks of a unified diff: path, old_start, old_lines, new_start, new_lines, removed (numbers of old lines that go), changes (whether any line does), ok (counts as announced)."""
     out, path, hunk = [], None, None
     for line in (patch or "").split("\n"):
         if line.startswith("+++ "):
             path = line[4:].removeprefix("b/").split("\t")[0]
             hunk = None
         elif m := re.match(r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", line):
-            hunk = {"path": path, "old_start": int(m[1]), "new_start": int(m[3]), "old_lines": [], "new_lines": [], "_n": (int(m[2] or 1), int(m[4] or 1))}
+            hunk = {"path": path, "old_start": int(m[1]), "new_start": int(m[3]), "old_lines": [], "new_lines": [], "removed": [], "changes": False, "_n": (int(m[2] or 1), int(m[4] or 1))}
             out.append(hunk)
         elif hunk is not None and line[:1] in (" ", "-", "+") and (len(hunk["old_lines"]), len(hunk["new_lines"])) != hunk["_n"]:
+            hunk["changes"] |= line[0] != " "
+            if line[0] == "-":
+                hunk["removed"].append(hunk["old_start"] + len(hunk["old_lines"]))
             if line[0] in " -":
                 hunk["old_lines"].append(line[1:])
             if line[0] in " +":
@@ -96,6 +99,11 @@ def parse_patch(patch: str | None) -> list[dict]:
     return out
 
 
+def parse_patch(patch: str | None) -> list[dict]:
+    """Hunks of a unified diff: path, old_start, old_lines, new_start, new_lines, ok (counts as announced)."""
+    return [{k: v for k, v in h.items() if k not in ("removed", "changes")} for h in marked_hunks(patch)]
+
+
 def line_diff(old: list[str], new: list[str]) -> list[str]:
     """Lines with ``' '``, ``'-'`` or ``'+'`` in front, by a longest common subsequence; beyond ``CELLS`` all old then all new."""
     if len(old) * len(new) > CELLS:
@@ -191,6 +199,7 @@ def json_groups(text: str | None) -> list[list[str]]:
 PARTS = "struct<receiver:string,name:string>"
 ARGUMENTS = "array<struct<name:string,value:string>>"
 HUNKS = "array<struct<path:string,old_start:int,old_lines:array<string>,new_start:int,new_lines:array<string>,ok:boolean>>"
+MARKED = "array<struct<path:string,old_start:int,old_lines:array<string>,new_start:int,new_lines:array<string>,removed:array<int>,changes:boolean,ok:boolean>>"
 CHANGES = "array<struct<path:string,removed:array<int>,added:array<string>>>"
 LEAVES = "array<struct<path:string,kind:string,value:string>>"
 
@@ -208,6 +217,7 @@ def _applied(f: Callable, column: Column | str, schema: str, kind: pa.DataType)
 _TEXT, _PART = pa.string(), pa.struct([("receiver", pa.string()), ("name", pa.string())])
 _ARGUMENT = pa.list_(pa.struct([("name", _TEXT), ("value", _TEXT)]))
 _HUNK = pa.list_(pa.struct([("path", _TEXT), ("old_start", pa.int32()), ("old_lines", pa.list_(_TEXT)), ("new_start", pa.int32()), ("new_lines", pa.list_(_TEXT)), ("ok", pa.bool_())]))
+_MARKED = pa.list_(pa.struct([("path", _TEXT), ("old_start", pa.int32()), ("old_lines", pa.list_(_TEXT)), ("new_start", pa.int32()), ("new_lines", pa.list_(_TEXT)), ("removed", pa.list_(pa.int32())), ("changes", pa.bool_()), ("ok", pa.bool_())]))
 _CHANGE = pa.list_(pa.struct([("path", _TEXT), ("removed", pa.list_(pa.int32())), ("added", pa.list_(_TEXT))]))
 _LEAF = pa.list_(pa.struct([("path", _TEXT), ("kind", _TEXT), ("value", _TEXT)]))
 
@@ -224,6 +234,10 @@ def hunks_of(column: Column | str) -> Column:
     return _applied(parse_patch, column, HUNKS, _HUNK)
 
 
+def marked_hunks_of(column: Column | str) -> Column:
+    return _applied(marked_hunks, column, MARKED, _MARKED)
+
+
 def changes_of(column: Column | str) -> Column:
     return _applied(file_changes, column, CHANGES, _CHANGE)
 
@@ -244,3 +258,24 @@ def diff_of(old: Column, new: Column) -> Column:
         return pa.array(["\n".join(line_diff((x or "").split("\n"), (y or "").split("\n"))) for x, y in zip(a.to_pylist(), b.to_pylist())], _TEXT)
 
     return F.arrow_udf(batch, "string")(old, new)
+
+
+def edits_diff_of(path: Column, lines: Column, edits: Column) -> Column:
+    """``edits_to_diff`` of a path, its lines and edits (start_line, end_line, new)."""
+    let_workers_import(SparkSession.getActiveSession())
+
+    def batch(p: pa.Array, ls: pa.Array, es: pa.Array) -> pa.Array:
+        return pa.array([edits_to_diff(*row) for row in zip(p.to_pylist(), ls.to_pylist(), es.to_pylist())], _TEXT)
+
+    return F.arrow_udf(batch, "string")(path, lines, edits)
+
+
+def body_braces_of(column: Column | str) -> Column:
+    """Where the bracket that opens a Rust function's body ends, in characters; null where there is no body."""
+    from attesta.extract.rust_code import body_brace
+
+    def place(text: str | None) -> int | None:
+        at = None if text is None else body_brace(text)
+        return None if at is None else len(text.encode()[:at].decode()) + 1
+
+    return _applied(place, column, "int", pa.int32())

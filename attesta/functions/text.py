@@ -207,5 +207,5 @@ def with_system(c: Column, system: Column) -> Column:
     """A model file's text with another system text, which is added where there is none."""
     new = F.concat(F.lit('SYSTEM """'), system, F.lit('"""'))
     around = F.split(c, r'(?si)(?<![^\n])SYSTEM[ \t]+(?:""".*?"""|[^\n]*)', 2)
-    added = F.concat(F.regexp_replace(c, r"\n*$", "\n"), new, F.lit("\n"))
+    added = F.concat(F.regexp_replace(c, r"\n+\z", ""), F.lit("\n"), new, F.lit("\n"))
     return F.when(F.size(around) == 2, F.concat(around[0], new, F.get(around, F.lit(1)))).otherwise(added)

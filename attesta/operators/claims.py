@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import code_text
 from attesta.functions import text as T
 
 #: The kinds of claims.
@@ -57,17 +60,39 @@ def claim_issues(claims: DataFrame, citations: DataFrame) -> DataFrame:
     return j.select(F.col("id").alias("claim_id"), F.explode(codes).alias("code")).distinct()
 
 
-def location_issues(locations: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Codes of locations (claim_id, path, name, line, column) against symbols (path, name, declaration_line, name_column, end_line)."""
-    s = symbols.select("path", F.col("name").alias("_name"), "declaration_line", "name_column", "end_line")
-    j = locations.join(s, (locations["path"] == s["path"]) & (F.col("name") == F.col("_name")), "left").drop(s["path"])
-    per = j.groupBy("claim_id", "path", "name", "line", "column").agg(
-        F.count("_name").alias("n"), F.max((F.col("line") == F.col("declaration_line")).cast("int")).alias("on_line"),
-        F.max(((F.col("line") == F.col("declaration_line")) & (F.col("column") == F.col("name_column"))).cast("int")).alias("on_column"),
-        F.max(F.col("line").between(F.col("declaration_line"), F.col("end_line")).cast("int")).alias("within"),
-    )
-    code = F.when(F.col("n") == 0, "unknown_symbol").when(F.coalesce("within", F.lit(0)) == 0, "outside_symbol").when(F.coalesce("on_line", F.lit(0)) == 0, "not_declaration_line").when(F.coalesce("on_column", F.lit(0)) == 0, "wrong_column")
-    return per.select("claim_id", code.alias("code")).where("code is not null")
+def _any(rows: DataFrame, key: str, **tests: Column) -> DataFrame:
+    """Per key, whether any row passes each test."""
+    return rows.groupBy(key).agg(*(F.max(F.coalesce(t, F.lit(False)).cast("int")).alias(name) for name, t in tests.items()))
+
+
+def location_issues(claims: DataFrame, citations: DataFrame, evidence: DataFrame, symbols: DataFrame, required: bool = False, precise: bool = False) -> DataFrame:
+    """(claim_id, code) of the places that claims give: claims (id, kind, evidence_id, path, symbol_name, declaration_line, operation_start_line, operation_end_line; no evidence_id: no place),
+    citations (claim_id, evidence_id, path, start_line, end_line), evidence (id, path), symbols (evidence_id, name, declaration_line, end_line)."""
+    e = evidence.select(F.col("id").alias("evidence_id"), F.col("path").alias("_path")).dropDuplicates(["evidence_id"])
+    s = symbols.groupBy("evidence_id", F.col("name").alias("symbol_name"), "declaration_line").agg(F.min("end_line").alias("_end"))
+    j = claims.join(e, "evidence_id", "left").join(s, ["evidence_id", "symbol_name", "declaration_line"], "left")
+    c = citations.select(F.col("claim_id").alias("id"), F.col("evidence_id").alias("_ce"), F.col("path").alias("_cp"), F.col("start_line").alias("_cs"), F.col("end_line").alias("_cl"))
+    mine = j.join(c, "id").where("_ce = evidence_id and _cp = _path")
+    at, first, last = F.col("declaration_line"), F.col("operation_start_line"), F.col("operation_end_line")
+    covered = _any(mine, "id", _decl=(F.col("_cs") <= at) & (F.col("_cl") >= at), _op=(F.col("_cs") <= first) & (F.col("_cl") >= last))
+    j = j.join(covered, "id", "left")
+    fact, placed, known, found = F.col("kind") == "FACT", F.col("evidence_id").isNotNull(), F.col("_path").isNotNull(), F.col("_end").isNotNull()
+    body = F.col("_end") - at
+    judged = placed & fact & known
+    whole = (first <= at + 1) & (last >= F.col("_end"))
+    codes = [
+        F.when(~placed & fact & F.lit(required), "missing_location"),
+        F.when(placed & ~fact, "location_requires_fact"),
+        F.when(placed & fact & ~known, "location_unknown_evidence"),
+        F.when(judged & (F.col("path") != F.col("_path")), "location_wrong_path"),
+        F.when(judged & ~found, "location_unknown_symbol"),
+        F.when(judged & found & ((first < at) | (last > F.col("_end")) | (last < first)), "location_operation_out_of_range"),
+        F.when(judged & found & F.lit(precise) & (body > 0) & (first == at), "location_operation_includes_declaration"),
+        F.when(judged & found & F.lit(precise) & ~((body > 0) & (first == at)) & (body > 1) & whole, "location_operation_is_whole_body"),
+        F.when(judged & found & (F.coalesce("_decl", F.lit(0)) == 0), "location_declaration_not_cited"),
+        F.when(judged & found & (F.coalesce("_op", F.lit(0)) == 0), "location_operation_not_cited"),
+    ]
+    return j.select(F.col("id").alias("claim_id"), F.explode(F.array_compact(F.array(*codes))).alias("code")).distinct()
 
 
 def boundary_holds(symbols: DataFrame, sources: DataFrame) -> DataFrame:
@@ -79,34 +104,110 @@ def boundary_holds(symbols: DataFrame, sources: DataFrame) -> DataFrame:
     return j.withColumn("holds", F.coalesce((at == F.col("name")) & whole, F.lit(False))).drop("lines")
 
 
-def strict_text_issues(claims: DataFrame, cited: DataFrame) -> DataFrame:
-    """unquoted_name: a name in backticks that no cited text (claim_id, text) has; uncited_line: a line number outside all cited lines (start_line, end_line)."""
-    names = claims.select(F.col("id").alias("claim_id"), F.explode(F.array_distinct(T.backticked(F.col("text")))).alias("name"))
-    has = names.join(cited.select("claim_id", F.col("text").alias("_t")), "claim_id", "left").groupBy("claim_id", "name").agg(F.max(F.contains("_t", "name").cast("int")).alias("has"))
-    lost = has.where("coalesce(has, 0) = 0").select("claim_id", F.lit("unquoted_name").alias("code"))
-    lines = claims.select(F.col("id").alias("claim_id"), F.explode(F.array_distinct(T.mentioned_lines(F.col("text")))).alias("line"))
-    inside = lines.join(cited.select("claim_id", "start_line", "end_line"), "claim_id", "left").groupBy("claim_id", "line").agg(F.max(F.col("line").between(F.col("start_line"), F.col("end_line")).cast("int")).alias("has"))
-    return lost.unionByName(inside.where("coalesce(has, 0) = 0").select("claim_id", F.lit("uncited_line").alias("code"))).distinct()
-
-
-def edit_issues(edits: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Codes of edits (claim_id, edit_id, path, start_line, end_line, old, new): no_place, old_differs, nothing_changes, unbalanced, overlap."""
-    e = evidence.select(F.col("path").alias("_p"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), "lines")
-    j = edits.join(e, (F.col("path") == F.col("_p")) & (F.col("start_line") >= F.col("_s")) & (F.col("end_line") <= F.col("_e")), "left")
-    old = T.window_of_lines(F.col("lines"), F.col("start_line") - F.col("_s") + 1, F.col("end_line") - F.col("_s") + 1)
-    per = j.withColumn("_same", (old == F.col("old")).cast("int")).groupBy(*edits.columns).agg(F.count("_p").alias("_n"), F.max("_same").alias("_same"))
-    before = F.max("end_line").over(Window.partitionBy("claim_id", "path").orderBy("start_line", "end_line", "edit_id").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.withColumn("_before", before)
-    codes = F.array_compact(
-        F.array(
-            F.when(F.col("_n") == 0, "no_place"),
-            F.when((F.col("_n") > 0) & (F.coalesce("_same", F.lit(0)) == 0), "old_differs"),
-            F.when(F.col("old") == F.col("new"), "nothing_changes"),
-            F.when(T.bracket_balance(F.col("old")) != T.bracket_balance(F.col("new")), "unbalanced"),
-            F.when(F.col("start_line") <= F.col("_before"), "overlap"),
-        )
+def strict_text_issues(claims: DataFrame, citations: DataFrame, evidence: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(claim_id, code) of what claims' texts say beyond what they cite: claims (id, kind, text), citations (claim_id, evidence_id, path, start_line, end_line), evidence (id, start_line, lines), symbols (evidence_id, name).
+
+    text_cites_uncited_line: a line that is mentioned and that no citation covers; text_quotes_uncited_code: code in
+    backticks that is no cited path or evidence and does not stand in the cited lines (of a LACUNA, a name that the
+    evidence shows passes); text_line_lacks_named_code: a sentence that names cited identifiers and lines, on none of
+    which any of these stands.
+    """
+    c = citations.select(F.col("claim_id").alias("id"), "evidence_id", F.col("path").alias("_cp"), F.col("start_line").alias("_cs"), F.col("end_line").alias("_cl"))
+    e = evidence.select(F.col("id").alias("evidence_id"), F.col("start_line").alias("_es"), F.col("lines").alias("_ls"))
+    cited = c.join(e, "evidence_id", "left").withColumn("_span", T.window_of_lines(F.col("_ls"), F.col("_cs") - F.col("_es") + 1, F.col("_cl") - F.col("_es") + 1))
+    lines = claims.select("id", F.explode(F.array_distinct(T.mentioned_lines(F.col("text")))).alias("line"))
+    seen = lines.join(c, "id", "left").groupBy("id", "line").agg(F.max(F.col("line").between(F.col("_cs"), F.col("_cl")).cast("int")).alias("_in"))
+    uncited = seen.where("coalesce(_in, 0) = 0").select("id").distinct()
+    whole = cited.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_cs", "_span")))["_span"], "\n").alias("_cited"), F.collect_set("_cp").alias("_paths"), F.collect_set(F.col("evidence_id").cast("string")).alias("_ids"))
+    every = evidence.agg(F.array_distinct(F.flatten(F.collect_set(T.identifiers(F.array_join("lines", "\n"))))))  # of one context
+    spans = claims.select("id", "kind", F.explode(F.array_distinct(T.backticked(F.col("text")))).alias("_raw")).withColumn("span", F.trim("_raw")).where("span <> ''").join(whole, "id", "left")
+    bare = F.regexp_replace("span", r"\(\)$", "")
+    shown = (F.col("kind") == "LACUNA") & bare.rlike(r"^\w+((::|\.)\w+)*$") & F.array_contains(F.col("_names"), F.regexp_extract(bare, r"(\w+)$", 1))
+    told = F.coalesce(F.array_contains("_paths", F.col("span")) | F.array_contains("_ids", F.col("span")), F.lit(False)) | T.appears(F.col("span"), F.coalesce("_cited", F.lit("")))
+    quoted = spans.withColumn("_names", every.scalar()).where(~told & ~F.coalesce(shown, F.lit(False))).select("id").distinct()
+    subjects = c.join(symbols.select("evidence_id", "name"), "evidence_id").groupBy("id").agg(F.collect_set("name").alias("_subjects")) if symbols is not None else None
+    rows = cited.select("id", F.posexplode_outer(F.split("_span", "\n")).alias("_i", "_line"), "_cs").select("id", (F.col("_cs") + F.col("_i")).alias("line"), T.identifiers(F.col("_line")).alias("_on")).where("line is not null")
+    said = claims.select("id", F.posexplode(T.sentences(F.col("text"))).alias("_s", "sentence")).join(uncited, "id", "left_anti")
+    words = rows.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("_on"))).alias("_words"))
+    said = said.join(words, "id").withColumn("named", F.array_intersect(T.identifiers(F.col("sentence")), F.col("_words"))).withColumn("line", F.explode(T.mentioned_lines(F.col("sentence"))))
+    if subjects is not None:
+        said = said.join(subjects, "id", "left").withColumn("_new", F.size(F.array_except("named", F.coalesce("_subjects", F.array().cast("array<string>")))) > 0)
+    else:
+        said = said.withColumn("_new", F.size("named") > 0)
+    placed = said.where("_new").join(rows, ["id", "line"], "left").groupBy("id", "_s").agg(F.max(F.coalesce(F.arrays_overlap("named", "_on"), F.lit(False)).cast("int")).alias("_hit"))
+    lacking = placed.where("_hit = 0").select("id").distinct()
+    of = lambda df, code: df.select(F.col("id").alias("claim_id"), F.lit(code).alias("code"))
+    return of(uncited, "text_cites_uncited_line").unionByName(of(quoted, "text_quotes_uncited_code")).unionByName(of(lacking, "text_line_lacks_named_code"))
+
+
+def _containing(evidence: DataFrame) -> DataFrame:
+    return evidence.select(F.col("path").alias("_p"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), F.col("lines").alias("_ls"))
+
+
+def patch_issues(claims: DataFrame, citations: DataFrame, evidence: DataFrame, allowed: bool = True) -> DataFrame:
+    """(claim_id, code) of the patches (unified diffs) of claims (id, kind, patch) against evidence (id, path, start_line, end_line, lines) and citations (claim_id, path, start_line, end_line)."""
+    p = claims.where("patch is not null")
+    of = lambda df, code: df.select(F.col("id").alias("claim_id"), F.lit(code).alias("code"))
+    if not allowed:
+        return of(p, "patch_not_allowed")
+    kind = of(p.where("kind <> 'HYPOTHESIS'"), "patch_requires_hypothesis")
+    own = p.where("kind = 'HYPOTHESIS'").withColumn("_hs", code_text.marked_hunks_of("patch"))
+    hunks = own.select("id", F.posexplode("_hs").alias("_n", "h")).select("id", "_n", "h.*").withColumn("n_old", F.size("old_lines"))
+    bad = ~F.col("ok") | ~F.col("changes")
+    malformed = own.where(F.size("_hs") == 0).select("id").unionByName(hunks.where(bad).select("id"))
+    e = _containing(evidence)
+    j = hunks.where(~bad).join(e, F.col("path") == F.col("_p"), "left")
+    inside = F.coalesce((F.col("_s") <= F.col("old_start")) & (F.col("old_start") + F.col("n_old") <= F.col("_e") + 1), F.lit(False))
+    there = F.slice("_ls", F.greatest(F.col("old_start") - F.col("_s") + 1, F.lit(1)).cast("int"), F.col("n_old"))
+    per = j.groupBy("id", "_n", "path", "old_start", "n_old", "removed").agg(
+        F.max(F.col("_p").isNotNull().cast("int")).alias("_path"), F.max(inside.cast("int")).alias("_in"), F.max(F.when(inside, (there == F.col("old_lines")).cast("int"))).alias("_fits")
     )
-    return per.select("claim_id", "edit_id", F.explode(codes).alias("code"))
+    anchors = per.where("_in = 1").withColumn("_pure", F.size("removed") == 0)
+    numbers = F.when(F.col("_pure"), F.sequence(F.col("old_start"), F.col("old_start") + F.greatest(F.col("n_old"), F.lit(1)) - 1)).otherwise(F.col("removed"))
+    each = anchors.select("id", "_n", "path", "_pure", F.explode(numbers).alias("line"))
+    c = citations.select(F.col("claim_id").alias("id"), "path", F.col("start_line").alias("_cs"), F.col("end_line").alias("_cl"))
+    cited = each.join(c, ["id", "path"], "left").groupBy("id", "_n", "_pure", "line").agg(F.max(F.coalesce(F.col("line").between(F.col("_cs"), F.col("_cl")), F.lit(False)).cast("int")).alias("_c"))
+    uncited = cited.groupBy("id", "_n", "_pure").agg(F.max("_c").alias("_any"), F.min("_c").alias("_all")).where("(_pure and _any = 0) or (not _pure and _all = 0)")
+    parts = [kind, of(malformed, "patch_malformed"), of(per.where("_path = 0"), "patch_unknown_path"), of(per.where("_path = 1 and _in = 0"), "patch_outside_evidence"), of(per.where("_in = 1 and _fits = 0"), "patch_does_not_apply"), of(uncited, "patch_changes_uncited_lines")]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def edit_issues(claims: DataFrame, edits: DataFrame, citations: DataFrame, evidence: DataFrame, symbols: DataFrame, allowed: bool = True) -> DataFrame:
+    """(claim_id, code) of edits (claim_id, edit_no, op, path, start_line, end_line, new_lines) of claims (id, kind, has_edits) against evidence (path, start_line, end_line, lines), citations (claim_id, path, start_line, end_line) and symbols (path, declaration_line, end_line)."""
+    of = lambda df, code: df.select(F.col("id").alias("claim_id"), F.lit(code).alias("code"))
+    with_edits = claims.where("has_edits")
+    if not allowed:
+        return of(with_edits, "edits_not_allowed")
+    kind = of(with_edits.where("kind <> 'HYPOTHESIS'"), "edits_require_hypothesis")
+    own = with_edits.where("kind = 'HYPOTHESIS'").select("id")
+    rows = own.join(edits.withColumnRenamed("claim_id", "id"), "id")
+    empty = own.join(rows.select("id"), "id", "left_anti")
+    replaces = F.col("op").isin("replace", "rewrite")
+    shape = F.col("op").isin("replace", "rewrite", "insert_before", "insert_after") & (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (replaces | (F.col("end_line") == F.col("start_line")))
+    shape = shape & ~F.exists("new_lines", lambda x: x.contains("\n") | x.contains("\r"))
+    good = rows.where(shape)
+    j = good.join(_containing(evidence), F.col("path") == F.col("_p"), "left")
+    inside = F.coalesce((F.col("_s") <= F.col("start_line")) & (F.col("end_line") <= F.col("_e")), F.lit(False))
+    old = F.slice("_ls", F.greatest(F.col("start_line") - F.col("_s") + 1, F.lit(1)).cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int"))
+    keys = ["id", "edit_no", "op", "path", "start_line", "end_line", "new_lines"]
+    per = j.groupBy(*keys).agg(F.max(F.col("_p").isNotNull().cast("int")).alias("_path"), F.max(inside.cast("int")).alias("_in"), F.max(F.when(inside, old)).alias("_old"))
+    placed = per.where("_in = 1")
+    lines = placed.where("op = 'replace'").select("id", "edit_no", "path", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    c = citations.select(F.col("claim_id").alias("id"), "path", F.col("start_line").alias("_cs"), F.col("end_line").alias("_cl"))
+    cited = lines.join(c, ["id", "path"], "left").groupBy("id", "edit_no", "line").agg(F.max(F.coalesce(F.col("line").between(F.col("_cs"), F.col("_cl")), F.lit(False)).cast("int")).alias("_c"))
+    same = F.when(replaces, F.col("_old") == F.col("new_lines")).otherwise(F.size("new_lines") == 0)
+    text = lambda x: F.array_join(x, "\n")
+    removed = F.when(replaces, T.bracket_balance(text("_old"))).otherwise(T.bracket_balance(F.lit("")))
+    s = symbols.select(F.col("path").alias("_sp"), F.col("declaration_line").alias("_sd"), F.col("end_line").alias("_se"))
+    marks = placed.where("op = 'rewrite'").join(s, F.col("path") == F.col("_sp"), "left").groupBy("id", "edit_no").agg(F.count("_sp").alias("_n"), F.max(((F.col("start_line") <= F.col("_sd")) & (F.col("end_line") == F.col("_se"))).cast("int")).alias("_whole"))
+    previous = F.lag("end_line").over(Window.partitionBy("id", "path").orderBy("start_line", "end_line", "edit_no"))
+    crossing = rows.withColumn("_before", previous).where(F.col("start_line") <= F.col("_before"))
+    parts = [
+        kind, of(empty, "edits_malformed"), of(rows.where(~shape), "edits_malformed"), of(per.where("_path = 0"), "edits_unknown_path"), of(per.where("_path = 1 and _in = 0"), "edits_outside_evidence"),
+        of(cited.where("_c = 0"), "edits_change_uncited_lines"), of(placed.where(same), "edits_no_change"), of(marks.where("_n > 0 and coalesce(_whole, 0) = 0"), "edits_rewrite_not_whole_declaration"),
+        of(placed.where(removed != T.bracket_balance(text("new_lines"))), "edits_unbalanced"), of(crossing, "edits_overlap"),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def unique_run(quotes: DataFrame, evidence_lines: DataFrame) -> DataFrame:

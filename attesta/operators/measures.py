@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import code_text
+from attesta.operators import intervals
+
 #: The line's mark where none is given.
 MARK = "attesta-measure"
 #: The thresholds of the gate in percent.
@@ -210,3 +213,119 @@ def relevant_callers(links: DataFrame, counts: DataFrame) -> DataFrame:
     order = Window.partitionBy("target").orderBy(F.desc("calls"), "caller")
     many = F.col("calls") * 20 >= F.col("_t")
     return j.withColumn("_r", F.row_number().over(order)).where(many | (F.col("_r") == 1)).select("target", "caller", "calls")
+
+
+#: Kinds that are counted, and the language whose functions get a counter.
+MEASURED_KINDS, MEASURED_LANGUAGE = ("function", "method", "trait_method"), "rust"
+#: Resolutions that link a call, and kinds of targets that a call makes an instance of.
+LINKED, INSTANTIATED = ("unique", "receiver", "type", "trait_default", "import", "chosen"), ("class", "struct", "variant")
+#: What a fact depends on, from the mildest to the worst.
+SEVERITIES = ("independent", "right", "suspect", "wrong")
+
+
+def can_place(sources: DataFrame) -> DataFrame:
+    """One row: whether there is a source of the language whose functions can be counted."""
+    return sources.agg(F.coalesce(F.bool_or(F.col("language") == MEASURED_LANGUAGE), F.lit(False)).alias("can_place"))
+
+
+def instrumentation_plan(symbols: DataFrame, statement: str, skipped: list[str]) -> DataFrame:
+    """(id, reason, brace) of the counted kinds of ``symbols`` (id, kind, language, is_test, path, text: what the declaration spans).
+
+    Reasons, the first that holds: not_classified, language_not_supported, test, skipped_path, no_body, const_fn,
+    already_counts; a function without a reason gets the statement after the bracket at byte ``brace`` of its text.
+    """
+    marker = statement.strip().rstrip(";").strip()
+    own = symbols.where(F.col("kind").isin(*MEASURED_KINDS)).withColumn("_b", code_text.body_braces_of("text"))
+    head, body = F.substring(F.col("text"), F.lit(1), F.col("_b")), F.substring(F.col("text"), F.col("_b") + 1, F.length("text"))
+    left_out = F.lit(False)
+    for prefix in skipped:
+        left_out = left_out | F.col("path").startswith(prefix)
+    reason = (
+        F.when(F.col("language").isNull(), "not_classified").when(F.col("language") != MEASURED_LANGUAGE, "language_not_supported").when(F.col("text").isNull(), "not_classified")
+        .when(F.col("is_test"), "test").when(left_out, "skipped_path").when(F.col("_b").isNull(), "no_body").when(head.rlike(r"(^|\s)const\s+fn(\s|$)"), "const_fn").when(F.contains(body, F.lit(marker)), "already_counts")
+    )
+    return own.select("id", reason.alias("reason"), F.when(reason.isNull(), F.octet_length(head)).alias("brace"))
+
+
+def count_kinds(rows: DataFrame, planned: DataFrame | None) -> DataFrame:
+    """Counted lines (symbol, at) with count_kind: several_lines where the function has more than one, entry_calls on a
+    planned line of just this function, own_counter off the plan, unknown without a function, a line or a plan."""
+    lines = F.when(F.col("symbol").isNotNull(), F.count("*").over(Window.partitionBy("symbol")))
+    out = rows.withColumn("_lines", lines)
+    if planned is None:
+        kind = F.lit("unknown")
+    else:
+        per = planned.groupBy("at").agg(F.count("*").alias("_n"), F.max("symbol").alias("_s"))
+        out = out.join(per, "at", "left")
+        kind = F.when(F.col("_n").isNull(), "own_counter").when((F.col("_n") == 1) & (F.col("_s") == F.col("symbol")), "entry_calls").otherwise("unknown")
+    kind = F.when(F.col("symbol").isNull() | F.col("at").isNull(), "unknown").when(F.col("_lines") > 1, "several_lines").otherwise(kind)
+    return out.select(*rows.columns, kind.alias("count_kind"))
+
+
+def call_pool(occurrences: DataFrame) -> DataFrame:
+    """Calls ``object.method()`` of functions and methods outside tests, but for ``self.m()``: occurrences (id, kind, label, path, owner_kind, owner_name)."""
+    own = (F.col("kind") == "method_call_observed") & F.col("owner_kind").rlike("function|method")
+    tests = F.col("path").rlike(r"(^|/)tests?/|test_|_test\.|/benches/") | F.col("owner_name").contains("test")
+    return occurrences.where(own & ~tests & F.col("label").rlike(r"^[A-Za-z_][\w.]*\.\w+\(") & ~F.col("label").rlike(r"^self\.\w+\("))
+
+
+def sample_classes(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """(call_id, category) of answers (call_id, resolution, relation, targets: array of label and kind) by truth (call_id, target, bodies, relation):
+    right, false_link, false_candidates, ambiguous, no_candidate.  ``bodies`` lists what may run where no single target is right."""
+    t = truth.select("call_id", F.col("target").alias("_t"), F.col("bodies").alias("_bodies"), F.coalesce("relation", F.lit("")).alias("_r"))
+    j = answers.join(t, "call_id").withColumn("_shown", F.transform("targets", lambda x: x["label"]))
+    any_body, several = F.arrays_overlap("_shown", "_bodies"), F.col("_bodies").isNotNull()
+    right = F.coalesce(F.array_contains("_shown", F.col("_t")), F.lit(False))
+    linked = F.col("resolution").isin(*LINKED)
+    decorates = F.col("_r") == "decorates"
+    made = (F.size("targets") == 1) & F.get(F.col("targets"), F.lit(0))["kind"].isin(*INSTANTIATED)
+    wrong_relation = (decorates != (F.coalesce("relation", F.lit("")) == "decorates")) | (~decorates & made & (F.coalesce("relation", F.lit("")) != "instantiates"))
+    category = (
+        F.when(F.col("resolution") == "no_candidate_in_project", "no_candidate")
+        .when(several & (F.col("resolution") == "above_candidate_limit"), "ambiguous").when(several & (F.col("resolution") == "homonym"), F.when(any_body, "ambiguous").otherwise("false_candidates")).when(several, "false_link")
+        .when(F.col("resolution") == "above_candidate_limit", F.when(F.col("_t").isNotNull(), "ambiguous").otherwise("false_candidates"))
+        .when(F.col("resolution") == "homonym", F.when(right, "ambiguous").otherwise("false_candidates"))
+        .when(linked & wrong_relation, "false_link").when(linked, F.when((F.size("_shown") == 1) & right, "right").otherwise("false_link"))
+    )
+    return j.select("call_id", category.alias("category"))
+
+
+def fact_severities(calls: DataFrame, truth: DataFrame) -> DataFrame:
+    """(fact_id, worst) of facts that rest on calls (fact_id, call_id, resolution, labels; a null resolution: no answer) by truth (call_id, target): the worst of their calls."""
+    j = calls.join(truth.select("call_id", F.col("target").alias("_t")), "call_id", "left")
+    right = F.coalesce(F.array_contains("labels", F.col("_t")), F.lit(False))
+    none = F.col("resolution").isNull() | F.col("resolution").isin("no_candidate_in_project", "above_candidate_limit")
+    level = F.when(none, 0).when(F.col("resolution") == "homonym", F.when(right, 2).otherwise(3)).otherwise(F.when((F.size("labels") == 1) & right, 1).otherwise(3))
+    worst = j.groupBy("fact_id").agg(F.max(level).alias("_w"))
+    return worst.select("fact_id", F.element_at(F.array(*map(F.lit, SEVERITIES)), F.col("_w") + 1).alias("worst"))
+
+
+def level_states(cases: DataFrame, now: DataFrame) -> DataFrame:
+    """(id, state) of cases (id, resolution, candidates, targets: as recorded; aim, aim_resolution, was_right) against what is found now (id, resolution, candidates, targets): not_found, on_target, on_target_before, as_recorded, changed."""
+    n = now.select("id", F.col("resolution").alias("_r"), F.col("candidates").alias("_c"), F.array_sort("targets").alias("_t"))
+    j = cases.join(n, "id", "left")
+    same = (F.col("_r") == F.col("resolution")) & F.col("_c").eqNullSafe(F.col("candidates")) & (F.col("_t") == F.array_sort("targets"))
+    reached = (F.size("_t") == 1) & (F.get(F.col("_t"), F.lit(0)) == F.col("aim")) & (F.col("_r") == F.col("aim_resolution"))
+    state = F.when(F.col("_r").isNull(), "not_found").when(reached, F.when(F.col("was_right"), "on_target_before").otherwise("on_target")).when(same, "as_recorded").otherwise("changed")
+    return j.select("id", state.alias("state"))
+
+
+def counted_text() -> Column:
+    """A count in words, by what its line can be said to be (calls, at, count_kind)."""
+    n, line = F.format_number("calls", 0), F.regexp_extract("at", r":(\d+)$", 1)
+    kind = F.col("count_kind")
+    return (
+        F.when(kind == "entry_calls", F.concat(n, F.lit(" calls"))).when(kind == "own_counter", F.concat(n, F.lit(" passes of line "), line, F.lit(", by the project's own counter")))
+        .when(kind == "several_lines", F.concat(n, F.lit(" passes of line "), line, F.lit(", one of several that are counted"))).otherwise(F.concat(F.lit("an observed count of "), n))
+    )
+
+
+def hotspot_report(stats: DataFrame, symbols: DataFrame, planned: DataFrame, links: DataFrame) -> DataFrame:
+    """Counted lines (path, line, calls, cpu_ms) with the innermost function that holds each (symbols: path, start_line, end_line, symbol), the kind
+    of its count by the plan (at, symbol), and how many counted functions call it (links: caller, target)."""
+    held = intervals.holder(stats.select("path", "line").distinct(), symbols, "path", "line", "symbol").withColumnRenamed("holder", "symbol")
+    rows = stats.join(held, ["path", "line"], "left").withColumn("at", F.concat_ws(":", "path", "line"))
+    rows = count_kinds(rows.select("path", "line", "at", "symbol", "calls", "cpu_ms"), planned)
+    counted = rows.where("symbol is not null").select(F.col("symbol").alias("caller")).distinct()
+    callers = links.where("caller <> target").select("caller", "target").distinct().join(counted, "caller", "left_semi").groupBy(F.col("target").alias("symbol")).agg(F.count("*").alias("n_callers"))
+    return rows.join(callers, "symbol", "left").fillna(0, ["n_callers"])

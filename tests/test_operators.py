@@ -133,10 +133,14 @@ def test_claims_against_evidence(spark):
     df = spark.createDataFrame(cites, "claim_id string, evidence_id string, path string, start_line int, end_line int, quote string")
     got = {r.claim_id: r.code for r in claims.citation_issues(df, evidence).collect()}
     assert got == {"2": "wrong_path", "3": "unknown_evidence", "4": "outside_evidence", "5": "quote_differs", "6": "outside_evidence"}
-    edits = [("1", 1, "p", 10, 10, "a", "z"), ("1", 2, "p", 10, 11, "a\nb", "("), ("2", 1, "p", 12, 12, "x", "x"), ("3", 1, "r", 1, 1, "a", "b")]
-    e = spark.createDataFrame(edits, "claim_id string, edit_id int, path string, start_line int, end_line int, old string, new string")
-    found = {(r.claim_id, r.edit_id, r.code) for r in claims.edit_issues(e, evidence).collect()}
-    assert found == {("1", 2, "overlap"), ("1", 2, "unbalanced"), ("2", 1, "old_differs"), ("2", 1, "nothing_changes"), ("3", 1, "no_place")}
+    rows = [("1", True), ("2", True), ("3", True), ("4", False)]
+    made = spark.createDataFrame([(i, "HYPOTHESIS", e) for i, e in rows], "id string, kind string, has_edits boolean")
+    edits = [("1", 1, "replace", "p", 10, 10, ["z"]), ("1", 2, "replace", "p", 10, 11, ["("]), ("2", 1, "replace", "p", 12, 12, ["c"]), ("3", 1, "replace", "r", 1, 1, ["b"])]
+    e = spark.createDataFrame(edits, "claim_id string, edit_no int, op string, path string, start_line int, end_line int, new_lines array<string>")
+    said = spark.createDataFrame([("1", "p", 10, 11)], "claim_id string, path string, start_line int, end_line int")
+    found = {(r.claim_id, r.code) for r in claims.edit_issues(made, e, said, evidence, spark.createDataFrame([], "path string, declaration_line int, end_line int")).collect()}
+    assert found == {("1", "edits_overlap"), ("1", "edits_unbalanced"), ("2", "edits_no_change"), ("2", "edits_change_uncited_lines"), ("3", "edits_unknown_path")}
+    assert {r.code for r in claims.edit_issues(made, e, said, evidence, evidence.select("path", evidence["start_line"].alias("declaration_line"), "end_line"), allowed=False).collect()} == {"edits_not_allowed"}
 
 
 def test_compared_answers(spark):
