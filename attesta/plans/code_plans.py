@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.functions import text as T
 from attesta.operators import code, envelope, graph, intervals, inventory, resolve
 from attesta.plans.registry import RULES, candidate_kinds
-from attesta.plans.tables import table
+from attesta.plans.tables import EVENT_LOG, event_log, table
+from attesta.session import let_workers_import
 from attesta.sources import editions
-from attesta.storage import save
+from attesta.storage import arrow_files, new_path, save
 
 #: A Python file; ``#`` stands for the part's key, ``@`` for a third of it and ``$`` for its size.  Every seventh part's file is broken, every fifth's run is a test.
 PYTHON = """import re
@@ -319,10 +322,90 @@ def code_behavior(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(t["symbols"].select("id", "qualified_name"), "id").select("qualified_name", "fact", "n")
 
 
+def _tree(spark: SparkSession, d: str) -> str:
+    """The project written as files, some of them in folders that are skipped, below a folder whose name means something to a pattern."""
+    root = new_path(spark, "c++ (tree)")
+    let_workers_import(spark)
+
+    def write(batches):  # noqa: ANN001, ANN202
+        files, at = arrow_files(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                files.create_dir(f"{at}/{path}".rsplit("/", 1)[0], recursive=True)
+                with files.open_output_stream(f"{at}/{path}") as out:
+                    out.write(content)
+            yield batch.select(["path"])
+
+    p = project(spark, d)
+    skipped = p.where("path like 's%'").withColumn("path", F.concat(F.lit("target/"), "path"))
+    hidden = p.where("path like 's%'").withColumn("path", F.concat(F.lit(".git/"), "path"))
+    notes = p.where("path like 's%'").withColumn("path", F.concat("path", F.lit(".txt")))
+    p.unionByName(skipped).unionByName(hidden).unionByName(notes).select("path", "content").mapInArrow(write, "path string").count()
+    return root
+
+
+def tree_scan(spark: SparkSession, d: str) -> DataFrame:
+    """What a scan of the project's files reads, with a folder named that is skipped else; and the inputs that it suggests."""
+    root = _tree(spark, d)
+    every = editions.read_tree(spark, root).select(F.lit("all").alias("scan"), "path", "sha256", "byte_len")
+    named = editions.read_tree(spark, root, ["target"]).select(F.lit("target").alias("scan"), "path", "sha256", "byte_len")
+    return every.unionByName(named)
+
+
+def suggested_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return editions.suggested_inputs(editions.sources_of(project(spark, d)))
+
+
+def edition_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of an edition's tables, written, read back and verified against its stored contents."""
+    destination = new_path(spark, "edition")
+    manifest = editions.write_sources(editions.sources_of(project(spark, d)), destination)
+    tables = editions.read_edition(spark, destination, verify=True)
+    rows = [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in tables.items()]
+    counted = [(f"{n}_count", manifest[f"{n}_count"]) for n in ("source", "symbol", "diagnostic")]
+    return reduce(DataFrame.unionByName, rows).unionByName(spark.createDataFrame(counted, "name string, n long"))
+
+
+def graph_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A stored graph against the one built anew."""
+    t = _tables(spark, d)
+    e = _edges(spark, t)
+    folder = new_path(spark, "graph")
+    editions.write_graph(e, folder)
+    return editions.verify_graph(spark, folder, e)
+
+
+def bundle_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a bundle's parts, read back."""
+    folder = new_path(spark, "bundle")
+    p = project(spark, d)
+    editions.write_bundle({"dossier": p.select("path"), "question": p.where("path like 's%'").select("path")}, p.select("path").limit(0), folder)
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{folder}/{n}").select(F.lit(n).alias("part"), "path") for n in ("dossier", "question", "origin")])
+
+
+def log_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The fact log appended in two parts and read back, and its lines as they stand."""
+    folder = new_path(spark, "log")
+    log = event_log(spark, d).select("seq", "event", "id", "kind")
+    editions.append_jsonl(log.where("event = 'promoted'"), folder)
+    editions.append_jsonl(log.where("event <> 'promoted'"), folder)
+    read = editions.read_jsonl(spark, folder, "seq long, event string, id string, kind string")
+    lines = spark.read.text(folder).select(F.get_json_object("value", "$.seq").cast("long").alias("seq"), F.sha2("value", 256).alias("line_sha256"))
+    return read.join(lines, "seq")
+
+
+def project_settings(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of projects made of suppliers, as the engine reads them."""
+    n = F.col("s_suppkey").cast("string")
+    value = F.concat(F.lit('{"measures": {"m'), n, F.lit('": {"means": "x", "better": "lower"}}, "commands": {"go": {"argv": ["run", "'), n, F.lit('"], "timeout_s": 9, "repeat": 2}}, "protected": ["src/'), n, F.lit('"], "other": 1}'))
+    p = editions.project_profile(table(spark, d, "supplier").select(value.alias("value")))
+    return p.select(F.map_keys("measures")[0].alias("measure"), F.map_values("measures")[0]["better"].alias("better"), F.array_join(F.col("commands")["go"]["argv"], " ").alias("argv"), F.col("commands")["go"]["repeat"].cast("long").alias("repeat"), F.array_join("protected", ",").alias("protected"))
+
+
 QUERIES = {f.__name__: f for f in (
     code_symbols, code_occurrences, code_bindings, code_diagnostics, code_edges, code_projection, code_calls, code_entries, code_walks, code_inventory, code_rule_hits, code_repeated_calls,
     code_symbol_operations, code_through_calls, code_whole_each_turn, code_summary, code_places, code_hot_operations, code_owner_methods, code_trait_impls, code_field_writers, code_headers,
-    code_first_returns, code_around, code_behavior,
+    code_first_returns, code_around, code_behavior, tree_scan, suggested_inputs, edition_round_trip, graph_round_trip, bundle_parts, log_round_trip, project_settings,
 )}
 
 #: The files that are whole, and the number of those that share a method's name.
@@ -379,7 +462,20 @@ _FOUND = _rows("py", "rule operation text in_loop owner path line", [
 ]) + " UNION ALL " + _rows("rs", "rule operation text in_loop owner path line", ["'collect' | 'allocation' | 'x.clone()' | true | 'impl View' || k || '::draw' || k | path | 3"])
 _WITH = f"WITH {_FILES}, sym AS ({_SYMBOLS}), occ AS ({_OCCURRENCES}), cal AS ({_CALLS}), fnd AS ({_FOUND})"
 
+_CONTENT = "files AS (SELECT 'p' || p_size || '/m' || p_partkey || '.py' AS path, CASE WHEN p_partkey % 7 = 0 THEN {broken} ELSE replace(replace(replace(CASE WHEN p_partkey % 5 = 0 THEN replace({python}, 'def run', 'def test_run') ELSE {python} END, '#', CAST(p_partkey AS VARCHAR)), '@', CAST(p_partkey // 3 AS VARCHAR)), '$', CAST(p_size AS VARCHAR)) END AS t FROM part UNION ALL SELECT 's' || s_nationkey || '/v' || s_suppkey || '.rs', replace({rust}, '#', CAST(s_suppkey AS VARCHAR)) FROM supplier)".format(
+    **{k: "'" + v.replace("'", "''") + "'" for k, v in (("broken", BROKEN), ("python", PYTHON), ("rust", RUST))}
+)
+
 ORACLE_SQL = {
+    "tree_scan": f"WITH {_CONTENT} SELECT 'all' AS scan, path, sha256(t) AS sha256, CAST(strlen(t) AS BIGINT) AS byte_len FROM files UNION ALL SELECT 'target', 'target/' || path, sha256(t), CAST(strlen(t) AS BIGINT) FROM files WHERE path LIKE 's%'",
+    "suggested_inputs": "SELECT DISTINCT 'p' || p_size AS input FROM part UNION SELECT DISTINCT 's' || s_nationkey FROM supplier",
+    "edition_round_trip": f"""{_WITH}, c AS (SELECT (SELECT count(*) FROM part) AS np, (SELECT count(*) FROM py) AS good, (SELECT count(*) FROM rs) AS nr, (SELECT count(*) FROM sym) AS sy, (SELECT CAST(sum(n) AS BIGINT) FROM occ) AS oc)
+SELECT u.name, u.n FROM c, unnest([{{'name': 'sources', 'n': np + nr}}, {{'name': 'symbols', 'n': sy}}, {{'name': 'occurrences', 'n': oc}}, {{'name': 'bindings', 'n': 15 * good}}, {{'name': 'diagnostics', 'n': np - good}},
+  {{'name': 'source_count', 'n': np + nr}}, {{'name': 'symbol_count', 'n': sy}}, {{'name': 'diagnostic_count', 'n': np - good}}]) AS t(u)""",
+    "graph_round_trip": "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, true AS equal",
+    "bundle_parts": f"WITH {_CONTENT} SELECT 'dossier' AS part, path FROM files UNION ALL SELECT 'question', path FROM files WHERE path LIKE 's%'",
+    "log_round_trip": f"""WITH {EVENT_LOG} SELECT seq, event, id, kind, sha256('{{"seq":' || seq || ',"event":"' || event || '","id":"' || id || '","kind":"' || kind || '"}}') AS line_sha256 FROM log""",
+    "project_settings": "SELECT 'm' || s_suppkey AS measure, 'lower' AS better, 'run ' || s_suppkey AS argv, CAST(2 AS BIGINT) AS repeat, 'src/' || s_suppkey AS protected FROM supplier",
     "code_symbols": f"{_WITH} SELECT qualified_name, kind, is_test, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line FROM sym",
     "code_occurrences": f"{_WITH} SELECT path, kind, CAST(line AS BIGINT) AS line, candidate, CAST(n AS BIGINT) AS n FROM occ",
     "code_bindings": f"""WITH {_FILES} SELECT path, CAST(line AS BIGINT) AS line, head, dotted, is_local FROM ({_rows("py", "path line head dotted is_local", [

@@ -1,7 +1,7 @@
 """Source trees as editions: immutable tables of sources, declarations, occurrences and diagnostics.
 
-A tree is read with Spark's binaryFile source, each file once; extraction runs
-in the executors, one file at a time.  An edition is written create-only and
+A tree is listed and read by tasks, each file once; extraction runs in the
+executors, one file at a time.  An edition is written create-only and
 its manifest last, so a folder without a manifest is no edition.  Reading it
 again can verify it: tables are computed anew from the stored contents and must
 be equal, row for row.
@@ -10,10 +10,13 @@ be equal, row for row.
 from __future__ import annotations
 
 import json
+import os
 import subprocess
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ from attesta.functions import text as T
 from attesta.operators import records
 from attesta.plans.registry import profile
 from attesta.session import let_workers_import
+from attesta.storage import arrow_files, save
 
 _SYMBOL = "id string, source_id string, name string, qualified_name string, kind string, is_test boolean, top_level boolean, start bigint, `end` bigint, start_line bigint, end_line bigint, sha256 string"
 _OCCURRENCE = "id string, source_id string, kind string, start bigint, `end` bigint, candidate string, rule string, label string"
@@ -30,31 +34,63 @@ _EXTRACTED = f"source_id string, symbols array<struct<{_SYMBOL.replace(' ', ':')
 TABLES = ("sources", "symbols", "occurrences", "bindings", "diagnostics")
 
 
-def read_tree(spark: SparkSession, root: str, inputs: list[str] | None = None, profile_name: str = "V9") -> DataFrame:
-    """(id, path, sha256, byte_len, language, content) of the files under ``root``.
+def list_tree(spark: SparkSession, root: str, inputs: list[str] | None = None, profile_name: str = "V9") -> DataFrame:
+    """(uri, path) of the files under ``root`` that the profile reads; no file's content is read, and skipped folders are not entered.
 
-    ``inputs`` are relative paths; a folder named there is read even if its name
-    is one that is skipped, and a file named there is kept whatever it is.
+    ``inputs`` are relative paths; a folder named there is entered even if its
+    name is one that is skipped, and a file named there is kept whatever it is.
+    Folders are listed by tasks, a level of the tree at a time.
     """
+    let_workers_import(spark)
     p = profile(profile_name)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.split("://", 1)[-1].rstrip("/")
-    path = F.regexp_extract("path", rf".*?{base}/(.*)$", 1)
-    rows = files.select(path.alias("path"), "content").where(T.path_is_safe(F.col("path")))
-    folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
-    skipped = F.arrays_overlap(folders, F.array(*map(F.lit, p.skipped_dirs))) | F.exists(folders, lambda f: f.startswith("."))
-    found = ~skipped & T.language_of(F.col("path")).isin(*p.languages)
-    if inputs:
-        named = [i.rstrip("/") for i in inputs]
-        explicit = F.col("path").isin(*named)
-        below = F.lit(False)
-        for i in named:
-            rest = F.split(F.substring(F.col("path"), len(i) + 2, 1 << 20), "/")
-            deep = F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0)))
-            fine = ~F.arrays_overlap(deep, F.array(*map(F.lit, p.skipped_dirs))) & T.language_of(F.col("path")).isin(*p.languages)
-            below = below | (F.col("path").startswith(i + "/") & fine)
-        found = explicit | below
-    return sources_of(rows.where(found))
+    base = root.rstrip("/")
+    if "://" not in base:
+        base = "file://" + os.path.abspath(base)
+    named = [i.strip("/") for i in inputs or []]
+    skipped, languages = set(p.skipped_dirs), set(p.languages)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, at = arrow_files(base)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                listed = where.get_file_info(pyarrow.fs.FileSelector(f"{at}/{folder}".rstrip("/")))
+                rows = [((f"{folder}/" if folder else "") + f.base_name, f.type == pyarrow.fs.FileType.Directory) for f in sorted(listed, key=lambda f: f.path)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], names=["path", "is_dir"])
+
+    name = F.element_at(F.split("path", "/"), -1)
+    asked = F.col("path").isin(*named) if named else F.lit(False)
+    toward = F.lit(not named)  # a named input may lie below a folder, or hold it
+    for i in named:
+        toward = toward | F.col("path").startswith(i + "/") | (F.col("path") == i) | F.lit(i).startswith(F.concat("path", F.lit("/")))
+    enters = asked | (toward & ~name.isin(*skipped) & ~name.startswith("."))
+    for i in named:
+        enters = enters | F.lit(i).startswith(F.concat("path", F.lit("/")))
+    found, level = [], spark.createDataFrame([("",)], "path string")
+    while True:
+        listed = save(level.repartition(max(1, min(level.count(), 1000))).mapInArrow(entries, "path string, is_dir boolean"), "listed")
+        found.append(listed.where(~F.col("is_dir")).select("path"))
+        level = listed.where(F.col("is_dir") & enters).select("path")
+        if level.isEmpty():
+            break
+    below = F.lit(not named)
+    for i in named:
+        below = below | F.col("path").startswith(i + "/")
+    readable = T.path_is_safe(F.col("path")) & (asked | (below & T.language_of(F.col("path")).isin(*languages)))
+    return reduce(DataFrame.unionByName, found).where(readable).select(F.concat(F.lit(base + "/"), "path").alias("uri"), "path")
+
+
+def read_tree(spark: SparkSession, root: str, inputs: list[str] | None = None, profile_name: str = "V9") -> DataFrame:
+    """(id, path, sha256, byte_len, language, content) of the files that ``list_tree`` finds, each opened once, by tasks."""
+    files = list_tree(spark, root, inputs, profile_name)
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                where, at = arrow_files(uri)
+                with where.open_input_file(at) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], names=["path", "content"])
+
+    return sources_of(files.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(contents, "path string, content binary"))
 
 
 def sources_of(files: DataFrame) -> DataFrame:
@@ -122,7 +158,12 @@ def digest(table: DataFrame) -> str:
 
 def write_edition(spark: SparkSession, root: str, destination: str, inputs: list[str] | None = None, profile_name: str = "V9") -> dict:
     """Write an edition of ``root`` to a new folder; returns its manifest."""
-    sources = read_tree(spark, root, inputs, profile_name)
+    return write_sources(read_tree(spark, root, inputs, profile_name), destination, inputs, profile_name, git_metadata(root))
+
+
+def write_sources(sources: DataFrame, destination: str, inputs: list[str] | None = None, profile_name: str = "V9", git: dict | None = None) -> dict:
+    """Write an edition of source rows to a new folder, the manifest last; returns it."""
+    spark = sources.sparkSession
     sources.write.mode("errorifexists").parquet(f"{destination}/snapshots")
     stored = spark.read.parquet(f"{destination}/snapshots")
     if stored.isEmpty():
@@ -132,12 +173,31 @@ def write_edition(spark: SparkSession, root: str, destination: str, inputs: list
     for name, t in tables.items():
         t.write.mode("errorifexists").parquet(f"{destination}/{name}")
     written = {name: spark.read.parquet(f"{destination}/{name}") for name in tables}
-    manifest = {"schema_version": 1, "extractor": profile(profile_name).identity, "config": {"inputs": inputs or []}, "git": git_metadata(root), "files": {n: digest(t) for n, t in written.items()},
+    manifest = {"schema_version": 1, "extractor": profile(profile_name).identity, "config": {"inputs": inputs or []}, "git": git, "files": {n: digest(t) for n, t in written.items()},
                 "source_count": written["sources"].count(), "symbol_count": written["symbols"].count(), "diagnostic_count": written["diagnostics"].count()}
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(f"{destination}/manifest")
     return manifest
 
 
+def write_graph(edges: DataFrame, destination: str, version: int = 1) -> None:
+    """Store a graph's edges with the version of their contract; nothing that is there is overwritten."""
+    edges.withColumn("schema_version", F.lit(version)).write.mode("errorifexists").parquet(destination)
+
+
+def verify_graph(spark: SparkSession, folder: str, rebuilt: DataFrame, versions: tuple[int, ...] = (1,)) -> DataFrame:
+    """One row: missing, extra and equal of a stored graph against one built anew; a version that no contract has is an error."""
+    stored = spark.read.parquet(folder)
+    unknown = F.when(~F.col("schema_version").isin(*versions), F.raise_error(F.lit("unknown graph version"))).otherwise(F.col("schema_version"))
+    return records.same_rows(rebuilt, stored.withColumn("schema_version", unknown).where("schema_version is not null").drop("schema_version").select(*rebuilt.columns))
+
+
+def write_bundle(parts: dict[str, DataFrame], origin: DataFrame, destination: str) -> None:
+    """Store a query's parts (dossier, question, query), and what they come from last: a folder without ``origin`` is no bundle."""
+    for name, rows in parts.items():
+        rows.write.mode("errorifexists").parquet(f"{destination}/{name}")
+    origin.write.mode("errorifexists").parquet(f"{destination}/origin")
+
+
 def read_edition(spark: SparkSession, folder: str, verify: bool = True) -> dict[str, DataFrame]:
     """The edition's tables; with ``verify``, all is computed anew from the stored contents and must be equal."""
     manifest = json.loads(spark.read.text(f"{folder}/manifest").first().value)

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import quote
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
@@ -27,7 +29,9 @@ def folder(spark: SparkSession) -> str:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="attesta-shared-"))
         base = _OWN[0]
-    return base.rstrip("/")
+    files, where = _file_system(spark, base)
+    whole = str(files.makeQualified(where).toString())
+    return whole.replace("file:/", "file:///", 1).rstrip("/") if whole.startswith("file:/") and not whole.startswith("file://") else whole.rstrip("/")
 
 
 def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
@@ -35,6 +39,13 @@ def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def arrow_files(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """Arrow's file system of a URI whose path stands as it is, and the path there."""
+    scheme, rest = uri.split("://", 1)
+    authority, _, path = rest.partition("/")
+    return pyarrow.fs.FileSystem.from_uri(f"{scheme}://{authority}/{quote(path)}")
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the application's own folder, which is deleted when the driver ends."""
     own = f"{folder(spark)}/attesta/{spark.sparkContext.applicationId}"
