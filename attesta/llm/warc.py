@@ -12,11 +12,13 @@ that none is missing and that the lengths add up to the total, joins them and
 undoes the chunked framing.  Whole records skip the shuffle.  The payload's
 SHA-1 is computed anew and compared with the header.
 
-Files are written under names of their own for each attempt; those that Spark
-did not commit are removed, so retries leave nothing behind.
+Files are written under names of their own for each attempt; a manifest that
+Spark commits names those that count, and only these are read.
 
 Defined results: a null payload is empty; of repeated rows one is the response
-and the others revisit it; a page without an id or url is written without
+and the others revisit it; rows with a payload under ``min_revisit_bytes`` are
+responses of their own; of equal payloads and page_ids the lesser url is the
+response, null last; a page without an id or url is written without
 that header (``refers_to`` is null if the response has no id); further columns
 are ignored.  A damaged record gives a row whose ``error`` says what is wrong.
 """
@@ -28,7 +30,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 
 from attesta.llm import scratch
 from attesta.llm.arrowtools import runs, small_batches
+from attesta.llm.salting import salted_join
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "record_id string, record_type string, url string, page_id long, refers_to long, payload_digest string, segment int, total_length long, block binary"
@@ -77,15 +80,18 @@ def _name(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '/'.join(map(str, parts)))}>"
 
 
-def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool, place: int, segment_bytes: int, chunk_bytes: int, date: str) -> Iterator[bytes]:
-    """The records of one page, in order."""
+def records_of(
+    page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None, role: str, own: str, segment_bytes: int, chunk_bytes: int, date: str
+) -> Iterator[bytes]:
+    """The records of one page, in order.  ``role`` is first (the response that others may refer to), response or revisit; ``own`` is a name that no other record has."""
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    first = _name(page_id, digest, place) if is_revisit else _name(page_id, digest)
+    is_revisit = role == "revisit"
+    first = _name(page_id, url, digest) if role == "first" else _name(own)
     headers = [("WARC-Type", "revisit" if is_revisit else "response"), ("WARC-Record-ID", first), ("WARC-Date", date)]
     headers += [("WARC-Target-URI", None if url is None else quote(url, safe=":/?#[]@!$&'()*+,;=%~")), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", page_id)]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if is_revisit:
-        headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", _name(refers_to, digest)), ("X-Refers-To-Page-Id", refers_to), ("Content-Type", "application/http; msgtype=response")]
+        headers += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", _name(refers_to, refers_url, digest)), ("X-Refers-To-Page-Id", refers_to), ("Content-Type", "application/http; msgtype=response")]
         yield _record(headers, http + b"Content-Length: %d\r\n\r\n" % len(payload))
         return
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
@@ -100,26 +106,49 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, refers_to:
         yield _record(more + [("WARC-Segment-Total-Length", len(block))] * (n == len(parts)), part)
 
 
+def _planned(pages: DataFrame, min_revisit_bytes: int) -> DataFrame:
+    """(page_id, url, payload, refers_to, refers_url, role) of each page.
+
+    Only digests that occur more than once, with their counts, are gathered; the
+    pages join them, so payloads are not shuffled where these are few enough to
+    broadcast, and a common digest's pages are dealt by salt where they are not.
+    Rows that are equal altogether to the response, but one, are its revisits.
+    """
+    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    per = rows.where(F.length("payload") >= min_revisit_bytes).groupBy("digest", "page_id", "url").agg(F.count("*").alias("n"))
+    each = per.groupBy("digest").agg(F.sum("n").alias("n"), F.min(F.struct(order.alias("o"), "n")).alias("first")).where("n > 1")
+    repeated = scratch.save(each.select("digest", "n", F.col("first.o.page_id").alias("f_id"), F.col("first.o.url").alias("f_url"), F.col("first.n").alias("alike")), "repeated")
+    joined = salted_join(rows, repeated, "digest", "page_id", "url")
+    known, small = F.col("n").isNotNull(), F.length("payload") < min_revisit_bytes
+    is_first = F.col("page_id").eqNullSafe(F.col("f_id")) & F.col("url").eqNullSafe(F.col("f_url"))
+    role = F.when(small, "response").when(~known | is_first, "first").otherwise("revisit")
+    planned = joined.withColumn("role", role).withColumn("copies", F.when(known & is_first & ~small, F.col("alike")).otherwise(1))
+    out = ["page_id", "url", "payload", F.col("f_id").alias("refers_to"), F.col("f_url").alias("refers_url"), "role"]
+    single = planned.where("copies = 1").select(*out)
+    if repeated.where("alike > 1").isEmpty():
+        return single
+    # Equal rows are counted, their payload kept once, and told apart by a number.
+    alike = planned.where("copies > 1").groupBy("digest", "page_id", "url").agg(F.first("payload").alias("payload"), F.count("*").alias("copies"))
+    numbered = alike.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("page_id", "url", "payload", F.col("page_id").alias("refers_to"), F.col("url").alias("refers_url"), F.when(F.col("copy") == 1, "first").otherwise("revisit").alias("role"))
+    return single.unionByName(numbered)
+
+
 def write(
     pages: DataFrame, folder: str, min_revisit_bytes: int = 0, segment_bytes: int = 16384, chunk_bytes: int = 4096, file_bytes: int = 1 << 24, date: str = "2000-01-01T00:00:00Z"
 ) -> DataFrame:
     """Write a record per row of ``pages`` (page_id, url, html) to files under ``folder``; returns (file, records)."""
     spark = pages.sparkSession
     small_batches(spark)
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("place")).withColumn("digest", F.sha1("payload"))
-    # Of equal payloads, the least page_id is the response; among repeated rows, the first of them.
-    order = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "place")
-    firsts = rows.groupBy("digest").agg(F.min(order).alias("first"))
-    joined = rows.join(firsts, "digest")
-    revisits = (F.col("first.place") != F.col("place")) & (F.length("payload") >= min_revisit_bytes)
-    planned = joined.select("page_id", "url", "payload", F.col("first.page_id").alias("refers_to"), revisits.alias("is_revisit"), "place")
+    planned = _planned(pages, min_revisit_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         where, at = pyarrow.fs.FileSystem.from_uri(folder)
         where.create_dir(at, recursive=True)
-        out, written, done = None, 0, []
+        out, written, done, number = None, 0, [], 0
+        attempt = f"{uuid.uuid4().hex}"
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if out is None or written >= file_bytes:
@@ -127,7 +156,8 @@ def write(
                         out.close()
                     done.append([f"pages-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz", 0])
                     out, written = where.open_output_stream(f"{at}/{done[-1][0]}", compression=None), 0
-                for record in records_of(*row, segment_bytes, chunk_bytes, date):
+                number += 1
+                for record in records_of(*row, f"{attempt}/{number}", segment_bytes, chunk_bytes, date):
                     out.write(record)
                     written += len(record)
                     done[-1][1] += 1
@@ -136,41 +166,29 @@ def write(
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["file", "records"])
 
     planned.mapInArrow(run, "file string, records long").write.parquet(f"{folder}/manifest")
-    manifest = spark.read.schema("file string, records long").parquet(f"{folder}/manifest")
-    _remove_uncommitted(spark, folder, manifest)
-    return manifest
-
-
-def _remove_uncommitted(spark: SparkSession, folder: str, manifest: DataFrame) -> None:
-    names = {r.file for r in manifest.select("file").toLocalIterator()}
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    listed = files.listFiles(path, False)
-    while listed.hasNext():
-        found = listed.next().getPath()
-        if str(found.getName()).endswith(".warc.gz") and str(found.getName()) not in names:
-            files.delete(found, False)
+    return spark.read.schema("file string, records long").parquet(f"{folder}/manifest")
 
 
 _HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
-def parse_file(content: bytes, window: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of a file of gzip members, inflated a window at a time."""
-    view, at, size = memoryview(content), 0, len(content)
-    while at < size:
+def parse_stream(read: Callable[[int], bytes], window: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record of a stream of gzip members, read and inflated a window at a time."""
+    rest = b""
+    while rest or (rest := read(window)):
         packer, parts = zlib.decompressobj(31), []
-        while not packer.eof and at < size:
-            piece = view[at : at + window]
-            parts.append(packer.decompress(piece))
-            at += len(piece) - len(packer.unused_data)
+        while not packer.eof and (rest or (rest := read(window))):
+            parts.append(packer.decompress(rest))
+            rest = packer.unused_data
         raw = b"".join(parts)
         head = raw.index(b"\r\n\r\n")
         headers = {k.decode().lower(): v.decode() for k, v in _HEADER.findall(raw[: head + 2])}
         yield headers, raw[head + 4 : head + 4 + int(headers["content-length"])]
 
 
-def _records(segments: bool):  # noqa: ANN202
+def _records(segments: bool, opened: Callable[[str], object]):  # noqa: ANN202
+    """Records of the files that a column names, those of segments or the whole ones; ``opened`` gives a file with ``read``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
             [(n, t) for n, t in zip(("record_id", "record_type", "url", "page_id", "refers_to", "payload_digest", "segment", "total_length", "block"),
@@ -180,7 +198,8 @@ def _records(segments: bool):  # noqa: ANN202
         for batch in batches:
             for i in range(batch.num_rows):
                 rows, size = [], 0
-                for h, block in parse_file(batch.column(0)[i].as_py()):
+                file = opened(batch.column(0)[i].as_py())
+                for h, block in parse_stream(file.read):
                     segment = whole(h, "warc-segment-number")
                     if (segment is not None) != segments or h["warc-type"] not in ("response", "revisit", "continuation"):
                         continue
@@ -234,10 +253,16 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per page of the archives under ``folder``: its record's fields, payload (null for revisits), payload_bytes and error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
-    single = files.mapInArrow(_records(segments=False), _RECORD)
-    cut = files.mapInArrow(_records(segments=True), _RECORD)
+    """A row per page of the archives that the manifest under ``folder`` names: its record's fields, payload (null for revisits), payload_bytes and error."""
+    manifest = spark.read.schema("file string, records long").parquet(f"{folder}/manifest").select("file")
+    files = manifest.repartition(max(1, min(manifest.count(), 10_000)))
+
+    def opened(name: str) -> object:
+        where, at = pyarrow.fs.FileSystem.from_uri(f"{folder}/{name}")
+        return where.open_input_stream(at, compression=None)
+
+    single = files.mapInArrow(_records(False, opened), _RECORD)
+    cut = files.mapInArrow(_records(True, opened), _RECORD)
     joined = cut.repartition("record_id").sortWithinPartitions("record_id", "segment").mapInArrow(_reassembled, _RECORD)
     return single.unionByName(joined).mapInArrow(_decoded, _PAGE)
 

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -166,13 +167,40 @@ def test_warc_round_trip(spark):
     assert archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows_and_small_payloads(spark):
+    from attesta.llm import salting, warc
+
+    big, rows = "y" * 30000, []
+    rows += [(1, "http://a", big), (1, "http://a", big), (1, "http://a", big), (2, "http://a", big), (None, None, big), (3, "http://b", "small"), (3, "http://b", "small"), (4, "http://c", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.archive_and_read(pages, min_revisit_bytes=100, segment_bytes=1000).collect()
+    assert len(got) == len(rows) and all(r.error is None for r in got)
+    assert sorted((r.page_id is None, r.page_id, r.record_type) for r in got if r.payload_bytes == 30000) == sorted(
+        [(False, 1, "response"), (False, 1, "revisit"), (False, 1, "revisit"), (False, 2, "revisit"), (True, None, "revisit")], key=lambda x: (x[0], x[1] or 0, x[2])
+    )
+    assert all(r.refers_to == 1 for r in got if r.record_type == "revisit")
+    assert sum(r.record_type == "response" for r in got if r.payload_bytes < 100) == 3
+    # A payload that very many pages share, and files that no manifest names.
+    many = spark.range(salting.KEY_ROWS * 2 + 5).selectExpr("id as page_id", "concat('http://h/', id) as url", "if(id % 3 = 0, concat('own', id), 'same') as html")
+    folder = warc.scratch.new_path(spark, "w")
+    warc.write(many, folder)
+    files = warc.pyarrow.fs.FileSystem.from_uri(folder)
+    with files[0].open_output_stream(f"{files[1]}/pages-999999-0-0000.warc.gz") as out:
+        out.write(b"not a record")
+    back = warc.read(spark, folder)
+    assert back.count() == many.count() and back.where("error is not null").count() == 0
+    assert back.where("record_type = 'response'").count() == many.select("html").distinct().count()
+    assert {r.refers_to for r in back.where("record_type = 'revisit'").collect()} == {1}
+
+
 def test_warc_damage_is_reported():
     from attesta.llm import warc
 
-    whole = list(warc.records_of(1, "u", b"z" * 5000, None, False, 0, 1000, 300, "2000-01-01T00:00:00Z"))
+    whole = list(warc.records_of(1, "u", b"z" * 5000, None, None, "first", "x", 1000, 300, "2000-01-01T00:00:00Z"))
     files = [b"".join(whole), b"".join(whole[:-1])]
     for content, ok in zip(files, (True, False)):
-        rows = [r for b in warc._records(True)(iter([pa.RecordBatch.from_pydict({"content": [content]})])) for r in b.to_pylist()]
+        records = warc._records(True, lambda _, content=content: io.BytesIO(content))
+        rows = [r for b in records(iter([pa.RecordBatch.from_pydict({"file": ["f"]})])) for r in b.to_pylist()]
         batch = pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: (r["record_id"], r["segment"])), schema=pa.schema([(n, t) for n, t in zip(rows[0], (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary()))]))
         out = [r for b in warc._decoded(warc._reassembled(iter([batch]))) for r in b.to_pylist()]
         assert len(out) == 1 and (out[0]["error"] is None) == ok
