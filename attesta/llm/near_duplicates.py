@@ -12,14 +12,18 @@ a text without words has the empty set and is linked with nothing.
 * Pigeonhole: with C chunks and a limit below 2C, two signatures within the
   limit agree on some chunk up to one position.  Every chunk is therefore
   stored once for each position left out, and equal keys meet.
-* Classes that share a key form a group named after its smallest member.
-  Groups of one family are merged, members with no partner within the distance
-  limit leave, and the rest are compared on their full sets.  A comparison task
-  tests every member outside the largest component found so far against the
-  whole group, so no link between components is missed and no list of all
-  pairs is ever made.  Groups over ``block`` members are dealt to tasks as
-  pairs of blocks.
-* Links are joined to components by ``components``.
+* Classes that share a key form a group named after its smallest member, the
+  centre.  Groups of one family are merged.  Members within the distance limit
+  of their centre are compared with it on full sets, one at a time.  Those that
+  it doesn't link, and those that are farther, are *open*: each is compared with
+  the whole group, by signature and then on full sets, in tasks that hold a
+  block of open members and one of all, of bounded numbers and bytes.  What is
+  in one component already is not compared again, and no list of all pairs is
+  ever made.
+* Each class goes to the least class that it is linked to, and links between
+  such stars are joined to components by ``components``.
+* Rows of one group, key, class or component are dealt by salt where they are
+  many, so none meets in one task.
 
 Defined results: null and empty texts have n_shingles 0 and stand alone;
 repeated rows are linked; rows without a doc_id take part but can't name a
@@ -34,13 +38,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.llm import scratch
 from attesta.llm.arrowtools import fixed_binary, frees, matrix, runs, small_batches
 from attesta.llm.bloom import bloom_filter, may_hold
 from attesta.llm.components import components
+from attesta.llm.salting import hot_keys, repeated, salted_join, spread
 from attesta.llm.wordhash import Block, blocks, distinct_per_row, mix, span_hashes, windows, words
 
 POSITIONS = 64
@@ -127,6 +132,8 @@ def _keys(n_chunks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def _near(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to (g, cls, sig, g_sig) whether the two signatures are within ``limit``, in place of the second."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             far = (matrix(b.column(2), np.uint16, POSITIONS) != matrix(b.column(3), np.uint16, POSITIONS)).sum(1)
@@ -135,103 +142,131 @@ def _near(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _dealt(members: DataFrame, block: int) -> DataFrame:
-    """Adds the tasks (i, j) that a member of group g takes part in: one for a group of up to ``block``, else each pair of blocks with its own."""
-    # Few groups are that large, so this join's other side is small and no group meets in one task for it.
-    sizes = members.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    with_own = members.join(sizes, "g", "left").withColumn("parts", parts).withColumn("own", own)
-    each = with_own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return each.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "parts", "own", "other")
+def _to_centres(rows: DataFrame, signatures: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
+    """(g, cls, sig, near) of members (g, cls, sig): whether each is within ``limit`` of its group's centre, the class that names it."""
+    own = repeated(signatures.select(F.col("cls").alias("g"), F.col("sig").alias("g_sig")), hot, "g")
+    both = spread(rows, hot, "g", "cls").join(own, ["g", "_salt"])
+    return both.select("g", "cls", "sig", "g_sig").mapInArrow(_near(limit), "g binary, cls binary, sig binary, near boolean")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have the similarity that is asked."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _with_centre(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(g, cls, linked) of a stream of (g, part, is_member, cls, shingles) in this order: each member against the centre that comes before it; one set and a batch are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centre = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            gs, parts, members, sets = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4)
+            keep, linked = [], []
+            for i, (g, part, member) in enumerate(zip(gs, parts, members)):
+                own = np.frombuffer(sets[i].as_buffer(), np.uint64)
+                if not member:
+                    at, centre = (g, part), own.copy()
+                elif at == (g, part):
+                    keep.append(i)
+                    linked.append(_similar(own, centre, percent))
+            some = batch.take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(3), pa.array(linked, pa.bool_())], names=["g", "cls", "linked"])
+
+    return run
 
 
-def _in_groups(df: DataFrame) -> DataFrame:
-    return df.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "cls")
+def _dealt(open_: DataFrame, members: DataFrame, weight: Column, block: int, block_bytes: int) -> DataFrame:
+    """Tasks (g, i, j) that compare open members with all members of their group, in blocks of up to ``block`` members and about ``block_bytes`` bytes: both with is_open, i, j."""
+    parts = lambda: F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(weight) / block_bytes), F.lit(1)).cast("int")
+    of_open = open_.groupBy("g").agg(parts().alias("open_parts"))
+    sizes = members.groupBy("g").agg(F.count("*").alias("n"), parts().alias("parts")).join(of_open, "g")
+    sizes = scratch.save(sizes, "sizes")
+    place = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = salted_join(open_, sizes, "g", "cls", how="inner").withColumn("is_open", F.lit(True)).withColumn("i", place("open_parts")).withColumn("j", upto("parts"))
+    right = salted_join(members, sizes, "g", "cls", how="inner").withColumn("is_open", F.lit(False)).withColumn("j", place("parts")).withColumn("i", upto("open_parts"))
+    return left.unionByName(right).drop("n", "parts", "open_parts")
+
+
+def _in_tasks(df: DataFrame) -> DataFrame:
+    return df.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "is_open", "cls")
+
+
+def _close(t: pa.Table, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each open row of a task, which of its other rows are within ``limit``: not itself, and not the centre if it was compared with that."""
+    is_open = t.column("is_open").to_numpy()
+    sig = matrix(t.column("sig"), np.uint16, POSITIONS)
+    cls = t.column("cls").to_pylist()
+    g, tested = t.column("g")[0].as_py(), t.column("near").to_numpy()
+    rows, others = np.flatnonzero(is_open), np.flatnonzero(~is_open)
+    names: dict[bytes, int] = {cls[o]: k for k, o in enumerate(others.tolist())}
+    for lo in range(0, len(rows), 64):
+        some = rows[lo : lo + 64]
+        far = np.zeros((len(some), len(others)), np.uint8)
+        for q in range(POSITIONS):
+            far += sig[some, q, None] != sig[None, others, q]
+        close = far <= limit
+        for k, r in enumerate(some.tolist()):
+            for out in (cls[r], g if tested[r] else None):
+                if out in names:
+                    close[k, names[out]] = False
+            yield r, others[close[k]]
 
 
 def _with_partner(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The members of each group that have another one within ``limit``."""
+    """(g, cls, is_open) of open members that have another one within ``limit``, and of those others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["g", "i", "j"]):
-            n = t.num_rows
-            if n < 2:
-                continue
-            sig = matrix(t.column("sig"), np.uint16, POSITIONS)
-            keep = np.zeros(n, bool)
-            for lo in range(0, n, 64):
-                far = np.zeros((min(64, n - lo), n), np.uint8)
-                for q in range(POSITIONS):
-                    far += sig[lo : lo + 64, q, None] != sig[None, :, q]
-                close = far <= limit
-                close[np.arange(len(close)), np.arange(lo, lo + len(close))] = False
-                keep[lo : lo + 64] = close.any(1)
+            keep = np.zeros(t.num_rows, bool)
+            for row, near in _close(t, limit):
+                if len(near):
+                    keep[row] = True
+                    keep[near] = True
             if keep.any():
-                kept = t.select(["g", "cls"]).filter(pa.array(keep)).combine_chunks()
-                yield from kept.to_batches()
+                yield from t.select(["g", "cls", "is_open"]).filter(pa.array(keep)).combine_chunks().to_batches()
 
     return run
 
 
-def _roots(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return parent
-        parent = up
-
-
-def links_in_group(values: np.ndarray, bounds: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect just what all links of the group connect.
+def links_of_open(t: pa.Table, percent: int, limit: int) -> list[tuple[bytes, bytes]]:
+    """Links from the open rows of a task to others, one for each of the others' components that an open row belongs to.
 
-    One member after another is compared with the whole group at once, until
-    all that were not belong to one component; two of those need no test.
+    Others with ``linked`` are one component, that of their centre; what is known of a component is not tested again.
     """
-    n = len(bounds) - 1
-    sizes = np.diff(bounds)
-    _, local = np.unique(values, return_inverse=True)
-    label = np.arange(n)
-    tested = np.zeros(n, bool)
-    flags = np.zeros(int(local.max()) + 1 if len(local) else 0, bool)
-    links: list[tuple[int, int]] = []
-    at = 0
-    while True:
-        own = local[bounds[at] : bounds[at + 1]]
-        flags[own] = True
-        common = np.add.reduceat(flags[local], bounds[:-1], dtype=np.int64)
-        flags[own] = False
-        tested[at] = True
-        linked = 100 * common >= percent * (sizes + sizes[at] - common)
-        for other in np.unique(label[linked]):
-            if other != label[at]:
-                mate = int(np.flatnonzero(linked & (label == other))[0])
-                links.append((at, mate))
-                label[label == other] = label[at]
-        most = np.bincount(label).argmax()
-        rest = np.flatnonzero(~tested & (label != most))
-        if not len(rest):
-            return links
-        at = int(rest[0])
-
-
-def _verify(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    cls, linked = t.column("cls").to_pylist(), t.column("linked").to_pylist()
+    sets = t.column("shingles").to_pylist()
+    parent = {c: c for c in cls}
+
+    def root(c: bytes) -> bytes:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    g = t.column("g")[0].as_py()
+    parent.setdefault(g, g)
+    for c, known in zip(cls, linked):
+        if known:
+            parent[root(c)] = root(g)
+    links = []
+    for row, near in _close(t, limit):
+        own = np.frombuffer(sets[row], np.uint64)
+        for other in near.tolist():
+            if root(cls[row]) != root(cls[other]) and _similar(own, np.frombuffer(sets[other], np.uint64), percent):
+                links.append((cls[row], cls[other]))
+                parent[root(cls[row])] = root(cls[other])
+    return links
+
+
+def _verify(percent: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
         for t in runs(batches, ["g", "i", "j"]):
-            if t.num_rows < 2:
-                continue
-            cls = t.column("cls").to_pylist()
-            raw = t.column("shingles").to_pylist()
-            bounds = np.zeros(len(raw) + 1, np.int64)
-            np.cumsum([len(x) // 8 for x in raw], out=bounds[1:])
-            for x, y in links_in_group(np.frombuffer(b"".join(raw), np.uint64), bounds, percent):
-                a.append(cls[x])
-                b.append(cls[y])
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            found = links_of_open(t, percent, limit)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
 
     return run
 
@@ -250,47 +285,109 @@ def _full_sets(docs: DataFrame, bloom: np.ndarray, width: int) -> DataFrame:
     return docs.mapInArrow(frees(run), "cls binary, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 4096) -> DataFrame:
+def _sets_for(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cls, shingles) of the classes ``wanted`` (cls, doc_id: one of its documents)."""
+    stored = scratch.save(wanted, "wanted")
+    found = _full_sets(docs, bloom_filter(stored), width).join(stored.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    sets = scratch.save(found, "sets")
+    scratch.drop(stored)
+    return sets
+
+
+def _links(docs: DataFrame, classes: DataFrame, percent: int, width: int, block: int, block_bytes: int) -> DataFrame:
+    """(a, b): links that connect just the classes that all links connect."""
+    limit, n_chunks = plan_for(percent)
+    signatures = classes.select("cls", "sig")
+    keyed = signatures.mapInArrow(frees(_keys(n_chunks)), "key long, cls binary")
+    shared = scratch.save(keyed.groupBy("key").agg(F.min("cls").alias("g"), F.count("*").alias("n")).where("n > 1"), "shared")
+    pairs = scratch.save(salted_join(keyed, shared, "key", "cls", how="inner").select("g", "cls").distinct(), "pairs")
+    scratch.drop(shared)
+    hot = hot_keys(pairs.groupBy("g").agg(F.count("*").alias("n")), "g")
+    starred = scratch.save(_to_centres(pairs.join(signatures, "cls").select("g", "cls", "sig"), signatures, hot, limit), "starred")
+    scratch.drop(pairs)
+
+    # A group whose centre is near the centre of another joins it, twice over.
+    toward = starred.where("near and g <> cls").groupBy(F.col("cls").alias("g")).agg(F.min("g").alias("to"))
+    toward = scratch.save(toward, "toward")
+    twice = toward.join(toward.select(F.col("g").alias("to"), F.col("to").alias("_on")), "to", "left").select("g", F.coalesce("_on", "to").alias("to"))
+    moved = spread(starred.select("g", "cls", "sig"), hot, "g", "cls").join(repeated(twice, hot, "g"), ["g", "_salt"], "left")
+    merged = scratch.save(moved.select(F.coalesce("to", "g").alias("g"), "cls", "sig").dropDuplicates(["g", "cls"]), "merged")
+    scratch.drop(starred, toward)
+    hot = hot_keys(merged.groupBy("g").agg(F.count("*").alias("n")), "g")
+    members = scratch.save(_to_centres(merged, signatures, hot, limit), "members")
+    scratch.drop(merged)
+
+    # Members near their centre are compared with it; the centre comes before them in each part of its group.
+    near = members.where("near and g <> cls").select("g", "cls")
+    ids = near.select("cls").union(near.select("g")).distinct()
+    sets = _sets_for(docs, ids.join(classes.select("cls", "doc_id"), "cls"), width)
+    centres = repeated(near.select("g").distinct(), hot, "g").select("g", "_salt", F.lit(False).alias("is_member"), F.col("g").alias("cls"))
+    rows = spread(near, hot, "g", "cls").select("g", "_salt", F.lit(True).alias("is_member"), "cls").unionByName(centres).join(sets, "cls")
+    rows = rows.select("g", "_salt", "is_member", "cls", "shingles").repartition("g", "_salt").sortWithinPartitions("g", "_salt", "is_member", "cls")
+    compared = scratch.save(rows.mapInArrow(frees(_with_centre(percent)), "g binary, cls binary, linked boolean"), "compared")
+    scratch.drop(sets)
+    star = compared.where("linked").select(F.col("cls").alias("a"), F.col("g").alias("b"))
+
+    # All others are compared with their whole group, first by signature.
+    size = classes.select("cls", F.col("n_shingles").alias("size"))
+    known = members.join(compared, ["g", "cls"], "left").select("g", "cls", "sig", (F.col("near") & (F.col("g") != F.col("cls"))).alias("near"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    known = scratch.save(known.join(size, "cls").withColumn("bytes", F.col("size") * 8 + 256), "known")
+    scratch.drop(members)
+    open_ = known.where("not linked and g <> cls")
+    tried = _in_tasks(_dealt(open_, known, F.lit(POSITIONS * 2), block, block_bytes).select("g", "i", "j", "is_open", "cls", "sig", "near"))
+    partners = scratch.save(tried.mapInArrow(frees(_with_partner(limit)), "g binary, cls binary, is_open boolean").distinct(), "partners")
+    rest = star
+    if not partners.isEmpty():
+        sets = _sets_for(docs, partners.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls"), width)
+        told = scratch.save(known.join(partners, ["g", "cls"]), "told")
+        tasks = _dealt(told.where("is_open").drop("is_open"), told.where("not is_open").drop("is_open"), F.col("bytes"), block, block_bytes).join(sets, "cls")
+        tasks = _in_tasks(tasks.select("g", "i", "j", "is_open", "cls", "sig", "near", "linked", "shingles"))
+        more = scratch.save(tasks.mapInArrow(frees(_verify(percent, limit)), "a binary, b binary"), "links")
+        scratch.drop(sets, told)
+        rest = star.unionByName(more)
+    links = scratch.save(rest, "links")
+    scratch.drop(compared, known, partners)
+    return links
+
+
+def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, component_id) of all classes: the smallest doc_id of what the links connect."""
+    # Each class first goes to the least class that it is linked to; what remains are links between such stars.
+    star = scratch.save(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("star")), "stars")
+    per_end = links.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
+    ends = scratch.save(per_end.join(star, "node").select(F.col("node").alias("b"), F.col("star").alias("b_star"), "n"), "ends")
+    far = salted_join(links, ends, "b", "a").join(star.withColumnRenamed("node", "a"), "a").select(F.col("star").alias("a"), F.coalesce("b_star", "b").alias("b")).where("a <> b").distinct()
+    between = scratch.save(far, "between")
+    joined = components(between)
+    first = classes.select("cls", "doc_id").join(star.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "doc_id", F.coalesce("star", "cls").alias("node"))
+    first = scratch.save(first, "first")
+    sizes = first.groupBy("node").agg(F.count("*").alias("n"))
+    of = scratch.save(joined.join(sizes, "node"), "components")
+    names = scratch.save(salted_join(first, of, "node", "cls").select("cls", "doc_id", F.coalesce("component", "node").alias("component")), "names")
+    least = scratch.save(names.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "least")
+    named = scratch.save(salted_join(names, least, "component", "cls").select("cls", "component_id"), "named")
+    scratch.drop(star, ends, between, first, of, names, least)
+    return named
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 4096, block_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A ∩ B| >= percent * |A ∪ B|.  See the
     module's text for the method and for nulls, ties and repeated rows.
     """
     small_batches(docs.sparkSession)
-    limit, n_chunks = plan_for(percent)
     docs = docs.select("doc_id", "text")
     described = scratch.save(docs.mapInArrow(frees(_describe(width)), "doc_id long, n_shingles long, cls binary, sig binary"), "described")
     some = described.where("n_shingles > 0")
-    classes = scratch.save(some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "classes")
-
-    keyed = classes.select("cls", "sig").mapInArrow(frees(_keys(n_chunks)), "key long, cls binary")
-    shared = keyed.groupBy("key").agg(F.min("cls").alias("g"), F.count("*").alias("n")).where("n > 1").select("key", "g")
-    pairs = keyed.join(shared, "key").select("g", "cls").distinct()
-    sig = classes.select("cls", "sig")
-    both = pairs.join(sig, "cls").join(sig.select(F.col("cls").alias("g"), F.col("sig").alias("g_sig")), "g")
-    starred = scratch.save(both.select("g", "cls", "sig", "g_sig").mapInArrow(_near(limit), "g binary, cls binary, sig binary, near boolean"), "starred")
-
-    # A group whose centre is near the centre of another joins it, twice over.
-    toward = starred.where("near and g <> cls").groupBy(F.col("cls").alias("g")).agg(F.min("g").alias("to"))
-    grouped = starred.select("g", "cls", "sig")
-    for _ in range(2):
-        grouped = grouped.join(toward, "g", "left").select(F.coalesce("to", "g").alias("g"), "cls", "sig")
-    grouped = grouped.dropDuplicates(["g", "cls"])
-    partnered = _in_groups(_dealt(grouped, block).select("g", "i", "j", "cls", "sig")).mapInArrow(frees(_with_partner(limit)), "g binary, cls binary")
-    members = scratch.save(partnered.distinct(), "members")
-
-    wanted = scratch.save(members.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls"), "wanted")
-    sets = _full_sets(docs, bloom_filter(wanted), width).join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-    compared = _dealt(members, block).join(sets, "cls").select("g", "i", "j", "cls", "shingles")
-    links = scratch.save(_in_groups(compared).mapInArrow(frees(_verify(percent)), "a binary, b binary"), "links")
-    scratch.drop(starred, members, wanted)
-
-    joined = components(links)
-    names = classes.select("cls", "doc_id").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
-    names = names.select("cls", "doc_id", F.coalesce("component", "cls").alias("component"))
-    least = names.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.save(names.join(least, "component").select("cls", "component_id"), "named")
+    per = some.groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    classes = scratch.save(per, "classes")
+    links = _links(docs, classes, percent, width, block, block_bytes)
+    named = _named(classes, links)
+    named = scratch.save(named.join(classes.select("cls", "n"), "cls"), "named")
     scratch.drop(links, classes)
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    result = described.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce(alone, "component_id").alias("component_id"))
+    rows = described.select("doc_id", "n_shingles", "cls", F.coalesce("doc_id", F.monotonically_increasing_id()).alias("_row"))
+    joined = salted_join(rows, named, "cls", "_row")
+    result = joined.select("doc_id", "n_shingles", F.coalesce(alone, "component_id").alias("component_id"))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

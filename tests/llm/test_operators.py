@@ -581,16 +581,19 @@ def test_near_duplicates_blocks_and_odd_rows(spark):
 
 
 def test_links_connect_what_all_links_connect():
-    from attesta.llm.near_duplicates import links_in_group
+    from attesta.llm.near_duplicates import POSITIONS, links_of_open
 
     rng = random.Random(4)
     for _ in range(60):
         sets = [sorted(rng.sample(range(30), rng.randint(1, 12))) for _ in range(rng.randint(2, 20))]
         sets += [sorted({*s[1:], 99}) for s in sets if len(s) > 6]
-        values, bounds = np.array([x for s in sets for x in s], np.uint64), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        parent = list(range(len(sets)))
+        names = [b"%03d" % i for i in range(len(sets))]
+        rows = [
+            {"g": b"none", "cls": n, "is_open": o, "near": False, "linked": False, "sig": bytes(2 * POSITIONS), "shingles": np.array(s, np.uint64).tobytes()} for o in (False, True) for n, s in zip(names, sets)
+        ]
+        parent = {n: n for n in names}
         find = lambda i: i if parent[i] == i else find(parent[i])
-        for i, j in links_in_group(values, bounds, 60):
+        for i, j in links_of_open(pa.Table.from_pylist(rows), 60, POSITIONS):
             parent[find(i)] = find(j)
         other = list(range(len(sets)))
         root = lambda i: i if other[i] == i else root(other[i])
@@ -598,7 +601,33 @@ def test_links_connect_what_all_links_connect():
             for j in range(i):
                 if 100 * len({*sets[i]} & {*sets[j]}) >= 60 * len({*sets[i]} | {*sets[j]}):
                     other[root(i)] = root(j)
-        assert all((find(i) == find(j)) == (root(i) == root(j)) for i in range(len(sets)) for j in range(i))
+        assert all((find(names[i]) == find(names[j])) == (root(i) == root(j)) for i in range(len(sets)) for j in range(i))
+
+
+def test_near_duplicates_large_group_of_long_texts(spark):
+    """Thousands of long near copies, some apart, and thousands of exact ones: more than one salt and block."""
+    from attesta.llm import salting
+    from attesta.llm.near_duplicates import near_duplicates
+
+    rng = random.Random(12)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(400)]
+    n = salting.KEY_ROWS + 300
+    texts = []
+    for i in range(n):
+        words = list(base)
+        for _ in range(1 if i % 7 else 9):
+            words[rng.randrange(400)] = "e%d" % rng.randrange(10**6)
+        texts.append(" ".join(words))
+    texts += ["the same five words here again"] * n
+    rows = {r.doc_id: r for r in near_duplicates(table(spark, texts), 85, block=500, block_bytes=1 << 20).collect()}
+    assert len(rows) == len(texts)
+    assert {rows[i].component_id for i in range(n, 2 * n)} == {n}
+    sets = [{hash(tuple(t.split()[k : k + 5])) for k in range(396)} for t in texts[:n]]
+    common = [i for i in range(n) if i % 7]
+    assert {rows[i].component_id for i in common} == {rows[common[0]].component_id}
+    for i in range(0, n, 7 * 41):  # far ones: linked just if they are near enough to any other
+        linked = any(j != i and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in range(n))
+        assert (rows[i].component_id == rows[common[0]].component_id) == linked
 
 
 # -- pipeline --------------------------------------------------------------------------------
