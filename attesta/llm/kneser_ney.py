@@ -5,9 +5,10 @@ of quality 1).  Counting is map-side per task, then a shuffle of n-gram counts;
 lower orders are the numbers of distinct left extensions, and discounts follow
 from the counts of counts of each language and order.  Probabilities of seen
 n-grams and back-off weights of contexts are stored as shards of bounded size,
-by language, order and key.  Scoring joins a task's distinct n-grams with the
-shards that hold them, a shard at a time, so no task holds the whole model and
-no text is shuffled to be scored.
+by language, order and key.  Scoring joins the distinct n-grams of a batch of
+texts with the shards that hold them, a shard at a time, so no task holds the
+whole model and no text is shuffled to be scored; a worker keeps the shards it
+read last, up to 6 million rows.
 
 A tenth of the trusted documents, by hash, is held out of training; the given
 quantile of their perplexities is their language's threshold.  All trusted text
@@ -17,7 +18,9 @@ Defined results: a null or empty text has no perplexity and is rejected; a
 language without trusted held-out text has no threshold, and its documents are
 not judged (kept); a null language is one language; of several labels of a
 document the worst counts; repeated rows are scored alike; further columns are
-kept, but ``perplexity``, ``threshold`` and ``kept`` are replaced.
+kept, but ``perplexity``, ``threshold`` and ``kept`` are replaced; a NUL byte in
+a text counts as what stands before its start.  The quantile is approximate: its
+rank is within a ten-thousandth of the number of held-out texts.
 """
 
 from __future__ import annotations
@@ -123,10 +126,10 @@ def _smoothed(counts: DataFrame, lower: DataFrame | None, order: int) -> tuple[D
     raw = [F.lit(k) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")) for k in (1, 2, 3)]
     # Where counts of counts are too few to tell, and never none or all of a count.
     kept = [F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), F.coalesce(d, F.lit(0.5)))).alias(f"d{k}") for k, d in zip((1, 2, 3), raw)]
-    of = of.select("lang", *kept)
+    of = scratch.save(of.select("lang", *kept), "discounts")  # a row a language, so a table that Spark can see the size of
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     rows = counts.join(of, "lang").select("lang", "gram", "n", d.alias("d"), F.shiftright("gram", 8).alias("ctx"))
-    contexts = rows.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"))
+    contexts = scratch.save(rows.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma")), "contexts")
     rows = rows.join(contexts, ["lang", "ctx"])
     if lower is None:
         below = F.lit(1 / 256)
@@ -134,7 +137,7 @@ def _smoothed(counts: DataFrame, lower: DataFrame | None, order: int) -> tuple[D
         rows = rows.withColumn("low", _tail(F.col("gram"), order - 1)).join(lower.select("lang", F.col("gram").alias("low"), F.col("p").alias("q")), ["lang", "low"])
         below = F.col("q")
     p = (F.col("n") - F.col("d")) / F.col("total") + F.col("gamma") * below
-    return rows.select("lang", "gram", p.alias("p")), contexts.select("lang", "ctx", "gamma")
+    return scratch.save(rows.select("lang", "gram", p.alias("p")), "model"), contexts
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[str, int, DataFrame]:
@@ -146,11 +149,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[str, int, DataFrame]:
     counts = {ORDER: scratch.save(read.where("gram is not null").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")}
     for order in range(ORDER - 1, 0, -1):
         shorter = counts[order + 1].select("lang", _tail(F.col("gram"), order).alias("gram"))
-        counts[order] = shorter.groupBy("lang", "gram").agg(F.count("*").alias("n"))
-    lower, rows = None, []
+        counts[order] = scratch.save(shorter.groupBy("lang", "gram").agg(F.count("*").alias("n")), "grams")
+    lower, rows, stored = None, [], list(counts.values())
     for order in range(1, ORDER + 1):
         lower, contexts = _smoothed(counts[order], lower, order)
-        lower = scratch.save(lower, "model")
+        stored += [lower, contexts]
         kind = lambda k: F.lit(k).alias("kind")
         rows += [lower.select("lang", kind(order), F.col("gram").alias("key"), F.col("p").alias("value"))]
         rows += [contexts.select("lang", kind(_CONTEXT + order), F.col("ctx").alias("key"), F.col("gamma").alias("value"))]
@@ -162,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[str, int, DataFrame]:
     model = model.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
     path = scratch.new_path(spark, "kneser-ney")
     model.repartition(*where).sortWithinPartitions(*where, "key").write.partitionBy(*where).parquet(path)
+    scratch.drop(*stored)
     return path, shards, read.where("text is not null").select("lang", "text")
 
 
@@ -216,23 +220,25 @@ class Model:
     def knows(self, lang: str) -> bool:
         return len(self.shard(lang, _CONTEXT + 1, 0)[0]) > 0
 
-    def scores(self, lang: str, keys: np.ndarray) -> np.ndarray:
-        """log p of each n-gram, by way of a direct-mapped memo."""
+    def scores(self, lang: str, blocks_: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """log p of the n-grams of each block, by way of a direct-mapped memo; those not in it are looked up for all blocks at once."""
         if lang not in self.memo:
             if len(self.memo) >= 8:
                 self.memo.clear()
             self.memo[lang] = np.full(self.SLOTS, np.iinfo(np.uint64).max, np.uint64), np.zeros(self.SLOTS)
         known, values = self.memo[lang]
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        out = values[slot]
-        new = np.flatnonzero(known[slot] != keys)
-        if len(new):
-            distinct, inverse = np.unique(keys[new], return_inverse=True)
-            found = self.log_p(lang, distinct)
-            out[new] = found[inverse]
-            at = ((distinct * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-            known[at], values[at] = distinct, found
-        return out
+        slot_of = lambda keys: ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        new = [np.unique(keys[known[slot_of(keys)] != keys]) for keys in blocks_]
+        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *new]))
+        found = self.log_p(lang, distinct)
+        for keys in blocks_:
+            slot = slot_of(keys)
+            out = values[slot]
+            miss = np.flatnonzero(known[slot] != keys)
+            out[miss] = found[np.searchsorted(distinct, keys[miss])]
+            yield out
+        at = slot_of(distinct)
+        known[at], values[at] = distinct, found
 
 
 _MODELS: dict[str, Model] = {}
@@ -253,24 +259,23 @@ def score(docs: DataFrame, path: str, shards: int, lang_key: Column) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path, shards)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
-            for b in blocks(table.column("text"), 1 << 18):
-                part = table.slice(b.first, b.n_rows)
-                langs = np.array(part.column("_model_lang").to_pylist(), object)
-                sizes = np.diff(b.bounds)
-                result = np.full(b.n_rows, np.nan)
-                keys, of = grams(b), np.repeat(np.arange(b.n_rows), sizes)
-                for lang in set(langs):
-                    rows = np.flatnonzero((langs == lang) & (sizes > 0))
-                    if not len(rows) or not model.knows(lang):
-                        continue
-                    mine = np.zeros(b.n_rows, bool)
-                    mine[rows] = True
-                    at = mine[of]
-                    total = np.bincount(of[at], model.scores(lang, keys[at]), minlength=b.n_rows)
-                    result[rows] = np.exp(-total[rows] / sizes[rows])
-                column = pa.array(result, mask=np.isnan(result))
-                yield from part.append_column("perplexity", column).combine_chunks().to_batches()
+            langs = np.array(table.column("_model_lang").to_pylist(), object)
+            result = np.full(batch.num_rows, np.nan)
+            parts = [(b, grams(b), np.repeat(np.arange(b.first, b.first + b.n_rows), np.diff(b.bounds))) for b in blocks(table.column("text"), 1 << 18)]
+            sizes = np.concatenate([np.diff(b.bounds) for b, _, _ in parts])
+            for lang in set(langs):
+                rows = (langs == lang) & (sizes > 0)
+                if not rows.any() or not model.knows(lang):
+                    continue
+                own = [(keys[at], of[at]) for _, keys, of in parts if (at := rows[of]).any()]
+                total = np.zeros(batch.num_rows)
+                for (_, of), logs in zip(own, model.scores(lang, [keys for keys, _ in own])):
+                    total += np.bincount(of, logs, minlength=batch.num_rows)
+                result[rows] = np.exp(-total[rows] / sizes[rows])
+            yield from table.append_column("perplexity", pa.array(result, mask=np.isnan(result))).combine_chunks().to_batches()
 
     return docs.select(*keep, lang_key.alias("_model_lang")).mapInArrow(frees(run, "kneser_ney", lambda: _MODELS.clear()), schema)
 

@@ -8,9 +8,11 @@ the medoid over the graph so far, and pruned: a candidate is dropped if a
 nearer neighbour that was kept is, times ``alpha``, nearer to it than the
 point.  Kept edges are also added the other way round, pruned again where a
 point has too many.  Points are added in batches, first with alpha 1, then all
-again with the given one.  Blocks of queries are sent to every shard, where a
-beam search over the stored graph finds candidates; their distances are
-computed anew in double precision and each query keeps the best of all shards.
+again with the given one.  Every block of queries meets every shard in a task of
+its own, where a beam search over the stored graph finds candidates; their
+distances are computed anew in double precision and each query keeps the best of
+all shards.  Graphs are built and walked on vectors scaled by a power of two, so
+that any finite sizes do.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components take no part, as query or candidate; only vectors of one length are
@@ -26,13 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.llm import scratch
 from attesta.llm.arrowtools import runs, small_batches
 
-DEGREE, BEAM, ALPHA, BATCH = 32, 64, 1.2, 256
+DEGREE, BEAM, ALPHA, BATCH, BEAM_SEARCH = 32, 64, 1.2, 256, 128
 
 
 def distances(data: np.ndarray, a: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -160,18 +164,28 @@ def _vectors(column: pa.Array | pa.ChunkedArray, width: int, dtype: str) -> np.n
     return column.flatten().to_numpy(zero_copy_only=False).astype(dtype).reshape(-1, width)
 
 
-_INDEX = "shard int, width int, point int, ids array<long>, vec array<double>, near array<int>, start int"
+_INDEX = "shard int, width int, ids array<long>, vec array<double>, near array<int>, start int"
+
+
+def scaled(vectors: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Vectors over a power of two, so that squares neither overflow nor vanish; in single precision where their sizes allow it, else in double."""
+    sizes = np.concatenate([np.abs(v).max(1) for v in (vectors, *more)])
+    most = float(sizes.max(initial=0.0))
+    factor = 2.0 ** -np.frexp(most)[1] if most else 1.0
+    wide = sizes.min(initial=most) < most * 1e-12
+    # In two steps, as one factor may be beyond the range of a double.
+    half = 2.0 ** (np.log2(factor) // 2)
+    return [(v * half * (factor / half)).astype("float64" if wide else "float32") for v in (vectors, *more)]
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in runs(batches, ["width", "shard"]):
-        data = _vectors(t.column("vec"), t.column("width")[0].as_py(), "float32")
+        (data,) = scaled(_vectors(t.column("vec"), t.column("width")[0].as_py(), "float64"))
         graph, start = build(data)
         n = len(data)
         flat = graph.ravel().astype(np.int32)
         near = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * graph.shape[1]), pa.array(flat))
-        t = t.select(["shard", "width"]).append_column("point", pa.array(np.arange(n), pa.int32())).append_column("ids", t.column("ids")).append_column("vec", t.column("vec"))
-        t = t.append_column("near", near).append_column("start", pa.array(np.full(n, start), pa.int32()))
+        t = t.select(["shard", "width", "ids", "vec"]).append_column("near", near).append_column("start", pa.array(np.full(n, start), pa.int32()))
         yield from t.combine_chunks().to_batches(max_chunksize=1000)
 
 
@@ -190,71 +204,93 @@ def points_of(rows: DataFrame, keep: int) -> DataFrame:
     return ranked.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.size("vec").alias("width"), "vec", "ids")
 
 
-def index(points: DataFrame, shard_points: int = 4096) -> DataFrame:
-    """The shards' graphs as a stored table; neighbours are point numbers within the shard."""
+def index(points: DataFrame, shard_points: int = 16384) -> str:
+    """Build the shards' graphs; returns the folder that has a folder of rows for each, neighbours being places among its rows."""
+    spark = points.sparkSession
     points = scratch.save(points, "points")
     sizes = points.groupBy("width").agg(F.ceil(F.count("*") / shard_points).cast("int").alias("shards"))
     dealt = points.join(sizes, "width").withColumn("shard", F.pmod(F.xxhash64("vec"), F.col("shards")).cast("int"))
-    sorted_ = dealt.select("shard", "width", "ids", "vec").repartition("width", "shard").sortWithinPartitions("width", "shard", "ids")
-    built = scratch.save(sorted_.mapInArrow(_build, _INDEX), "vamana")
+    # A number of partitions that is given is kept, so that no task builds several shards while others wait.
+    parts = 2 * (points.count() // shard_points + 1)
+    ordered = dealt.select("shard", "width", "ids", "vec").repartitionByRange(parts, "width", "shard").sortWithinPartitions("width", "shard", "ids")
+    path = scratch.new_path(spark, "vamana")
+    ordered.mapInArrow(_build, _INDEX).write.partitionBy("width", "shard").option("compression", "zstd").parquet(path)
     scratch.drop(points)
-    return built
+    return path
+
+
+def _read_folder(path: str, columns: list[str]) -> pa.Table:
+    """The rows of a folder's Parquet files, in the order of the files' names."""
+    files, at = pyarrow.fs.FileSystem.from_uri(path)
+    listed = sorted(f.path for f in files.get_file_info(pyarrow.fs.FileSelector(at)) if f.path.endswith(".parquet"))
+    return pa.concat_tables([pq.ParquetFile(files.open_input_file(f)).read(columns=columns) for f in listed]).combine_chunks()
+
 
+def exact_distances(points: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; differences whose squares overflow or vanish are scaled first."""
+    d = points - query
+    far = np.sqrt(np.einsum("kd,kd->k", d, d))
+    most = np.abs(d).max(1, initial=0.0)
+    odd = np.flatnonzero(~np.isfinite(far) | ((far < 1e-140) & (most > 0)))
+    if len(odd):
+        unit = d[odd] / most[odd, None]
+        far[odd] = most[odd] * np.sqrt(np.einsum("kd,kd->k", unit, unit))
+    return far
 
-def _search(k: int, beam: int):  # noqa: ANN202
+
+def _search(index_: str, queries: str, k: int, beam: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, ["width", "shard", "block"]):
-            width = t.column("width")[0].as_py()
-            is_query = t.column("is_query").to_numpy()
-            points, queries = t.filter(pa.array(~is_query)), t.filter(pa.array(is_query))
-            if not points.num_rows or not queries.num_rows:
-                continue
-            exact = _vectors(points.column("vec"), width, "float64")
-            data = exact.astype("float32")
-            graph = _vectors(points.column("near"), len(points.column("near")[0]), "int64")
-            start = points.column("start")[0].as_py()
-            ids, qid = points.column("ids").to_pylist(), queries.column("point").to_numpy()
-            wanted = _vectors(queries.column("vec"), width, "float64")
-            for lo in range(0, len(qid), 256):
-                some = wanted[lo : lo + 256]
-                found, _ = beam_search(data, graph, start, some.astype("float32"), beam)
-                d = exact[found] - some[:, None, :]
-                far = np.sqrt(np.einsum("qkd,qkd->qk", d, d))
-                far[found < 0] = np.inf
-                out = [[], [], []]
-                for i, own in enumerate(qid[lo : lo + 256].tolist()):
-                    best = sorted((f, v) for p, f in zip(found[i].tolist(), far[i].tolist()) if p >= 0 for v in ids[p] if v != own)[:k]
-                    out[0] += [own] * len(best)
-                    out[1] += [v for _, v in best]
-                    out[2] += [f for f, _ in best]
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+        for batch in batches:
+            for width, shard, block in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                points = _read_folder(f"{index_}/width={width}/shard={shard}", ["ids", "vec", "near", "start"])
+                asked = _read_folder(f"{queries}/width={width}/block={block}", ["id", "vec"])
+                exact, wanted = _vectors(points.column("vec"), width, "float64"), _vectors(asked.column("vec"), width, "float64")
+                graph = _vectors(points.column("near"), len(points.column("near")[0]), "int64")
+                start, ids, qid = points.column("start")[0].as_py(), points.column("ids").to_pylist(), asked.column("id").to_pylist()
+                for lo in range(0, len(qid), 256):
+                    some = wanted[lo : lo + 256]
+                    data, targets = scaled(exact, some)
+                    found, _ = beam_search(data, graph, start, targets, beam)
+                    out = [[], [], []]
+                    for i, own in enumerate(qid[lo : lo + 256]):
+                        at = found[i][found[i] >= 0]
+                        far = exact_distances(exact[at], some[i])
+                        best = sorted((f, v) for p, f in zip(at.tolist(), far.tolist()) for v in ids[p] if v != own)[:k]
+                        out[0] += [own] * len(best)
+                        out[1] += [v for _, v in best]
+                        out[2] += [f for f, _ in best]
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(index_: DataFrame, queries: DataFrame, k: int = 10, beam: int = 96, block_queries: int = 8192) -> DataFrame:
-    """The ``k`` nearest found of each query (id, width, vec): query_id, rank, vec_id, score."""
-    blocks = max(1, -(-queries.count() // block_queries))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    stored = index_.select("width", "shard", every, F.lit(False).alias("is_query"), F.col("point").cast("long").alias("point"), "ids", "vec", "near", "start")
-    shards = index_.groupBy("width").agg(F.max("shard").alias("last"))
-    none: Column = F.lit(None)
-    asked = queries.join(shards, "width").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    asked = asked.select(
-        "width", "shard", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("is_query"), F.col("id").alias("point"),
-        none.cast("array<long>").alias("ids"), "vec", none.cast("array<int>").alias("near"), none.cast("int").alias("start"),
-    )
-    both = stored.unionByName(asked).repartition("width", "shard", "block").sortWithinPartitions("width", "shard", "block", "is_query", "point")
-    found = both.mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
+def search(spark: SparkSession, index_: str, queries: DataFrame, k: int = 10, beam: int = BEAM_SEARCH, block_queries: int = 4096) -> DataFrame:
+    """The ``k`` nearest found of each query (id, width, vec): query_id, rank, vec_id, score.
+
+    A task searches one shard for one block of queries and reads just these two;
+    no vector is shuffled but for the queries, once.
+    """
+    stored = scratch.save(queries, "queries")
+    blocks = max(1, -(-stored.count() // block_queries))
+    path = scratch.new_path(spark, "blocks")
+    dealt = stored.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt.repartition(blocks, "width", "block").sortWithinPartitions("width", "block", "id").write.partitionBy("width", "block").parquet(path)
+    found_queries, found_shards = (spark.read.option("recursiveFileLookup", "false").schema(f"{c}, width int, {n} int").parquet(p) for p, c, n in ((path, "id long", "block"), (index_, "start int", "shard")))
+    shards, asked = found_shards.select("width", "shard").distinct(), found_queries.select("width", "block").distinct()
+    tasks = scratch.save(shards.join(asked, "width").select("width", "shard", "block"), "tasks")
+    spread = tasks.repartition(max(1, min(tasks.count(), 100_000)))
+    found = spread.mapInArrow(_search(index_, path, k, beam), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int")
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(rows: DataFrame, identifier: str, vector: str, is_query: Column, k: int = 10, shard_points: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, identifier: str, vector: str, is_query: Column, k: int = 10, shard_points: int = 16384, beam: int | None = None) -> DataFrame:
     """Index all ``rows`` and search them for those that ``is_query`` selects."""
-    small_batches(rows.sparkSession)
-    built = index(points_of(usable_rows(rows, identifier, vector), k + 1), shard_points)
+    spark = rows.sparkSession
+    small_batches(spark)
     asked = usable_rows(rows.where(is_query), identifier, vector).groupBy("id").agg(F.min("vec").alias("vec"))
-    asked = scratch.save(asked.withColumn("width", F.size("vec")), "queries")
-    return search(built, asked, k)
+    points = points_of(usable_rows(rows, identifier, vector), k + 1)
+    if points.isEmpty():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return search(spark, index(points, shard_points), asked.withColumn("width", F.size("vec")), k, beam or BEAM_SEARCH)

@@ -134,6 +134,23 @@ def test_vamana_recall_and_edges(spark):
     assert nearest(df.limit(0), "vec_id", "embedding", F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1e-25, 1e20, 1e200, 1e-200])
+def test_vamana_sizes(spark, size):
+    """Vectors of any finite size, and one of another, over several shards."""
+    from attesta.llm.vamana import nearest
+
+    v = np.random.default_rng(6).standard_normal((600, 8)) * size
+    v[17] *= 1e-30
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    hits = 0
+    for r in nearest(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=5, shard_points=200).collect():
+        far = np.sqrt((((v - v[r.query_id]) / size) ** 2).sum(1)) * size
+        far[r.query_id] = np.inf
+        assert r.score == pytest.approx(far[r.vec_id], rel=1e-9)
+        hits += r.vec_id in np.argsort(far, kind="stable")[:5]
+    assert hits >= 0.95 * 30
+
+
 def test_vamana_few_candidates(spark):
     from attesta.llm.vamana import nearest
 
@@ -309,6 +326,27 @@ def test_kneser_ney_against_brute_force(spark):
                 assert out[i].perplexity == pytest.approx(want, rel=1e-9)
 
 
+def test_model_larger_than_the_cache(spark, monkeypatch):
+    """Shards that don't fit a worker's cache, and a memo of few slots, give the same perplexities."""
+    from attesta.llm import kneser_ney as kn
+
+    docs = table(spark, random_texts(120, 3))
+    labels = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int")
+    monkeypatch.setattr(kn, "SHARD_ROWS", 50)
+    path, shards, _ = kn.train(docs, labels)
+    assert shards > 20
+    rows = docs.select("doc_id", "text").collect()
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r.doc_id for r in rows], "text": [r.text for r in rows]})
+    whole, small = kn.Model(path, shards), kn.Model(path, shards)
+    small.MOST_ROWS = 60
+    lang = spark.range(1).select(F.substring(F.md5(F.lit("en")), 1, 16)).first()[0]
+    keys = [kn.grams(b) for b in kn.blocks(batch.column(1), 500)]
+    a, b = list(whole.scores(lang, keys)), list(small.scores(lang, keys))
+    assert all((x == y).all() for x, y in zip(a, b))
+    assert sum(len(k) for k, _ in small.held.values()) <= 60 < sum(len(k) for k, _ in whole.held.values())
+    assert all((x == y).all() for x, y in zip(a, small.scores(lang, keys)))
+
+
 def test_classifier_odd_rows(spark):
     from attesta.llm.kneser_ney import classify
 
