@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators import intervals, records
@@ -23,8 +23,7 @@ def candidates(chosen: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     for place, (reason, df) in enumerate(parts.items(), 1):
         rows.append(df.select("id", "for_target", F.lit(reason).alias("reason"), F.lit(place).alias("_p")))
     every = reduce(DataFrame.unionByName, rows).distinct()
-    order = Window.orderBy("_p", "for_target", "id")  # the candidates of one question are few
-    return every.withColumn("ordinal", F.row_number().over(order)).drop("_p")
+    return records.numbered(every, ["_p", "for_target", "id"], "ordinal").drop("_p")
 
 
 def around(chosen: DataFrame, links: DataFrame, symbols: DataFrame) -> dict[str, DataFrame]:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.session import let_workers_import
+from attesta.storage import save
+
 #: Budgets of evidence selection, and the rank of roles.
 BUDGET_BYTES, MAX_ITEMS, OWNER_ADDITIONS, LISTED_WRITES, GATHERED, LACUNA_ADDS = 6144, 16, 8, 20, 16, 10
 ROLE_RANKS = {"target": 0, "origin": 1, "cost": 2, "path": 3, "support": 4, "constraint": 5}
@@ -34,8 +40,20 @@ def baseline(executions: DataFrame, keys: list[str]) -> DataFrame:
     return latest(ok, keys, chronology())
 
 
+def numbered(rows: DataFrame, order: list[str], column: str) -> DataFrame:
+    """``rows`` with their number (from 1) in a total order: ranges of it are numbered each in its task, from where the ranges before end."""
+    parts = max(1, rows.sparkSession.sparkContext.defaultParallelism)
+    ranged = save(rows.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    starts = sizes.select("_range", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(starts), "_range").withColumn(column, place).drop("_range", "_before")
+
+
 def sequential_ids(rows: DataFrame, order: list[str], prefix: str = "F", after: int = 0) -> DataFrame:
-    return rows.withColumn("id", F.concat(F.lit(prefix), (F.row_number().over(Window.orderBy(*order)) + after).cast("string")))
+    """``rows`` with the ids F1, F2, ... in a total order, going on after ``after``."""
+    return numbered(rows, order, "_n").withColumn("id", F.concat(F.lit(prefix), (F.col("_n") + after).cast("string"))).drop("_n")
 
 
 def quota_sample(rows: DataFrame, row_id: str, stratum: str, file: str, quotas: DataFrame) -> DataFrame:
@@ -150,9 +168,17 @@ def unknown_ids(references: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def project_digest(files: DataFrame) -> DataFrame:
-    """One row: the hash of the sorted lines ``sha256  path``, each with a line feed."""
-    lines = F.array_sort(F.collect_list(F.concat("sha256", F.lit("  "), "path")))
-    return files.agg(F.sha2(F.concat(F.array_join(lines, "\n"), F.lit("\n")), 256).alias("digest"))
+    """One row: the hash of the sorted lines ``sha256  path``, each with a line feed.  The lines pass one task as a sorted stream and are not collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.sha256()
+        for batch in batches:
+            h.update("".join(f"{line}\n" for line in batch.column(0).to_pylist()).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], names=["digest"])
+
+    let_workers_import(files.sparkSession)
+    lines = files.select(F.concat("sha256", F.lit("  "), "path").alias("line"))
+    return lines.repartition(1).sortWithinPartitions("line").mapInArrow(run, "digest string")
 
 
 # -- unions and budgets ----------------------------------------------------------------------
@@ -190,25 +216,41 @@ def role_of(reasons: Column, is_test: Column, ran: Column) -> Column:
     return F.when(is_test, F.struct(F.lit(5).alias("rank"), F.lit("constraint").alias("role"))).otherwise(F.coalesce(best, none))
 
 
-def greedy(items: DataFrame, keys: list[str], order: list[Column], size: str, budget: int, max_items: int | None = None, always: Column | None = None, never: Column | None = None) -> DataFrame:
+def greedy(
+    items: DataFrame, keys: list[str], order: list[Column], size: str, budget: int, max_items: int | None = None, always: Column | None = None, never: Column | None = None, batch: int = 256
+) -> DataFrame:
     """Per key, items in order as long as they fit: one that doesn't is skipped and the next is tried.
 
     ``taken`` says which; ``always`` ones are taken whatever they use, ``never``
-    ones left.  The fold reads each key's list once and keeps only what is used
-    and how many are taken with it.
+    ones left.  A round folds the next ``batch`` items of each key that may
+    still be taken, so no list is longer; what no longer fits is never seen again.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = items.withColumn("_n", F.row_number().over(w)).withColumn("_always", always if always is not None else F.lit(False)).withColumn("_never", never if never is not None else F.lit(False))
-    lists = n.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(size).cast("long").alias("size"), "_always", "_never"))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("count"), F.array().cast("array<int>").alias("taken"))
+    flags = items.withColumn("_always", always if always is not None else F.lit(False)).withColumn("_never", never if never is not None else F.lit(False))
+    rows = save(flags.withColumn("_size", F.coalesce(F.col(size).cast("long"), F.lit(0))).withColumn("_row", F.monotonically_increasing_id()), "items")
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("count"), F.array().cast("array<bigint>").alias("taken"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["used"] + x["size"] <= budget) & (F.lit(True) if max_items is None else acc["count"] < max_items)
-        take = x["_always"] | (fits & ~x["_never"])
-        return F.when(take, F.struct((acc["used"] + x["size"]).alias("used"), (acc["count"] + 1).alias("count"), F.array_append(acc["taken"], x["_n"]).alias("taken"))).otherwise(acc)
+    def fits(used: Column, count: Column, x: Column) -> Column:
+        return (used + x <= budget) & (F.lit(True) if max_items is None else count < max_items)
 
-    kept = lists.select(*keys, F.explode(F.aggregate("xs", start, step)["taken"]).alias("_n"), F.lit(True).alias("_t"))
-    return n.join(kept, [*keys, "_n"], "left").withColumn("taken", F.coalesce("_t", F.lit(False))).drop("_n", "_t", "_always", "_never")
+    def step(acc: Column, x: Column) -> Column:
+        take = x["_always"] | (fits(acc["used"], acc["count"], x["_size"]) & ~x["_never"])
+        return F.when(take, F.struct((acc["used"] + x["_size"]).alias("used"), (acc["count"] + 1).alias("count"), F.array_append(acc["taken"], x["_row"]).alias("taken"))).otherwise(acc)
+
+    w = Window.partitionBy(*keys).orderBy(*order, "_row")
+    rest, state, chosen = rows.where(F.col("_always") | (~F.col("_never") & fits(F.lit(0), F.lit(0), F.col("_size")))), None, []
+    while True:
+        ranked = rest.withColumn("_n", F.row_number().over(w))
+        lists = ranked.where(F.col("_n") <= batch).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", "_size", "_always", "_never", "_row"))).alias("xs"))
+        lists = lists.withColumn("_s", start) if state is None else lists.join(state, keys, "left").withColumn("_s", F.coalesce("_s", start))
+        folded = save(lists.withColumn("_f", F.aggregate("xs", F.struct(F.col("_s.used").alias("used"), F.col("_s.count").alias("count"), F.array().cast("array<bigint>").alias("taken")), step)).select(*keys, "_f"), "folded")
+        chosen.append(folded.select(F.explode("_f.taken").alias("_row")))
+        state = folded.select(*keys, F.struct(F.col("_f.used").alias("used"), F.col("_f.count").alias("count"), F.array().cast("array<bigint>").alias("taken")).alias("_s"))
+        left = ranked.where(F.col("_n") > batch).drop("_n").join(state, keys)
+        rest = save(left.where(F.col("_always") | fits(F.col("_s.used"), F.col("_s.count"), F.col("_size"))).drop("_s"), "items")
+        if rest.isEmpty():
+            break
+    taken = reduce(DataFrame.unionByName, chosen).withColumn("_t", F.lit(True))
+    return rows.join(taken, "_row", "left").withColumn("taken", F.coalesce("_t", F.lit(False))).drop("_row", "_t", "_always", "_never", "_size")
 
 
 def evidence_selection(candidates: DataFrame, keys: list[str], budget: int = BUDGET_BYTES, max_items: int = MAX_ITEMS) -> DataFrame:
