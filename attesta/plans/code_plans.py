@@ -15,7 +15,7 @@ from attesta.session import let_workers_import
 from attesta.sources import editions
 from attesta.storage import arrow_files, new_path, save
 
-#: A Python file; ``#`` stands for the part's key, ``@`` for a third of it and ``$`` for its size.  Every seventh part's file is broken, every fifth's run is a test.
+#: A Python file; ``#`` stands for the part's key, ``@`` for a third of it and ``$`` for its size.  Every seventh part's file is broken, every fifth's run is a test, every eleventh's text begins with a byte order mark.
 PYTHON = """import re
 import p$.m# as own
 LIMIT = $
@@ -75,6 +75,7 @@ def project(spark: SparkSession, d: str) -> DataFrame:
     text = F.replace(F.replace(F.lit(PYTHON), F.lit("#"), key), F.lit("$"), F.col("p_size").cast("string"))
     text = F.replace(text, F.lit("@"), F.expr("p_partkey div 3").cast("string"))
     text = F.when(F.col("p_partkey") % 5 == 0, F.replace(text, F.lit("def run"), F.lit("def test_run"))).otherwise(text)
+    text = F.when(F.col("p_partkey") % 11 == 0, F.concat(F.lit("\ufeff"), text)).otherwise(text)
     python = p.select(F.concat(F.lit("p"), "p_size", F.lit("/m"), key, F.lit(".py")).alias("path"), F.when(F.col("p_partkey") % 7 == 0, BROKEN).otherwise(text).alias("text"))
     view = F.replace(F.lit(RUST), F.lit("#"), F.col("s_suppkey").cast("string"))
     rust = s.select(F.concat(F.lit("s"), "s_nationkey", F.lit("/v"), "s_suppkey", F.lit(".rs")).alias("path"), view.alias("text"))
@@ -462,7 +463,7 @@ _FOUND = _rows("py", "rule operation text in_loop owner path line", [
 ]) + " UNION ALL " + _rows("rs", "rule operation text in_loop owner path line", ["'collect' | 'allocation' | 'x.clone()' | true | 'impl View' || k || '::draw' || k | path | 3"])
 _WITH = f"WITH {_FILES}, sym AS ({_SYMBOLS}), occ AS ({_OCCURRENCES}), cal AS ({_CALLS}), fnd AS ({_FOUND})"
 
-_CONTENT = "files AS (SELECT 'p' || p_size || '/m' || p_partkey || '.py' AS path, CASE WHEN p_partkey % 7 = 0 THEN {broken} ELSE replace(replace(replace(CASE WHEN p_partkey % 5 = 0 THEN replace({python}, 'def run', 'def test_run') ELSE {python} END, '#', CAST(p_partkey AS VARCHAR)), '@', CAST(p_partkey // 3 AS VARCHAR)), '$', CAST(p_size AS VARCHAR)) END AS t FROM part UNION ALL SELECT 's' || s_nationkey || '/v' || s_suppkey || '.rs', replace({rust}, '#', CAST(s_suppkey AS VARCHAR)) FROM supplier)".format(
+_CONTENT = "files AS (SELECT 'p' || p_size || '/m' || p_partkey || '.py' AS path, CASE WHEN p_partkey % 7 = 0 THEN {broken} ELSE CASE WHEN p_partkey % 11 = 0 THEN chr(65279) ELSE '' END || replace(replace(replace(CASE WHEN p_partkey % 5 = 0 THEN replace({python}, 'def run', 'def test_run') ELSE {python} END, '#', CAST(p_partkey AS VARCHAR)), '@', CAST(p_partkey // 3 AS VARCHAR)), '$', CAST(p_size AS VARCHAR)) END AS t FROM part UNION ALL SELECT 's' || s_nationkey || '/v' || s_suppkey || '.rs', replace({rust}, '#', CAST(s_suppkey AS VARCHAR)) FROM supplier)".format(
     **{k: "'" + v.replace("'", "''") + "'" for k, v in (("broken", BROKEN), ("python", PYTHON), ("rust", RUST))}
 )
 

@@ -282,4 +282,12 @@ SELECT l_partkey AS field, count(*) AS n, (SELECT string_agg(p || ':' || l, ' '
   coalesce((SELECT string_agg(DISTINCT code, ',' ORDER BY code) FROM iss JOIN c d ON d.i = iss.i WHERE d.answer_id = c.answer_id), '') AS codes FROM c GROUP BY answer_id""",
     "unique_runs": f"""WITH {_LS}, h AS (SELECT doc_id, u.i FROM ls, unnest(range(1, len(l))) AS u(i) WHERE len(l) >= 2 AND l[u.i] = l[1] AND l[u.i + 1] = l[2])
 SELECT doc_id AS id, CAST(min(i) AS BIGINT) AS start_line, CAST(min(i) + 1 AS BIGINT) AS end_line FROM h GROUP BY 1 HAVING count(*) = 1""",
+    "answer_compare": r"""WITH t AS (SELECT conv_id % 6 AS a, role, CASE WHEN l[len(l)] = '' THEN l[:len(l) - 1] ELSE l END AS l FROM (
+    SELECT conv_id, role, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), chr(13) || '$', ''), chr(10)) AS l FROM conversations)),
+c AS (SELECT DISTINCT a, role, l, role || ' ' || md5(CAST(l AS VARCHAR)) || len(l) AS content FROM t),
+k AS (SELECT content, any_value(role) AS role, any_value(l) AS l, count(DISTINCT a) AS shared FROM c GROUP BY content),
+e AS (SELECT content, u.i || ':' || l[u.i] AS item FROM k, unnest(range(1, len(l) + 1)) AS u(i)),
+near AS (SELECT DISTINCT x.content, c.a FROM e x JOIN e y ON x.item = y.item JOIN c ON c.content = y.content UNION SELECT k.content, c.a FROM k JOIN c ON c.l = k.l AND c.role <> k.role),
+g AS (SELECT k.content, k.shared, a.a, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.content = k.content AND c.a = a.a) THEN 'equal' WHEN EXISTS (SELECT 1 FROM near n WHERE n.content = k.content AND n.a = a.a) THEN 'partial' ELSE 'absent' END AS state FROM k, (SELECT DISTINCT a FROM c) a)
+SELECT state, shared, count(*) AS n, count(DISTINCT content) AS contents FROM g GROUP BY 1, 2""",
 }
