@@ -1,4 +1,5 @@
 import json
+import subprocess
 
 import pytest
 
@@ -101,3 +102,49 @@ def test_windows_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     assert sorted(r.n for r in spark.table("facts_win").collect()) == [3, 5]
     q.stop()
+
+
+def test_git_metadata(tmp_path):
+    assert editions.git_metadata(str(tmp_path)) is None
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "x").write_text("1")
+    run("add", "x")
+    run("commit", "-q", "-m", "one")
+    head = subprocess.run(["git", "-C", str(tmp_path), "rev-parse", "HEAD"], check=True, capture_output=True, text=True).stdout.strip()
+    assert editions.git_metadata(str(tmp_path)) == {"head": head, "dirty": False}
+    (tmp_path / "x").write_text("2")
+    assert editions.git_metadata(str(tmp_path)) == {"head": head, "dirty": True}
+
+
+def test_membership_and_field_rules(spark):
+    from attesta.operators import code, inventory
+    from attesta.plans.registry import RULES
+
+    texts = {
+        "a.py": "def keep(x):\n    got = []\n    if x in got:\n        return x\n",
+        "b.py": "def keep(x, got):\n    got = []\n    if x in got:\n        return x\n",
+        "c.py": "def keep(x):\n    got = {}\n    if x in got:\n        return x\n",
+    }
+    sources = editions.sources_of(spark.createDataFrame([(p, bytearray(t.encode())) for p, t in texts.items()], "path string, content binary"))
+    t = editions.tables_of(sources, editions.extracted(sources))
+    found = inventory.operations(code.with_owners(t["occurrences"], t["symbols"]), t["symbols"], inventory.rule_table(spark, RULES))
+    hits = found.where("operation = 'list_membership'").join(t["occurrences"].selectExpr("id as occ_id", "source_id"), "occ_id").join(t["sources"].selectExpr("id as source_id", "path"), "source_id")
+    assert [r.path for r in hits.collect()] == ["a.py"]
+    symbols = spark.createDataFrame([("f", "field", "s", 0, 20, "rust"), ("g", "field", "s", 30, 50, "rust")], "name string, kind string, source_id string, start long, end long, language string")
+    symbols = symbols.withColumn("top_level", symbols["start"] < 0)
+    rows = [("1", "call_observed", "Mutex", 5, 9), ("2", "call_observed", "Other", 35, 39), ("3", "attribute_access", "f", 60, 61), ("4", "attribute_access", "g", 70, 71), ("5", "field_assign", "f", 80, 81)]
+    occ = spark.createDataFrame([(i, k, c, "s", a, b, "rust", None, "o") for i, k, c, a, b in rows], "id string, kind string, candidate string, source_id string, start long, end long, language string, receiver string, owner string")
+    hits = inventory.operations(occ, symbols, inventory.rule_table(spark, RULES)).where("rule = 'lock-field'").collect()
+    assert sorted(r.occ_id for r in hits) == ["3", "5"]
+
+
+def test_named_inputs_and_odd_roots(spark, tmp_path):
+    root = tmp_path / "c++ (x)[1]"
+    for p in ("a/x.py", "a/node_modules/y.py", "node_modules/z.py", "b/w.txt", "c d/é.rs", ".hidden/h.py"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text("x = 1\n")
+    paths = lambda *inputs: sorted(r.path for r in editions.read_tree(spark, str(root), list(inputs)).collect())
+    assert paths() == ["a/x.py", "c d/é.rs"]
+    assert paths("node_modules") == ["node_modules/z.py"] and paths("a/node_modules") == ["a/node_modules/y.py"]
+    assert paths("b/w.txt", "a") == ["a/x.py", "b/w.txt"] and paths("nowhere") == []
