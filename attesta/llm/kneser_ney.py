@@ -5,7 +5,7 @@ of quality 1).  Counting is map-side per task, then a shuffle of n-gram counts;
 lower orders are the numbers of distinct left extensions, and discounts follow
 from the counts of counts of each language and order.  Probabilities of seen
 n-grams and back-off weights of contexts are stored as shards of bounded size,
-by language, order and key.  Scoring joins the distinct n-grams of a batch of
+by language, order and key.  Scoring joins the distinct n-grams of a megabyte of
 texts with the shards that hold them, a shard at a time, so no task holds the
 whole model and no text is shuffled to be scored; a worker keeps the shards it
 read last, up to 6 million rows.
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[str, int, DataFrame]:
 class Model:
     """A worker's view of the shards: the most recent of them, and a memo of probabilities."""
 
-    MOST_ROWS, SLOTS = 6_000_000, 1 << 18
+    MOST_ROWS, SLOT_BITS = 6_000_000, 19
 
     def __init__(self, path: str, shards: int) -> None:
         self.path, self.shards = path, shards
@@ -225,17 +225,19 @@ class Model:
         if lang not in self.memo:
             if len(self.memo) >= 8:
                 self.memo.clear()
-            self.memo[lang] = np.full(self.SLOTS, np.iinfo(np.uint64).max, np.uint64), np.zeros(self.SLOTS)
+            self.memo[lang] = np.full(1 << self.SLOT_BITS, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << self.SLOT_BITS)
         known, values = self.memo[lang]
-        slot_of = lambda keys: ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        new = [np.unique(keys[known[slot_of(keys)] != keys]) for keys in blocks_]
-        distinct = np.unique(np.concatenate([np.zeros(0, np.uint64), *new]))
+        slot_of = lambda keys: ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+        slots = [slot_of(keys) for keys in blocks_]
+        misses = [np.flatnonzero(known[slot] != keys) for slot, keys in zip(slots, blocks_)]
+        new = np.concatenate([np.zeros(0, np.uint64), *(keys[miss] for keys, miss in zip(blocks_, misses))])
+        distinct, inverse = np.unique(new, return_inverse=True)
         found = self.log_p(lang, distinct)
-        for keys in blocks_:
-            slot = slot_of(keys)
+        done = 0
+        for slot, miss in zip(slots, misses):
             out = values[slot]
-            miss = np.flatnonzero(known[slot] != keys)
-            out[miss] = found[np.searchsorted(distinct, keys[miss])]
+            out[miss] = found[inverse[done : done + len(miss)]]
+            done += len(miss)
             yield out
         at = slot_of(distinct)
         known[at], values[at] = distinct, found
@@ -264,17 +266,20 @@ def score(docs: DataFrame, path: str, shards: int, lang_key: Column) -> DataFram
             table = pa.Table.from_batches([batch])
             langs = np.array(table.column("_model_lang").to_pylist(), object)
             result = np.full(batch.num_rows, np.nan)
-            parts = [(b, grams(b), np.repeat(np.arange(b.first, b.first + b.n_rows), np.diff(b.bounds))) for b in blocks(table.column("text"), 1 << 18)]
-            sizes = np.concatenate([np.diff(b.bounds) for b, _, _ in parts])
-            for lang in set(langs):
-                rows = (langs == lang) & (sizes > 0)
-                if not rows.any() or not model.knows(lang):
-                    continue
-                own = [(keys[at], of[at]) for _, keys, of in parts if (at := rows[of]).any()]
-                total = np.zeros(batch.num_rows)
-                for (_, of), logs in zip(own, model.scores(lang, [keys for keys, _ in own])):
-                    total += np.bincount(of, logs, minlength=batch.num_rows)
-                result[rows] = np.exp(-total[rows] / sizes[rows])
+            total, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            known = {lang: model.knows(lang) for lang in set(langs)}
+            cut = list(blocks(table.column("text"), 1 << 18))
+            for lo in range(0, len(cut), 4):
+                parts = [(grams(b), np.repeat(np.arange(b.first, b.first + b.n_rows), np.diff(b.bounds))) for b in cut[lo : lo + 4]]
+                for b in cut[lo : lo + 4]:
+                    sizes[b.first : b.first + b.n_rows] = np.diff(b.bounds)
+                for lang in known:
+                    rows = langs == lang
+                    own = [(keys[at], of[at]) for keys, of in parts if known[lang] and (at := rows[of]).any()]
+                    for (_, of), logs in zip(own, model.scores(lang, [keys for keys, _ in own]) if own else ()):
+                        total += np.bincount(of, logs, minlength=batch.num_rows)
+            judged = (sizes > 0) & np.array([known[lang] for lang in langs])
+            result[judged] = np.exp(-total[judged] / sizes[judged])
             yield from table.append_column("perplexity", pa.array(result, mask=np.isnan(result))).combine_chunks().to_batches()
 
     return docs.select(*keep, lang_key.alias("_model_lang")).mapInArrow(frees(run, "kneser_ney", lambda: _MODELS.clear()), schema)

@@ -370,7 +370,7 @@ def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
     return named
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 4096, block_bytes: int = 32 << 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, block: int = 1024, block_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |A ∩ B| >= percent * |A ∪ B|.  See the

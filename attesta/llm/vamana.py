@@ -204,7 +204,7 @@ def points_of(rows: DataFrame, keep: int) -> DataFrame:
     return ranked.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.size("vec").alias("width"), "vec", "ids")
 
 
-def index(points: DataFrame, shard_points: int = 16384) -> str:
+def index(points: DataFrame, shard_points: int = 8192) -> str:
     """Build the shards' graphs; returns the folder that has a folder of rows for each, neighbours being places among its rows."""
     spark = points.sparkSession
     points = scratch.save(points, "points")
@@ -285,7 +285,7 @@ def search(spark: SparkSession, index_: str, queries: DataFrame, k: int = 10, be
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(rows: DataFrame, identifier: str, vector: str, is_query: Column, k: int = 10, shard_points: int = 16384, beam: int | None = None) -> DataFrame:
+def nearest(rows: DataFrame, identifier: str, vector: str, is_query: Column, k: int = 10, shard_points: int = 8192, beam: int | None = None) -> DataFrame:
     """Index all ``rows`` and search them for those that ``is_query`` selects."""
     spark = rows.sparkSession
     small_batches(spark)
