@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.operators import graph, intervals, resolve
 from attesta.plans.registry import candidate_kinds
+from attesta.storage import save
 
 CALLS = ("call_observed", "method_call_observed")
 
@@ -38,10 +39,10 @@ def edges(symbols: DataFrame, occurrences: DataFrame, pairs: DataFrame) -> DataF
     return graph.distinct_edges(out).withColumn("id", graph.edge_id("from", "to", "kind"))
 
 
-def admitted(pairs: DataFrame, calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Candidates that a call's form admits: a receiver's call never reaches a free function, a plain one no method but of its own class."""
-    s = with_containers(symbols).select(F.col("id").alias("sym_id"), F.col("kind").alias("_k"), F.col("container").alias("_c"))
-    caller = with_containers(symbols).select(F.col("id").alias("owner"), F.col("container").alias("_oc"))
+def admitted(pairs: DataFrame, calls: DataFrame, contained: DataFrame) -> DataFrame:
+    """Candidates that a call's form admits, by symbols with their container: a receiver's call never reaches a free function, a plain one no method but of its own class."""
+    s = contained.select(F.col("id").alias("sym_id"), F.col("kind").alias("_k"), F.col("container").alias("_c"))
+    caller = contained.select(F.col("id").alias("owner"), F.col("container").alias("_oc"))
     j = pairs.join(calls.select(F.col("id").alias("occ_id"), F.col("kind").alias("_call"), "owner"), "occ_id").join(s, "sym_id").join(caller, "owner", "left")
     is_method = F.col("_k").isin("method", "trait_method")
     ok = F.when(F.col("_call") == "method_call_observed", is_method | (F.col("_k") == "class")).otherwise(~is_method | F.coalesce(F.col("_c") == F.col("_oc"), F.lit(False)))
@@ -50,12 +51,12 @@ def admitted(pairs: DataFrame, calls: DataFrame, symbols: DataFrame) -> DataFram
 
 def resolved_calls(spark: SparkSession, tables: dict[str, DataFrame], chosen: DataFrame | None = None) -> DataFrame:
     """(occ_id, caller, how, target) of every call of an edition's tables."""
-    symbols, occurrences = tables["symbols"], with_owners(tables["occurrences"], tables["symbols"])
+    symbols, occurrences = tables["symbols"], save(with_owners(tables["occurrences"], tables["symbols"]), "occurrences")
+    contained = save(with_containers(symbols), "contained")
     pairs, above = graph.name_candidates(occurrences, symbols, candidate_kinds(spark))
     calls = occurrences.where(F.col("kind").isin(*CALLS) & F.col("owner").isNotNull())
-    mine = admitted(pairs.join(calls.select(F.col("id").alias("occ_id")), "occ_id", "left_semi"), calls, symbols)
+    mine = save(admitted(pairs.join(calls.select(F.col("id").alias("occ_id")), "occ_id", "left_semi"), calls, contained), "admitted")
     table = calls.select(F.col("id").alias("occ_id"), F.col("owner").alias("caller"), F.col("candidate").alias("name"), "source_id", "start", "end", F.split("receiver", r"\.")[0].alias("receiver_head"), F.col("receiver").isin("self").alias("own_receiver"))
-    contained = with_containers(symbols)
     methods = contained.where("kind in ('method', 'trait_method')").select("id", "name", "container")
     classes = symbols.where("kind = 'class'").select(F.col("id").alias("type"), F.col("name").alias("_class"))
     written = occurrences.where("kind = 'receiver_type'").select("source_id", F.col("start").alias("_s"), F.col("candidate").alias("_class"))
