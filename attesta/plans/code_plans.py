@@ -122,7 +122,7 @@ def code_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return _with_paths(t, t["diagnostics"]).select("path", "code")
 
 
-def _edges(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
+def graph_edges(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
     occ = code.with_owners(t["occurrences"], t["symbols"])
     pairs, _ = graph.name_candidates(occ, t["symbols"], candidate_kinds(spark))
     return code.edges(t["symbols"], occ, pairs)
@@ -131,7 +131,7 @@ def _edges(spark: SparkSession, t: dict[str, DataFrame]) -> DataFrame:
 def code_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges between declarations by name; of those from or to occurrences the number per file."""
     t = _tables(spark, d)
-    e = _edges(spark, t)
+    e = graph_edges(spark, t)
     names = t["symbols"].select("id", "qualified_name", "source_id")
     of = lambda side: names.select(F.col("id").alias(side), F.col("qualified_name").alias(f"{side}_name"), F.col("source_id").alias(f"{side}_source"))
     sources = e.where("kind = 'declares'").join(of("to"), "to").groupBy("kind", F.col("to_name").alias("name")).agg(F.count("*").alias("n"))
@@ -144,7 +144,7 @@ def code_edges(spark: SparkSession, d: str) -> DataFrame:
 def code_projection(spark: SparkSession, d: str) -> DataFrame:
     """The neutral graph: what each node is by the records that hold it, and edges into occurrences as ``observes``, one for one."""
     t = _tables(spark, d)
-    e = save(_edges(spark, t), "edges")
+    e = save(graph_edges(spark, t), "edges")
     ids = e.select(F.col("from").alias("id")).union(e.select("to")).distinct()
     nodes = graph.categories(ids, t["symbols"], t["sources"])
     kinds = graph.neutral(e, nodes).groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("edge").alias("what"), F.col("kind").alias("value"), "n")
@@ -370,7 +370,7 @@ def edition_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def graph_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A stored graph against the one built anew."""
     t = _tables(spark, d)
-    e = _edges(spark, t)
+    e = graph_edges(spark, t)
     folder = new_path(spark, "graph")
     editions.write_graph(e, folder)
     return editions.verify_graph(spark, folder, e)
