@@ -43,7 +43,7 @@ from attesta.llm.wordhash import Block, blocks, mix
 
 ORDER = 5
 HELD_OUT_IN = 10
-SHARD_ROWS = 1_000_000
+SHARD_ROWS = 200_000
 #: Kinds of model rows: an n-gram of order o, and the context of one.
 _CONTEXT = 10
 
