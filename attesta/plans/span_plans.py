@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attesta.operators import graph, intervals, resolve
@@ -96,20 +96,21 @@ def edge_identity(spark: SparkSession, d: str) -> DataFrame:
     return e.select("from", "to", graph.edge_id("from", "to", "kind").alias("id"))
 
 
-def _nodes(spark: SparkSession, d: str) -> DataFrame:
-    e = supply_edges(spark, d)
+def _nodes(e: DataFrame) -> DataFrame:
     ids = e.select(F.col("from").alias("id")).union(e.select("to")).distinct()
     return ids.withColumn("kind", F.when(F.col("id").startswith("s"), "source").otherwise("symbol"))
 
 
 def neighborhood_bfs(spark: SparkSession, d: str) -> DataFrame:
     seed = spark.sql("SELECT 'c7' AS id")
-    return graph.neighborhood(supply_edges(spark, d), _nodes(spark, d), seed, depth=4, max_nodes=None).select("id", F.col("layer").cast("long").alias("layer"))
+    edges = save(supply_edges(spark, d), "edges")
+    return graph.neighborhood(edges, _nodes(edges), seed, depth=4, max_nodes=None).select("id", F.col("layer").cast("long").alias("layer"))
 
 
 def neighborhood_capped(spark: SparkSession, d: str) -> DataFrame:
     seed = spark.sql("SELECT 'c7' AS id")
-    return graph.neighborhood(supply_edges(spark, d), _nodes(spark, d), seed, depth=4, max_nodes=graph.NEIGHBORHOOD_NODES).select("id", F.col("layer").cast("long").alias("layer"))
+    edges = save(supply_edges(spark, d), "edges")
+    return graph.neighborhood(edges, _nodes(edges), seed, depth=4, max_nodes=graph.NEIGHBORHOOD_NODES).select("id", F.col("layer").cast("long").alias("layer"))
 
 
 def used_by_layers(spark: SparkSession, d: str) -> DataFrame:
@@ -144,8 +145,7 @@ def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sym_id"), "s_nationkey")
     home = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("caller"), "c_nationkey")
     same = candidates.join(home, "caller").join(supplier, "sym_id").where("c_nationkey = s_nationkey")
-    one = same.withColumn("n", F.count("*").over(Window.partitionBy("occ_id"))).where("n = 1").select("occ_id", F.col("sym_id").alias("target"))
-    rules = {"unique": resolve.unique_links(candidates), "type": one, "homonym": candidates.where("sym_id % 2 = 0").select("occ_id", F.col("sym_id").alias("target"))}
+    rules = {"unique": resolve.unique_links(candidates), "type": resolve.unique_links(same), "homonym": candidates.where("sym_id % 2 = 0").select("occ_id", F.col("sym_id").alias("target"))}
     return resolve.cascade(calls, rules, above=candidates.where("sym_id % 3 = 0").select("occ_id")).select("occ_id", "how", "target")
 
 
