@@ -173,20 +173,23 @@ def patch_issues(claims: DataFrame, citations: DataFrame, evidence: DataFrame, a
 
 
 def edit_issues(claims: DataFrame, edits: DataFrame, citations: DataFrame, evidence: DataFrame, symbols: DataFrame, allowed: bool = True) -> DataFrame:
-    """(claim_id, code) of edits (claim_id, edit_no, op, path, start_line, end_line, new_lines) of claims (id, kind, has_edits) against evidence (path, start_line, end_line, lines), citations (claim_id, path, start_line, end_line) and symbols (path, declaration_line, end_line)."""
+    """(claim_id, code) of edits (claim_id, edit_no, op, path, start_line, end_line, new_lines) of claims (id, kind, has_edits) against evidence (path, start_line, end_line, lines), citations (claim_id, path, start_line, end_line) and symbols (path, declaration_line, end_line).
+
+    All sides grow with the claims, and rows made of a small file are many times its size, which is what Spark goes by: no side is broadcast.
+    """
     of = lambda df, code: df.select(F.col("id").alias("claim_id"), F.lit(code).alias("code"))
     with_edits = claims.where("has_edits")
     if not allowed:
         return of(with_edits, "edits_not_allowed")
     kind = of(with_edits.where("kind <> 'HYPOTHESIS'"), "edits_require_hypothesis")
     own = with_edits.where("kind = 'HYPOTHESIS'").select("id")
-    rows = own.join(edits.withColumnRenamed("claim_id", "id"), "id")
-    empty = own.join(rows.select("id"), "id", "left_anti")
+    rows = own.join(edits.withColumnRenamed("claim_id", "id").hint("merge"), "id")
+    empty = own.join(rows.select("id").hint("merge"), "id", "left_anti")
     replaces = F.col("op").isin("replace", "rewrite")
     shape = F.col("op").isin("replace", "rewrite", "insert_before", "insert_after") & (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line")) & (replaces | (F.col("end_line") == F.col("start_line")))
     shape = shape & ~F.exists("new_lines", lambda x: x.contains("\n") | x.contains("\r"))
     good = rows.where(shape)
-    j = good.join(_containing(evidence), F.col("path") == F.col("_p"), "left")
+    j = good.join(_containing(evidence).hint("merge"), F.col("path") == F.col("_p"), "left")
     inside = F.coalesce((F.col("_s") <= F.col("start_line")) & (F.col("end_line") <= F.col("_e")), F.lit(False))
     old = F.slice("_ls", F.greatest(F.col("start_line") - F.col("_s") + 1, F.lit(1)).cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int"))
     keys = ["id", "edit_no", "op", "path", "start_line", "end_line", "new_lines"]
@@ -194,12 +197,12 @@ def edit_issues(claims: DataFrame, edits: DataFrame, citations: DataFrame, evide
     placed = per.where("_in = 1")
     lines = placed.where("op = 'replace'").select("id", "edit_no", "path", F.explode(F.sequence("start_line", "end_line")).alias("line"))
     c = citations.select(F.col("claim_id").alias("id"), "path", F.col("start_line").alias("_cs"), F.col("end_line").alias("_cl"))
-    cited = lines.join(c, ["id", "path"], "left").groupBy("id", "edit_no", "line").agg(F.max(F.coalesce(F.col("line").between(F.col("_cs"), F.col("_cl")), F.lit(False)).cast("int")).alias("_c"))
+    cited = lines.join(c.hint("merge"), ["id", "path"], "left").groupBy("id", "edit_no", "line").agg(F.max(F.coalesce(F.col("line").between(F.col("_cs"), F.col("_cl")), F.lit(False)).cast("int")).alias("_c"))
     same = F.when(replaces, F.col("_old") == F.col("new_lines")).otherwise(F.size("new_lines") == 0)
     text = lambda x: F.array_join(x, "\n")
     removed = F.when(replaces, T.bracket_balance(text("_old"))).otherwise(T.bracket_balance(F.lit("")))
     s = symbols.select(F.col("path").alias("_sp"), F.col("declaration_line").alias("_sd"), F.col("end_line").alias("_se"))
-    marks = placed.where("op = 'rewrite'").join(s, F.col("path") == F.col("_sp"), "left").groupBy("id", "edit_no").agg(F.count("_sp").alias("_n"), F.max(((F.col("start_line") <= F.col("_sd")) & (F.col("end_line") == F.col("_se"))).cast("int")).alias("_whole"))
+    marks = placed.where("op = 'rewrite'").join(s.hint("merge"), F.col("path") == F.col("_sp"), "left").groupBy("id", "edit_no").agg(F.count("_sp").alias("_n"), F.max(((F.col("start_line") <= F.col("_sd")) & (F.col("end_line") == F.col("_se"))).cast("int")).alias("_whole"))
     previous = F.lag("end_line").over(Window.partitionBy("id", "path").orderBy("start_line", "end_line", "edit_no"))
     crossing = rows.withColumn("_before", previous).where(F.col("start_line") <= F.col("_before"))
     parts = [
