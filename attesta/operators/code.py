@@ -13,16 +13,20 @@ CALLS = ("call_observed", "method_call_observed")
 
 
 def with_containers(symbols: DataFrame) -> DataFrame:
-    """Symbols with ``container``: the innermost other symbol around each, null at the top."""
+    """Symbols with ``container``: the innermost other symbol around each, null at the top; as it is where an extraction gives it."""
+    if "container" in symbols.columns:
+        return symbols
     inner = intervals.innermost(symbols.select("id", "source_id", "start", "end"), symbols.select("id", "source_id", "start", "end"), "source_id", "id", "id")
     return symbols.join(inner.select("id", F.col("outer_id").alias("container")), "id", "left")
 
 
 def with_owners(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Occurrences with ``owner``, the innermost symbol around each, and ``receiver``, what is written before the last dot of a call."""
+    """Occurrences with ``owner``, the innermost symbol around each, and ``receiver``, what is written before the last dot of a call; an owner that an extraction gives stays."""
+    receiver = F.when(F.col("kind") == "method_call_observed", F.regexp_extract("label", r"^([\w.]+)\.\w+\(", 1))
+    if "owner" in occurrences.columns:
+        return occurrences.withColumn("receiver", receiver)
     bodies = symbols.where("kind in ('function', 'method', 'trait_method', 'class', 'impl', 'module')").select("id", "source_id", "start", "end")
     own = intervals.innermost(occurrences.select("id", "source_id", "start", "end"), bodies, "source_id", "id", "id").select("id", F.col("outer_id").alias("owner"))
-    receiver = F.when(F.col("kind") == "method_call_observed", F.regexp_extract("label", r"^([\w.]+)\.\w+\(", 1))
     return occurrences.join(own, "id", "left").withColumn("receiver", receiver)
 
 

@@ -26,12 +26,15 @@ from attesta.plans.registry import profile
 from attesta.session import let_workers_import
 from attesta.storage import arrow_files, save
 
-_SYMBOL = "id string, source_id string, name string, qualified_name string, kind string, is_test boolean, top_level boolean, start bigint, `end` bigint, start_line bigint, end_line bigint, sha256 string"
-_OCCURRENCE = "id string, source_id string, kind string, start bigint, `end` bigint, candidate string, rule string, label string"
-_BINDING = "scope_source string, scope_start bigint, scope_end bigint, head string, dotted string, is_local boolean"
-_DIAGNOSTIC = "source_id string, code string, message string"
-_EXTRACTED = f"source_id string, symbols array<struct<{_SYMBOL.replace(' ', ':').replace(',:', ',')}>>, occurrences array<struct<{_OCCURRENCE.replace(' ', ':').replace(',:', ',')}>>, bindings array<struct<{_BINDING.replace(' ', ':').replace(',:', ',')}>>, diagnostics array<struct<{_DIAGNOSTIC.replace(' ', ':').replace(',:', ',')}>>"
+# What an extraction keeps of each record; ids are made of the source's id, the kind and the span, and ``container`` and ``owner`` name a symbol by its id's end.
+_SYMBOL = "name string, qualified_name string, kind string, is_test boolean, top_level boolean, start bigint, `end` bigint, start_line bigint, end_line bigint, sha256 string, container string"
+_OCCURRENCE = "kind string, start bigint, `end` bigint, candidate string, rule string, label string, owner string"
+_BINDING = "scope_start bigint, scope_end bigint, head string, dotted string, is_local boolean"
+_DIAGNOSTIC = "code string, message string"
+_RECORDS = {"symbols": _SYMBOL, "occurrences": _OCCURRENCE, "bindings": _BINDING, "diagnostics": _DIAGNOSTIC}
 TABLES = ("sources", "symbols", "occurrences", "bindings", "diagnostics")
+#: Symbols that own what happens in them.
+BODY_KINDS = ("function", "method", "trait_method", "class", "impl", "module")
 
 
 def list_tree(spark: SparkSession, root: str, inputs: list[str] | None = None, profile_name: str = "V9") -> DataFrame:
@@ -104,39 +107,119 @@ def suggested_inputs(sources: DataFrame) -> DataFrame:
     return sources.where("language <> 'auxiliary'").select(F.split("path", "/")[0].alias("input")).where("input not like '.%'").distinct().orderBy("input")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from attesta.extract import python_code, rust_code
+#: Content that one batch of an extraction is made of, unless a single file is longer.
+_BATCH_BYTES = 256 << 10
 
-    by = {"python": python_code.extract, "rust": rust_code.extract}
-    for batch in batches:
-        for row in batch.to_pylist():
-            found = by[row["language"]](row["id"], row["content"])
-            yield pa.RecordBatch.from_pylist([{"source_id": row["id"], "symbols": found.symbols, "occurrences": found.occurrences, "bindings": found.bindings, "diagnostics": found.diagnostics}], schema=_SCHEMA)
 
-
-def _fields(ddl: str) -> pa.DataType:
+def _fields(ddl: str) -> dict[str, pa.DataType]:
     kinds = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
-    return pa.struct([(f.split()[0].strip("`"), kinds[f.split()[1]]) for f in ddl.split(", ")])
-
+    return {f.split()[0].strip("`"): kinds[f.split()[1]] for f in ddl.split(", ")}
 
-_SCHEMA = pa.schema([("source_id", pa.string()), *((n, pa.list_(_fields(d))) for n, d in (("symbols", _SYMBOL), ("occurrences", _OCCURRENCE), ("bindings", _BINDING), ("diagnostics", _DIAGNOSTIC)))])
 
+def _end_of(row: dict) -> str:
+    return f"{row['kind']}:{row['start']}:{row['end']}"
 
-def extracted(sources: DataFrame) -> DataFrame:
-    """One row per parsed source with the arrays symbols, occurrences, bindings and diagnostics; ``auxiliary`` files are not parsed."""
-    let_workers_import(sources.sparkSession)
-    return sources.where("language <> 'auxiliary'").select("id", "language", "content").mapInArrow(_extract, _EXTRACTED)
 
+def around(inner: list[dict], outer: list[dict]) -> list[str | None]:
+    """Of each span the end of the id of the smallest outer span of the same file that contains it and isn't itself, ties to the lesser one: ``intervals.innermost`` of one file, by one sort of both.
 
-def tables_of(sources: DataFrame, found: DataFrame) -> dict[str, DataFrame]:
-    """The record tables; repeated rows go."""
-    language = sources.select(F.col("id").alias("_s"), "language")
-    out = {"sources": sources.drop("content")}
-    for name in TABLES[1:]:
-        rows = found.select(F.explode(name).alias("r")).select("r.*").distinct()
-        key = "scope_source" if name == "bindings" else "source_id"
-        out[name] = rows if name == "diagnostics" else rows.join(language, F.col(key) == F.col("_s")).drop("_s")
-    return out
+    What is compared with a span are the outer spans that its start lies in.
+    """
+    rest = sorted([(o["start"], o["end"], _end_of(o)) for o in outer], reverse=True)
+    open_: list[tuple[int, int, str]] = []
+    found: list[str | None] = [None] * len(inner)
+    for start, end, at in sorted([(r["start"], r["end"], i) for i, r in enumerate(inner)]):
+        while rest and rest[-1][0] <= start:
+            open_.append(rest.pop())
+        best = None
+        for o in open_:
+            if o[1] >= end and not (o[1] == end and o[0] == start and o[2] == _end_of(inner[at])):
+                length = o[1] - o[0]
+                if best is None or length < least or length == least and o[2] < best:
+                    best, least = o[2], length
+        found[at] = best
+        if open_ and min([o[1] for o in open_]) < start:
+            open_ = [o for o in open_ if o[1] >= start]
+    return found
+
+
+def _distinct(rows: list[dict]) -> list[dict]:
+    return list({tuple(r.values()): r for r in rows}.values())
+
+
+def _extractor(names: tuple[str, ...], keep: tuple[str, ...] = (), nested: bool = False):  # noqa: ANN202
+    """Batches of sources (id, language, content and ``keep``) to one row each with the arrays ``names``; containers and owners are null unless ``nested``."""
+    fields = {n: _fields(_RECORDS[n]) for n in names}
+
+    def listed(name: str, files: list[list[dict]]) -> pa.ListArray:
+        rows = [r for f in files for r in f]
+        offsets = [0]
+        for f in files:
+            offsets.append(offsets[-1] + len(f))
+        columns = [pa.array([r.get(c) for r in rows], t) for c, t in fields[name].items()]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=[pa.field(c, t) for c, t in fields[name].items()]))
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from attesta.extract import python_code, rust_code
+
+        read = (*names, "symbols") if nested else names
+        by = {"python": lambda *file: python_code.extract(*file, read), "rust": rust_code.extract}
+        for batch in batches:
+            first = size = 0
+            found: list[dict[str, list[dict]]] = []
+            for n, (source, language, content) in enumerate(zip(batch["id"].to_pylist(), batch["language"].to_pylist(), batch["content"].to_pylist())):
+                got = by[language](source, content)
+                records = {name: _distinct(getattr(got, name)) for name in names}
+                if nested and "symbols" in names:
+                    for r, c in zip(records["symbols"], around(records["symbols"], got.symbols)):
+                        r["container"] = c
+                if nested and "occurrences" in names:
+                    for r, o in zip(records["occurrences"], around(records["occurrences"], [x for x in got.symbols if x["kind"] in BODY_KINDS])):
+                        r["owner"] = o
+                found.append(records)
+                size += len(content)
+                if size >= _BATCH_BYTES or n + 1 == batch.num_rows:
+                    part = batch.slice(first, len(found))
+                    arrays = [part["id"], part["language"], *(part[k] for k in keep), *(listed(name, [f[name] for f in found]) for name in names)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["source_id", "language", *keep, *names])
+                    first, size, found = n + 1, 0, []
+
+    return extract
+
+
+def extracted(sources: DataFrame, names: tuple[str, ...] = TABLES[1:], keep: tuple[str, ...] = (), nested: bool = False) -> DataFrame:
+    """One row per parsed source with the arrays ``names`` (symbols, occurrences, bindings, diagnostics) and the source's columns ``keep``; ``auxiliary`` files are not parsed.
+
+    With ``nested``, symbols have a container and occurrences an owner.
+
+    Sources are dealt to tasks by their id, as a table's one small file may hold very many; a repeated source is parsed once.
+    """
+    spark = sources.sparkSession
+    let_workers_import(spark)
+    arrays = [f"{n} array<struct<{', '.join(f.replace(' ', ':', 1) for f in _RECORDS[n].split(', '))}>>" for n in names]
+    kept = [f"`{k}` {sources.schema[k].dataType.simpleString()}" for k in keep]
+    columns = dict.fromkeys(["id", "language", "content", *keep])
+    dealt = sources.where("language <> 'auxiliary'").select(*columns).repartition(4 * max(1, spark.sparkContext.defaultParallelism), "id").dropDuplicates(["id"])
+    return dealt.mapInArrow(_extractor(tuple(names), tuple(keep), nested), ", ".join(["source_id string", "language string", *kept, *arrays]))
+
+
+def rows_of(found: DataFrame, name: str, keep: tuple[str, ...] = (), nested: bool = False) -> DataFrame:
+    """A record table of an extraction, with the columns ``keep``; ``nested`` adds the ``container`` of symbols or the ``owner`` of occurrences."""
+    r = found.select("source_id", "language", *keep, F.explode(name).alias("r"))
+    columns = {c: F.col("r")[c].alias(c) for c in _fields(_RECORDS[name])}
+    held = [c for c in ("container", "owner") if columns.pop(c, None) is not None]
+    source = F.col("source_id").alias("scope_source" if name == "bindings" else "source_id")
+    if name in ("symbols", "occurrences"):
+        of = lambda end: F.concat("source_id", F.lit(":"), end)
+        ends = F.concat_ws(":", "r.kind", "r.start", "r.end")
+        extra = [of(F.col("r")[c]).alias(c) for c in held] if nested else []
+        return r.select(of(ends).alias("id"), source, *columns.values(), "language", *extra, *keep)
+    return r.select(source, *columns.values(), *(["language"] if name == "bindings" else []), *keep)
+
+
+def tables_of(sources: DataFrame, found: DataFrame, nested: bool = False) -> dict[str, DataFrame]:
+    """The record tables that ``found`` has arrays of; a file's repeated rows are gone."""
+    return {"sources": sources.drop("content"), **{n: rows_of(found, n, nested=nested) for n in TABLES[1:] if n in found.columns}}
 
 
 def git_metadata(root: str) -> dict | None:

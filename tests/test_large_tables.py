@@ -4,6 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta import queries
+from attesta.extract import python_code
+from attesta.operators import code
+from attesta.plans import code_plans
+from attesta.sources import editions
 
 
 @pytest.fixture
@@ -36,3 +40,39 @@ def test_lacuna_targets_are_not_capped(spark, tables):
     assert len(found) > 1000
     types = [(n, p) for n in range(0, 25, 2) for p in range(n, parts, 97) if p % 5 == 0]
     assert sorted((r.ordinal, r.symbol_id) for r in found if r.how == "type") == types
+
+
+def test_code_project_is_dealt_before_extraction(spark, tables):
+    """A table's one small file would be one task, however many files the project has."""
+    d = tables(300)
+    files = code_plans.project(spark, d)
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    found = editions.extracted(editions.sources_of(files.coalesce(1)), ("diagnostics",))
+    used = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert found.columns == ["source_id", "language", "diagnostics"] and used >= spark.sparkContext.defaultParallelism
+
+
+def test_records_are_those_of_the_interval_operators(spark, tables):
+    """Owners and containers that an extraction gives are those of ``innermost``, and a repeated source is read once."""
+    sources = editions.sources_of(code_plans.project(spark, tables(30)))
+    found = editions.extracted(sources.unionByName(sources), nested=True)
+    t, plain = editions.tables_of(sources, found, nested=True), editions.tables_of(sources, found)
+    assert "owner" not in plain["occurrences"].columns and "container" not in plain["symbols"].columns
+    for given, made in ((t["symbols"], code.with_containers(plain["symbols"])), (code.with_owners(t["occurrences"], t["symbols"]), code.with_owners(plain["occurrences"], plain["symbols"]))):
+        a, b = (sorted(map(repr, rows.select(sorted(given.columns)).collect())) for rows in (given, made))
+        assert a == b and len(a) > 100
+
+
+def test_around_of_crossing_and_equal_spans():
+    spans = [{"kind": k, "start": a, "end": b} for k, a, b in (("class", 0, 9), ("impl", 0, 9), ("class", 3, 12), ("module", 0, 30), ("class", 4, 6), ("class", 40, 41))]
+    assert editions.around(spans, spans) == ["impl:0:9", "class:0:9", "module:0:30", None, "class:0:9", None]
+
+
+def test_extraction_of_some_records_is_part_of_the_whole():
+    text = b"import re\nA = 1\n\n\ndef f(x):\n    y = [z for z in x]\n    with g() as (a, b):\n        for c.d, e in y:\n            re.compile(a)\n\n    def h(k=0):\n        w: int = k\n        return (n := w)\n    return h\n"
+    whole = python_code.extract("s", text)
+    assert {b["head"] for b in whole.bindings} == {"re", "x", "y", "z", "a", "b", "e", "k", "w", "n"}
+    for name in python_code.RECORDS:
+        part = python_code.extract("s", text, (name,))
+        assert getattr(part, name) == getattr(whole, name)
+        assert not any(getattr(part, n) for n in python_code.RECORDS if n != name)
