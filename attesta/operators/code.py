@@ -55,8 +55,12 @@ def admitted(pairs: DataFrame, calls: DataFrame, contained: DataFrame) -> DataFr
 
 def resolved_calls(spark: SparkSession, tables: dict[str, DataFrame], chosen: DataFrame | None = None) -> DataFrame:
     """(occ_id, caller, how, target) of every call of an edition's tables."""
-    symbols, occurrences = tables["symbols"], save(with_owners(tables["occurrences"], tables["symbols"]), "occurrences")
-    contained = save(with_containers(symbols), "contained")
+    symbols, occurrences = tables["symbols"], with_owners(tables["occurrences"], tables["symbols"])
+    contained = with_containers(symbols)
+    if "owner" not in tables["occurrences"].columns:  # made by a join
+        occurrences = save(occurrences, "occurrences")
+    if "container" not in symbols.columns:
+        contained = save(contained, "contained")
     pairs, above = graph.name_candidates(occurrences, symbols, candidate_kinds(spark))
     calls = occurrences.where(F.col("kind").isin(*CALLS) & F.col("owner").isNotNull())
     mine = save(admitted(pairs.join(calls.select(F.col("id").alias("occ_id")), "occ_id", "left_semi"), calls, contained), "admitted")

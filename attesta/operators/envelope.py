@@ -73,7 +73,9 @@ def field_writers(writes: DataFrame, owners: DataFrame, listed: int = records.LI
 
 
 def owner_methods(symbols: DataFrame) -> DataFrame:
-    """(type, id): methods with the innermost class, struct or impl around them."""
+    """(type, id): methods with the innermost class, struct or impl around them; as it is where an extraction gives it."""
+    if "type" in symbols.columns:
+        return symbols.where("kind in ('method', 'trait_method', 'function') and type is not null").select("type", "id")
     outer = symbols.where("kind in ('class', 'struct', 'impl', 'trait')").select("id", "source_id", "start", "end")
     inner = symbols.where("kind in ('method', 'trait_method', 'function')").select("id", "source_id", "start", "end")
     return intervals.innermost(inner, outer, "source_id", "id", "id").select(F.col("outer_id").alias("type"), "id")

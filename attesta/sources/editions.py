@@ -9,14 +9,19 @@ be equal, row for row.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import subprocess
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,17 +29,19 @@ from attesta.functions import text as T
 from attesta.operators import records
 from attesta.plans.registry import profile
 from attesta.session import let_workers_import
-from attesta.storage import arrow_files, save
+from attesta.storage import arrow_files, drop, new_path, save
 
 # What an extraction keeps of each record; ids are made of the source's id, the kind and the span, and ``container`` and ``owner`` name a symbol by its id's end.
 _SYMBOL = "name string, qualified_name string, kind string, is_test boolean, top_level boolean, start bigint, `end` bigint, start_line bigint, end_line bigint, sha256 string, container string"
-_OCCURRENCE = "kind string, start bigint, `end` bigint, candidate string, rule string, label string, owner string"
+_OCCURRENCE = "kind string, start bigint, `end` bigint, line bigint, candidate string, rule string, label string, owner string"
 _BINDING = "scope_start bigint, scope_end bigint, head string, dotted string, is_local boolean"
 _DIAGNOSTIC = "code string, message string"
 _RECORDS = {"symbols": _SYMBOL, "occurrences": _OCCURRENCE, "bindings": _BINDING, "diagnostics": _DIAGNOSTIC}
 TABLES = ("sources", "symbols", "occurrences", "bindings", "diagnostics")
 #: Symbols that own what happens in them.
 BODY_KINDS = ("function", "method", "trait_method", "class", "impl", "module")
+#: Symbols that are methods of a type, and those that are a type or its block.
+METHOD_KINDS, TYPE_KINDS = ("method", "trait_method", "function"), ("class", "struct", "impl", "trait")
 
 
 def list_tree(spark: SparkSession, root: str, inputs: list[str] | None = None, profile_name: str = "V9") -> DataFrame:
@@ -147,6 +154,20 @@ def _distinct(rows: list[dict]) -> list[dict]:
     return list({tuple(r.values()): r for r in rows}.values())
 
 
+@contextmanager
+def _cycles_left():  # noqa: ANN202
+    """Without searches for cycles, which syntax trees have none of, but go through again and again; the caller searches now and then."""
+    was = gc.isenabled()
+    gc.freeze()
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.unfreeze()
+        if was:
+            gc.enable()
+
+
 def _extractor(names: tuple[str, ...], keep: tuple[str, ...] = (), nested: bool = False):  # noqa: ANN202
     """Batches of sources (id, language, content and ``keep``) to one row each with the arrays ``names``; containers and owners are null unless ``nested``."""
     fields = {n: _fields(_RECORDS[n]) for n in names}
@@ -164,29 +185,39 @@ def _extractor(names: tuple[str, ...], keep: tuple[str, ...] = (), nested: bool
 
         read = (*names, "symbols") if nested else names
         by = {"python": lambda *file: python_code.extract(*file, read), "rust": rust_code.extract}
-        for batch in batches:
-            first = size = 0
-            found: list[dict[str, list[dict]]] = []
-            for n, (source, language, content) in enumerate(zip(batch["id"].to_pylist(), batch["language"].to_pylist(), batch["content"].to_pylist())):
-                got = by[language](source, content)
-                records = {name: _distinct(getattr(got, name)) for name in names}
-                if nested and "symbols" in names:
-                    for r, c in zip(records["symbols"], around(records["symbols"], got.symbols)):
-                        r["container"] = c
-                if nested and "occurrences" in names:
-                    for r, o in zip(records["occurrences"], around(records["occurrences"], [x for x in got.symbols if x["kind"] in BODY_KINDS])):
-                        r["owner"] = o
-                found.append(records)
-                size += len(content)
-                if size >= _BATCH_BYTES or n + 1 == batch.num_rows:
-                    part = batch.slice(first, len(found))
-                    arrays = [part["id"], part["language"], *(part[k] for k in keep), *(listed(name, [f[name] for f in found]) for name in names)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["source_id", "language", *keep, *names])
-                    first, size, found = n + 1, 0, []
+        with _cycles_left():
+            for batch in batches:
+                first = size = 0
+                found: list[dict[str, list[dict]]] = []
+                for n, (source, language, content) in enumerate(zip(batch["id"].to_pylist(), batch["language"].to_pylist(), batch["content"].to_pylist())):
+                    got = by[language](source, content)
+                    records = {name: _distinct(getattr(got, name)) for name in names}
+                    if nested and "symbols" in names:
+                        for r, c in zip(records["symbols"], around(records["symbols"], got.symbols)):
+                            r["container"] = c
+                    if nested and "occurrences" in names:
+                        for r, o in zip(records["occurrences"], around(records["occurrences"], [x for x in got.symbols if x["kind"] in BODY_KINDS])):
+                            r["owner"] = o
+                    found.append(records)
+                    size += len(content)
+                    if size >= _BATCH_BYTES or n + 1 == batch.num_rows:
+                        part = batch.slice(first, len(found))
+                        arrays = [part["id"], part["language"], *(part[k] for k in keep), *(listed(name, [f[name] for f in found]) for name in names)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["source_id", "language", *keep, *names])
+                        first, size, found = n + 1, 0, []
+                        gc.collect()
 
     return extract
 
 
+def _dealt(sources: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(id, language, content and ``keep``) of each parsed source, once, dealt to all tasks."""
+    spark = sources.sparkSession
+    let_workers_import(spark)
+    columns = dict.fromkeys(["id", "language", "content", *keep])
+    return sources.where("language <> 'auxiliary'").select(*columns).repartition(4 * max(1, spark.sparkContext.defaultParallelism), "id").dropDuplicates(["id"])
+
+
 def extracted(sources: DataFrame, names: tuple[str, ...] = TABLES[1:], keep: tuple[str, ...] = (), nested: bool = False) -> DataFrame:
     """One row per parsed source with the arrays ``names`` (symbols, occurrences, bindings, diagnostics) and the source's columns ``keep``; ``auxiliary`` files are not parsed.
 
@@ -194,13 +225,9 @@ def extracted(sources: DataFrame, names: tuple[str, ...] = TABLES[1:], keep: tup
 
     Sources are dealt to tasks by their id, as a table's one small file may hold very many; a repeated source is parsed once.
     """
-    spark = sources.sparkSession
-    let_workers_import(spark)
     arrays = [f"{n} array<struct<{', '.join(f.replace(' ', ':', 1) for f in _RECORDS[n].split(', '))}>>" for n in names]
     kept = [f"`{k}` {sources.schema[k].dataType.simpleString()}" for k in keep]
-    columns = dict.fromkeys(["id", "language", "content", *keep])
-    dealt = sources.where("language <> 'auxiliary'").select(*columns).repartition(4 * max(1, spark.sparkContext.defaultParallelism), "id").dropDuplicates(["id"])
-    return dealt.mapInArrow(_extractor(tuple(names), tuple(keep), nested), ", ".join(["source_id string", "language string", *kept, *arrays]))
+    return _dealt(sources, keep).mapInArrow(_extractor(tuple(names), tuple(keep), nested), ", ".join(["source_id string", "language string", *kept, *arrays]))
 
 
 def rows_of(found: DataFrame, name: str, keep: tuple[str, ...] = (), nested: bool = False) -> DataFrame:
@@ -222,6 +249,164 @@ def tables_of(sources: DataFrame, found: DataFrame, nested: bool = False) -> dic
     return {"sources": sources.drop("content"), **{n: rows_of(found, n, nested=nested) for n in TABLES[1:] if n in found.columns}}
 
 
+#: Tables of numbered records: ids, and columns that name a source or symbol, are numbers.
+_NUMBERED = {
+    "sources": "id bigint, path string, language string",
+    "symbols": f"id bigint, source_id bigint, {_SYMBOL.replace('container string', 'container bigint')}, type bigint, language string",
+    "occurrences": f"id bigint, source_id bigint, {_OCCURRENCE.replace('owner string', 'owner bigint')}, language string",
+    "bindings": f"scope_source bigint, {_BINDING}, language string",
+    "diagnostics": f"source_id bigint, {_DIAGNOSTIC}",
+}
+#: Their columns that aren't an extractor's.
+_MADE = {
+    "sources": (), "symbols": ("id", "source_id", "container", "type", "language"), "occurrences": ("id", "source_id", "owner", "language"), "bindings": ("scope_source", "language"),
+    "diagnostics": ("source_id",),
+}
+#: What a task holds of a table before it is written, and the numbers that a task has for its records.
+_HELD_BYTES, _TASK_NUMBERS = 16 << 20, 1 << 40
+
+
+def _around(inner: list[tuple[int, int, int | None]], outer: list[tuple[int, int, int]]) -> list[int | None]:
+    """``around`` of spans (start, end, number) of a file whose numbers have the order of their ids."""
+    rest = sorted(outer, reverse=True)
+    open_: list[tuple[int, int, int]] = []
+    found: list[int | None] = [None] * len(inner)
+    ends = 0  # no open span ends before
+    for at in sorted(range(len(inner)), key=inner.__getitem__):
+        start, end, own = inner[at]
+        while rest and rest[-1][0] <= start:
+            open_.append(rest.pop())
+            if open_[-1][1] < ends:
+                ends = open_[-1][1]
+        if ends < start:
+            open_ = [o for o in open_ if o[1] >= start]
+            ends = min([o[1] for o in open_], default=start)
+        best = None
+        for o in open_:
+            if o[1] >= end and o[2] != own:
+                length = o[1] - o[0]
+                if best is None or length < least or length == least and o[2] < best:
+                    best, least = o[2], length
+        found[at] = best
+    return found
+
+
+def _numbers(rows: list[dict], before: int) -> tuple[list[dict], list[int], int]:
+    """The distinct ``rows`` of a file, their numbers in the order of their ids, those of an equal id alike, and the greatest number."""
+    ids = [r["id"] for r in rows]
+    every = sorted(set(ids))
+    if len(every) < len(ids):
+        rows = _distinct(rows)
+        ids = [r["id"] for r in rows]
+    number = dict(zip(every, range(before + 1, before + 1 + len(every))))
+    return rows, [number[i] for i in ids], before + len(every)
+
+
+def _numbered_file(got, source: int, language: str, rows: dict[str, list[dict]], made: dict[str, dict[str, list]]) -> int:  # noqa: ANN001
+    """Adds the records of a file whose number is ``source`` to ``rows``, and their columns that are made here to ``made``; returns the next number."""
+    symbols, numbers, last = _numbers(got.symbols, source)
+    spans = [(r["start"], r["end"], n) for r, n in zip(symbols, numbers)]
+    kinds = [r["kind"] for r in symbols]
+    if "symbols" in rows:
+        types = _around([s if k in METHOD_KINDS else (*s[:2], None) for s, k in zip(spans, kinds)], [s for s, k in zip(spans, kinds) if k in TYPE_KINDS])
+        rows["symbols"] += symbols
+        m = made["symbols"]
+        m["id"] += numbers
+        m["container"] += _around(spans, spans)
+        m["type"] += [t if k in METHOD_KINDS else None for t, k in zip(types, kinds)]
+        m["source_id"] += [source] * len(symbols)
+        m["language"] += [language] * len(symbols)
+    if "occurrences" in rows:
+        seen, numbers, last = _numbers(got.occurrences, last)
+        rows["occurrences"] += seen
+        m = made["occurrences"]
+        m["id"] += numbers
+        m["owner"] += _around([(r["start"], r["end"], None) for r in seen], [s for s, k in zip(spans, kinds) if k in BODY_KINDS])
+        m["source_id"] += [source] * len(seen)
+        m["language"] += [language] * len(seen)
+    if "bindings" in rows:
+        found = _distinct(got.bindings)
+        rows["bindings"] += found
+        made["bindings"]["scope_source"] += [source] * len(found)
+        made["bindings"]["language"] += [language] * len(found)
+    if "diagnostics" in rows:
+        found = _distinct(got.diagnostics)
+        rows["diagnostics"] += found
+        made["diagnostics"]["source_id"] += [source] * len(found)
+    return last + 1
+
+
+def _recorder(root: str, names: tuple[str, ...]):  # noqa: ANN202
+    """Batches of sources (id, language, content, path) to files of numbered records under ``root``, and those files' (name, uri)."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from attesta.extract import python_code, rust_code
+
+        read = tuple(dict.fromkeys((*names, "symbols")))
+        by = {"python": lambda *file: python_code.extract(*file, read), "rust": rust_code.extract}
+        schemas = {n: pa.schema(list(_fields(_NUMBERED[n]).items())) for n in ("sources", *names)}
+        files, at = arrow_files(root)
+        part = TaskContext.get().partitionId()
+        following = part * _TASK_NUMBERS
+        writers: dict[str, pq.ParquetWriter] = {}
+        uris: dict[str, str] = {}
+        held: dict[str, list[pa.Table]] = {n: [] for n in schemas}
+        rows: dict[str, list[dict]] = {n: [] for n in schemas}
+        made: dict[str, dict[str, list]] = {n: {c: [] for c in _MADE[n]} for n in schemas}
+
+        def put(least: int) -> None:
+            for n, schema in schemas.items():
+                if rows[n]:
+                    held[n].append(pa.table([pa.array(made[n][c] if c in made[n] else [r[c] for r in rows[n]], schema.field(c).type) for c in schema.names], schema=schema))
+                    rows[n].clear()
+                    for values in made[n].values():
+                        values.clear()
+                if held[n] and sum(t.nbytes for t in held[n]) >= least:
+                    if n not in writers:
+                        name = f"{n}/{part}-{uuid.uuid4().hex}.parquet"  # another attempt has another name
+                        uris[n] = f"{root}/{name}"
+                        files.create_dir(f"{at}/{n}", recursive=True)
+                        writers[n] = pq.ParquetWriter(f"{at}/{name}", schema, filesystem=files, compression="zstd")
+                    writers[n].write_table(pa.concat_tables(held[n]))
+                    held[n].clear()
+
+        with _cycles_left():
+            size = 0
+            for batch in batches:
+                for language, content, path in zip(*(batch[c].to_pylist() for c in ("language", "content", "path"))):
+                    rows["sources"].append({"id": following, "path": path, "language": language})
+                    following = _numbered_file(by[language]("", content), following, language, rows, made)
+                    size += len(content)
+                    if size >= _BATCH_BYTES:
+                        put(_HELD_BYTES)
+                        size = 0
+                        gc.collect()
+            put(0)
+        for w in writers.values():
+            w.close()
+        yield pa.RecordBatch.from_pydict({"name": list(uris), "uri": list(uris.values())}, schema=pa.schema([("name", pa.string()), ("uri", pa.string())]))
+
+    return write
+
+
+def numbered_tables(sources: DataFrame, names: tuple[str, ...] = TABLES[1:]) -> dict[str, DataFrame]:
+    """``tables_of`` one stored extraction with owners and containers, and a method's ``type``, but with numbers for ids.
+
+    Ids of sources, symbols and occurrences are made of two hashes each, which
+    joins would have to shuffle; numbers stand for them one for one and, within a
+    file, in their order.  Tasks write each table where it is read, and an index
+    of the files that count.
+    """
+    spark = sources.sparkSession
+    root = new_path(spark, "records")
+    index = save(_dealt(sources, ("path",)).mapInArrow(_recorder(root, tuple(names)), "name string, uri string"), "index")
+    uris: dict[str, list[str]] = {}
+    for r in index.collect():  # a few a task
+        uris.setdefault(r.name, []).append(r.uri)
+    drop(index)
+    return {n: spark.read.schema(_NUMBERED[n]).parquet(*uris[n]) if n in uris else spark.createDataFrame([], _NUMBERED[n]) for n in ("sources", *names)}
+
+
 def git_metadata(root: str) -> dict | None:
     """head and dirty of a work tree, or None: the best that can be had."""
     try:

@@ -1,11 +1,13 @@
 """What larger tables than the smallest ones need: no caps, no table of input rows sent to every worker, work dealt to all tasks."""
 
+import gc
+
 import pytest
 from pyspark.sql import functions as F
 
 from attesta import queries
-from attesta.extract import python_code
-from attesta.operators import code
+from attesta.extract import python_code, rust_code
+from attesta.operators import code, envelope
 from attesta.plans import code_plans
 from attesta.sources import editions
 
@@ -76,3 +78,48 @@ def test_extraction_of_some_records_is_part_of_the_whole():
         part = python_code.extract("s", text, (name,))
         assert getattr(part, name) == getattr(whole, name)
         assert not any(getattr(part, n) for n in python_code.RECORDS if n != name)
+
+
+def test_numbered_tables_are_those_of_ids(spark, tables):
+    """Numbers stand for ids one for one, and owners, containers and types are those of the interval operators."""
+    sources = editions.sources_of(code_plans.project(spark, tables(30)))
+    plain = editions.tables_of(sources, editions.extracted(sources))
+    t = editions.numbered_tables(sources.unionByName(sources))
+    names = {r.n: r.id for r in t["symbols"].join(t["sources"].select(F.col("id").alias("source_id"), "path"), "source_id").select(F.col("id").alias("n"), F.concat_ws(":", "path", "kind", "start", "end").alias("id")).collect()}
+    assert len(names) == len(set(names.values())) == plain["symbols"].count()
+    paths = sources.select(F.col("id").alias("source_id"), "path")
+    by_id = {r.id: r.n for r in plain["symbols"].join(paths, "source_id").select("id", F.concat_ws(":", "path", "kind", "start", "end").alias("n")).collect()}
+    for table, at in (("symbols", "container"), ("occurrences", "owner")):
+        whole = (code.with_containers if at == "container" else lambda s: code.with_owners(s, plain["symbols"]))(plain[table])
+        columns = [c for c in t[table].columns if c not in ("id", "source_id", at, "type")]
+        a = sorted(map(repr, [(*r[:-1], names.get(r[-1])) for r in t[table].select(*columns, at).collect()]))
+        assert a == sorted(map(repr, [(*r[:-1], by_id.get(r[-1])) for r in whole.select(*columns, at).collect()])) and len(a) > 100
+    assert {str(f.dataType) for f in t["occurrences"].schema if f.name in ("id", "source_id", "owner")} == {"LongType()"}
+    a = sorted((names[r.type], names[r.id]) for r in envelope.owner_methods(t["symbols"]).collect())
+    assert a == sorted((by_id[r.type], by_id[r.id]) for r in envelope.owner_methods(plain["symbols"]).collect()) and a
+
+
+def test_numbers_have_the_order_of_ids_and_crossing_spans():
+    spans = [{"id": f":{k}:{a}:{b}", "kind": k, "start": a, "end": b} for k, a, b in (("class", 0, 9), ("impl", 0, 9), ("class", 3, 12), ("module", 0, 30), ("class", 4, 6), ("class", 40, 41), ("class", 4, 6))]
+    rows, numbers, last = editions._numbers(spans, 7)
+    assert rows == spans[:-1] and last == 13 and [r["id"] for _, r in sorted(zip(numbers, rows), key=lambda x: x[0])] == sorted(r["id"] for r in rows)
+    spans = rows
+    of = {n: f"{s['kind']}:{s['start']}:{s['end']}" for n, s in zip(numbers, spans)} | {None: None}
+    numbered = [(s["start"], s["end"], n) for s, n in zip(spans, numbers)]
+    assert [of[n] for n in editions._around(numbered, numbered)] == editions.around(spans, spans)
+
+
+def test_code_tables_are_joined_by_numbers(spark, tables):
+    """Ids of two hashes in each joined row were most of what was shuffled."""
+    d = tables(30)
+    for query in ("code_owner_methods", "code_trait_impls"):
+        assert "src:" not in plan_of(queries.QUERIES[query](spark, d))
+    t = code_plans._tables(spark, d, "symbols", "occurrences")
+    assert set(t) == {"sources", "symbols", "occurrences"} and dict(t["occurrences"].dtypes)["id"] == "bigint"
+
+
+def test_extraction_searches_no_cycles_and_restores_that():
+    was = gc.isenabled()
+    with editions._cycles_left():
+        assert not gc.isenabled()
+    assert gc.isenabled() == was
