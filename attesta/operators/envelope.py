@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attesta.operators import intervals, records
@@ -17,6 +17,12 @@ def header(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     return above.groupBy("source_id").agg(F.max("line_no").alias("end_line"))
 
 
+def header_line(lines: Column, first: Column) -> Column:
+    """``header`` of one file by its array of lines and the line of its first declaration: the last line that isn't blank before that, null if there is none."""
+    above = F.slice(lines, F.lit(1), (first - 1).cast("int"))
+    return F.array_max(F.transform(above, lambda line, at: F.when(F.trim(line) != "", (at + 1).cast("long"))))
+
+
 def candidates(chosen: DataFrame, parts: dict[str, DataFrame]) -> DataFrame:
     """(ordinal, id, for_target, reason) in the order of ``parts``: chosen (id) first, then each tagged table (for_target, id)."""
     rows = [chosen.select(F.col("id"), F.col("id").alias("for_target"), F.lit("chosen").alias("reason"), F.lit(0).alias("_p"))]

@@ -118,6 +118,14 @@ def test_code_tables_are_joined_by_numbers(spark, tables):
     assert set(t) == {"sources", "symbols", "occurrences"} and dict(t["occurrences"].dtypes)["id"] == "bigint"
 
 
+def test_headers_and_lines_come_with_their_file(spark, tables):
+    d = tables(30)
+    headers = plan_of(queries.QUERIES["code_headers"](spark, d))
+    assert "Join" not in headers and "Generate" not in headers
+    lines = spark.createDataFrame([(["", "# a", " ", "class A:", "x"], 4), (["class A:"], 1), (["", "  ", "x"], 3), (["a"], None)], "lines array<string>, first bigint")
+    assert [r.n for r in lines.select(envelope.header_line(F.col("lines"), F.col("first")).alias("n")).collect()] == [2, None, None, None]
+
+
 def test_extraction_searches_no_cycles_and_restores_that():
     was = gc.isenabled()
     with editions._cycles_left():
