@@ -10,6 +10,8 @@ from attesta.plans.registry import candidate_kinds
 from attesta.storage import save
 
 CALLS = ("call_observed", "method_call_observed")
+#: Columns of calls that an extraction makes from their own file.
+SEEN = ("within", "typed", "imported")
 
 
 def with_containers(symbols: DataFrame) -> DataFrame:
@@ -53,8 +55,44 @@ def admitted(pairs: DataFrame, calls: DataFrame, contained: DataFrame) -> DataFr
     return j.where(ok).select("occ_id", "sym_id")
 
 
-def resolved_calls(spark: SparkSession, tables: dict[str, DataFrame], chosen: DataFrame | None = None) -> DataFrame:
-    """(occ_id, caller, how, target) of every call of an edition's tables."""
+def _resolved_by_file(spark: SparkSession, tables: dict[str, DataFrame], keep: tuple[str, ...]) -> DataFrame:
+    """``resolved_calls`` of occurrences with ``within``, ``typed`` and ``imported``: the rules on a call's candidates are one expression on its row, and only calls that these leave are joined again."""
+    symbols = tables["symbols"]
+    calls = with_owners(tables["occurrences"], symbols).where(F.col("kind").isin(*CALLS) & F.col("owner").isNotNull())
+    calls = calls.select(F.col("id").alias("occ_id"), F.col("owner").alias("caller"), "kind", "candidate", "language", "source_id", "within", "typed", "imported", F.coalesce(F.col("receiver") == "self", F.lit(False)).alias("own"), *keep)
+    found = graph.candidate_lists(calls, symbols, candidate_kinds(spark).where(F.col("occ_kind").isin(*CALLS)), ("container",))
+    is_method = lambda x: x["sym_kind"].isin("method", "trait_method")
+    beside = lambda x: F.coalesce(x["container"] == F.col("within"), F.lit(False))
+    admits = lambda x: F.when(F.col("kind") == "method_call_observed", is_method(x) | (x["sym_kind"] == "class")).otherwise(~is_method(x) | beside(x))
+    mine = F.coalesce(F.filter("candidates", admits), F.filter(F.col("candidates"), lambda x: F.lit(False)))
+    ids = lambda c: F.transform(c, lambda x: x["sym_id"])
+    fellows = F.filter("mine", beside)
+    receiver = F.when(F.col("own") & (F.size(fellows) == 1) & (fellows[0]["sym_kind"] != "trait_method"), ids(fellows))
+    found = found.withColumn("mine", mine).withColumn("receiver", receiver)
+    one = F.coalesce(F.size("mine") == 1, F.lit(False))
+    row = ["occ_id", "caller", *keep, "source_id", F.col("candidate").alias("name")]
+    asks = ~one & (F.col("imported").isNotNull() | (F.col("typed").isNotNull() & F.col("receiver").isNull()))
+    held = save(found.select(*row, F.when(asks, F.col("typed")).alias("typed"), F.when(asks, F.col("imported")).alias("imported"), one.alias("one"), asks.alias("asks"), "receiver", F.when(F.size("mine") > 0, ids(F.col("mine"))).alias("named"), F.coalesce(F.col("n") > graph.CANDIDATE_CAP, F.lit(False)).alias("above")), "admitted")
+    asked = held.where("asks")
+    files = resolve.module_files(tables["sources"]).select(F.col("dotted").alias("imported"), F.col("source_id").alias("_src"))
+    top = symbols.where("top_level and kind in ('function', 'class')").select(F.col("id").alias("target"), "name", F.col("source_id").alias("_src"))
+    by_import = asked.where("imported is not null").select("occ_id", "name", "imported").join(files, "imported").join(top, ["_src", "name"]).groupBy("occ_id").agg(F.collect_set("target").alias("by_import"))
+    classes = symbols.where("kind = 'class'").select(F.col("id").alias("container"), F.col("name").alias("_class"))
+    methods = symbols.where("kind in ('method', 'trait_method')").select(F.col("id").alias("target"), "name", "container").join(classes, "container").select("_class", "name", "target")
+    typed = asked.where("typed is not null and receiver is null").select("occ_id", "name", F.explode("typed").alias("_class"))
+    by_type = typed.join(methods, ["_class", "name"]).groupBy("occ_id").agg(F.collect_set("target").alias("by_type"))
+    asked = asked.join(by_import, "occ_id", "left").join(by_type, "occ_id", "left")
+    every = held.where("not asks").withColumns({"by_import": F.lit(None).cast("array<long>"), "by_type": F.lit(None).cast("array<long>")}).unionByName(asked)
+    rules = (("unique", F.when(F.col("one"), F.col("named"))), ("import", F.col("by_import")), ("receiver", F.col("receiver")), ("type", F.col("by_type")), ("homonym", F.col("named")))
+    how = F.coalesce(*(F.when(targets.isNotNull(), F.lit(rule)) for rule, targets in rules), F.when(F.col("above"), "above_limit").otherwise("no_candidate"))
+    targets = F.coalesce(*(t for _, t in rules))
+    return every.select("occ_id", "caller", *keep, how.alias("how"), F.explode_outer(targets).alias("target"))
+
+
+def resolved_calls(spark: SparkSession, tables: dict[str, DataFrame], chosen: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(occ_id, caller, how, target) of every call of an edition's tables; with the columns ``keep`` of calls where the extraction gives what a call sees of its own file."""
+    if chosen is None and set(SEEN) <= set(tables["occurrences"].columns):
+        return _resolved_by_file(spark, tables, keep)
     symbols, occurrences = tables["symbols"], with_owners(tables["occurrences"], tables["symbols"])
     contained = with_containers(symbols)
     if "owner" not in tables["occurrences"].columns:  # made by a join

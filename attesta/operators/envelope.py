@@ -62,9 +62,12 @@ def trait_impls(owners: DataFrame, impls: DataFrame) -> DataFrame:
 
 def behavior(chosen: DataFrame, occurrences: DataFrame, found: DataFrame, tests: DataFrame) -> DataFrame:
     """(id, fact, n): loops, operations, field writes and tests that the graph sees for each chosen declaration."""
-    own = occurrences.join(chosen.select(F.col("id").alias("owner")), "owner", "left_semi")
+    counted = occurrences.where("kind in ('loop', 'field_assign', 'name_write')") if "owner" in found.columns else occurrences
+    of = chosen.select(F.col("id").alias("owner"))
+    own = counted.join(of, "owner", "left_semi")
     loops = own.where("kind = 'loop'").groupBy(F.col("owner").alias("id")).agg(F.count("*").alias("n")).withColumn("fact", F.lit("loops"))
-    ops = own.join(found.select(F.col("occ_id").alias("id"), "operation"), "id").groupBy(F.col("owner").alias("id"), F.concat(F.lit("operation:"), "operation").alias("fact")).agg(F.count("*").alias("n"))
+    held = found.join(of, "owner", "left_semi") if "owner" in found.columns else own.join(found.select(F.col("occ_id").alias("id"), "operation"), "id")
+    ops = held.groupBy(F.col("owner").alias("id"), F.concat(F.lit("operation:"), "operation").alias("fact")).agg(F.count("*").alias("n"))
     writes = own.where("kind in ('field_assign', 'name_write')").groupBy(F.col("owner").alias("id")).agg(F.count("*").alias("n")).withColumn("fact", F.lit("writes"))
     tested = tests.join(chosen, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n")).withColumn("fact", F.lit("tests"))
     return loops.unionByName(ops).unionByName(writes).unionByName(tested)

@@ -69,6 +69,33 @@ def name_candidates(occurrences: DataFrame, symbols: DataFrame, allowed: DataFra
     return pairs.select("occ_id", "sym_id"), above
 
 
+def candidate_lists(occurrences: DataFrame, symbols: DataFrame, allowed: DataFrame, columns: tuple[str, ...] = (), cap: int = CANDIDATE_CAP) -> DataFrame:
+    """``occurrences`` with ``candidates``, those of ``name_candidates`` as an array of (sym_id, sym_kind, source, top_level and ``columns`` of the symbol), null if there are none or over ``cap``, and their number ``n``.
+
+    Occurrences are shuffled once: the symbols of a name are listed, up to the cap,
+    before the join; only names beyond it are looked up by file, too.
+    """
+    allowed = allowed.select(F.col("language").alias("_al"), F.col("occ_kind").alias("_ok"), F.col("sym_kind").alias("_sk"))
+    item = F.struct(F.col("id").alias("sym_id"), F.col("kind").alias("sym_kind"), F.col("source_id").alias("source"), "top_level", *columns)
+    s = symbols.select("name", F.col("language").alias("_lang"), F.col("kind").alias("_kind"), item.alias("_item"))
+    names = ["name", "_lang", "_ok"]
+    kinds = s.join(allowed, (F.col("_lang") == F.col("_al")) & (F.col("_kind") == F.col("_sk"))).select(*names, "_item").withColumn("_all", F.count("*").over(Window.partitionBy(*names)))
+    listed = kinds.groupBy(*names).agg(F.max("_all").alias("_all"), F.collect_list(F.when(F.col("_all") <= cap, F.col("_item"))).alias("_list"))
+    local = kinds.where((F.col("_all") > cap) & F.col("_item.top_level")).groupBy(*names, F.col("_item.source").alias("_src")).agg(F.count("*").alias("_local"), F.collect_list("_item").alias("_own"))
+    usable = F.col("candidate").isNotNull() & F.col("kind").isNotNull() & F.col("language").isNotNull()
+    on = [F.col("candidate") == F.col("name"), F.col("language") == F.col("_lang"), F.col("kind") == F.col("_ok")]
+    own = F.filter("_list", lambda x: x["top_level"] & (x["source"] == F.col("source_id")))
+    picked = F.when(F.size(own) > 0, own).otherwise(F.col("_list"))
+    nothing = F.lit(None).cast(listed.schema["_list"].dataType)
+    few = occurrences.where(usable).join(listed, on, "left").where(F.coalesce("_all", F.lit(0)) <= cap).select(*occurrences.columns, picked.alias("candidates"))
+    few = few.select(*occurrences.columns, "candidates", F.when(F.col("candidates").isNotNull(), F.size("candidates").cast("long")).alias("n"))
+    above = listed.where(F.col("_all") > cap).select(*names, "_all")
+    many = occurrences.where(usable).join(above, on).drop(*names)
+    many = many.join(local, [*on, F.col("source_id") == F.col("_src")], "left").select(*occurrences.columns, F.when(F.col("_local") <= cap, F.col("_own")).alias("candidates"), F.coalesce("_local", "_all").alias("n"))
+    rest = occurrences.where(~F.coalesce(usable, F.lit(False))).select("*", nothing.alias("candidates"), F.lit(None).cast("long").alias("n"))
+    return few.unionByName(many).unionByName(rest)
+
+
 def candidate_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("from").agg(F.count("*").alias("candidates"))
 

@@ -12,7 +12,13 @@ RULE = "id string, operation string, language string, matcher string, names arra
 
 
 def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rules, RULE)
+    """The rules as values in the plan, whose size is known, so that what they are joined with isn't shuffled."""
+    text = lambda v: "CAST(NULL AS STRING)" if v is None else "'" + "".join(f"\\U{ord(c):08X}" for c in v) + "'"
+    words = lambda vs: f"CAST(array({', '.join(map(text, vs))}) AS ARRAY<STRING>)"
+    if not rules:
+        return spark.createDataFrame([], RULE)
+    rows = ", ".join(f"({', '.join(map(text, r[:4]))}, {words(r[4])}, {words(r[5])})" for r in rules)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(id, operation, language, matcher, names, receivers)")
 
 
 def rule_issues(rules: DataFrame) -> DataFrame:
@@ -26,8 +32,8 @@ def _applies() -> Column:
     return F.col("rule_language").isNull() | (F.col("rule_language") == F.col("language"))
 
 
-def operations(occurrences: DataFrame, symbols: DataFrame, rules: DataFrame) -> DataFrame:
-    """(occ_id, rule, operation) of occurrences (id, source_id, kind, language, candidate, receiver, owner) by four matchers.
+def operations(occurrences: DataFrame, symbols: DataFrame, rules: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(occ_id, rule, operation and the occurrence's columns ``keep``) of occurrences (id, source_id, kind, language, candidate, receiver, owner) by four matchers.
 
     call: the name is listed, and the receiver too if the rule lists any;
     field_declared_with: a use of a field whose declaration calls a listed name;
@@ -41,16 +47,18 @@ def operations(occurrences: DataFrame, symbols: DataFrame, rules: DataFrame) ->
     by_call = calls.join(named, F.col("candidate") == F.col("name")).where(_applies() & ((F.size("receivers") == 0) | F.array_contains("receivers", F.col("receiver"))))
     fields = r.where("matcher = 'field_declared_with'").withColumn("name", F.explode("names"))
     declared = symbols.where("kind = 'field'").select(F.col("name").alias("field"), "source_id", "start", "end", F.col("language").alias("_fl"))
-    made = intervals.containers(calls.select("source_id", "start", "end", "candidate"), declared.select("source_id", "start", "end", "field"), "source_id")
+    making = calls.join(fields.select(F.col("name").alias("candidate")).distinct(), "candidate", "left_semi")
+    made = intervals.containers(making.select("source_id", "start", "end", "candidate"), declared.select("source_id", "start", "end", "field"), "source_id")
     by_field = occurrences.where(F.col("kind").isin("attribute_access", "field_assign")).join(made.select(F.col("outer_field").alias("candidate"), F.col("candidate").alias("name")).distinct(), "candidate").join(fields, "name").where(_applies())
     top = symbols.where("kind = 'variable' and top_level").select(F.col("source_id").alias("_s"), F.col("name").alias("_n")).distinct()
     writes = occurrences.where("kind = 'name_write' and owner is not null").join(top, (F.col("source_id") == F.col("_s")) & (F.col("candidate") == F.col("_n")), "left_semi")
     by_write = writes.join(r.where("matcher = 'module_write'"), _applies())
-    bound = occurrences.where(F.col("kind").isin("list_binding", "local_binding", "parameter", "keyword_parameter"))
+    asked = occurrences.where("kind = 'membership'").select("source_id", "owner", "candidate").distinct()
+    bound = occurrences.where(F.col("kind").isin("list_binding", "local_binding", "parameter", "keyword_parameter")).join(asked, ["source_id", "owner", "candidate"], "left_semi")
     only_lists = bound.groupBy("source_id", "owner", "candidate").agg(F.min((F.col("kind") == "list_binding").cast("int")).alias("l")).where("l = 1").drop("l")
     members = occurrences.where("kind = 'membership'").join(only_lists, ["source_id", "owner", "candidate"], "left_semi")
     by_member = members.join(r.where("matcher = 'list_membership'"), _applies())
-    out = [x.select(F.col("id").alias("occ_id"), "rule", "operation") for x in (by_call, by_field, by_write, by_member)]
+    out = [x.select(F.col("id").alias("occ_id"), "rule", "operation", *(x[k] for k in keep)) for x in (by_call, by_field, by_write, by_member)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).distinct()
 
 
@@ -73,16 +81,23 @@ def loops_of(occurrences: DataFrame) -> DataFrame:
     return loops.join(own, F.col("id") == F.col("_l"), "left").drop("_l").dropDuplicates(["id"])
 
 
+def in_loops(rows: DataFrame, loops: DataFrame) -> DataFrame:
+    """``rows`` once for each loop around them, ``outer_id``; by ``loops_of`` unless an extraction gives the loops of each."""
+    if "loops" in rows.columns:
+        return rows.withColumn("outer_id", F.explode("loops")).drop("loops")
+    return intervals.loop_members(rows, loops, "source_id")
+
+
 def direct(occurrences: DataFrame, loops: DataFrame, found: DataFrame) -> DataFrame:
     """(loop, occ_id, operation): operations inside a loop and outside its iterable."""
-    rows = occurrences.join(found, F.col("id") == F.col("occ_id"))
-    return intervals.loop_members(rows, loops, "source_id").select(F.col("outer_id").alias("loop"), "occ_id", "operation")
+    rows = found if "loops" in found.columns else occurrences.join(found, F.col("id") == F.col("occ_id"))
+    return in_loops(rows, loops).select(F.col("outer_id").alias("loop"), "occ_id", "operation", *(["owner"] if "owner" in found.columns else []))
 
 
 def repeated_calls(occurrences: DataFrame, loops: DataFrame) -> DataFrame:
     """(loop, name, lines): names called more than once in a loop, with their places in order."""
     calls = occurrences.where(F.col("kind").isin("call_observed", "method_call_observed") & F.col("candidate").isNotNull())
-    inside = intervals.loop_members(calls, loops, "source_id")
+    inside = in_loops(calls, loops)
     return inside.groupBy(F.col("outer_id").alias("loop"), F.col("candidate").alias("name")).agg(F.array_sort(F.collect_list("start")).alias("places")).where(F.size("places") > 1)
 
 
@@ -96,7 +111,7 @@ def through_calls(chains: DataFrame, found: DataFrame, owners: DataFrame) -> Dat
 
 def symbol_operations(found: DataFrame, owners: DataFrame, links: DataFrame) -> DataFrame:
     """Symbols with operations: those operations, and which other such symbols they call and are called by."""
-    own = found.join(owners.select("occ_id", "owner"), "occ_id").groupBy(F.col("owner").alias("symbol")).agg(F.array_sort(F.collect_set("operation")).alias("operations"))
+    own = (found if "owner" in found.columns else found.join(owners.select("occ_id", "owner"), "occ_id")).groupBy(F.col("owner").alias("symbol")).agg(F.array_sort(F.collect_set("operation")).alias("operations"))
     ids = own.select("symbol")
     within = links.join(ids.withColumnRenamed("symbol", "caller"), "caller", "left_semi").join(ids.withColumnRenamed("symbol", "target"), "target", "left_semi")
     calls = within.groupBy(F.col("caller").alias("symbol")).agg(F.array_sort(F.collect_set("target")).alias("calls"))
@@ -112,13 +127,17 @@ def summary_text(found: DataFrame) -> DataFrame:
 
 def declaration_places(found: DataFrame, occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     """(source_id, qualified_name, start_line) of the declarations that hold an operation."""
-    owners = occurrences.join(found.select(F.col("occ_id").alias("id")), "id", "left_semi").select(F.col("owner").alias("id"))
+    owners = found.select(F.col("owner").alias("id")) if "owner" in found.columns else occurrences.join(found.select(F.col("occ_id").alias("id")), "id", "left_semi").select(F.col("owner").alias("id"))
     return symbols.join(owners, "id", "left_semi").select("source_id", "qualified_name", "start_line")
 
 
 def hot_operations(inside: DataFrame, occurrences: DataFrame, counts: DataFrame) -> DataFrame:
     """(symbol, operation, occ_id) of operations in loops (``direct``), other than arithmetic, of functions (symbol, calls) that ran."""
-    rows = inside.where("operation <> 'math'").select("occ_id", "operation").distinct().join(occurrences.select(F.col("id").alias("occ_id"), F.col("owner").alias("symbol")), "occ_id")
+    rows = inside.where("operation <> 'math'")
+    if "owner" in inside.columns:
+        rows = rows.select("occ_id", "operation", F.col("owner").alias("symbol")).distinct()
+    else:
+        rows = rows.select("occ_id", "operation").distinct().join(occurrences.select(F.col("id").alias("occ_id"), F.col("owner").alias("symbol")), "occ_id")
     return rows.join(counts.where("calls > 0").select("symbol").distinct(), "symbol", "left_semi").select("symbol", "operation", "occ_id")
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 import subprocess
 import uuid
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from attesta.storage import arrow_files, drop, new_path, save
 # What an extraction keeps of each record; ids are made of the source's id, the kind and the span, and ``container`` and ``owner`` name a symbol by its id's end.
 _SYMBOL = "name string, qualified_name string, kind string, is_test boolean, top_level boolean, start bigint, `end` bigint, start_line bigint, end_line bigint, sha256 string, container string"
 _OCCURRENCE = "kind string, start bigint, `end` bigint, line bigint, candidate string, rule string, label string, owner string"
-_BINDING = "scope_start bigint, scope_end bigint, head string, dotted string, is_local boolean"
+_BINDING = "scope_start bigint, scope_end bigint, scope_line bigint, head string, dotted string, is_local boolean"
 _DIAGNOSTIC = "code string, message string"
 _RECORDS = {"symbols": _SYMBOL, "occurrences": _OCCURRENCE, "bindings": _BINDING, "diagnostics": _DIAGNOSTIC}
 TABLES = ("sources", "symbols", "occurrences", "bindings", "diagnostics")
@@ -119,7 +120,7 @@ _BATCH_BYTES = 256 << 10
 
 
 def _fields(ddl: str) -> dict[str, pa.DataType]:
-    kinds = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64()}
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     return {f.split()[0].strip("`"): kinds[f.split()[1]] for f in ddl.split(", ")}
 
 
@@ -262,6 +263,11 @@ _MADE = {
     "sources": (), "symbols": ("id", "source_id", "container", "type", "language"), "occurrences": ("id", "source_id", "owner", "language"), "bindings": ("scope_source", "language"),
     "diagnostics": ("source_id",),
 }
+#: Columns of occurrences that are made only where they are asked for: the container of one's owner, the loops around it, without those in whose iterable it stands;
+#: of calls the types written for what they begin with, and the name of the module that their receiver is bound to by an import.
+MADE_IF_ASKED = {"within": "bigint", "loops": "array<bigint>", "typed": "array<string>", "imported": "string"}
+CALL_KINDS = ("call_observed", "method_call_observed")
+_RECEIVER = re.compile(r"([\w.]+)\.\w+\(", re.ASCII)
 #: What a task holds of a table before it is written, and the numbers that a task has for its records.
 _HELD_BYTES, _TASK_NUMBERS = 16 << 20, 1 << 40
 
@@ -291,6 +297,66 @@ def _around(inner: list[tuple[int, int, int | None]], outer: list[tuple[int, int
     return found
 
 
+def _all_around(inner: list[tuple[int, int]], outer: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Of each span the numbers of all outer spans (start, end, number) of the same file that contain it, by one sort of both."""
+    found: list[list[int]] = [[] for _ in inner]
+    if not outer:
+        return found
+    rest = sorted(outer, reverse=True)
+    open_: list[tuple[int, int, int]] = []
+    for at in sorted(range(len(inner)), key=inner.__getitem__):
+        start, end = inner[at]
+        while rest and rest[-1][0] <= start:
+            open_.append(rest.pop())
+        if open_ and min([o[1] for o in open_]) < start:
+            open_ = [o for o in open_ if o[1] >= start]
+        found[at] = [o[2] for o in open_ if o[1] >= end]
+    return found
+
+
+def _loops(rows: list[dict], numbers: list[int]) -> list[list[int]]:
+    """Of each occurrence of a file the loops around it, without those in whose iterable it stands: ``intervals.loop_members`` of one file.
+
+    The innermost loop around an iterable owns it, the shortest one if there are several.
+    """
+    loops = [(r["start"], r["end"], n) for r, n in zip(rows, numbers) if r["kind"] == "loop"]
+    found = _all_around([(r["start"], r["end"]) for r in rows], loops)
+    if loops:
+        its = [(r["start"], r["end"], None) for r in rows if r["kind"] == "loop_iterable"]
+        iterable: dict[int, tuple[int, int]] = {}
+        for (s, e, _), loop in zip(its, _around(its, loops)):
+            if loop is not None and (loop not in iterable or (e - s, s) < (iterable[loop][1] - iterable[loop][0], iterable[loop][0])):
+                iterable[loop] = s, e
+        for at, held in enumerate(found):
+            if held:
+                s, e = rows[at]["start"], rows[at]["end"]
+                found[at] = [n for n in held if n not in iterable or not (iterable[n][0] <= s and e <= iterable[n][1])]
+    return found
+
+
+def _typed(rows: list[dict]) -> list[list[str] | None]:
+    """Of each call of a file the types written for what it begins with."""
+    written: dict[int, list[str]] = {}
+    for r in rows:
+        if r["kind"] == "receiver_type" and r["candidate"] is not None and r["candidate"] not in written.setdefault(r["start"], []):
+            written[r["start"]].append(r["candidate"])
+    return [written.get(r["start"]) if r["kind"] in CALL_KINDS else None for r in rows]
+
+
+def _imported(rows: list[dict], bindings: list[dict]) -> list[str | None]:
+    """Of each call of a file the dotted name that the innermost scope which binds its receiver's head gives it, null for a local: the first half of ``resolve.import_links``."""
+    by_head: dict[str, list[dict]] = {}
+    for b in bindings:
+        by_head.setdefault(b["head"], []).append(b)
+    found: list[str | None] = [None] * len(rows)
+    for at, r in enumerate(rows):
+        if r["kind"] == "method_call_observed" and (m := _RECEIVER.match(r["label"])):
+            fits = [b for b in by_head.get(m[1].split(".", 1)[0], ()) if b["scope_start"] <= r["start"] and r["end"] <= b["scope_end"]]
+            if fits:
+                found[at] = min([(b["scope_end"] - b["scope_start"], not b["is_local"], b["dotted"] or "") for b in fits])[2] or None
+    return found
+
+
 def _numbers(rows: list[dict], before: int) -> tuple[list[dict], list[int], int]:
     """The distinct ``rows`` of a file, their numbers in the order of their ids, those of an equal id alike, and the greatest number."""
     ids = [r["id"] for r in rows]
@@ -302,26 +368,37 @@ def _numbers(rows: list[dict], before: int) -> tuple[list[dict], list[int], int]
     return rows, [number[i] for i in ids], before + len(every)
 
 
-def _numbered_file(got, source: int, language: str, rows: dict[str, list[dict]], made: dict[str, dict[str, list]]) -> int:  # noqa: ANN001
+def _numbered_file(got, source: int, language: str, rows: dict[str, list[dict]], made: dict[str, dict[str, list]], occurring: frozenset[str] | None = None) -> int:  # noqa: ANN001
     """Adds the records of a file whose number is ``source`` to ``rows``, and their columns that are made here to ``made``; returns the next number."""
     symbols, numbers, last = _numbers(got.symbols, source)
     spans = [(r["start"], r["end"], n) for r, n in zip(symbols, numbers)]
     kinds = [r["kind"] for r in symbols]
+    contained = _around(spans, spans) if "symbols" in rows or "within" in made.get("occurrences", ()) else []
     if "symbols" in rows:
         types = _around([s if k in METHOD_KINDS else (*s[:2], None) for s, k in zip(spans, kinds)], [s for s, k in zip(spans, kinds) if k in TYPE_KINDS])
         rows["symbols"] += symbols
         m = made["symbols"]
         m["id"] += numbers
-        m["container"] += _around(spans, spans)
+        m["container"] += contained
         m["type"] += [t if k in METHOD_KINDS else None for t, k in zip(types, kinds)]
         m["source_id"] += [source] * len(symbols)
         m["language"] += [language] * len(symbols)
     if "occurrences" in rows:
-        seen, numbers, last = _numbers(got.occurrences, last)
+        seen, numbers, last = _numbers(got.occurrences if occurring is None else [r for r in got.occurrences if r["kind"] in occurring], last)
         rows["occurrences"] += seen
         m = made["occurrences"]
         m["id"] += numbers
-        m["owner"] += _around([(r["start"], r["end"], None) for r in seen], [s for s, k in zip(spans, kinds) if k in BODY_KINDS])
+        owners = _around([(r["start"], r["end"], None) for r in seen], [s for s, k in zip(spans, kinds) if k in BODY_KINDS])
+        m["owner"] += owners
+        if "within" in m:
+            held = {s[2]: c for s, c in zip(spans, contained)}
+            m["within"] += [held.get(o) for o in owners]
+        if "loops" in m:
+            m["loops"] += _loops(seen, numbers)
+        if "typed" in m:
+            m["typed"] += _typed(seen)
+        if "imported" in m:
+            m["imported"] += _imported(seen, got.bindings)
         m["source_id"] += [source] * len(seen)
         m["language"] += [language] * len(seen)
     if "bindings" in rows:
@@ -336,15 +413,17 @@ def _numbered_file(got, source: int, language: str, rows: dict[str, list[dict]],
     return last + 1
 
 
-def _recorder(root: str, names: tuple[str, ...]):  # noqa: ANN202
+def _recorder(root: str, names: tuple[str, ...], kinds: frozenset[str] | None = None, asked: tuple[str, ...] = ()):  # noqa: ANN202
     """Batches of sources (id, language, content, path) to files of numbered records under ``root``, and those files' (name, uri)."""
+    ddl = _numbered_ddl(asked)
+    made_of = {**_MADE, "occurrences": (*_MADE["occurrences"], *asked)}
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from attesta.extract import python_code, rust_code
 
-        read = tuple(dict.fromkeys((*names, "symbols")))
-        by = {"python": lambda *file: python_code.extract(*file, read), "rust": rust_code.extract}
-        schemas = {n: pa.schema(list(_fields(_NUMBERED[n]).items())) for n in ("sources", *names)}
+        read = tuple(dict.fromkeys((*names, "symbols", *(["bindings"] if "imported" in asked else []))))
+        by = {"python": lambda *file: python_code.extract(*file, read, kinds), "rust": rust_code.extract}
+        schemas = {n: pa.schema(list(_fields(ddl[n]).items())) for n in ("sources", *names)}
         files, at = arrow_files(root)
         part = TaskContext.get().partitionId()
         following = part * _TASK_NUMBERS
@@ -352,7 +431,7 @@ def _recorder(root: str, names: tuple[str, ...]):  # noqa: ANN202
         uris: dict[str, str] = {}
         held: dict[str, list[pa.Table]] = {n: [] for n in schemas}
         rows: dict[str, list[dict]] = {n: [] for n in schemas}
-        made: dict[str, dict[str, list]] = {n: {c: [] for c in _MADE[n]} for n in schemas}
+        made: dict[str, dict[str, list]] = {n: {c: [] for c in made_of[n]} for n in schemas}
 
         def put(least: int) -> None:
             for n, schema in schemas.items():
@@ -375,7 +454,7 @@ def _recorder(root: str, names: tuple[str, ...]):  # noqa: ANN202
             for batch in batches:
                 for language, content, path in zip(*(batch[c].to_pylist() for c in ("language", "content", "path"))):
                     rows["sources"].append({"id": following, "path": path, "language": language})
-                    following = _numbered_file(by[language]("", content), following, language, rows, made)
+                    following = _numbered_file(by[language]("", content), following, language, rows, made, kinds)
                     size += len(content)
                     if size >= _BATCH_BYTES:
                         put(_HELD_BYTES)
@@ -389,9 +468,15 @@ def _recorder(root: str, names: tuple[str, ...]):  # noqa: ANN202
     return write
 
 
-def numbered_tables(sources: DataFrame, names: tuple[str, ...] = TABLES[1:]) -> dict[str, DataFrame]:
+def _numbered_ddl(asked: tuple[str, ...]) -> dict[str, str]:
+    return {**_NUMBERED, "occurrences": ", ".join([_NUMBERED["occurrences"], *(f"{c} {MADE_IF_ASKED[c]}" for c in asked)])}
+
+
+def numbered_tables(sources: DataFrame, names: tuple[str, ...] = TABLES[1:], kinds: tuple[str, ...] | None = None, asked: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """``tables_of`` one stored extraction with owners and containers, and a method's ``type``, but with numbers for ids.
 
+    ``kinds`` are the kinds of occurrences that are read (all, if None), and ``asked`` names columns of ``MADE_IF_ASKED``.
+
     Ids of sources, symbols and occurrences are made of two hashes each, which
     joins would have to shuffle; numbers stand for them one for one and, within a
     file, in their order.  Tasks write each table where it is read, and an index
@@ -399,12 +484,13 @@ def numbered_tables(sources: DataFrame, names: tuple[str, ...] = TABLES[1:]) ->
     """
     spark = sources.sparkSession
     root = new_path(spark, "records")
-    index = save(_dealt(sources, ("path",)).mapInArrow(_recorder(root, tuple(names)), "name string, uri string"), "index")
+    index = save(_dealt(sources, ("path",)).mapInArrow(_recorder(root, tuple(names), None if kinds is None else frozenset(kinds), tuple(asked)), "name string, uri string"), "index")
     uris: dict[str, list[str]] = {}
     for r in index.collect():  # a few a task
         uris.setdefault(r.name, []).append(r.uri)
     drop(index)
-    return {n: spark.read.schema(_NUMBERED[n]).parquet(*uris[n]) if n in uris else spark.createDataFrame([], _NUMBERED[n]) for n in ("sources", *names)}
+    ddl = _numbered_ddl(tuple(asked))
+    return {n: spark.read.schema(ddl[n]).parquet(*uris[n]) if n in uris else spark.createDataFrame([], ddl[n]) for n in ("sources", *names)}
 
 
 def git_metadata(root: str) -> dict | None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta import queries
 from attesta.extract import python_code, rust_code
-from attesta.operators import code, envelope
+from attesta.operators import code, envelope, graph, inventory
 from attesta.plans import code_plans
 from attesta.sources import editions
 
@@ -136,3 +136,46 @@ def test_extraction_searches_no_cycles_and_restores_that():
     with editions._cycles_left():
         assert not gc.isenabled()
     assert gc.isenabled() == was
+
+
+def test_made_columns_are_those_of_the_operators(spark, tables):
+    """Loops, written types and imports that an extraction gives are those of the operators on whole tables, and calls resolve alike."""
+    sources = editions.sources_of(code_plans.project(spark, tables(30)))
+    sources = sources.unionByName(editions.sources_of(spark.createDataFrame([("p1/odd.py", bytearray(b"import re as r\n\n\ndef f(xs):\n    while xs:\n        for a in (b for b in g(xs)):\n            r.sub(a)\n            [r.x(c) for c in h(a)]\n    r = 1\n    return r.y()\n")), ("p2/own.py", bytearray(b"import p1.odd as odd\n\n\ndef k(x: Box1):\n    return odd.f(x.put1(1)), x.put1(2)\n"))], "path string, content binary")))
+    whole = editions.numbered_tables(sources)
+    t = editions.numbered_tables(sources, ("symbols", "occurrences"), asked=("loops", *code.SEEN))
+    key = lambda t: t["occurrences"].join(t["sources"].select(F.col("id").alias("source_id"), "path"), "source_id").select("id", F.concat_ws(":", "path", "kind", "start", "end").alias("at"))
+    at, made = {r.id: r["at"] for r in key(whole).collect()}, {r.id: r["at"] for r in key(t).collect()}
+    loops = inventory.loops_of(whole["occurrences"])
+    odd = [r for r in inventory.in_loops(whole["occurrences"], loops).select("id", "outer_id").collect() if not at[r.outer_id].startswith("p1/odd")]
+    mine = [r for r in inventory.in_loops(t["occurrences"], loops).select("id", "outer_id").collect() if not made[r.outer_id].startswith("p1/odd")]
+    assert sorted((at[r.id], at[r.outer_id]) for r in odd) == sorted((made[r.id], made[r.outer_id]) for r in mine) and len(mine) > 100
+    calls = []
+    for tables_, names in ((whole, at), (t, made)):
+        target = tables_["symbols"].join(tables_["sources"].select(F.col("id").alias("source_id"), "path"), "source_id").select(F.col("id").alias("target"), F.concat_ws(":", "path", "kind", "start", "end").alias("to"))
+        rows = code.resolved_calls(spark, tables_).join(target, "target", "left").collect()
+        calls.append(sorted((names[r.occ_id], r.how, r.to or "") for r in rows))
+    assert calls[0] == calls[1] and {how for _, how, _ in calls[0]} >= {"unique", "import", "receiver", "type", "no_candidate"}
+
+
+def test_candidate_lists_are_name_candidates(spark):
+    symbols = spark.createDataFrame([(n, name, kind, "python", n % 3, n % 2 == 0) for n, name, kind in [*((i, "many", "function") for i in range(12)), *((20 + i, "few", "function") for i in range(3)), (40, "few", "method")]], "id long, name string, kind string, language string, source_id long, top_level boolean")
+    occurrences = spark.createDataFrame([(100 + i, name, kind, "python", i % 4) for i, (name, kind) in enumerate((n, k) for n in ("many", "few", "none", None) for k in ("call_observed", "method_call_observed", "other") for _ in range(4))], "id long, candidate string, kind string, language string, source_id long")
+    allowed = spark.createDataFrame([("python", "call_observed", "function"), ("python", "method_call_observed", "function"), ("python", "method_call_observed", "method")], "language string, occ_kind string, sym_kind string")
+    for cap in (1, 8):
+        pairs, above = graph.name_candidates(occurrences, symbols, allowed, cap)
+        lists = graph.candidate_lists(occurrences, symbols, allowed, ("name",), cap)
+        assert lists.count() == occurrences.count()
+        assert sorted(lists.select("id", F.explode("candidates.sym_id")).collect()) == sorted(pairs.collect()) and pairs.count() > 0
+        assert sorted(lists.where(F.col("n") > cap).select("id", "n").collect()) == sorted(above.collect()) and above.count() > 0
+
+
+def test_code_queries_extract_what_they_read(spark, tables):
+    d = tables(30)
+    t = code_plans._call_tables(spark, d)
+    assert {r.kind for r in t["occurrences"].select("kind").distinct().collect()} == set(code_plans.CALLED)
+    for query in ("code_inventory", "code_bindings", "code_trait_impls", "code_hot_operations"):
+        plan = plan_of(queries.QUERIES[query](spark, d))
+        assert "substring" not in plan and "content" not in plan.split("MapInArrow")[0]
+    assert "Join" not in plan_of(queries.QUERIES["code_inventory"](spark, d))
+    assert inventory.rule_table(spark, [("a'", "o", None, "call", ["\u00e9"], [])]).collect() == [("a'", "o", None, "call", ["\u00e9"], [])]
