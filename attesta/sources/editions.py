@@ -245,6 +245,39 @@ def rows_of(found: DataFrame, name: str, keep: tuple[str, ...] = (), nested: boo
     return r.select(source, *columns.values(), *(["language"] if name == "bindings" else []), *keep)
 
 
+def _declare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of sources (language, content) to what is told of their declarations."""
+    from attesta.extract import python_code, rust_code
+
+    types = _fields(_SYMBOL)
+    told = python_code.DECLARATION
+    by = {"python": python_code.declarations, "rust": lambda content: [tuple([r[c] for c in told]) for r in _distinct(rust_code.extract("", content).symbols)]}
+
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(values, types[c]) for c, values in zip(told, zip(*found))], names=list(told))
+
+    with _cycles_left():
+        for batch in batches:
+            size, found = 0, []
+            for language, content in zip(batch["language"].to_pylist(), batch["content"].to_pylist()):
+                found += by[language](content)
+                size += len(content)
+                if size >= _BATCH_BYTES and found:
+                    yield rows(found)
+                    size, found = 0, []
+            if found:
+                yield rows(found)
+            gc.collect()
+
+
+def declared(sources: DataFrame) -> DataFrame:
+    """What extractors' ``declarations`` tell of the table of symbols; nothing else is extracted, and no row holds a file's array."""
+    from attesta.extract.python_code import DECLARATION
+
+    types = {f.split()[0].strip("`"): f for f in _SYMBOL.split(", ")}
+    return _dealt(sources, ()).mapInArrow(_declare, ", ".join(types[c] for c in DECLARATION))
+
+
 def tables_of(sources: DataFrame, found: DataFrame, nested: bool = False) -> dict[str, DataFrame]:
     """The record tables that ``found`` has arrays of; a file's repeated rows are gone."""
     return {"sources": sources.drop("content"), **{n: rows_of(found, n, nested=nested) for n in TABLES[1:] if n in found.columns}}

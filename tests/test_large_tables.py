@@ -179,3 +179,52 @@ def test_code_queries_extract_what_they_read(spark, tables):
         assert "substring" not in plan and "content" not in plan.split("MapInArrow")[0]
     assert "Join" not in plan_of(queries.QUERIES["code_inventory"](spark, d))
     assert inventory.rule_table(spark, [("a'", "o", None, "call", ["\u00e9"], [])]).collect() == [("a'", "o", None, "call", ["\u00e9"], [])]
+
+
+def test_declarations_are_the_symbols_of_the_whole_extraction(spark, tables):
+    """``code_symbols`` makes only its columns, row for row those of the table of symbols, without an array for each file."""
+    text = b"""\xef\xbb\xbfA = B, [C, *D] = E.f = 1; A = 2
+@a
+@(
+    b)
+class TestX(Y, k=0):
+    n: int = 0
+    m, self.q = 1, 2
+    def test_a(self, x=lambda: 0):
+        self.n, (self.m, z) = self.k.l = x
+        if x:
+            self.o: int = 1
+        elif y:
+            def f(): self.p = g = 1
+        for self.r in x:
+            try:
+                self.s = 1
+            except E:
+                self.t = (\n 1)
+            else:
+                class In: v = w = 1
+            finally:
+                async def test_h(): pass
+        match x:
+            case [u]:
+                self.u = [e for e in x]
+        with a as self.v:
+            self.w += 1
+while A:
+    T = (n := 1)
+else:
+    import t
+
+    @c
+    async def test_i(): U = 1
+"""
+    for content in (text, text.replace(b"\n", b"\r\n"), b"", b"def (", b"\xff", b"if 0: pass\n" + b"elif 1: A = 1\n" * 50):
+        whole = [tuple(r[c] for c in python_code.DECLARATION) for r in python_code.extract("s", content).symbols]
+        assert python_code.declarations(content) == whole and (len(whole) > 20 or len(content) < 10 or len(whole) == 50)
+    d = tables(30)
+    sources = editions.sources_of(code_plans.project(spark, d))
+    symbols = editions.tables_of(sources, editions.extracted(sources, ("symbols",)))["symbols"].select(*python_code.DECLARATION)
+    query = queries.QUERIES["code_symbols"](spark, d)
+    assert "Generate" not in plan_of(query) and "sha256" not in plan_of(query)
+    for found in (query, editions.declared(sources.unionByName(sources))):
+        assert found.dtypes == symbols.dtypes and sorted(found.collect()) == sorted(symbols.collect()) and found.count() > 200
